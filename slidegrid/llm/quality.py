@@ -48,20 +48,22 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << k for k, rule in enumerate(RULES) if rule.name in rules)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements; every intermediate array is a column of its own, so that no lambda recomputes it."""
+def measure(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id and the measurements, and with carry all of docs as column row; every intermediate array is a column of
+    its own, so that no lambda recomputes it."""
+    extra = ["row"] * carry
     text = F.coalesce("text", F.lit(""))
     blanks, symbols = "\t\n\x0b\x0c\r", "#*$%&|<>"
     solid = F.translate("t", " " + blanks, "")
-    rows = docs.select("doc_id", text.alias("t")).select(
-        "doc_id",
+    rows = docs.select("doc_id", text.alias("t"), *[F.struct(*[docs[c] for c in docs.columns]).alias(r) for r in extra]).select(
+        "doc_id", *extra,
         F.array_remove(F.split(F.translate("t", blanks, " " * len(blanks)), " "), "").alias("w"),
         F.filter(F.split("t", "\n"), lambda x: F.translate(x, " " + blanks, "") != "").alias("lines"),
         F.length(solid).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", symbols, ""))).cast("long").alias("n_symbols"),
     )
     rows = rows.select(
-        "doc_id", "w", "word_chars", "n_symbols",
+        "doc_id", *extra, "w", "word_chars", "n_symbols",
         F.size("w").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -71,15 +73,15 @@ def measure(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("placed", F.expr("case when repeats then sort_array(transform(grams, (h, i) -> struct(h as h, i as p))) end"))
     rows = rows.withColumn("places", F.expr("case when repeats then sort_array(transform(filter(placed, (e, i) -> e.h <=> get(placed, i - 1).h or e.h <=> get(placed, i + 1).h), e -> e.p)) end"))
     covered = F.expr("case when repeats then aggregate(transform(places, (p, i) -> least(3, coalesce(get(places, i + 1) - p, 3))), 0, (a, x) -> a + x) else 0 end")
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "n_lines")
+    return rows.select("doc_id", *extra, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "n_lines")
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, carry: bool = False) -> DataFrame:
     """measure() and failed, the bits of all rules that the document fails."""
     bits: Column = F.lit(0).cast("long")
     for k, rule in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return measure(docs).withColumn("failed", bits)
+    return measure(docs, carry).withColumn("failed", bits)
 
 
 def judge(entries: DataFrame, version: str = CURRENT) -> DataFrame:
