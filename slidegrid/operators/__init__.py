@@ -1 +1 @@
-"""..."""
+"""Operators over patch, pixel, region and result tables."""

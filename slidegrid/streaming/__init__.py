@@ -1 +1 @@
-"""..."""
+"""Nothing is streamed: every input of the library is a finished table."""
