@@ -19,6 +19,7 @@ document with all links of its texts. An empty table gives no rows; other column
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,10 @@ from slidegrid.llm.components import connected_components
 from slidegrid.llm.shared import discard, release, stash
 
 COORDINATES, BAND_ROWS = 200, 5
-#: Pairs that a bucket may give per member in one round of pivots.
-PIVOT_PAIRS = 64
+#: Pivots of a bucket in the first round, which finds the text that edited copies share, and in later ones; small buckets
+#: may take more, up to so many pairs.
+FIRST_PIVOTS, PIVOTS = 2, 64
+FIRST_PAIRS, PAIRS_AT_ONCE = 256, 16_384
 #: Members of one pivot that are confirmed by one task.
 MEMBERS = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -189,21 +192,29 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return dealt.mapInArrow(compare, "u long, v long")
 
 
-def _pivot_pairs(buckets: DataFrame, labels: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _pivot_pairs(buckets: DataFrame, labels: DataFrame, links: DataFrame, done: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
     """The next pairs (pivot, node) and the (band, node) that are pivots in them. In each bucket that holds more than one
-    component, members outside its largest component are taken as pivots, up to PIVOT_PAIRS of them, against all
-    members of other components that have not been pivots there."""
-    named = buckets.join(labels.withColumnRenamed("component", "c"), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))
+    component, the member with most confirmed links and some members outside the largest component, others each turn,
+    are held against all members of other components that have not been pivots there. Edited copies of a text
+    are seldom alike among themselves, but each of a few leads to the text, which then has most links and finds all."""
+    degrees = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("degree"))
+    state = labels.withColumnRenamed("component", "c").join(degrees, "node", "full")
+    named = buckets.join(state, "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree"))
     if done is not None:
         named = named.join(done, ["band", "node"], "left_anti")
-    sizes = named.groupBy("band", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-    mixed = stash(mixed.where("parts > 1").select("band", F.col("top.c").alias("top"), (F.col("n") - F.col("top.n")).alias("others")), "mixed")
+    hub = F.max(F.struct("degree", -F.col("node"), "c")).alias("hub")
+    sizes = named.groupBy("band", "c").agg(F.count("*").alias("n"), hub)
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.max("hub").alias("hub"))
+    mixed = mixed.where("parts > 1").select("band", F.col("top.c").alias("top"), (F.col("n") - F.col("top.n")).alias("others"), "n", (-F.col("hub.col2")).alias("hub"), F.col("hub.c").alias("hub_c"))
+    mixed = stash(mixed, "mixed")
     live = stash(named.join(mixed, "band"), "live")
     outside = live.where("c != top")
-    some = outside.where(F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("others") / PIVOT_PAIRS)) == 0).select("band", "node", "c")
+    most, at_once = (PIVOTS, PAIRS_AT_ONCE) if turn else (FIRST_PIVOTS, FIRST_PAIRS)
+    turns = F.ceil(F.col("others") * F.col("n") / F.greatest(F.col("n") * most, F.lit(at_once)))
+    some = outside.where(F.pmod(F.xxhash64("node", F.lit(turn)), turns) == 0).select("band", "node", "c")
     least = outside.groupBy("band").agg(F.min_by(F.struct("node", "c"), "node").alias("p")).select("band", "p.*")
-    pivots = stash(some.union(least).distinct(), "pivots")
+    hubs = mixed.select("band", F.col("hub").alias("node"), F.col("hub_c").alias("c"))
+    pivots = stash(some.union(least).union(hubs).distinct(), "pivots")
     pairs = live.join(pivots.select("band", F.col("node").alias("pivot"), F.col("c").alias("pc")), "band").where("c != pc")
     return pairs.select("pivot", "node").distinct(), pivots.select("band", "node")
 
@@ -220,17 +231,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links, done = stash(confirm(stash(pairs, "pairs"), docs, width, percent), "links"), None
     release(spark)
     labels = stash(connected_components(links), "labels")
-    while True:
-        pairs, pivots = _pivot_pairs(buckets, labels, done)
+    for turn in itertools.count():
+        pairs, pivots = _pivot_pairs(buckets, labels, links, done, turn)
         pairs = stash(pairs, "pairs")
         if pairs.isEmpty():
             break
-        found = confirm(pairs, docs, width, percent)
-        # Components so far are links too: each node with its smallest.
-        links = stash(found.union(labels.where("node != component").select(F.col("component").alias("u"), F.col("node").alias("v"))), "links")
+        links = stash(links.union(confirm(pairs, docs, width, percent)).distinct(), "links")
+        done = stash(pivots if done is None else done.union(pivots), "done")
         release(spark)
         labels = stash(connected_components(links), "labels")
-        done = stash(pivots if done is None else done.union(pivots), "done")
     named = classes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     named = stash(named, "named")
     discard(buckets, classes)

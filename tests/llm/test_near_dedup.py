@@ -78,7 +78,8 @@ def test_odd_documents(spark, odd_documents, no_documents):
 def test_large_groups_and_chains(spark, monkeypatch):
     """Groups larger than a pivot's members, chains whose ends are not alike, and buckets of several components."""
     monkeypatch.setattr(near_dedup, "MEMBERS", 7)
-    monkeypatch.setattr(near_dedup, "PIVOT_PAIRS", 2)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", 20)
     rng = random.Random(4)
     rows = []
     for _ in range(4):
