@@ -19,7 +19,7 @@ from slidegrid.llm.shared import stash
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current version of the policy rejects go."""
-    return quality.judge(quality.ledger(docs, carry=True)).where("kept").select("row.*")
+    return quality.kept_rows(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

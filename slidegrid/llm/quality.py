@@ -90,6 +90,14 @@ def judge(entries: DataFrame, version: str = CURRENT) -> DataFrame:
     return entries.withColumn("base_failed", failing(BASE)).withColumn("kept", ~failing(BASE) & ~failing(POLICIES[version]))
 
 
+def kept_rows(docs: DataFrame, version: str = CURRENT) -> DataFrame:
+    """The rows of docs that a version of the policy keeps. The verdict passes through a generator, below which the
+    optimiser moves no filter: moved further down it would be written out within the measurements' lambdas."""
+    judged = judge(ledger(docs, carry=True), version)
+    held = judged.select(F.explode_outer(F.expr("case when kept then array(row) end")).alias("row"))
+    return held.where("row is not null").select("row.*")
+
+
 def ablation(entries: DataFrame, version: str = CURRENT) -> DataFrame:
     """For each rule of a version: documents that fail it (n_failed) and that it alone removes (n_only). Entries are
     first counted by bit pattern, of which there are at most 2 to the number of rules."""

@@ -22,7 +22,7 @@ def check(spark, docs, packed_check=True):
     for df in (good, single, trimmed, mixed):
         assert df.columns == raw.columns
     text = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
-    kept = {(str(r.doc_id), r.n_words) for r in quality.judge(quality.ledger(raw)).where("kept").collect()}
+    kept = {(str(r.doc_id), r.n_words) for r in quality.judge(quality.ledger(raw)).collect() if r.kept}
     words = lambda t: len(mixing._WORD.findall(t or ""))
     assert text(good) == sorted((str(r.doc_id), r.text or "") for r in raw.collect() if (str(r.doc_id), words(r.text)) in kept)
     rows = [(r.doc_id, r.text) for r in good.collect()]

@@ -25,7 +25,7 @@ def test_quality_of_odd_documents(spark, odd_documents, no_documents):
     for r in entries:
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert not (r.kept and r.base_failed)
-    carried = quality.judge(quality.ledger(docs, carry=True)).where("kept").select("row.*")
+    carried = quality.kept_rows(docs)
     assert carried.columns == docs.columns and carried.count() == sum(r.kept for r in entries)
     ablation = {r.rule: (r.n_failed, r.n_only) for r in quality.ablation(quality.ledger(docs), "v3").collect()}
     for name in quality.POLICIES["v3"]:
