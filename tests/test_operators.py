@@ -97,7 +97,7 @@ def test_patient_stage_and_kappa(spark):
 def test_morphology(spark):
     ring = grid(spark, "..... .###. .#.#. .###. .....").withColumn("mask", F.col("value") > 0).drop("value")
     assert as_grid(px.mask_close(ring), "mask")[2, 2]
-    assert as_grid(px.mask_fill_holes(ring, 5), "mask")[2, 2] and not as_grid(px.mask_fill_holes(ring, 5), "mask")[0, 0]
+    assert as_grid(px.mask_fill_holes(ring, 5, hole=50.0), "mask")[2, 2] and not as_grid(px.mask_fill_holes(ring, 5, hole=50.0), "mask")[0, 0]
     json = px.mask_boundary_json(ring, 2).first()
     assert (json.n_points, json.n_holes) == (8, 1) and '{"x":2,"y":2}' in json.contour
 
