@@ -37,7 +37,7 @@ def test_quality_of_odd_documents(spark, odd_documents, no_documents):
 def test_licenses(spark, odd_documents, no_documents):
     s = licenses.SENTENCES
     texts = {
-        1: "Text.\n" + s["apache2_line"], 2: "\n".join(s[k] for k in ("mit_title", "mit_grant", "mit_notice", "mit_warranty")), 3: s["mit_grant"] + " " + s["mit_warranty"],
+        1: "Text.\n" + s["apache2_line"], 2: "\n".join(s[k] for k in ("mit_title", "mit_grant", "mit_notice", "mit_warranty")), 3: s["mit_grant"] + "\n" + s["mit_warranty"],
         4: "x. " + s["gpl3_line"] + " y.\n" + s["ccbync4_line"], 5: "This has an odd license of its own.", 6: None, 7: "", 8: s["mit_line"].upper() + "\n\n" + s["mit_line"],
     }
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
