@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidegrid.functions.draws import draw
+from slidegrid.operators.regions import settled
 
 #: Range buckets of scores in [0, 1] for running sums.
 BUCKETS = 256
@@ -112,6 +113,36 @@ def percentile_ci(samples: DataFrame, columns: list[str], by: tuple[str, ...] =
     return aggregated.select("*", names.alias("r")).select(*by, "r.row_name", *[F.get(c, F.col("r.i")).alias(c) for c in columns])
 
 
+def slide_report(rows: DataFrame, key: str, reps: int, seed: int, levels: int = 100) -> DataFrame:
+    """The whole report of two-class slides (key, label and said 0 or 1, score in [0, 1]), told apart by row_name: results
+    and each sample_i with accuracy, tn, fp, fn, tp and auc; their ci_lower_bound and ci_upper_bound; curve, the ROC points
+    (threshold, fpr, tpr); curve_ci, bounds of tpr at levels of fpr. Areas and levels count from the curve's origin, so that
+    a tie at the highest score has its area; a sample's area is that of its levels. Samples of one class have no curve."""
+    names = ["accuracy", "tn", "fp", "fn", "tp", "auc"]
+    rows = settled(rows)
+    drawn = settled(bootstrap(rows, [key], reps, seed))
+
+    def roc(of: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+        points = binary_curve(of, "score", F.col("label") == 1, by).where("fpr is not null and recall is not null").select(*by, "threshold", "fpr", "recall")
+        points = settled(points)
+        origin = points.groupBy(*by).agg(F.max(F.lit(float("inf"))).alias("threshold"), F.max(F.lit(0.0)).alias("fpr"), F.max(F.lit(0.0)).alias("recall"))
+        return points, points.unionByName(origin)
+
+    counts = lambda of, by=(): patch_metrics(of, positive=1, score="said", by=by).select(*by, *names[:-1])
+    points, whole = roc(rows, ())
+    results = counts(rows).crossJoin(curve_auc(whole, "fpr", "recall"))  # one row each
+    _, sampled = roc(drawn, ("rep",))
+    asked = sampled.select("rep").distinct().select("rep", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("k")).select("rep", (F.col("k") / float(levels)).alias("level"))
+    at = settled(interp_curve(sampled, asked, "fpr", "recall", ("rep",)))
+    areas = curve_auc(at.withColumn("threshold", F.lit(None).cast("double")), "level", "value", ("rep",))
+    samples = settled(counts(drawn, ("rep",)).join(areas, "rep", "left"))
+    band = percentile_ci(at, ["value"], ("level",)).groupBy("level").agg(*[F.max(F.when(F.col("row_name") == f"ci_{side}_bound", F.col("value"))).alias(f"tpr_{side}") for side in ("lower", "upper")])
+    out = results.withColumn("row_name", F.lit("results")).unionByName(samples.withColumn("row_name", F.concat(F.lit("sample_"), "rep")).drop("rep")).unionByName(percentile_ci(samples, names))
+    out = out.select("row_name", *[F.col(c).cast("double").alias(c) for c in names])
+    out = out.unionByName(points.select(F.lit("curve").alias("row_name"), "threshold", "fpr", F.col("recall").alias("tpr")), True)
+    return out.unionByName(band.select(F.lit("curve_ci").alias("row_name"), F.col("level").alias("fpr"), "tpr_lower", "tpr_upper"), True)
+
+
 def patient_stage(slides: DataFrame, predicted: str = "prediction", per_patient: int = 5) -> DataFrame:
     """Stages patients by their slides: pN2 for a macro and at least four positive slides, pN1 for a macro, pN1mi for a
     micro, pN0(i+) for isolated cells, else pN0. complete: the patient has all slides."""

@@ -11,6 +11,8 @@ from slidegrid.plans.registry import query
 
 P, S, D = (PATCHES,), (SLIDES,), (DOC_SCORES,)
 REPS = 50
+#: Replicates of slide_metrics_binary, as many as the reference draws.
+SLIDE_REPS = 1000
 
 _METRICS = """tn, fp, fn, tp, (tp + tn) / (tp + tn + fp + fn)::double as accuracy, tp / nullif(tp + fn, 0)::double as recall, tn / nullif(tn + fp, 0)::double as specificity, tp / nullif(tp + fp, 0)::double as precision"""
 _COUNTS = """sum(case when not said and not is_ then w else 0 end)::bigint as tn, sum(case when said and not is_ then w else 0 end)::bigint as fp, sum(case when not said and is_ then w else 0 end)::bigint as fn, sum(case when said and is_ then w else 0 end)::bigint as tp"""
@@ -142,11 +144,9 @@ def _(spark, d):
 @query("slide_metrics_binary", f"""/*and*/ sl as (select slide_idx, label, coalesce(max(tumor), 0) as score from slides left join (select slide_idx, tumor from patches where patch_seq % 7 = 0) using (slide_idx) group by 1, 2),
  {_curve_sql('sl', 'score', "label = 'tumor'")}, a as ({_auc_sql('fpr', 'recall')}) select round(avg(case when (label = 'tumor') = (score > 0.9) then 1.0::double else 0 end), 9) as accuracy, any_value(a.auc) as auc from sl, a""", S + P)
 def _(spark, d):
-    best = patches(spark, d).where("patch_seq % 7 = 0").groupBy("slide_idx").agg(F.max("tumor").alias("score"))
+    best = patches(spark, d).groupBy("slide_idx").agg(F.max("tumor").alias("score"))
     rows = slides(spark, d).select("slide_idx", "label").join(best, "slide_idx", "left").fillna(0.0, ["score"])
-    right = F.avg(F.when((F.col("label") == "tumor") == (F.col("score") > 0.9), 1.0).otherwise(0.0))
-    auc = mt.curve_auc(mt.binary_curve(rows, "score", F.col("label") == "tumor"), "fpr", "recall")
-    return rows.agg(F.round(right, 9).alias("accuracy")).crossJoin(auc.select(F.round("auc", 6).alias("auc")))  # one row each
+    return mt.slide_report(rows.select("slide_idx", (F.col("label") == "tumor").cast("int").alias("label"), "score", (F.col("score") > 0.9).cast("int").alias("said")), "slide_idx", SLIDE_REPS, 3)
 
 
 @query("slide_metrics", "select 'multi' as kind, avg(case when stage = prediction then 1.0::double else 0 end) as accuracy from slides union all select 'binary', avg(case when (stage <> 'negative') = (prediction <> 'negative') then 1.0::double else 0 end) from slides", S)

@@ -117,3 +117,58 @@ def test_splits_partition(spark):
         assert sorted(r.slide_idx for r in rows) == list(range(60)) and {r.split for r in rows} == {"train", "valid"}
         assert sorted(map(str, rows)) == sorted(map(str, split.repartition(5).collect()))
     assert len({(r.patient, r.split) for r in ix.split_grouped(slides, 0.7, 1).collect()}) == 12
+
+
+def test_slide_report(spark):
+    """A slide's best patch counts whatever its patch_seq, and the report is held against plain loops over the same draws."""
+    import hashlib
+
+    import numpy as np
+
+    from slidegrid.plans import QUERIES
+    from slidegrid.plans.fixtures import patches, slides
+    from tests.conftest import DATA
+
+    d = f"{DATA}/sf0.001"
+    best = {}
+    for r in patches(spark, d).collect():
+        best[r.slide_idx] = max(best.get(r.slide_idx, 0.0), r.tumor)
+    rows = [(s.label == "tumor", best.get(s.slide_idx, 0.0)) for s in slides(spark, d).orderBy("slide_idx").collect()]
+    got = QUERIES["slide_metrics_binary"](spark, d).collect()
+    check_report(rows, got, 1000, hashlib, np)
+
+    rng = random.Random(4)
+    rows = [(rng.random() < 0.4, rng.choice([0.1, 0.3, 0.5, 0.92, 0.95, 1.0])) for _ in range(40)]
+    df = spark.createDataFrame([(k, int(y), v, int(v > 0.9)) for k, (y, v) in enumerate(rows)], "slide_idx long, label int, score double, said int")
+    check_report(rows, mt.slide_report(df, "slide_idx", 60, 3).collect(), 60, hashlib, np)
+
+
+def check_report(rows, got, reps, hashlib, np):
+    def measures(rows):
+        n = [sum(y == a and (v > 0.9) == b for y, v in rows) for a in (False, True) for b in (False, True)]
+        return [(n[0] + n[3]) / len(rows), *n]
+
+    def roc(rows):
+        p, n = sum(y for y, _ in rows), sum(not y for y, _ in rows)
+        return [(t, sum(v >= t and not y for y, v in rows) / n, sum(v >= t and y for y, v in rows) / p) for t in sorted({v for _, v in rows}, reverse=True)] if p and n else None
+
+    names = ("accuracy", "tn", "fp", "fn", "tp", "auc")
+    of = {r.row_name: [r[c] for c in names] for r in got}
+    area = lambda x, y: sum((b - a) * (u + v) / 2 for a, b, u, v in zip(x, x[1:], y, y[1:]))
+    points = roc(rows)
+    x, y = [0, *[p[1] for p in points]], [0, *[p[2] for p in points]]
+    assert of["results"] == pytest.approx([*measures(rows), area(x, y)])
+    assert sorted((r.threshold, r.fpr, r.tpr) for r in got if r.row_name == "curve") == [pytest.approx(p) for p in sorted(points)]
+    levels, samples, bands = np.linspace(0, 1, 101), [], []
+    for rep in range(reps):
+        drawn = [rows[int(hashlib.md5(f"3/{rep}/{k}".encode()).hexdigest()[:8], 16) % len(rows)] for k in range(len(rows))]
+        auc = None
+        if points := roc(drawn):
+            bands.append(np.interp(levels, [0, *[p[1] for p in points]], [0, *[p[2] for p in points]]))
+            auc = area(levels, bands[-1])
+        samples.append([*measures(drawn), auc])
+        assert of[f"sample_{rep}"][:5] == pytest.approx(samples[-1][:5]) and of[f"sample_{rep}"][5] == (pytest.approx(auc) if auc is not None else None)
+    for name, q in (("ci_lower_bound", 0.025), ("ci_upper_bound", 0.975)):
+        assert of[name] == pytest.approx([np.quantile([s[k] for s in samples if s[k] is not None], q) for k in range(6)])
+    band = sorted((r.fpr, r.tpr_lower, r.tpr_upper) for r in got if r.row_name == "curve_ci")
+    assert band == [pytest.approx(b) for b in zip(levels, *np.quantile(bands, [0.025, 0.975], axis=0))]
