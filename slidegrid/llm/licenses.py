@@ -1,13 +1,15 @@
 r"""Licence recognition by sentence rules.
 
-A text's sentences are normalised (lower case, runs of anything but letters a-z and digits to one blank) and looked up in
-a fixed table of licence sentences; what is known becomes the text's sequence of sentence identifiers, in order. Rules
+A text is normalised (lower case, runs of anything but letters a-z and digits to one blank) and the sentences of a fixed
+table are looked for in it, longest first; what is known becomes the text's sequence of sentence identifiers, in order. Rules
 are ordered sequences of identifiers, longest first; a rule that matches a run of the sequence takes those sentences,
 so parts of a longer notice don't count as shorter notices. Sentences that speak of a licence but aren't known are
 counted. Only DataFrame functions are used and nothing is shuffled; the table and the rules are literals in the plan.
 
-Sentences end at a line feed, or at a full stop, exclamation or question mark before a blank. Null and empty texts have
-none; repeated rows are judged each for itself; an empty table gives no rows; columns other than doc_id and text are
+Ends are line feeds, and full stops, exclamation and question marks and colons before a blank. A known sentence starts and
+stops at ends and may run over line feeds and colons, so notices may be wrapped and indented or commented by signs; it does
+not run over the other ends. What speaks of a licence is counted by line feeds, full stops, exclamation and question marks,
+without the known sentences. The third BSD clause may name any holder. Null and empty texts have no sentences; repeated rows are judged each for itself; an empty table gives no rows; columns other than doc_id and text are
 ignored.
 """
 
@@ -39,6 +41,7 @@ SENTENCES = {
     "bsd_redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd_names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "spdx_apache2": "SPDX-License-Identifier: Apache-2.0",
     "spdx_mit": "SPDX-License-Identifier: MIT",
     "spdx_gpl3": "SPDX-License-Identifier: GPL-3.0-only",
@@ -49,6 +52,7 @@ RULES = (
     ("MIT", ("mit_title", "mit_grant", "mit_notice", "mit_warranty")),
     ("MIT", ("mit_grant", "mit_notice", "mit_warranty")),
     ("GPL-3.0-or-later", ("gpl_free", "gpl_useful", "gpl_see")),
+    ("BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_names")),
     ("BSD-2-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary")),
     ("Apache-2.0", ("apache2_grant",)),
     ("Apache-2.0", ("apache2_line",)),
@@ -78,16 +82,36 @@ def _known() -> dict[str, str]:
     return {normalised(s): k for k, s in SENTENCES.items()}
 
 
+#: The third BSD clause with any holder's name, of twelve words at most, wrapped anywhere.
+_HOLDER = "(?<= )neither" + "".join(f"(?: [LS])* {w}" for w in "the name of".split()) + "(?: [a-z0-9LS]+){1,12}?" + "".join(f"(?: [LS])* {w}" for w in "nor the names of".split()) + "(?: [LS])* (?:its|the|any)(?: [LS])* contributors(?= )"
+
+
+def _pattern(sentence: str) -> str:
+    """The sentence between ends, over line feeds and colons."""
+    return "(?<=[HLS] )" + "(?: [LS])* ".join(sentence.split()) + "(?= [HLS])"
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (joined by blanks, in order), n_known, n_unknown, and licenses, the sorted names of matched
     rules joined by commas."""
-    table = F.create_map(*[F.lit(x) for pair in _known().items() for x in pair])
-    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])[\x20\x09-\x0D]+", "$1\n"), "\n")
-    clean = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
-    rows = docs.select("doc_id", F.transform(lines, clean).alias("sentences"))
-    rows = rows.select("doc_id", "sentences", F.filter(F.transform("sentences", lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull()).alias("ids"))
+    # Capital letters are marks: H and L end sentences, H (full stops and the like) for good, S is a colon before a blank.
+    x = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[.!?][\x20\x09-\x0D]+", " H ")
+    x = F.regexp_replace(F.regexp_replace(x, "\n", " L "), r":(?=[\x20\x09-\x0D])", " S ")
+    x = F.concat(F.lit("H "), F.trim(F.regexp_replace(x, "[^a-z0-9HLS]+", " ")), F.lit(" H"))
+    marked = docs.select("doc_id", x.alias("x"))
+    holder = F.regexp_replace("x", _HOLDER, "neither the name of the copyright holder nor the names of its contributors")
+    marked = marked.withColumn("x", F.when(F.contains("x", F.lit("neither")), holder).otherwise(F.col("x")))
+    plain = F.regexp_replace("x", " [LS](?= )", "")
+    marked = marked.withColumn("plain", plain)
+    order = sorted(_known().items(), key=lambda p: -len(p[0]))
+    for k, (sentence, _) in enumerate(order):  # the costly pattern only where the words are found
+        found = F.regexp_replace("x", _pattern(sentence), f"K{k}")
+        marked = marked.withColumn("x", F.when(F.contains("plain", F.lit(sentence)), found).otherwise(F.col("x")))
+    names = F.array(*[F.lit(i) for _, i in order])
+    ids = F.transform(F.regexp_extract_all("x", F.lit("K([0-9]+)")), lambda k: F.get(names, k.cast("int")))
+    rows = marked.select("doc_id", F.split("x", "[HL]").alias("sentences"), ids.alias("ids"))
     speaks = lambda x: x.rlike("(^| )licen[cs]e(d|s)?( |$)")
-    spoken = F.size(F.filter("sentences", lambda x: speaks(x) & F.try_element_at(table, x).isNull()))
+    spoken = F.size(F.filter("sentences", speaks))
     # Identifiers wrapped in semicolons; a matched run becomes a bar, so that no later rule sees it.
     rows = rows.select("doc_id", "ids", spoken.cast("long").alias("n_unknown"), F.concat(F.lit(""), *[F.lit("")], F.array_join(F.transform("ids", lambda x: F.concat(F.lit(";"), x, F.lit(";"))), "")).alias("left0"))
     hits: dict[str, list] = {}

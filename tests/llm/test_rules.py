@@ -48,6 +48,27 @@ def test_licenses(spark, odd_documents, no_documents):
     assert licenses.scan(odd_documents).count() == odd_documents.count() and licenses.scan(no_documents).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Notices wrapped, commented and numbered as files hold them, and sentences that end in a colon in one line."""
+    import textwrap
+
+    s = licenses.SENTENCES
+    wrap = lambda keys, width=72, lead="": "\n".join("\n".join(lead + x for x in textwrap.wrap(s[k], width)) for k in keys)
+    apache, mit, gpl = ("apache2_grant", "apache2_copy", "apache2_basis", "apache2_see"), ("mit_grant", "mit_notice", "mit_warranty"), ("gpl_free", "gpl_useful", "gpl_see")
+    header = "# " + s["apache2_grant"].replace(", Version 2.0 ", ", Version 2.0\n# ").replace("except in", "except\n# in") + "\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n" + wrap(apache[2:], 70, "# ")
+    bsd2 = wrap(("bsd_redistribution",)) + "\n\n1. " + wrap(("bsd_source",)) + "\n\n2. " + wrap(("bsd_binary",))
+    third = "\n\n3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    texts = {
+        1: s["mit_grant"] + " " + s["mit_warranty"], 2: "x\n" + wrap(mit) + "\ny", 3: header, 4: wrap(gpl, 66, " * "), 5: bsd2, 6: bsd2 + third.format("the copyright holder"),
+        7: bsd2 + third.format("Example\n   Widgets Inc"), 8: "\n".join(s[k] for k in ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_names")), 9: " ".join(s[k] for k in ("bsd_redistribution", "bsd_source", "bsd_binary")),
+        10: "It is not released under\nthe MIT License.", 11: "Released under the. MIT License.", 12: wrap(mit, 80).replace("\n", "\r\n"),
+    }
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1].sentence_ids == "mit_grant mit_warranty" and got[1].n_known == 2
+    assert [got[k].licenses for k in range(2, 13)] == ["MIT", "Apache-2.0", "GPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause", "BSD-3-Clause", "BSD-2-Clause", "", "", "MIT"]
+    assert got[3].sentence_ids == " ".join(apache) and [got[k].n_unknown for k in (2, 3, 4)] == [0, 0, 0]
+
+
 def test_toxicity_held_out(spark):
     from tests.conftest import DATA
 
