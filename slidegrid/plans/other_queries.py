@@ -216,21 +216,24 @@ def _(spark, d):
     return out.select("vec_id", F.round("normal", 6).alias("normal"), F.round("tumor", 6).alias("tumor"))
 
 
-def _vectors(spark, d) -> tuple[DataFrame, list[str]]:
-    names = [f"f{k}" for k in range(8)]
-    return table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("c"), F.col("label") % 3).alias("y"), *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)]), names
+def _vectors(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Train rows, all rows and the names of the features: all components, the label as class, seven tenths of each class to train."""
+    names = [f"f{k}" for k in range(64)]
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("slide_idx"), F.concat(F.lit("c"), "label").alias("y"), *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)])
+    split = rg.settled(ix.split_stratified(rows, 0.7, 11, "y")).withColumnRenamed("slide_idx", "vec_id")
+    return split.where("split = 'train'").drop("split"), split.drop("split"), names
 
 
 @query("slide_rf")
 def _(spark, d):
-    rows, names = _vectors(spark, d)
-    return ml.slide_forest(rows.where("vec_id % 2 = 0"), rows, names, "y", trees=20).drop(*names)
+    train, rows, names = _vectors(spark, d)
+    return ml.slide_forest(train, rows, names, "y").drop(*names)
 
 
 @query("slide_gbt")
 def _(spark, d):
-    rows, names = _vectors(spark, d)
-    return ml.slide_boosted(rows.where("vec_id % 2 = 0 and y <> 'c2'"), rows, names, "y").drop(*names)
+    train, rows, names = _vectors(spark, d)
+    return ml.slide_boosted(train, rows, names, "y").drop(*names)
 
 
 @query("slide_features_all")

@@ -172,3 +172,35 @@ def check_report(rows, got, reps, hashlib, np):
         assert of[name] == pytest.approx([np.quantile([s[k] for s in samples if s[k] is not None], q) for k in range(6)])
     band = sorted((r.fpr, r.tpr_lower, r.tpr_upper) for r in got if r.row_name == "curve_ci")
     assert band == [pytest.approx(b) for b in zip(levels, *np.quantile(bands, [0.025, 0.975], axis=0))]
+
+
+def test_slide_models_learn_all(spark, monkeypatch):
+    """Both learners get all components and all classes in train; classes are split by draw, each for itself. The forest keeps
+    the operator's 100 trees; the boosted rounds are not tested."""
+    from slidegrid.operators import models as ml
+    from slidegrid.plans import QUERIES
+    from tests.conftest import DATA
+
+    d = f"{DATA}/sf0.001"
+    vectors = {r.vec_id: r for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    seen = {}
+    for name in ("slide_forest", "slide_boosted"):
+
+        def spy(train, rows, features, label, trees=100, seed=7, name=name):
+            seen[name] = (train.collect(), rows.count(), features, trees)
+            return rows
+
+        monkeypatch.setattr(ml, name, spy)
+    for q in ("slide_rf", "slide_gbt"):
+        QUERIES[q](spark, d)
+    for train, n, features, trees in seen.values():
+        assert n == len(vectors) and len(features) == 64 and trees == 100
+        assert all([r[f] for f in features] == [float(v) for v in vectors[r.vec_id].embedding] for r in train)
+        sizes = {}
+        for r in vectors.values():
+            sizes[f"c{r.label}"] = sizes.get(f"c{r.label}", 0) + 1
+        assert {c: sum(r.y == c for r in train) for c in sizes} == {c: int(k * 0.7) for c, k in sizes.items()} and len(sizes) == 10
+        assert {r.vec_id % 2 for r in train} == {0, 1}
+    monkeypatch.undo()
+    forest = QUERIES["slide_rf"](spark, d)
+    assert {f"p_c{k}" for k in range(10)} <= set(forest.columns) and forest.count() == len(vectors)
