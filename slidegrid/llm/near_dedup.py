@@ -2,14 +2,24 @@ r"""Near-duplicate documents by fast similarity sketching, banding and exact con
 
 Sketch: round i places every shingle by a hash of (i, shingle). In the first t rounds the hash also picks the bin, in
 the last t rounds bin i - t takes all shingles, so every coordinate fills, after about t log t placements, and two
-sketches agree in a share of coordinates concentrated about the Jaccard similarity. 200 coordinates in 40 bands of 5
-miss a pair of similarity 0.8 with probability (1 - 0.8^5)^40 = 1.2e-7.
+sketches agree in a share of coordinates concentrated about the Jaccard similarity. 240 coordinates in 40 bands of 6
+miss a pair of similarity 0.8 with probability (1 - 0.8^6)^40 = 5.3e-6.
 
 Documents of the same shingle set form one class before anything is paired, so copies cost a grouped minimum. Classes
-that share a band form a bucket; a bucket is searched by pivots, each against the members of other components, in
-rounds: first every class against the smallest class it shares a bucket with, then pivots in those buckets that still
-hold more than one component. A bucket thus never gives all its pairs once its members are linked, no candidate is
-dropped, and every pair in a bucket is either confirmed, refuted on the full sets or already connected.
+that share a band form a bucket; pairs are never written out, they are found in two passes:
+
+* Hubs. A class is as central as the buckets it is in are large. Edited copies of a text lie around that text and seldom
+  close to one another, so each class is held against the most central class that it shares a bucket with: a pair for
+  each class, which links most of a group.
+* Families. Buckets whose members are in one component by now need nothing more. The others are gathered by their most
+  central member, since a text's bands share the same centre: a pair that shares a bucket shares a family, and is compared once
+  for the family, not once for each band. A family's largest component needs no comparison inside itself; members
+  of the others are dealt in blocks against blocks of all, each cell of two blocks a key of its own. A cell counts
+  all common shingles of its members exactly, by a product of their membership matrices, and gives only the links that
+  join components, fewer than it has members.
+
+So rows and shuffled bytes follow the members of unsettled families and the number of their blocks, and the verdict on
+every pair of a bucket rests on the full sets.
 
 Words are `[^\x20\x09-\x0D]+` after lowering A-Z. A document's set is its distinct word shingles of the given width; with
 fewer words the whole sequence is its one shingle; null, empty and blank texts have no shingles and no links. Rows with a
@@ -19,7 +29,6 @@ document with all links of its texts. An empty table gives no rows; other column
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +40,13 @@ from pyspark.sql import functions as F
 from slidegrid.llm.components import connected_components
 from slidegrid.llm.shared import discard, release, stash
 
-COORDINATES, BAND_ROWS = 200, 5
-#: Pivots of a bucket in the first round, which finds the text that edited copies share, and in later ones; small buckets
-#: may take more, up to so many pairs.
-FIRST_PIVOTS, PIVOTS = 2, 64
-FIRST_PAIRS, PAIRS_AT_ONCE = 256, 16_384
-#: Members of one pivot that are confirmed by one task.
+COORDINATES, BAND_ROWS = 240, 6
+#: Members and shingles of a block of a family; a cell holds two blocks.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 17
+#: Members that are held against one hub in one cell.
 MEMBERS = 64
+#: Columns of the membership matrix that are multiplied at a time.
+COLUMNS = 2048
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 _WORD_TABLE = 500_000
@@ -125,7 +134,7 @@ def signatures(docs: DataFrame, width: int = 2) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(band, node) for bands that more than one class has. Bands are sorted by range of (band, node), so a bucket of
+    """(band, node, n) for bands that more than one class has, n their number. Bands are sorted by range of (band, node), so a bucket of
     any size is spread over tasks; a task keeps what repeats in its range, and its first and last band, whose other
     members may be a neighbour's; a count over what is kept settles those."""
     rows = classes.select(F.explode("bands").alias("band"), F.col("node"))
@@ -152,71 +161,118 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
     sorted_ = rows.repartitionByRange("band", "node").sortWithinPartitions("band", "node")
     kept = stash(sorted_.mapInArrow(shared, "band long, node long"), "shared-bands")
-    many = stash(kept.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1"), "bands")
-    return stash(kept.join(many, "band").select("band", "node", "lead"), "buckets")
+    many = stash(kept.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    return stash(kept.join(many, "band").select("band", "node", "n"), "buckets")
+
 
+def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, tokens): the shingles of the texts of nodes as bytes, repeated rows once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                tokens = [shingle_set(t.as_py(), width).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (pivot, node) whose full sets have 100 * intersection >= percent * union. A pivot's members are dealt in
-    groups of about MEMBERS, each with a copy of the pivot's text; a task holds one pivot's set at a time."""
-    sizes = stash(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("groups")), "pivots")
-    leads = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("pivot").alias("node"), F.lit(0).alias("member"))
-    members = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("part"), "node", F.lit(1).alias("member"))
-    wanted = stash(leads.union(members), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null and text is not null")
+    sets = texts.join(nodes, "node", "left_semi").mapInArrow(run, "node long, tokens binary").where("octet_length(tokens) > 0")
+    return sets.groupBy("node", F.xxhash64("tokens").alias("h"), F.octet_length("tokens").alias("n")).agg(F.first("tokens").alias("tokens")).select("node", "tokens")
+
+
+def _joining(sides: list[int], nodes: list[int], components: list[int], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between members of different components with 100 * intersection >= percent * union, none between members
+    that the links before have joined. With two sides only pairs of both are compared."""
+    size = np.array([len(s) for s in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # by another member: the tokens of one set are distinct
+    column, owner = (np.cumsum(count > 1) - 1)[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    side = np.array(sides)
+    rows = np.flatnonzero(side == 0)
+    others = np.flatnonzero(side == 1) if side.any() else rows
+    both = np.zeros((len(rows), len(others)), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        held[owner[lo:hi], column[lo:hi] - first] = 1
+        both += held[rows] @ held[others].T
+    names, component = np.unique(components, return_inverse=True)
+    hit = (100 * both >= percent * (size[rows][:, None] + size[others][None, :] - both)) & (both > 0)
+    hit &= component[rows][:, None] != component[others][None, :]
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in np.argwhere(hit).tolist():
+        i, j = rows[i], others[j]
+        u, v = find(component[i]), find(component[j])
+        if u != v:
+            parent[u] = v
+            yield nodes[i], nodes[j]
+
+
+def confirmed(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """cells (key, i, j, side, node, component): links (u, v) within each cell (key, i, j), on the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell = None, ([], [], [], [])
+
+        def close() -> pa.RecordBatch:
+            links = list(_joining(*cell, percent)) if len(cell[1]) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets = None, []
         for batch in batches:
-            pivots, parts, nodes, members, texts = (c for c in batch.columns)
-            found: tuple[list, list] = ([], [])
-            for pivot, part, node, member, text in zip(pivots.to_pylist(), parts.to_pylist(), nodes.to_pylist(), members.to_pylist(), texts, strict=True):
-                if (pivot, part) != key:
-                    key, sets = (pivot, part), []
-                own = shingle_set(text.as_py(), width)
-                if not member:
-                    sets.append(own)
-                    continue
-                for s in sets:
-                    if 100 * min(len(s), len(own)) < percent * max(len(s), len(own)):
-                        continue
-                    both = len(np.intersect1d(s, own, assume_unique=True))
-                    if both and 100 * both >= percent * (len(s) + len(own) - both):
-                        found[0].append(pivot)
-                        found[1].append(node)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["u", "v"])
-
-    joined = wanted.join(texts, "node").select("pivot", "part", "node", "member", "text")
-    dealt = joined.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member")
-    return dealt.mapInArrow(compare, "u long, v long")
-
-
-def _pivot_pairs(buckets: DataFrame, labels: DataFrame, links: DataFrame, done: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The next pairs (pivot, node) and the (band, node) that are pivots in them. In each bucket that holds more than one
-    component, the member with most confirmed links and some members outside the largest component, others each turn,
-    are held against all members of other components that have not been pivots there. Edited copies of a text
-    are seldom alike among themselves, but each of a few leads to the text, which then has most links and finds all."""
-    degrees = links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("degree"))
-    state = labels.withColumnRenamed("component", "c").join(degrees, "node", "full")
-    named = buckets.join(state, "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    if done is not None:
-        named = named.join(done, ["band", "node"], "left_anti")
-    hub = F.max(F.struct("degree", -F.col("node"), "c")).alias("hub")
-    sizes = named.groupBy("band", "c").agg(F.count("*").alias("n"), hub)
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.max("hub").alias("hub"))
-    mixed = mixed.where("parts > 1").select("band", F.col("top.c").alias("top"), (F.col("n") - F.col("top.n")).alias("others"), "n", (-F.col("hub.col2")).alias("hub"), F.col("hub.c").alias("hub_c"))
-    mixed = stash(mixed, "mixed")
-    live = stash(named.join(mixed, "band"), "live")
-    outside = live.where("c != top")
-    most, at_once = (PIVOTS, PAIRS_AT_ONCE) if turn else (FIRST_PIVOTS, FIRST_PAIRS)
-    turns = F.ceil(F.col("others") * F.col("n") / F.greatest(F.col("n") * most, F.lit(at_once)))
-    some = outside.where(F.pmod(F.xxhash64("node", F.lit(turn)), turns) == 0).select("band", "node", "c")
-    least = outside.groupBy("band").agg(F.min_by(F.struct("node", "c"), "node").alias("p")).select("band", "p.*")
-    hubs = mixed.select("band", F.col("hub").alias("node"), F.col("hub_c").alias("c"))
-    pivots = stash(some.union(least).union(hubs).distinct(), "pivots")
-    pairs = live.join(pivots.select("band", F.col("node").alias("pivot"), F.col("c").alias("pc")), "band").where("c != pc")
-    return pairs.select("pivot", "node").distinct(), pivots.select("band", "node")
+            *columns, tokens = batch.columns
+            for k, i, j, side, node, component, own in zip(*(c.to_pylist() for c in columns), tokens, strict=True):
+                if (k, i, j) != key:
+                    yield close()
+                    key, cell = (k, i, j), ([], [], [], [])
+                for held, value in zip(cell, (side, node, component, np.frombuffer(own.as_py(), np.uint64)), strict=True):
+                    held.append(value)
+        yield close()
+
+    joined = cells.join(sets, "node").select("key", "i", "j", "side", "node", "component", "tokens")
+    return joined.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
+
+
+def _hub_cells(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Each class beside the most central one of its buckets, if that is another; MEMBERS to a cell, about."""
+    best = buckets.join(hubs, "band").groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best"))
+    pairs = stash(best.select("node", F.col("best.hub").alias("key")).where("node != key"), "pairs")
+    sizes = stash(pairs.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "hub-sizes")
+    members = pairs.join(sizes, "key").select("key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("i"), "node", F.lit(1).alias("side"))
+    leads = sizes.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("key").alias("node"), F.lit(0).alias("side"))
+    return leads.union(members).select("key", "i", F.lit(0).alias("j"), "side", "node", F.col("node").alias("component"))
+
+
+def _family_cells(buckets: DataFrame, hubs: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Families of more than one component, in cells of two blocks; blocks of the largest component come last."""
+    named = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+    named = stash(named, "named")
+    mixed = named.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band")
+    mixed = stash(mixed.join(hubs, "band").select("band", F.col("hub").alias("key")), "mixed")
+    members = stash(named.join(mixed, "band").select("key", "node", "component").distinct().join(sizes, "node"), "members")
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    family = parts.groupBy("key").agg(F.max(F.struct("n", "component", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_MEMBERS, s / BLOCK_SHINGLES)).cast("int")
+    one = blocks(F.col("n"), F.col("s")) <= 1
+    family = family.select(
+        "key", F.when(one, F.lit(None)).otherwise(F.col("top.component")).alias("top"),
+        F.when(one, 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"))).alias("few"),
+        F.when(one, 0).otherwise(blocks(F.col("top.n"), F.col("top.s"))).alias("many"),
+    )
+    placed = members.join(stash(family, "families"), "key")
+    block = F.when(F.col("component") == F.col("top"), F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).otherwise(F.pmod(F.xxhash64("node"), F.col("few"))).cast("int")
+    placed = placed.withColumn("block", block).withColumn("last", F.when(F.col("block") < F.col("few"), F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1).cast("int"))
+    dealt = placed.select("key", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    return dealt.select("key", i.alias("i"), j.alias("j"), F.when(F.col("block") == i, 0).otherwise(1).alias("side"), "node", "component")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -224,25 +280,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     signed = stash(signatures(docs, width), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stash(usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
+    classes = stash(usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
     buckets = _buckets(classes)
+    central = stash(buckets.groupBy("node").agg(F.sum("n").alias("c")), "central")
+    ranked = buckets.join(central, "node").groupBy("band").agg(F.max(F.struct("c", -F.col("node"))).alias("top"))
+    hubs = stash(ranked.select("band", F.col("top.c").alias("c"), (-F.col("top.col2")).alias("hub")), "hubs")
+    sets = stash(_sets(docs, central.select("node"), width), "sets")
     release(spark)
-    pairs = buckets.where("node != lead").groupBy("node").agg(F.min("lead").alias("pivot")).select("pivot", "node")
-    links, done = stash(confirm(stash(pairs, "pairs"), docs, width, percent), "links"), None
+    links = stash(confirmed(stash(_hub_cells(buckets, hubs), "cells"), sets, percent), "links")
     release(spark)
     labels = stash(connected_components(links), "labels")
-    for turn in itertools.count():
-        pairs, pivots = _pivot_pairs(buckets, labels, links, done, turn)
-        pairs = stash(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        links = stash(links.union(confirm(pairs, docs, width, percent)).distinct(), "links")
-        done = stash(pivots if done is None else done.union(pivots), "done")
-        release(spark)
-        labels = stash(connected_components(links), "labels")
+    sizes = stash(classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "sizes")
+    more = stash(confirmed(stash(_family_cells(buckets, hubs, labels, sizes), "cells"), sets, percent), "links")
+    discard(buckets, central, hubs, sets)
+    release(spark)
+    # Rows that share an id and not a text hold their classes together.
+    several = usable.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b")).where("a < b").select("doc_id")
+    twice = usable.join(stash(several, "several"), "doc_id").select("doc_id", "set_hash").join(classes, "set_hash").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    labels = stash(connected_components(links.union(more).union(twice)), "labels")
     named = classes.select("set_hash", "node").join(labels, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     named = stash(named, "named")
-    discard(buckets, classes)
+    discard(classes)
     out = signed.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))

@@ -76,10 +76,10 @@ def test_odd_documents(spark, odd_documents, no_documents):
 
 
 def test_large_groups_and_chains(spark, monkeypatch):
-    """Groups larger than a pivot's members, chains whose ends are not alike, and buckets of several components."""
+    """Groups larger than a hub's members and than a block, chains whose ends are not alike, and buckets of several components."""
     monkeypatch.setattr(near_dedup, "MEMBERS", 7)
-    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
-    monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", 20)
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 5)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 16)
     rng = random.Random(4)
     rows = []
     for _ in range(4):
