@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidegrid.llm.components import connected_components
-from slidegrid.llm.shared import discard, release, stash
+from slidegrid.llm.shared import CACHES, discard, release, stash, tidied
 
 COORDINATES, BAND_ROWS = 240, 6
 #: Members and shingles of a block of a family; a cell holds two blocks.
@@ -49,7 +49,8 @@ MEMBERS = 64
 COLUMNS = 2048
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
-_WORD_TABLE = 500_000
+#: Entries of the word table of a worker process, some 200 bytes each.
+_WORD_TABLE = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,6 +68,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+CACHES.append(_hashes)
 
 
 def shingle_set(text: str, width: int = 2) -> np.ndarray:
@@ -130,7 +132,7 @@ def signatures(docs: DataFrame, width: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hash", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return rows.mapInArrow(tidied(sign), "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=names)
 
     sorted_ = rows.repartitionByRange("band", "node").sortWithinPartitions("band", "node")
-    kept = stash(sorted_.mapInArrow(shared, "band long, node long"), "shared-bands")
+    kept = stash(sorted_.mapInArrow(tidied(shared), "band long, node long"), "shared-bands")
     many = stash(kept.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     return stash(kept.join(many, "band").select("band", "node", "n"), "buckets")
 
@@ -176,7 +178,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.binary())], names=["node", "tokens"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null and text is not null")
-    sets = texts.join(nodes, "node", "left_semi").mapInArrow(run, "node long, tokens binary").where("octet_length(tokens) > 0")
+    sets = texts.join(nodes, "node", "left_semi").mapInArrow(tidied(run), "node long, tokens binary").where("octet_length(tokens) > 0")
     return sets.groupBy("node", F.xxhash64("tokens").alias("h"), F.octet_length("tokens").alias("n")).agg(F.first("tokens").alias("tokens")).select("node", "tokens")
 
 
@@ -238,7 +240,7 @@ def confirmed(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         yield close()
 
     joined = cells.join(sets, "node").select("key", "i", "j", "side", "node", "component", "tokens")
-    return joined.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
+    return joined.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidied(run), "u long, v long")
 
 
 def _hub_cells(buckets: DataFrame, hubs: DataFrame) -> DataFrame:

@@ -67,7 +67,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     removed = suffix_dedup.remove_spans(docs, suffix_dedup.repeated_spans(docs, length=400))
-    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    digests = ["doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")]
+    return removed.select(*digests, F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

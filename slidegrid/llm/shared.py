@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import os
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words everywhere in this package: space and tab to carriage return.
@@ -14,10 +15,11 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine), a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("SLIDEGRID_SHARED_DIR")
+    """The folder named by spark.checkpoint.dir, which all executors and the driver see. No folder of one machine can
+    stand for it, so a session without the setting is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.environ["SLIDEGRID_SHARED_DIR"] = tempfile.mkdtemp(prefix="spark-")
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -49,3 +51,27 @@ def release(spark: SparkSession) -> None:
     needs the disk of its widest step and not of all steps."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Tables that a worker process keeps between batches; tidied() empties them when a task ends.
+CACHES: list[dict] = []
+
+
+def _give_back() -> None:
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, giving memory back at the end of each task: worker processes are used again by the operators
+    that follow, whose needs would add up with what they still hold."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return go

@@ -22,7 +22,7 @@ So no group of copies or shared passage meets in one task, a task holds one name
 are shuffled twice, for the contexts of left-over tuples and for the removal.
 
 Texts are UTF-8 bytes; null is empty. Rows are told apart by doc_id and a hash of the text: repeated rows are copies of
-one another and lose all that is long enough. Null ids are allowed. An empty table gives no rows; other columns are
+one another and lose all that is long enough; their tuples and spans are kept once. Null ids are allowed. An empty table gives no rows; other columns are
 ignored. Names are 64-bit hashes, contexts 128-bit ones together with their names.
 """
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slidegrid.llm.shared import discard, release, stash
+from slidegrid.llm.shared import discard, release, stash, tidied
 
 LENGTH = 400
 #: Bytes of a name in the first sampling.
@@ -157,7 +157,7 @@ def _sample_texts(texts: DataFrame, width: int, length: int) -> DataFrame:
             yield from _batches(row for doc_id, h, t in keys for row in _once_each(_suffix_tuples(t.as_py(), width, length), doc_id, h, 0, None))
 
     long_enough = texts.where(F.octet_length("text") >= length)
-    return long_enough.select(*_KEYS, F.col("text").cast("binary").alias("text")).mapInArrow(run, _TUPLE_SQL)
+    return long_enough.select(*_KEYS, F.col("text").cast("binary").alias("text")).mapInArrow(tidied(run), _TUPLE_SQL)
 
 
 def _sample_contexts(contexts: DataFrame, width: int, length: int) -> DataFrame:
@@ -168,7 +168,7 @@ def _sample_contexts(contexts: DataFrame, width: int, length: int) -> DataFrame:
             keys = zip(*(c.to_pylist() for c in batch.columns), strict=True)
             yield from _batches(row for doc_id, h, lo, raw in keys for row in _once_each(_suffix_tuples(raw, width, length), doc_id, h, lo, raw))
 
-    return contexts.select(*_KEYS, "lo", "bytes").mapInArrow(run, _TUPLE_SQL)
+    return contexts.select(*_KEYS, "lo", "bytes").mapInArrow(tidied(run), _TUPLE_SQL)
 
 
 def _sort_names(tuples: DataFrame) -> DataFrame:
@@ -194,8 +194,15 @@ def _sort_names(tuples: DataFrame) -> DataFrame:
             left[1:] |= named & ~same
             decided[:-1] |= same
             left[:-1] |= named & ~same
+            # Of repeated rows, whose tuples are equal and stand together, the last one speaks for all.
+            for value in (rows.column(k).to_numpy() for k in range(2, 5)):
+                same = same & (value[1:] == value[:-1])
+            starts = np.flatnonzero(np.append(True, ~same))
+            ends, once = np.append(starts[1:], len(name)) - 1, np.zeros(len(name), dtype=bool)
+            once[ends] = True
+            left[ends] = np.logical_or.reduceat(left, starts)
             held = (rows.slice(rows.num_rows - 1), decided[-1], left[-1])
-            yield from emit(rows.slice(0, rows.num_rows - 1), decided[:-1], left[:-1])
+            yield from emit(rows.slice(0, rows.num_rows - 1), (decided & once)[:-1], (left & once)[:-1])
         if held is not None:
             yield from emit(held[0], np.array([held[1]]), np.array([True]))
 
@@ -207,7 +214,7 @@ def _sort_names(tuples: DataFrame) -> DataFrame:
             none, nothing = pa.nulls(found.num_rows, pa.int64()), pa.nulls(found.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([none, none, *found.columns[2:8], nothing], schema=_TUPLE)
 
-    return tuples.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _TUPLE_SQL)
+    return tuples.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidied(run), _TUPLE_SQL)
 
 
 def _induce(names: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,11 +292,13 @@ def _induced_spans(contexts: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([doc_id.filter(mask), text_hash.filter(mask), *spans], names=[*_KEYS, "lo", "hi"])
 
     parts = contexts.select("name", *_KEYS, "pos", F.expr("substring(bytes, 1, pos - lo)").alias("left"), F.expr("substring(bytes, pos - lo + 1)").alias("right"))
-    return parts.repartition("name").sortWithinPartitions("name", "right").mapInArrow(run, "doc_id long, text_hash long, lo int, hi int")
+    return parts.repartition("name").sortWithinPartitions("name", "right").mapInArrow(tidied(run), "doc_id long, text_hash long, lo int, hi int")
 
 
 def _with_hash(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    """Rows without an id share one, the least long; equal texts have equal spans, so it takes nothing from a real one."""
+    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text"))
+    return keyed.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, name: int = NAME) -> DataFrame:
@@ -307,9 +316,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, name: int = NAME) -> D
         names = stash(left.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "names")
         left = left.join(names, "name").select("name", "n", *_KEYS, "pos", "lo", "hi", "bytes")
         if width == name:
-            t = texts.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "text")
-            with_text = left.drop("bytes").join(t, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
-            left = with_text.withColumn("bytes", F.expr("substring(cast(text as binary), lo + 1, hi - lo)")).drop("text", "d", "h")
+            once = texts.groupBy(*_KEYS).agg(F.first("text").alias("text"))
+            left = left.drop("bytes").join(once, _KEYS).withColumn("bytes", F.expr("substring(cast(text as binary), lo + 1, hi - lo)"))
+            left = left.select("name", "n", *_KEYS, "pos", "lo", "hi", "bytes")
         contexts = stash(left, "contexts")
         spans.append(stash(_induced_spans(contexts.where(F.col("n") <= TOGETHER), length), "spans"))
         crowded = contexts.where(F.col("n") > TOGETHER)
@@ -326,20 +335,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, name: int = NAME) -> D
     return out
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def remove_spans(docs: DataFrame, spans: DataFrame, decode: bool = False) -> DataFrame:
     """doc_id, row (all columns of docs but text), n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes
-    that remain, concatenated; a row for each of docs."""
-    gathered = spans.groupBy(*_KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # bounded by the text itself
-    named = gathered.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    joined = rows.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    joined = joined.select("doc_id", "row", F.col("text").cast("binary").alias("text"), "spans")
+    that remain, concatenated; a row for each of docs. With decode kept is text: what is left of a character that a
+    removal has cut goes too."""
+    gathered = spans.groupBy(*_KEYS).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # bounded by the text itself
+    rest = F.struct(*[docs[c] for c in docs.columns if c != "text"])
+    rows = _with_hash(docs.select("doc_id", F.col("doc_id").cast("long").alias("id"), rest.alias("row"), "text"))
+    joined = rows.join(gathered, _KEYS, "left")
+    joined = joined.select(F.col("id").alias("doc_id"), "row", F.col("text").cast("binary").alias("text"), "spans")
     figures = ["n_bytes", "n_removed", "n_spans"]
-    schema = T.StructType([*joined.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in figures), T.StructField("kept", T.BinaryType())])
+    kind = (T.StringType(), pa.string()) if decode else (T.BinaryType(), pa.binary())
+    schema = T.StructType([*joined.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in figures), T.StructField("kept", kind[0])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             out: tuple[list, list, list, list] = ([], [], [], [])
             for text, spans_ in zip(batch.column("text"), batch.column("spans"), strict=True):
                 raw, runs = text.as_py(), []
@@ -350,9 +360,10 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     cut = np.append(True, starts[1:] > reach[:-1])
                     runs = list(zip(starts[cut].tolist(), reach[np.append(np.flatnonzero(cut)[1:] - 1, len(reach) - 1)].tolist(), strict=True))
                 kept = [raw[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(raw)], strict=True)]
-                for column, value in zip(out, (len(raw), sum(b - a for a, b in runs), len(runs), b"".join(kept)), strict=True):
+                whole = b"".join(kept)
+                for column, value in zip(out, (len(raw), sum(b - a for a, b in runs), len(runs), whole.decode("utf-8", "ignore") if decode else whole), strict=True):
                     column.append(value)
-            columns = [batch.column("doc_id"), batch.column("row"), *(pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(out))]
+            columns = [batch.column("doc_id"), batch.column("row"), *(pa.array(c, kind[1] if k == 3 else pa.int64()) for k, c in enumerate(out))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", *figures, "kept"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidied(run), schema)
