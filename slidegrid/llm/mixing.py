@@ -17,6 +17,7 @@ doc_id are documents of their own. An empty table gives no rows; other columns a
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidegrid.llm.shared import stash
+from slidegrid.llm.shared import stash, tidied
 
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2.0
 #: Words in a block, blocks in an output shard.
@@ -63,17 +64,46 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     return out
 
 
+def _log_factorial_change(n: int, by: int) -> float:
+    """log (n + by)! - log n!, without the loss of digits that the difference of two large logarithms has."""
+    if n + min(by, 0) < 64:
+        return math.lgamma(n + by + 1) - math.lgamma(n + 1)
+    x = n + 1.0
+    return (x + by - 0.5) * math.log1p(by / x) + by * (math.log(x) - 1) + (1 / (x + by) - 1 / x) / 12
+
+
+def hypergeometric(good: int, bad: int, taken: int, rng: np.random.Generator) -> int:
+    """How many of the good are among `taken` draws from an urn of any size: a ratio of uniforms over the probabilities
+    relative to the likeliest number, which log_factorial_change gives to nine digits for counts to 10^15."""
+    total, least, most = good + bad, max(0, taken - bad), min(good, taken)
+    if least == most:
+        return least
+    mode = min(most, max(least, (taken + 1) * (good + 1) // (total + 2)))
+    mean = taken * (good / total)
+    spread = mean * (bad / total) * ((total - taken) / max(1, total - 1))
+    # Fixed values of the method: 2 * sqrt(2 / e) and 3 - 2 * sqrt(3 / e).
+    width = 1.7155277699214135 * math.sqrt(spread + 0.5) + 0.8989161620588988
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if not least <= k <= most:
+            continue
+        d = k - mode
+        log_ratio = -_log_factorial_change(mode, d) - _log_factorial_change(good - mode, -d) - _log_factorial_change(taken - mode, -d) - _log_factorial_change(bad - taken + mode, d)
+        if 2 * math.log(u) <= log_ratio:
+            return k
+
+
 def _split(counts: np.ndarray, taken: int, seed: tuple[int, ...]) -> np.ndarray:
-    """Of an urn with counts of each source, how many of each are among `taken` draws."""
-    total = int(counts.sum())
-    rng = np.random.default_rng(seed)
-    if total < 1_000_000_000:
-        return rng.multivariate_hypergeometric(counts, taken, method="marginals")
-    # Beyond the range of exact draws: the proportional share, its remainder dealt out to the largest fractions.
-    exact = counts * (taken / total)
-    out = np.floor(exact).astype(np.int64)
-    out[np.argsort(out - exact)[: taken - int(out.sum())]] += 1
-    return np.minimum(out, counts)
+    """Of an urn with counts of each source, how many of each are among `taken` draws: source by source, each against
+    all that follow."""
+    rng, rest = np.random.default_rng(seed), int(counts.sum())
+    out = np.zeros(len(counts), dtype=np.int64)
+    for k, own in enumerate(counts.tolist()):
+        rest -= own
+        out[k] = hypergeometric(own, rest, taken, rng)
+        taken -= int(out[k])
+    return out
 
 
 def shard_counts(quotas: np.ndarray, shards: int, wanted: range, shard_blocks: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -168,7 +198,7 @@ def draw(spark, sources: list[Source], shard_blocks: int = SHARD, seed: int = 1)
                     columns = [np.full(len(place), shard, dtype=np.int64), np.arange(len(place), dtype=np.int32), place[order].astype(np.int32), block[order]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "slot", "source_place", "block"])
 
-    return spark.range(0, shards, 1, max(1, min(shards, 10_000))).mapInArrow(run, "shard long, slot int, source_place int, block long")
+    return spark.range(0, shards, 1, max(1, min(shards, 10_000))).mapInArrow(tidied(run), "shard long, slot int, source_place int, block long")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
@@ -186,7 +216,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
         "doc_id", "row_hash", "source_place", "start", "size",
         F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"),
     )
-    met = parts.join(times, ["source_place", "block"]).select(
+    # Both sides grow with the words, so neither may be sent to all tasks, however well it compresses.
+    met = parts.hint("merge").join(times.hint("merge"), ["source_place", "block"]).select(
         "doc_id", "row_hash", "source_place", "start", "times",
         F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).alias("lo"),
         F.least((F.col("block") + 1) * block - F.col("start"), F.col("size")).alias("hi"),
@@ -197,7 +228,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 1) -> DataFrame:
     key = ["row_hash", "source_place", "start"]
     other = taken.select(F.col("doc_id").alias("d"), *[F.col(k).alias(f"_{k}") for k in key], F.when(F.col("taken") > 0, F.col("taken")).alias("t"), "ranges")
     same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("row_hash").eqNullSafe(F.col("_row_hash")) & (F.col("source_place") == F.col("_source_place")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
-    out = placed.join(other, same, "left")
+    out = placed.hint("merge").join(other.hint("merge"), same, "left")
     return out.select("doc_id", "row_hash", "source", "size", "source_size", "target", F.coalesce("t", F.lit(0)).cast("long").alias("taken"), "ranges")
 
 

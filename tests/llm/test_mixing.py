@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -30,6 +32,25 @@ def test_permutations_and_shards():
     assert all((a[2] == b[2]).all() and (a[1] == b[1]).all() for a, b in zip(all_, alone))
 
 
+def test_hypergeometric():
+    """The sampler agrees with the exact probabilities where they can be summed, and with mean and spread beyond."""
+    rng = np.random.default_rng(4)
+    for good, bad, taken in ((30, 50, 20), (400, 3, 200), (5, 2000, 700), (900, 900, 1500)):
+        low, high = max(0, taken - bad), min(good, taken)
+        log = [-sum(map(math.lgamma, (k + 1, good - k + 1, taken - k + 1, bad - taken + k + 1))) for k in range(low, high + 1)]
+        p = np.exp(np.array(log) - max(log))
+        p /= p.sum()
+        n = 20_000
+        seen = np.bincount([mixing.hypergeometric(good, bad, taken, rng) - low for _ in range(n)], minlength=len(p))
+        often = p * n > 20
+        assert (np.abs(seen - p * n)[often] < 5 * np.sqrt(p * n)[often]).all()
+    good, bad, taken = 3 * 10**11, 7 * 10**11, 4 * 10**11
+    draws = np.array([mixing.hypergeometric(good, bad, taken, rng) for _ in range(4_000)], dtype=float)
+    spread = math.sqrt(taken * 0.3 * 0.7 * 0.6)
+    assert abs(draws.mean() - 0.3 * taken) < 5 * spread / math.sqrt(len(draws)) and abs(draws.std() / spread - 1) < 0.06
+    assert mixing.hypergeometric(0, 10, 4, rng) == 0 and mixing.hypergeometric(10, 0, 4, rng) == 4
+
+
 def test_mix(spark, odd_documents, no_documents):
     rows = mixing.mix(odd_documents, block=8).collect()
     assert len(rows) == odd_documents.count()
