@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidegrid.llm.shared import tidied
+
 Turn = tuple[str, str]
 
 
@@ -172,7 +174,7 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
             columns = [batch.column(0), *(pa.array(c, pa.string()) for c in out[:3]), pa.array(out[3], spans_type)]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "fingerprint", "layout", "formatted", "loss_spans"])
 
-    return records.select(F.col(id_col).cast("long").alias(id_col), record_col).mapInArrow(run, schema)
+    return records.select(F.col(id_col).cast("long").alias(id_col), record_col).mapInArrow(tidied(run), schema)
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -192,4 +194,4 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
             columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select(id_col, "formatted", "loss_spans").mapInArrow(run, schema)
+    return formatted.select(id_col, "formatted", "loss_spans").mapInArrow(tidied(run), schema)

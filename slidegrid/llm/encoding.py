@@ -16,8 +16,8 @@ import unicodedata
 
 import numpy as np
 
-#: Entries of the word table of a worker process.
-TABLE_ENTRIES = 600_000
+#: Bytes of the word table of a worker process, and what an entry takes beside its word and ids.
+TABLE_BYTES, ENTRY_BYTES = 48 << 20, 190
 _WHOLE = re.compile("[\0\x1c-\x1f\x85]")
 _TWO_BLANKS = re.compile(r"\s\s")
 _SPLIT = re.compile(r"(?<!\s) ")
@@ -38,21 +38,27 @@ class _Table(dict):
 
     def __init__(self, learn, limit: int):
         super().__init__()
-        self.learn, self.limit = learn, limit
+        self.learn, self.limit, self.size = learn, limit, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            kept = dict(itertools.islice(self.items(), self.limit // 2))
+        ids = self.learn(word)
+        own = 2 * len(word) + len(ids) + ENTRY_BYTES
+        if own > self.limit // 8:
+            return ids
+        if self.size + own > self.limit:
+            kept = dict(itertools.islice(self.items(), len(self) // 2))
             self.clear()
             self.update(kept)
-        self[word] = ids = self.learn(word)
+            self.size = sum(2 * len(w) + len(i) + ENTRY_BYTES for w, i in kept.items())
+        self[word] = ids
+        self.size += own
         return ids
 
 
 class WordTableEncoder:
     """encode(texts) gives for each text its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, table_entries: int = TABLE_ENTRIES):
+    def __init__(self, path: str, table_bytes: int = TABLE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,7 +69,7 @@ class WordTableEncoder:
         self.letters = {ord(chr(b)): c for b, c in _byte_letters().items()}
         #: Lower-casing vocabularies with word ends drop blanks; the others put the space before a word into its ids.
         self.drops_blanks = bool(getattr(self.model, "end_of_word_suffix", None))
-        self.table = _Table(self._learn, table_entries)
+        self.table = _Table(self._learn, table_bytes)
         self.stops = dict(zip(_STOPS, self._library(list(_STOPS)), strict=True))
         self.line = self._library(["\n"])[0]
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidegrid.llm.encoding import encoder
-from slidegrid.llm.shared import stash
+from slidegrid.llm.shared import stash, tidied
 from slidegrid.llm.token_shards import slices_of
 
 #: Buckets by which pieces of one length are numbered side by side.
@@ -57,7 +57,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
             columns = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)][: 6 + with_ids]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "row_key", "ids"][: 6 + with_ids])
 
-    return rows.withColumn("row_key", F.xxhash64("doc_id", "text")).mapInArrow(cut, schema)
+    return rows.withColumn("row_key", F.xxhash64("doc_id", "text")).mapInArrow(tidied(cut), schema)
 
 
 def _fillings(room: int, lengths: np.ndarray, counts: np.ndarray, most_waste: int) -> list[tuple[int, ...]]:

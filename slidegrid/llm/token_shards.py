@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidegrid.llm.encoding import encoder, slices
+from slidegrid.llm.shared import tidied
 
 MAGIC = b"SGTOK01\n"
 SELECT_EVERY = 256
+#: Place of the k-th set bit of each byte.
+_IN_BYTE = np.array([([b for b in range(8) if byte >> b & 1] + [0] * 8)[:8] for byte in range(256)], dtype=np.int64)
 
 
 class EliasFano:
@@ -78,11 +81,20 @@ class EliasFano:
         one = byte * 8 + (word & -word).bit_length() - 1
         return one - k << self.low_bits | self._low(k)
 
-    def to_array(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
-        high = (ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low_bits)
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        return high | (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    def select_many(self, places: np.ndarray) -> np.ndarray:
+        """select() of many places at once: running counts of set bits find each one's byte, a table its bit; the low
+        bits are cut out of the eight bytes about them (low_bits is 56 at most)."""
+        k = np.asarray(places, dtype=np.int64)
+        if len(k) and not (0 <= k.min() and k.max() < self.n):
+            raise IndexError(places)
+        upto = np.cumsum(np.bitwise_count(self.high), dtype=np.int64)
+        byte = np.searchsorted(upto, k, side="right")
+        left = k - np.append(0, upto)[byte]
+        high = (byte * 8 + _IN_BYTE[self.high[byte], left] - k).astype(np.uint64) << np.uint64(self.low_bits)
+        first = k * self.low_bits
+        around = np.append(self.low, np.zeros(8, dtype=np.uint8))[(first // 8)[:, None] + np.arange(8)].copy().view("<u8").ravel()
+        low = (around >> (first % 8).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
+        return high | low
 
 
 def shard_bytes(doc_ids: list[int | None], counts: list[int], ids: list[bytes], width: int) -> bytes:
@@ -105,7 +117,8 @@ class Shard:
             raise ValueError("not a token shard")
         raw, at = memoryview(raw), struct.calcsize(form)
         self.bounds = EliasFano.from_buffer(raw[at : at + a])
-        keys = EliasFano.from_buffer(raw[at + a : at + a + b]).to_array().astype(np.int64) + first
+        known = EliasFano.from_buffer(raw[at + a : at + a + b])
+        keys = known.select_many(np.arange(known.n)).astype(np.int64) + first
         self.doc_ids: list[int | None] = [None] * n_null + keys.tolist()
         self.ids = np.frombuffer(raw, {2: "<u2", 4: "<u4"}[width], offset=at + a + b)
 
@@ -162,7 +175,7 @@ def write_token_shards(
             yield flush()
 
     manifest = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    ordered.select("k", "t").mapInArrow(write, "part int, seq int, file string, n_docs long, n_ids long").write.parquet(f"{out_dir}/manifest")
+    ordered.select("k", "t").mapInArrow(tidied(write), "part int, seq int, file string, n_docs long, n_ids long").write.parquet(f"{out_dir}/manifest")
     return docs.sparkSession.read.schema("part int, seq int, file string, n_docs long, n_ids long").parquet(f"{out_dir}/manifest")
 
 
@@ -186,10 +199,10 @@ def read_token_shards(out_dir: str, manifest: DataFrame) -> DataFrame:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(posixpath.join(folder, name)) as f:
                     shard = Shard(f.read())
-                bounds = shard.bounds.to_array().astype(np.int64)
+                bounds = shard.bounds.select_many(np.arange(shard.n_docs + 1)).astype(np.int64)
                 crcs = [zlib.crc32(shard.ids[i:j].astype("<u4").tobytes()) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 columns = [pa.array(shard.doc_ids, pa.int64()), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = placed.select("file", "start").repartition(files)
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slidegrid.llm.shared import tidied
+
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
 #: Candidates that are bounded at a time; fewer at first, to get scores to hold bounds against.
 PIECE, FIRST_PIECE = 2048, 128
@@ -132,6 +134,6 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
         return pa.RecordBatch.from_arrays([pa.array(block.ids[block.rows]), pa.array(block.found), pa.array(block.scores)], names=["query_id", "vec_id", "score"])
 
     dealt = candidates.union(asking).repartition(wide * high, "c", "q").sortWithinPartitions("c", "q", "kind")
-    best = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
+    best = dealt.mapInArrow(tidied(search), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

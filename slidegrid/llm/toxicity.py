@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slidegrid.llm.shared import tidied
+
 #: Labelled rows that are learned from at most (those of least hash), and features that training keeps at most.
 SAMPLE, FEATURES = 16_000, 4_096
 #: Weight of the counterfactual penalty and of the absolute values; steps of the minimiser.
@@ -136,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY, sample:
         weights, bias = train(f, g, np.array(y, dtype=np.float64), penalty)
         yield pa.RecordBatch.from_pydict({"k": [-1, *weights], "w": [bias, *weights.values()]}, schema=pa.schema([("k", pa.int64()), ("w", pa.float64())]))
 
-    found = texts.mapInArrow(extract, "f array<long>, g array<long>, y int").repartition(1).mapInArrow(fit, "k long, w double").collect()
+    found = texts.mapInArrow(tidied(extract), "f array<long>, g array<long>, y int").repartition(1).mapInArrow(tidied(fit), "k long, w double").collect()
     weights = {r["k"]: r["w"] for r in found}
     return weights, weights.pop(-1, 0.0)
 
@@ -163,7 +165,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
                 out.append(1 / (1 + np.exp(-min(max(total, -30.0), 30.0))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
