@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from slidegrid.llm import mixing, near_dedup, packing, quality, suffix_dedup
 from slidegrid.llm.queries import tokenizer_path
-from slidegrid.llm.shared import stash
+from slidegrid.llm.shared import stash, tidied
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,20 +28,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(stash(gone.distinct(), "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes as text; what a removal has left of a character goes too."""
-    for batch in batches:
-        texts = pa.array([raw.as_py().decode("utf-8", "ignore") for raw in batch.column(1)], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row", "text"])
-
-
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that the corpus holds more than once are cut out; texts of which nothing is left go."""
-    removed = suffix_dedup.remove_spans(docs, suffix_dedup.repeated_spans(docs, length=400)).where("octet_length(kept) > 0 or n_bytes = 0")
-    row = removed.schema["row"]
-    texts = removed.select("row", "kept").mapInArrow(_decoded, f"row {row.dataType.simpleString()}, text string")
-    out = texts.select("row.*", "text").withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    removed = suffix_dedup.remove_spans(docs, suffix_dedup.repeated_spans(docs, length=400), decode=True).where("n_bytes > n_removed or n_bytes = 0")
+    return removed.select("row.*", F.col("kept").alias("text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     joined = joined.select("row", "ranges")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             places, texts = [], []
             for k, (text, ranges) in enumerate(zip(batch.column(0).field("text"), batch.column(1), strict=True)):
                 for taken in mixing.take_words(text.as_py() or "", ranges.as_py()):
@@ -63,7 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
                     texts.append(taken)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(texts, pa.string())], names=["row", "taken"])
 
-    out = joined.mapInArrow(take, f"row {joined.schema['row'].dataType.simpleString()}, taken string").select("row.*", "taken")
+    out = joined.mapInArrow(tidied(take), f"row {joined.schema['row'].dataType.simpleString()}, taken string").select("row.*", "taken")
     return out.withColumn("text", F.col("taken")).withColumn("n_chars", F.length("taken").cast("long")).select(*docs.columns)
 
 
