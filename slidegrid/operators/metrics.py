@@ -16,6 +16,8 @@ from slidegrid.operators.regions import settled
 
 #: Range buckets of scores in [0, 1] for running sums.
 BUCKETS = 256
+#: Draws of a replicate that one task makes at a time.
+STRETCH = 65_536
 STAGES = ("negative", "itc", "micro", "macro")
 PATIENT_STAGES = ("pN0", "pN0(i+)", "pN1mi", "pN1", "pN2")
 
@@ -96,14 +98,29 @@ def interp_curve(curve: DataFrame, levels: DataFrame, x: str, y: str, by: tuple[
     return both.where("is_level = 1").select(*by, F.col("x").alias("level"), value.alias("value"))
 
 
+def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Adds _i, the place from 0 of each row in order of key: rows are sorted by range, ranges counted, and each range's
+    rows numbered from the sum of those before it, a number for each partition."""
+    ranged = settled(rows.repartitionByRange(*key).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    firsts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*key)) - 1
+    return ranged.withColumn("_i", inside).join(firsts, "_p").withColumn("_i", F.col("_i") + F.col("_first")).drop("_p", "_first")
+
+
 def bootstrap(rows: DataFrame, key: list[str], reps: int, seed: int) -> DataFrame:
     """reps resamples of the size of rows, with replacement: rep and weight (how often the row was drawn). Draw k of a
     replicate takes row number h(rep, k) mod n; draws are counted first, so each row meets a replicate once."""
-    numbered = rows.withColumn("_i", F.row_number().over(Window.orderBy(*key)) - 1)  # tables of slides, patients or lesions
+    placed = numbered(rows, key)
     n = rows.agg(F.count("*").alias("_n"))
-    draws = n.select("_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("_n", "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_k"))
+    # A replicate's draws are made in stretches, which are dealt to tasks before they are made.
+    stretch = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / STRETCH)))
+    dealt = n.where("_n > 0").select("_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("_n", "rep", stretch.alias("_s")).repartition("rep", "_s")
+    within = F.sequence(F.col("_s") * STRETCH, F.least((F.col("_s") + 1) * STRETCH, F.col("_n")) - 1)
+    draws = dealt.select("_n", "rep", F.explode(within).alias("_k"))
     counted = draws.groupBy("rep", (draw(seed, "rep", "_k") % F.col("_n")).alias("_i")).agg(F.count("*").alias("weight"))
-    return counted.join(numbered, "_i").drop("_i")
+    return counted.join(placed, "_i").drop("_i")
 
 
 def percentile_ci(samples: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:

@@ -178,14 +178,16 @@ def mask_maxpool(mask: DataFrame, level_in: int, level_out: int) -> DataFrame:
 
 
 def he_deconvolution(pixels: DataFrame) -> DataFrame:
-    """Adds hematoxylin and eosin, of optical densities by the inverse stain matrix, clipped to 0 to 255."""
-    # Stain vectors (rows hematoxylin, eosin, residual) over red, green, blue.
-    stains = ((0.65, 0.70, 0.29), (0.07, 0.99, 0.11), (0.27, 0.57, 0.78))
-    inverse = inverted(stains)
+    """Adds hematoxylin and eosin, whole numbers: optical densities times the inverse of the matrix of unit stain vectors,
+    of which the third stands upright on the other two, clipped to 0 to 255."""
+    # The stain vectors of hematoxylin and eosin over red, green, blue.
+    h, e = (0.650, 0.704, 0.286), (0.072, 0.990, 0.105)
+    upright = (h[1] * e[2] - h[2] * e[1], h[2] * e[0] - h[0] * e[2], h[0] * e[1] - h[1] * e[0])
+    inverse = inverted([[x / math.hypot(*v) for x in v] for v in (h, e, upright)])
     density = [-F.log((F.col(c) + 1) / 256.0) * 255.0 / math.log(256.0) for c in "rgb"]
     for k, name in ((0, "hematoxylin"), (1, "eosin")):
         amount = sum((density[i] * inverse[i][k] for i in range(1, 3)), density[0] * inverse[0][k])
-        pixels = pixels.withColumn(name, F.least(F.greatest(F.exp(-(amount - 255.0) * math.log(255.0) / 255.0), F.lit(0.0)), F.lit(255.0)))
+        pixels = pixels.withColumn(name, F.floor(F.least(F.greatest(amount, F.lit(0.0)), F.lit(255.0))).cast("int"))
     return pixels
 
 

@@ -6,21 +6,18 @@ their state to the shared folder every round, so lineage stays short and a lost
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slidegrid.functions.folders import fresh_path
+
 CELL = ["slide_idx", "row", "col"]
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written to the folder named by spark.checkpoint.dir and read again."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.setdefault("SLIDEGRID_SHARED_DIR", tempfile.mkdtemp(prefix="spark-"))
-    path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "round")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,9 +10,7 @@ from slidegrid.plans.fixtures import DOC_SCORES, PATCHES, SLIDES, doc_scores, pa
 from slidegrid.plans.registry import query
 
 P, S, D = (PATCHES,), (SLIDES,), (DOC_SCORES,)
-REPS = 50
-#: Replicates of slide_metrics_binary, as many as the reference draws.
-SLIDE_REPS = 1000
+REPS = 1000
 
 _METRICS = """tn, fp, fn, tp, (tp + tn) / (tp + tn + fp + fn)::double as accuracy, tp / nullif(tp + fn, 0)::double as recall, tn / nullif(tn + fp, 0)::double as specificity, tp / nullif(tp + fp, 0)::double as precision"""
 _COUNTS = """sum(case when not said and not is_ then w else 0 end)::bigint as tn, sum(case when said and not is_ then w else 0 end)::bigint as fp, sum(case when not said and is_ then w else 0 end)::bigint as fn, sum(case when said and is_ then w else 0 end)::bigint as tp"""
@@ -141,12 +139,44 @@ def _(spark, d):
     return out.select("row_name", *[F.round(c, 9).alias(c) for c in _REPORT])
 
 
-@query("slide_metrics_binary", f"""/*and*/ sl as (select slide_idx, label, coalesce(max(tumor), 0) as score from slides left join (select slide_idx, tumor from patches where patch_seq % 7 = 0) using (slide_idx) group by 1, 2),
- {_curve_sql('sl', 'score', "label = 'tumor'")}, a as ({_auc_sql('fpr', 'recall')}) select round(avg(case when (label = 'tumor') = (score > 0.9) then 1.0::double else 0 end), 9) as accuracy, any_value(a.auc) as auc from sl, a""", S + P)
+_NAMES = ("accuracy", "tn", "fp", "fn", "tp", "auc")
+
+
+def _report_sql() -> str:
+    """The report by plain joins: each level meets all points below it."""
+    rest = "null::double as threshold, null::double as fpr, null::double as tpr, null::double as tpr_lower, null::double as tpr_upper"
+    none = ", ".join(f"null::double as {c}" for c in _NAMES)
+    figures = ", ".join(f"round({c}::double, 6) as {c}" for c in _NAMES)
+    return f"""/*and*/ sl as (select slide_idx, (label = 'tumor')::int as label, coalesce(max(tumor), 0) as score from (select slide_idx, label from slides) left join (select slide_idx, tumor from patches) using (slide_idx) group by 1, 2),
+ s1 as (select *, (score > 0.9)::int as said from sl), {_boot_sql('s1', 'slide_idx', 3)},
+ al as (select rep, weight, label, score, said from boot union all select -1, 1, label, score, said from s1),
+ ct as (select rep, sum(case when said = label then weight else 0 end) / sum(weight)::double as accuracy, sum(case when said = 0 and label = 0 then weight else 0 end) as tn, sum(case when said = 1 and label = 0 then weight else 0 end) as fp,
+  sum(case when said = 0 and label = 1 then weight else 0 end) as fn, sum(case when said = 1 and label = 1 then weight else 0 end) as tp from al group by 1),
+ {_curve_sql('al', 'score', 'label = 1', 'rep', 'weight')},
+ pt as (select rep, threshold, fpr, recall as tpr from curve where fpr is not null and recall is not null),
+ og as (select rep, threshold, fpr, tpr from pt union all select distinct rep, 'inf'::double, 0::double, 0::double from pt),
+ nr as (select *, row_number() over (partition by rep order by fpr, threshold desc) as i from og),
+ lv as (select rep, range / 100.0::double as level from (select distinct rep from pt where rep >= 0), range(101)),
+ lo as (select lv.rep, level, max(i) as i from lv join nr on nr.rep = lv.rep and nr.fpr <= level group by 1, 2),
+ av as (select lo.rep, level, case when b.fpr is null or b.fpr = a.fpr then a.tpr else a.tpr + (level - a.fpr) * (b.tpr - a.tpr) / (b.fpr - a.fpr) end as v
+  from lo join nr a on a.rep = lo.rep and a.i = lo.i left join nr b on b.rep = lo.rep and b.i = lo.i + 1),
+ ar as (select rep, sum((level - x0) * (v + v0) / 2) as auc from (select *, lag(level) over (partition by rep order by level) as x0, lag(v) over (partition by rep order by level) as v0 from av) group by 1),
+ a0 as (select -1 as rep, sum((fpr - x0) * (tpr + y0) / 2) as auc from (select *, lag(fpr) over (order by i) as x0, lag(tpr) over (order by i) as y0 from nr where rep = -1)),
+ sm as (select ct.*, auc from ct left join (select * from ar union all select * from a0) using (rep)),
+ ss as (select * from sm where rep >= 0),
+ ci as ({_ci_sql('ss', list(_NAMES))})
+ select case when rep < 0 then 'results' else 'sample_' || rep end as row_name, {figures}, {rest} from sm
+ union all select row_name, {figures}, {rest} from ci
+ union all select 'curve', {none}, threshold, round(fpr, 6), round(tpr, 6), null, null from pt where rep = -1
+ union all select 'curve_ci', {none}, null, level, null, round(quantile_cont(v, 0.025), 6), round(quantile_cont(v, 0.975), 6) from av group by level"""
+
+
+@query("slide_metrics_binary", _report_sql(), S + P)
 def _(spark, d):
     best = patches(spark, d).groupBy("slide_idx").agg(F.max("tumor").alias("score"))
     rows = slides(spark, d).select("slide_idx", "label").join(best, "slide_idx", "left").fillna(0.0, ["score"])
-    return mt.slide_report(rows.select("slide_idx", (F.col("label") == "tumor").cast("int").alias("label"), "score", (F.col("score") > 0.9).cast("int").alias("said")), "slide_idx", SLIDE_REPS, 3)
+    report = mt.slide_report(rows.select("slide_idx", (F.col("label") == "tumor").cast("int").alias("label"), "score", (F.col("score") > 0.9).cast("int").alias("said")), "slide_idx", REPS, 3)
+    return report.select(*[c if c in ("row_name", "threshold") else F.round(c, 6).alias(c) for c in report.columns])
 
 
 @query("slide_metrics", "select 'multi' as kind, avg(case when stage = prediction then 1.0::double else 0 end) as accuracy from slides union all select 'binary', avg(case when (stage <> 'negative') = (prediction <> 'negative') then 1.0::double else 0 end) from slides", S)

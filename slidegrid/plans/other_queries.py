@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidegrid.functions.draws import draw, draw_sql
+from slidegrid.functions.folders import fresh_path
 from slidegrid.operators import annotations as an
 from slidegrid.operators import index as ix
 from slidegrid.operators import metrics as mt
@@ -23,12 +21,6 @@ from slidegrid.sources import tables as src
 P, S, X, G = (PATCHES,), (SLIDES,), (PIXELS,), (POLYGONS,)
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.setdefault("SLIDEGRID_SHARED_DIR", tempfile.mkdtemp(prefix="spark-"))
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _paths(spark, d) -> tuple[DataFrame, DataFrame]:
     """Slide and annotation paths, of which tumor slides have one."""
     s = slides(spark, d)
@@ -85,7 +77,7 @@ def _(spark, d):
     corners = F.transform(F.array_sort(F.collect_list(F.struct("ord", corner.alias("c")))), lambda x: x["c"])
     rows = polygons(spark, d).groupBy("slide_idx").agg(F.struct(corners.alias("Coordinate")).alias("Coordinates"))
     rows = rows.select(F.concat(F.lit("A"), "slide_idx").alias("_Name"), F.lit("Polygon").alias("_Type"), F.lit("Tumor").alias("_PartOfGroup"), "Coordinates")
-    path = folder(spark, "xml")
+    path = fresh_path(spark, "xml")
     rows.write.format("xml").option("rootTag", "Annotations").option("rowTag", "Annotation").save(path)
     return src.annotation_scan(spark, path, {"Tumor": "tumor", "_2": "normal"}).select("name", "type", "label", F.size("vertices").alias("n_vertices"), F.element_at("vertices", 1)["x"].alias("first_x"))
 
@@ -162,14 +154,14 @@ _IDX = "slide_idx, min(0) as level, min(256) as patch_size, count(*) as n_patche
 
 @query("patch_index_write", f"select {_IDX} from patches group by 1", P)
 def _(spark, d):
-    path = folder(spark, "index")
+    path = fresh_path(spark, "index")
     src.write_index(_index(spark, d).repartition("slide_idx"), path)
     return src.index_table(spark.read.parquet(path)).select(F.col("slide_idx").cast("long").alias("slide_idx"), "level", "patch_size", "n_patches")
 
 
 @query("patch_index_read", "select slide_idx, patch_seq, x, y, label, 1 as transform from patches", P)
 def _(spark, d):
-    path = folder(spark, "index-csv")
+    path = fresh_path(spark, "index-csv")
     src.write_index(_index(spark, d).repartition("slide_idx"), path, "csv")
     schema = "patch_seq int, x int, y int, label int, transform int, level int, patch_size int, slide_idx long"
     return src.read_index(spark, path, schema, "csv").select("slide_idx", "patch_seq", "x", "y", "label", "transform")
@@ -177,14 +169,14 @@ def _(spark, d):
 
 @query("combined_index_write", "select cps_idx::int as cps_idx, count(*) as n from (select unnest([0, 1]) as cps_idx from patches) group by 1", P)
 def _(spark, d):
-    path = folder(spark, "combined")
+    path = fresh_path(spark, "combined")
     ix.index_union([_index(spark, d), _index(spark, d)]).write.option("header", "true").csv(path)
     return spark.read.option("header", "true").csv(path).groupBy(F.col("cps_idx").cast("int").alias("cps_idx")).agg(F.count("*").alias("n"))
 
 
 @query("results_write", "select slide_idx, count(*) as n, round(sum(tumor), 6) as tumor from patches group by 1", P)
 def _(spark, d):
-    path = folder(spark, "results")
+    path = fresh_path(spark, "results")
     patches(spark, d).select("slide_idx", "patch_seq", "normal", "tumor").repartition("slide_idx").write.partitionBy("slide_idx").parquet(path)
     out = spark.read.schema("patch_seq int, normal double, tumor double, slide_idx long").parquet(path)
     return out.groupBy("slide_idx").agg(F.count("*").alias("n"), F.round(F.sum("tumor"), 6).alias("tumor"))
@@ -192,14 +184,14 @@ def _(spark, d):
 
 @query("results_read", "select slide_idx, patch_seq, normal, tumor from patches", P)
 def _(spark, d):
-    path = folder(spark, "results")
+    path = fresh_path(spark, "results")
     patches(spark, d).select("slide_idx", "patch_seq", "normal", "tumor").write.parquet(path)
     return spark.read.schema("slide_idx long, patch_seq int, normal double, tumor double").parquet(path)
 
 
 @query("metric_tables_write", "select 'patch' as kind, count(*) as n from (select label from patches group by label)", P)
 def _(spark, d):
-    path = folder(spark, "metrics")
+    path = fresh_path(spark, "metrics")
     mt.patch_metrics(patches(spark, d), by=("label",)).write.option("header", "true").csv(path)
     return spark.read.option("header", "true").csv(path).agg(F.count("*").alias("n")).select(F.lit("patch").alias("kind"), "n")
 

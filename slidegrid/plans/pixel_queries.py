@@ -157,16 +157,14 @@ def _(spark, d):
     return grey(spark, d).transform(px.mask_close).transform(lambda m: px.mask_maxpool(m, 5, 6))
 
 
-def _he_sql() -> str:
-    inv = px.inverted(((0.65, 0.70, 0.29), (0.07, 0.99, 0.11), (0.27, 0.57, 0.78)))
-    od = [f"(-ln(({c} + 1) / 256.0::double) * 255.0::double / {math.log(256.0)!r}::double)" for c in "rgb"]
-    cols = [f"round(least(greatest(exp(-({' + '.join(f'{o} * {inv[i][k]!r}::double' for i, o in enumerate(od))} - 255.0::double) * {math.log(255.0)!r}::double / 255.0::double), 0), 255), 6) as {n}" for k, n in ((0, "hematoxylin"), (1, "eosin"))]
-    return f"select {K}, {', '.join(cols)} from pixels"
+#: Worked out apart from the operator: the first two rows of the inverse of the unit stain vectors' matrix.
+_HE = {"hematoxylin": (1.4890718525579727, -0.16264789957531617, 0.5124594970989429), "eosin": (-1.0822788021983998, 1.1179258957292455, -0.2920930390364648)}
+_HE_SQL = ", ".join(f"cast(floor(least(greatest({' + '.join(f'(-ln(({c} + 1) / 256.0::double)) * 45.985904::double * {w!r}::double' for c, w in zip('rgb', row))}, 0), 255)) as int) as {name}" for name, row in _HE.items())
 
 
-@query("px_he_deconv", _he_sql(), X)
+@query("px_he_deconv", f"select {K}, {_HE_SQL.replace('45.985904', repr(255 / math.log(256)))} from pixels", X)
 def _(spark, d):
-    return _r(px.he_deconvolution(pixels(spark, d)).drop("r", "g", "b"), "hematoxylin", "eosin")
+    return px.he_deconvolution(pixels(spark, d)).drop("r", "g", "b")
 
 
 _3 = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]

@@ -74,32 +74,32 @@ def _(spark, d):
     return rg.components(cells_at(spark, d, 0.5)).select(*rg.CELL, "comp")
 
 
-@query("dbscan", f'{R}{dbscan_sql("value > 0.8", 3, 6)} select slide_idx, "row", col, comp from comps', (PATCHES, HEAT))
+@query("dbscan", f'{R}{dbscan_sql("value > 0.5", 5, 10)} select slide_idx, "row", col, comp from comps', (PATCHES, HEAT))
 def _(spark, d):
-    return rg.dbscan(cells_at(spark, d, 0.8, True), 3, 6).select(*rg.CELL, "comp")
+    return rg.dbscan(cells_at(spark, d, 0.5, True), 5, 10).select(*rg.CELL, "comp")
 
 
 _BASIC = "slide_idx, comp, area, centroid_row, centroid_col, min_row, min_col, max_row, max_col, max_value, round(mean_value, 9) as mean_value, min_value, round(sum_value, 9) as sum_value, bbox_area, area / bbox_area::double as extent, (max_col - min_col) / (max_row - min_row)::double as aspect_ratio, 1 / area::double as density"
 
 
-@query("region_props", f"{R}{comps_sql('value >= 0.7')}, {PROPS} select {_BASIC} from props", (PATCHES, HEAT))
+@query("region_props", f"{R}{comps_sql('value >= 0.5')}, {PROPS} select {_BASIC} from props", (PATCHES, HEAT))
 def _(spark, d):
-    props = rg.region_props(rg.components(cells_at(spark, d, 0.7)))
+    props = rg.region_props(rg.components(cells_at(spark, d, 0.5)))
     return props.drop("major_axis", "minor_axis", "eccentricity").withColumn("mean_value", F.round("mean_value", 9)).withColumn("sum_value", F.round("sum_value", 9))
 
 
 _AXES = ("major_axis", "minor_axis", "eccentricity")
 
 
-@query("region_moments", f"{R}{comps_sql('value >= 0.7')}, {PROPS} select slide_idx, comp, {', '.join(f'round({c}, 6) as {c}' for c in _AXES)} from props", (PATCHES, HEAT))
+@query("region_moments", f"{R}{comps_sql('value >= 0.5')}, {PROPS} select slide_idx, comp, {', '.join(f'round({c}, 6) as {c}' for c in _AXES)} from props", (PATCHES, HEAT))
 def _(spark, d):
-    props = rg.region_props(rg.components(cells_at(spark, d, 0.7)))
+    props = rg.region_props(rg.components(cells_at(spark, d, 0.5)))
     return props.select("slide_idx", "comp", *[F.round(c, 6).alias(c) for c in _AXES])
 
 
 @query("region_solidity")
 def _(spark, d):
-    return rg.region_solidity(rg.components(cells_at(spark, d, 0.7)))
+    return rg.region_solidity(rg.components(cells_at(spark, d, 0.5)))
 
 
 _LESION = "slide_idx, round(sum_value, 9) as prob_score, round(centroid_col * 256, 6) as centre_x, round(centroid_row * 256, 6) as centre_y, area as pixels"
@@ -109,9 +109,9 @@ def _rounded(lesions: DataFrame) -> DataFrame:
     return lesions.withColumn("prob_score", F.round("prob_score", 9)).withColumn("centre_x", F.round("centre_x", 6)).withColumn("centre_y", F.round("centre_y", 6))
 
 
-@query("lesions_dbscan", f"{R}{dbscan_sql('value > 0.8', 3, 6)}, {PROPS} select {_LESION} from props", (PATCHES, HEAT))
+@query("lesions_dbscan", f"{R}{dbscan_sql('value > 0.5', 5, 10)}, {PROPS} select {_LESION} from props", (PATCHES, HEAT))
 def _(spark, d):
-    return _rounded(rg.lesions_of(rg.region_props(rg.dbscan(cells_at(spark, d, 0.8, True), 3, 6)), 256))
+    return _rounded(rg.lesions_of(rg.region_props(rg.dbscan(cells_at(spark, d, 0.5, True), 5, 10)), 256))
 
 
 @query("lesions_two_model", f"""{R}{comps_sql('value >= 0.9')} select slide_idx, round(sum(a.value + coalesce(b.value, 0)) / 2, 9) as prob_score, round(avg(col) * 256, 6) as centre_x, round(avg("row") * 256, 6) as centre_y, count(*) as pixels
@@ -129,13 +129,13 @@ def _froc_parts(spark, d):
     """Lesions of the cells at 0.9, each cell a detection with its probability, against the mask."""
     lesions = cells_at(spark, d, 0.9).select("slide_idx", F.col("value").alias("prob_score"), (F.col("col") * 256.0).alias("centre_x"), (F.col("row") * 256.0).alias("centre_y"))
     mask = eval_mask(spark, d)
-    tall = mask.where("label > 0 and (label % 5 <> 0 or row % 8 < 2)")  # some regions are only two rows high
-    return lesions, tall, rg.itc_regions(tall, LEVEL, 0.243, 562.0)
+    tall = mask.where("label > 0 and (label % 5 <> 0 or row % 8 < 2) and (label % 10 <> 0 or col % 8 < 2)")  # some regions are only two rows high, some of them two cells wide
+    return lesions, tall, rg.itc_regions(tall, LEVEL, 0.243, 275.0)
 
 
-MASK = """mask as (select * from eval_mask where label > 0 and (label % 5 <> 0 or "row" % 8 < 2)),
+MASK = """mask as (select * from eval_mask where label > 0 and (label % 5 <> 0 or "row" % 8 < 2) and (label % 10 <> 0 or col % 8 < 2)),
  mom as (select slide_idx, label, var_pop("row") + 1 / 12.0::double as mrr, var_pop(col) + 1 / 12.0::double as mcc, covar_pop("row", col) as mrc from mask group by 1, 2),
- itc as (select slide_idx, label from mom where 4 * sqrt((mrr + mcc) / 2 + sqrt((mrr - mcc) * (mrr - mcc) / 4 + mrc * mrc)) < 562.0::double / (0.243::double * 256)),
+ itc as (select slide_idx, label from mom where 4 * sqrt((mrr + mcc) / 2 + sqrt((mrr - mcc) * (mrr - mcc) / 4 + mrc * mrc)) < 275.0::double / (0.243::double * 256)),
  les as (select slide_idx, "row", col, value as prob from hm where value >= 0.9),
  fpl as (select l.slide_idx, prob from les l left join mask m using (slide_idx, "row", col) where m.label is null),
  tpl as (select r.slide_idx, r.label, r.is_itc, coalesce(max(l.prob), 0) as prob from (select distinct m.slide_idx, m.label, i.label is not null as is_itc from mask m left join itc i on m.slide_idx = i.slide_idx and m.label = i.label) r
@@ -187,7 +187,7 @@ def _(spark, d):
     return one.crossJoin(sums)
 
 
-REPS = 20
+REPS = 1000
 
 
 def _froc_samples(spark, d) -> DataFrame:
@@ -232,22 +232,22 @@ def _round_all(df: DataFrame) -> DataFrame:
     return df.select("slide_idx", *[F.round(c, 6).alias(c) for c in df.columns[1:]])
 
 
-@query("slide_features_top2", f"{R}{comps_sql('value >= 0.7')}, {PROPS}, {_top_sql(2, _TOP)}", (PATCHES, HEAT))
+@query("slide_features_top2", f"{R}{comps_sql('value >= 0.5')}, {PROPS}, {_top_sql(2, _TOP)}", (PATCHES, HEAT))
 def _(spark, d):
-    return _round_all(rg.top_regions(rg.region_props(rg.components(cells_at(spark, d, 0.7))), 2, _TOP))
+    return _round_all(rg.top_regions(rg.region_props(rg.components(cells_at(spark, d, 0.5))), 2, _TOP))
 
 
 _DB3 = ["area", "major_axis", "minor_axis", "density", "mean_value", "max_value", "min_value"]
 
 
-@query("slide_features_dbscan3", f"{R}{dbscan_sql('value > 0.8', 3, 6)}, {PROPS}, {_top_sql(3, _DB3)}", (PATCHES, HEAT))
+@query("slide_features_dbscan3", f"{R}{dbscan_sql('value > 0.58', 3, 20)}, {PROPS}, {_top_sql(3, _DB3)}", (PATCHES, HEAT))
 def _(spark, d):
-    return _round_all(rg.top_regions(rg.region_props(rg.dbscan(cells_at(spark, d, 0.8, True), 3, 6)), 3, _DB3))
+    return _round_all(rg.top_regions(rg.region_props(rg.dbscan(cells_at(spark, d, 0.58, True), 3, 20)), 3, _DB3))
 
 
 def wide_features(spark, d) -> DataFrame:
-    top = rg.region_props(rg.components(cells_at(spark, d, 0.7)))
-    solid = rg.region_solidity(rg.components(cells_at(spark, d, 0.7)))
+    found = rg.settled(rg.components(cells_at(spark, d, 0.5)))
+    top, solid = rg.region_props(found), rg.region_solidity(found)
     top = rg.top_regions(top.join(solid, ["slide_idx", "comp"]), 2, [*_TOP, "solidity"])
     named = slides(spark, d).select("slide_idx", "slide_name", F.col("label").alias("slide_label"), "tags")
     return named.join(rg.global_features(heat(spark, d)), "slide_idx", "left").join(top, "slide_idx", "left").fillna(0.0)
