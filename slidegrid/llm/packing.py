@@ -2,10 +2,12 @@
 
 Lengths are integers up to the capacity, so equal lengths are interchangeable: Spark counts pieces by length (at most
 `capacity` rows, whatever the input), the search fills bins from these counts, and Spark deals the pieces to the
-places that the plan gives their length. The search is bin completion: around the largest length left it enumerates
-undominated fillings of the rest of the bin by branch and bound, prunes those whose waste, with what has been wasted
-so far, could not beat the incumbent, and starts from best-fit decreasing as incumbent. A chosen filling is applied
-as often as the counts allow, so the plan has a few thousand rows at most for any number of documents.
+places that the plan gives their length. The search is bin completion by branch and bound: around the largest length
+left it enumerates the undominated fillings of the rest of the bin, least waste first, along a table of the sums that
+the lengths left can reach, so that no branch of the enumeration ends without a filling. A filling is tried as often as the
+counts allow, then less often, then the next; a branch ends where its waste so far leaves no room to beat the incumbent, and
+the search goes back. Best-fit decreasing is the first incumbent. The search ends when a lower bound of the bins proves the
+incumbent best, when all is tried, or after SEARCH_NODES steps, with the best plan found until then.
 
 Rows: null texts are empty documents (their end id remains); rows that share an id are packed each for itself; an
 empty table gives no rows; other columns are ignored.
@@ -28,8 +30,8 @@ from slidegrid.llm.token_shards import slices_of
 
 #: Buckets by which pieces of one length are numbered side by side.
 RANK_BUCKETS = 512
-#: Nodes that one enumeration of fillings may visit.
-FILLING_NODES = 2_000
+#: Bins that the search may fill and take back: its time budget, a few seconds on the driver for any number of documents.
+SEARCH_NODES = 3_000
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -60,31 +62,66 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
     return rows.withColumn("row_key", F.xxhash64("doc_id", "text")).mapInArrow(tidied(cut), schema)
 
 
-def _fillings(room: int, lengths: np.ndarray, counts: np.ndarray, most_waste: int) -> list[tuple[int, ...]]:
-    """Undominated multisets of lengths (descending) that fill `room`, least waste first: a filling is dominated if a
-    length that is left would still fit, or would fit in place of a smaller one it holds. Depth first, largest first;
-    a branch ends where even all smaller lengths together leave more than most_waste, or at the node budget."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-    best, nodes = most_waste, 0
-    cumulated = np.concatenate([np.cumsum((lengths * counts)[::-1])[::-1], [0]])
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and nodes < FILLING_NODES:
-        at, rest, chosen = stack.pop()
-        nodes += 1
-        at = max(at, int(np.searchsorted(-lengths, -rest)))
-        if rest - int(cumulated[min(at, len(lengths))]) > best:
-            continue
-        if at >= len(lengths) or rest == 0:
-            if rest <= best:
-                best = rest
-                found.append((rest, chosen))
-                if rest == 0:
-                    break
-            continue
-        length, most = int(lengths[at]), int(min(counts[at], rest // int(lengths[at])))
-        for taken in range(0, most + 1):  # the last pushed, with most of the largest, comes first
-            stack.append((at + 1, rest - taken * length, chosen + (length,) * taken))
-    return [c for _, c in sorted(found, key=lambda x: (x[0], [-y for y in x[1]]))]
+def _reachable(room: int, lengths: list[int], counts: list[int]) -> list[int]:
+    """For each k the sums up to `room` that lengths[k:] reach within their counts, as bits of a number."""
+    out, sums, mask = [1], 1, (1 << room + 1) - 1
+    for length, n in zip(reversed(lengths), reversed(counts)):
+        step, n = 1, min(n, room // length)
+        while n:
+            step = min(step, n)
+            sums |= sums << step * length & mask
+            n, step = n - step, 2 * step
+        out.append(sums)
+    return out[::-1]
+
+
+def _dominated(filling: dict[int, int], waste: int, lengths: list[int], counts: list[int]) -> bool:
+    """Whether another length that is left would still fit, or would fit in the place of one or two smaller ones: what
+    is then free is no harder to place than the other length."""
+    free = [length for k, (length, n) in enumerate(zip(lengths, counts, strict=True)) if n > filling.get(k, 0)]
+    held = [lengths[k] for k, n in filling.items() for _ in range(min(n, 2))]
+    sums = {*held, *(held[i] + held[j] for i in range(len(held)) for j in range(i))}
+    single = set(held)
+    return any(y <= waste for y in free) or any(x < y <= x + waste if x in single else x <= y <= x + waste for x in sums for y in free)
+
+
+def _fillings(room: int, lengths: list[int], counts: list[int], most_waste: int) -> Iterator[dict[int, int]]:
+    """Undominated fillings {place in lengths: number} of `room` by lengths (descending), least waste first, then the
+    largest lengths first."""
+    reach = _reachable(room, lengths, counts)
+
+    def go(at: int, rest: int, chosen: dict[int, int]) -> Iterator[dict[int, int]]:
+        if not rest:
+            yield dict(chosen)
+            return
+        for k in range(at, len(lengths)):
+            if not reach[k] >> rest & 1:
+                return
+            for n in range(min(counts[k], rest // lengths[k]), 0, -1):
+                if reach[k + 1] >> rest - n * lengths[k] & 1:
+                    chosen[k] = n
+                    yield from go(k + 1, rest - n * lengths[k], chosen)
+                    del chosen[k]
+
+    for waste in range(min(most_waste, room) + 1):
+        if reach[0] >> room - waste & 1:
+            for filling in go(0, room - waste, {}):
+                if not _dominated(filling, waste, lengths, counts):
+                    yield filling
+
+
+def least_bins(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """A lower bound: pieces above half the capacity need a bin each, and those from some length to the half fill what such
+    bins leave or need bins of their own; the best over all such lengths."""
+    total = math.ceil(int((lengths * counts).sum()) / capacity)
+    large = lengths * 2 > capacity
+    best = max(total, int(counts[large].sum()))
+    for k in np.unique(np.append(lengths[~large], capacity - lengths[large])).tolist():
+        alone, beside, small = lengths > capacity - k, large & (lengths <= capacity - k), ~large & (lengths >= k)
+        free = int(counts[beside].sum()) * capacity - int((lengths * counts)[beside].sum())
+        more = max(0, math.ceil((int((lengths * counts)[small].sum()) - free) / capacity))
+        best = max(best, int(counts[alone].sum()) + int(counts[beside].sum()) + more)
+    return best
 
 
 def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -108,37 +145,61 @@ def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tu
     return plan
 
 
-def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a bin, how many such bins) for all pieces counted. Keeps the best-fit plan if the completion of
-    bins ends with no fewer, and stops the search where the total length proves that no plan has fewer bins."""
-    lengths = np.array(sorted((k for k, n in histogram.items() if n), reverse=True), dtype=np.int64)
-    counts = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
-    if not len(lengths):
+def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a bin, how many such bins) for all pieces counted: the best plan that the search finds."""
+    lengths = sorted((k for k, n in histogram.items() if n), reverse=True)
+    if not lengths:
         return []
-    incumbent = _best_fit(lengths, counts, capacity)
+    left = [histogram[k] for k in lengths]
+    incumbent = _best_fit(np.array(lengths, dtype=np.int64), np.array(left, dtype=np.int64), capacity)
     most = sum(n for _, n in incumbent)
-    least = math.ceil(int((lengths * counts).sum()) / capacity)
-    if most == least:
-        return incumbent
-    left, plan, wasted = counts.copy(), [], 0
-    allowed = most * capacity - int((lengths * counts).sum()) - capacity  # waste at which one bin is saved
-    while left.any():
-        i = int(np.flatnonzero(left)[0])
-        left[i] -= 1
-        have = left > 0
-        fillings = _fillings(capacity - int(lengths[i]), lengths[have], left[have], max(0, allowed - wasted))
-        left[i] += 1
-        if not fillings:
-            return incumbent
-        bin_ = (int(lengths[i]), *fillings[0])
-        use = {j: bin_.count(int(lengths[j])) for j in np.flatnonzero(np.isin(lengths, bin_))}
-        times = min(int(left[j]) // n for j, n in use.items())
-        waste = (capacity - sum(bin_)) * times
-        for j, n in use.items():
-            left[j] -= n * times
-        wasted += waste
+    least = least_bins(np.array(lengths), np.array(left), capacity)
+    total, used, plan = sum(a * b for a, b in zip(lengths, left)), 0, []
+
+    def moves(tried: frozenset) -> Iterator[tuple[int, dict[int, int], int, frozenset]]:
+        """Bins around the largest length left and how often: a filling as often as counts allow, then less often.
+        What has been tried around this length is not tried again further down."""
+        top = next(k for k, n in enumerate(left) if n)
+        left[top] -= 1
+        counts = list(left)
+        left[top] += 1
+        for filling in _fillings(capacity - lengths[top], lengths, counts, (most - 1 - used) * capacity - total):
+            name = (top, *sorted(filling.items()))
+            if name in tried:
+                continue
+            bin_ = dict(filling)
+            bin_[top] = bin_.get(top, 0) + 1
+            tried = frozenset(x for x in tried if x[0] == top) | {name}
+            for times in range(min(left[k] // n for k, n in bin_.items()), 0, -1):
+                yield top, bin_, times, tried
+
+    stack, done = [moves(frozenset())], 0
+    while stack and most > least and done < nodes:
+        move = next(stack[-1], None)
+        if move is None:
+            stack.pop()
+            if plan:
+                bin_, times = plan.pop()
+                for k, n in bin_.items():
+                    left[k] += n * times
+                    total += lengths[k] * n * times
+                used -= times
+            continue
+        _, bin_, times, tried = move
+        done += 1
+        for k, n in bin_.items():
+            left[k] -= n * times
+            total -= lengths[k] * n * times
+        used += times
         plan.append((bin_, times))
-    return plan if sum(n for _, n in plan) < most else incumbent
+        if not total and used < most:
+            most = used
+            incumbent = [(tuple(lengths[k] for k in sorted(b) for _ in range(b[k])), t) for b, t in plan]
+        if total and used + math.ceil(total / capacity) < most:
+            stack.append(moves(tried))
+        else:
+            stack.append(iter(()))
+    return incumbent
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:

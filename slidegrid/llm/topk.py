@@ -3,7 +3,10 @@
 A vector cut into equal segments is a mean and a deviation for each. For vectors x and y and segments of n components,
 the inner product is at most the sum of n * mean * mean + norm of the deviations * norm of the deviations, so the squared
 distance |x|^2 + |y|^2 - 2xy has the matching lower bound. Bounds from one segment, then from more and shorter ones, are
-held against the k-th best score so far; only pairs that survive all resolutions are scored, in whole numbers.
+held against the k-th best score so far, coarse to fine, each resolution for the pairs that the coarser ones left; only pairs
+that survive all are scored, in whole numbers. A cell takes its candidates longest first, so that the k-th best score rises
+early and pieces of short vectors fall at the coarsest bound. How much that saves depends on the vectors: of rows in groups or
+of unlike lengths few pairs are scored; rows drawn alike in all directions are as near to one another as the bounds are wide.
 
 Queries meet all vectors in blocks: a grid of blocks of queries and of candidates, of fixed size, each cell a key of
 its own, so a task holds one block of queries and a piece of candidates at a time; the cells' best k are merged for each
@@ -26,9 +29,13 @@ from pyspark.sql import functions as F
 from slidegrid.llm.shared import tidied
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
+#: Pairs that are bounded or scored one by one at a time.
+_AT_ONCE = 16_384
 #: Candidates that are bounded at a time; fewer at first, to get scores to hold bounds against.
 PIECE, FIRST_PIECE = 2048, 128
 RESOLUTIONS = (1, 4, 16)
+#: Share of a piece's pairs below which survivors are bounded and scored one by one instead of by a product of matrices.
+FEW = 0.05
 
 
 def _segment_features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -56,6 +63,7 @@ class _Search:
         self.features = [_segment_features(vectors, r) for r in RESOLUTIONS]
         self.rows = self.found = self.scores = np.empty(0, dtype=np.int64)
         self.least = np.full(len(ids), -np.inf)  # of each query's k best so far
+        self.met = self.scored = 0  # pairs offered, and those that survived all bounds
 
     def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         width = max(vectors.shape[1], self.vectors.shape[1])
@@ -64,21 +72,36 @@ class _Search:
             self.features = [_segment_features(self.vectors, r) for r in RESOLUTIONS]
         vectors = np.pad(vectors, ((0, 0), (0, width - vectors.shape[1])))
         alive = self.ids[:, None] != ids[None, :]
+        self.met += int(alive.sum())
+        few = FEW * alive.size
         if np.isfinite(self.least).any():
             for r, own in zip(RESOLUTIONS, self.features, strict=True):
-                columns = np.flatnonzero(alive.any(axis=0))
-                bound = own @ _segment_features(vectors[columns], r).T
-                slack = 1e-6 * (1 + np.abs(bound).max(initial=0))
-                alive[:, columns] &= bound >= self.least[:, None] - slack
-        columns = np.flatnonzero(alive.any(axis=0))
-        if not len(columns):
+                if (left := np.count_nonzero(alive)) <= few:
+                    row, at = np.nonzero(alive)
+                    part = _segment_features(vectors, r)
+                    bound = np.concatenate([np.einsum("ij,ij->i", own[row[k : k + _AT_ONCE]], part[at[k : k + _AT_ONCE]]) for k in range(0, left, _AT_ONCE)] or [np.empty(0)])
+                    gone = bound < self.least[row] - 1e-6 * (1 + np.abs(bound).max(initial=0))
+                    alive[row[gone], at[gone]] = False
+                else:
+                    columns = np.flatnonzero(alive.any(axis=0))
+                    bound = own @ _segment_features(vectors[columns], r).T
+                    alive[:, columns] &= bound >= self.least[:, None] - 1e-6 * (1 + np.abs(bound).max(initial=0))
+        row, at = np.nonzero(alive)
+        self.scored += len(row)
+        if not len(row):
             return
         # float64 products of whole numbers are exact below 2^53; larger ones are multiplied as whole numbers.
+        columns, place = np.unique(at, return_inverse=True)
         exact = width * np.abs(self.vectors).max(initial=0) * np.abs(vectors[columns]).max(initial=0) < 2**53
         a, b = (self.vectors, vectors[columns]) if exact else (self.vectors.astype(np.int64), vectors[columns].astype(np.int64))
-        scores = (a @ b.T).astype(np.int64)
-        row, at = np.nonzero(alive[:, columns] & (scores >= self.least[:, None]))
-        rows, found, scores = (np.concatenate(x) for x in ((self.rows, row), (self.found, ids[columns][at]), (self.scores, scores[row, at])))
+        if len(row) <= few:
+            scores = np.concatenate([np.einsum("ij,ij->i", a[row[k : k + _AT_ONCE]], b[place[k : k + _AT_ONCE]]) for k in range(0, len(row), _AT_ONCE)])
+        else:
+            scores = (a @ b.T)[row, place]
+        scores = scores.astype(np.int64)
+        better = scores >= self.least[row]
+        row, at, scores = row[better], at[better], scores[better]
+        rows, found, scores = (np.concatenate(x) for x in ((self.rows, row), (self.found, ids[at]), (self.scores, scores)))
         order = np.lexsort((found, -scores, rows))
         rows, found, scores = rows[order], found[order], scores[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
@@ -133,7 +156,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
     def result(block: _Search) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(block.ids[block.rows]), pa.array(block.found), pa.array(block.scores)], names=["query_id", "vec_id", "score"])
 
-    dealt = candidates.union(asking).repartition(wide * high, "c", "q").sortWithinPartitions("c", "q", "kind")
+    length = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
+    dealt = candidates.union(asking).repartition(wide * high, "c", "q").sortWithinPartitions("c", "q", "kind", length.desc())
     best = dealt.mapInArrow(tidied(search), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,8 +3,9 @@ r"""Toxicity by a logistic classifier that is regularised with counterfactuals.
 Features are the presence of words and of their beginnings of four to six letters, hashed. Training takes a bounded
 sample of labelled rows, keeps the features that tell the classes apart best, and minimises the weighted log loss, an
 absolute-value penalty that empties weights, and for each sentence with a term for a group of people the squared change
-of its score when the term is swapped for another group's. A score thus can't rest on which group is mentioned, and
-neutral mentions are not taken for toxic ones. Scoring is one pass over the texts with the few weights that remain.
+of its score when the term is swapped for another group's. Corpora name few groups, so every INSERT-th sentence without such
+a term is learned from once more with one put in, and its counterfactual has another: what a group's name seems to say
+by chance is penalised too. A score thus can't rest on which group is mentioned, and neutral mentions are not taken for toxic ones. Scoring is one pass over the texts with the few weights that remain.
 
 Labels are learned from rows whose crc32(doc_id as text) mod 5 is not 0; no other column than the text is an input.
 Null and empty texts get the score of a text without features. Repeated rows and ids are scored each for itself; rows
@@ -29,6 +30,8 @@ from slidegrid.llm.shared import tidied
 SAMPLE, FEATURES = 16_000, 4_096
 #: Weight of the counterfactual penalty and of the absolute values; steps of the minimiser.
 PENALTY, SPARSITY, STEPS = 5.0, 2e-4, 300
+#: Of sentences without a term for a group, one in so many is learned from again with a term put in.
+INSERT = 4
 _TABLE = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,6 +59,14 @@ def swapped(words: set[str]) -> set[str]:
     return {_NEXT.get(w, w) for w in words}
 
 
+def with_term(words: set[str], draw: int) -> set[str] | None:
+    """The words of every INSERT-th sentence without a term, by draw, with one of the terms put in."""
+    if draw % INSERT or words & _NEXT.keys():
+        return None
+    terms = sorted(_NEXT)
+    return words | {terms[draw // INSERT % len(terms)]}
+
+
 def features_of(words: set[str]) -> np.ndarray:
     return np.array(sorted({f for w in words for f in _of_word(w)}), dtype=np.int64)
 
@@ -84,7 +95,8 @@ def train(features: list[np.ndarray], counter: list[np.ndarray], labels: np.ndar
     expected = count * positive / n
     surprise = (of_toxic - expected) ** 2 / np.maximum(expected * (1 - positive / n), 1e-9)
     surprise[count < 2] = 0
-    kept = np.sort(names[np.argsort(-surprise, kind="stable")[:FEATURES]])
+    terms = np.intersect1d(names, features_of(set(_NEXT)))  # these stay, however little they tell
+    kept = np.union1d(names[np.argsort(-surprise, kind="stable")[:FEATURES]], terms)
     rows, cols = _flat(features, kept)
     other_rows, other_cols = _flat(counter, kept)
     differs = np.flatnonzero([len(a) != len(b) or (a != b).any() for a, b in zip(features, counter, strict=True)])
@@ -124,9 +136,12 @@ def learn(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY, sample:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                words = [words_of(t) for t in batch.column(0).slice(at, 500).to_pylist()]
+                texts, labels = batch.column(0).slice(at, 500).to_pylist(), batch.column(1).slice(at, 500).to_pylist()
+                words = [words_of(t) for t in texts]
+                more = [(with_term(x, zlib.crc32((t or "").encode("utf-8", "surrogatepass"))), y) for x, t, y in zip(words, texts, labels, strict=True)]
+                words, labels = words + [x for x, _ in more if x], labels + [y for x, y in more if x]
                 columns = [[features_of(x) for x in words], [features_of(swapped(x)) if x & _NEXT.keys() else None for x in words]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.list_(pa.int64())) for c in columns), batch.column(1).slice(at, 500)], names=["f", "g", "y"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.list_(pa.int64())) for c in columns), pa.array(labels, pa.int32())], names=["f", "g", "y"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, g, y = [], [], []

@@ -106,6 +106,26 @@ def test_counterfactual_penalty():
     assert gap[0] > 1 and gap[1] < gap[0] / 3
 
 
+def test_penalty_acts_on_the_query(spark):
+    """The model that the query fits: swapping groups changes scores less than without the penalty, and scores are the plain
+    sum of the weights of a text's features."""
+    import math
+
+    from tests.conftest import DATA
+
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    free, held = (toxicity.learn(docs, labels, penalty=p) for p in (0.0, toxicity.PENALTY))
+    terms = sorted(toxicity._NEXT)
+    total = lambda model, words: sum(model[0].get(int(f), 0.0) for f in toxicity.features_of(words))
+    change = lambda model: sum(abs(total(model, {t}) - total(model, toxicity.swapped({t}))) for t in terms) / len(terms)
+    assert free != held and change(held) < 0.5 * change(free)
+    some = docs.where("doc_id % 25 = 0")
+    texts = {r.doc_id: r.text for r in some.collect()}
+    for r in toxicity.score(some, held).collect():
+        z = held[1] + total(held, toxicity.words_of(texts[r.doc_id]))
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-9
+
+
 def test_toxicity_of_odd_documents(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 0), (3, 1), (3, 1), (5, None), (None, 1), (9, 0), (12, 1)], "doc_id long, toxic int")
     got = toxicity.classify(odd_documents, labels).collect()

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -136,3 +137,40 @@ def test_plan_against_brute_force():
         assert all(sum(bin_) <= 20 for bin_, _ in plan)
         worse += sum(n for _, n in plan) - brute_force_bins(items, 20)
     assert worse <= 1
+
+
+def _fewest(items, capacity):
+    """By trying all placements."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(at, bins):
+        if len(bins) >= best[0]:
+            return
+        if at == len(items):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + items[at] <= capacity and bins[k] not in bins[:k]:
+                bins[k] += items[at]
+                go(at + 1, bins)
+                bins[k] -= items[at]
+        go(at + 1, [*bins, items[at]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bin_completion_finds_the_fewest_bins():
+    """Against exhaustion, on lengths of which best-fit decreasing needs more bins now and then."""
+    rng, beaten = random.Random(1), 0
+    for _ in range(400):
+        capacity = rng.choice([20, 50, 100])
+        items = [rng.randint(2, capacity * 6 // 10) for _ in range(rng.randint(3, 11))]
+        counted = Counter(items)
+        plan = packing.plan_bins(dict(counted), capacity)
+        assert all(sum(b) <= capacity for b, _ in plan) and Counter(x for b, n in plan for x in b for _ in range(n)) == counted
+        lengths = np.array(sorted(counted, reverse=True))
+        counts, fewest = np.array([counted[x] for x in lengths.tolist()]), _fewest(items, capacity)
+        assert sum(n for _, n in plan) == fewest >= packing.least_bins(lengths, counts, capacity)
+        beaten += sum(n for _, n in packing._best_fit(lengths, counts, capacity)) > fewest
+    assert beaten

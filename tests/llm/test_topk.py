@@ -13,6 +13,27 @@ def test_bounds():
         assert (topk._segment_features(a, r) @ topk._segment_features(b, r).T >= a @ b.T - 1e-6).all()
 
 
+def test_few_pairs_are_scored():
+    """Of vectors in groups, and of vectors of unlike lengths, the bounds leave few to be scored; the best stay right."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 60, (40, 8)).repeat(4, axis=1)
+    grouped = np.floor(centres[rng.integers(0, 40, 6000)] + rng.normal(0, 4, (6000, 32)))
+    lengths = np.floor(rng.normal(0, 64, (6000, 32)) * (1 + 30 * (rng.random(6000) < 0.02))[:, None])
+    for rows in (grouped, lengths):
+        ids = np.arange(len(rows))
+        search = topk._Search(ids[:50], rows[:50], 20)
+        order = np.argsort(-(rows**2).sum(axis=1), kind="stable")
+        for at in [0, *range(topk.FIRST_PIECE, len(rows), topk.PIECE)]:
+            part = order[at : topk.FIRST_PIECE] if not at else order[at : at + topk.PIECE]
+            search.offer(ids[part], rows[part])
+        scores = (rows[:50] @ rows.T).astype(np.int64)
+        for q in range(50):
+            want = sorted((-s, i) for i, s in enumerate(scores[q].tolist()) if i != q)[:20]
+            mine = search.rows == q
+            assert sorted(zip((-search.scores[mine]).tolist(), search.found[mine].tolist())) == want
+        assert search.met == 50 * len(rows) - 50 and search.scored < 0.2 * search.met
+
+
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 64)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
