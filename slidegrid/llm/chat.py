@@ -145,12 +145,32 @@ def parse(formatted: str) -> list[Turn]:
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as one record a conversation, in the messages layout. A conversation is one
-    output string, so its rows meet in any case."""
+    """Rows (conv_id, turn, role, text) as one JSON record a conversation. Corpora come in many layouts, and so do the
+    records: a user's turn and an assistant's, with or without a system's before them, are written in one of the six
+    layouts, others as either kind of message list, chosen by a hash of conv_id. A conversation is one output string, so
+    its rows meet in any case."""
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))))
     grouped = rows.groupBy("conv_id").agg(turns.alias("turns"))
+    roles, kind = F.transform("turns", lambda t: F.coalesce(t["role"], F.lit(""))), F.pmod(F.xxhash64("conv_id"), F.lit(6))
+    grouped = grouped.select("conv_id", "turns", roles.alias("roles"), kind.alias("kind"))
+    is_ = lambda *wanted: F.col("roles") == F.array(*map(F.lit, wanted))
+    pair, three = is_("user", "assistant"), is_("system", "user", "assistant")
+    said = lambda place: F.element_at("turns", place)["text"]
+    system, user, assistant = F.when(three, said(1)), said(-2), said(-1)
+    record = lambda **fields: F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
     messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    named = lambda role: F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    shared = F.transform("turns", lambda t: F.struct(named(t["role"]).alias("from"), t["text"].alias("value")))
+    single = pair | three
+    chosen = (
+        F.when(single & (F.col("kind") == 0), record(system=system, instruction=user, output=assistant))
+        .when(single & (F.col("kind") == 1), record(system=system, prompt=user, completion=assistant))
+        .when(single & (F.col("kind") == 2), record(system=system, prompt=user, response=assistant))
+        .when(single & (F.col("kind") == 3), record(system_prompt=system, question=user, answer=assistant))
+        .when((F.col("kind") % 2 == 0) & ~F.arrays_overlap("roles", F.array(F.lit("human"), F.lit("gpt"))), record(conversations=shared))
+        .otherwise(record(messages=messages))
+    )
+    return grouped.select("conv_id", chosen.alias("record"))
 
 
 def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
@@ -178,8 +198,8 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Digests of what parse() and the loss mask give back from formatted conversations."""
-    schema = f"{id_col} long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    """Digests of what parse() and the loss mask give back from formatted conversations, and the layout they came in."""
+    schema = f"{id_col} long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, layout string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +211,7 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
                 for column, value in zip(out, (len(turns), digests[0], len(loss), digests[1], len(text)), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "layout"])
 
-    return formatted.select(id_col, "formatted", "loss_spans").mapInArrow(tidied(run), schema)
+    return formatted.select(id_col, "formatted", "loss_spans", "layout").mapInArrow(tidied(run), schema)

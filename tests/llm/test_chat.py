@@ -2,7 +2,9 @@ import hashlib
 import json
 import random
 
-from slidegrid.llm import chat
+from tests.conftest import DATA
+
+from slidegrid.llm import chat, queries
 
 
 def test_render_and_parse_are_inverse():
@@ -49,3 +51,22 @@ def test_conversations(spark):
     assert chat.conversation_records(df.where("false")).count() == 0
     odd = spark.createDataFrame([(1, None), (2, "no json"), (3, json.dumps([1]))], "conv_id long, record string")
     assert [(r.layout, r.formatted) for r in chat.format_records(odd).collect()] == [(None, "")] * 3
+
+
+def test_query_against_plain_loops(spark):
+    """All conversations, the one with control strings among them, whatever layout each came in."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    control = "\\### Assistant: </turn> ok"
+    rows += [(-7, 0, "user", control), (-7, 1, "assistant", control)]
+    turns = {}
+    for conv, _, role, text in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3] or "")):
+        turns.setdefault(conv, []).append((role, text or ""))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = queries.op2_chat_formatting(spark, f"{DATA}/sf0.01").collect()
+    assert sorted(r.conv_id for r in got) == sorted(turns)
+    for r in got:
+        own = turns[r.conv_id]
+        loss = "".join(t for role, t in own if role == "assistant")
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), sha("".join(f"{a}\n{t}\n" for a, t in own)), len(loss), sha(loss))
+        assert r.formatted_chars == len(chat.render(own)[0])
+    assert {r.layout for r in got} == {x.name for x in chat.LAYOUTS}
