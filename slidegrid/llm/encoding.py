@@ -17,7 +17,7 @@ import unicodedata
 import numpy as np
 
 #: Bytes of the word table of a worker process, and what an entry takes beside its word and ids.
-TABLE_BYTES, ENTRY_BYTES = 48 << 20, 190
+TABLE_BYTES, ENTRY_BYTES = 48 << 20, 150
 _WHOLE = re.compile("[\0\x1c-\x1f\x85]")
 _TWO_BLANKS = re.compile(r"\s\s")
 _SPLIT = re.compile(r"(?<!\s) ")
@@ -116,9 +116,9 @@ class WordTableEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> WordTableEncoder:
-    """One encoder for each worker process and vocabulary file."""
-    return WordTableEncoder(path)
+def encoder(path: str, table_bytes: int = TABLE_BYTES) -> WordTableEncoder:
+    """One encoder for each worker process, vocabulary file and size of table."""
+    return WordTableEncoder(path, table_bytes)
 
 
 def slices(texts: list[str | None], most_chars: int = 1_000_000):

@@ -28,6 +28,8 @@ from slidegrid.llm.shared import tidied
 
 MAGIC = b"SGTOK01\n"
 SELECT_EVERY = 256
+#: Bytes of the encoder's word table here, where encoding is all that a task does.
+TABLE_BYTES = 128 << 20
 #: Place of the k-th set bit of each byte.
 _IN_BYTE = np.array([([b for b in range(8) if byte >> b & 1] + [0] * 8)[:8] for byte in range(256)], dtype=np.int64)
 
@@ -144,7 +146,7 @@ def write_token_shards(
     ordered = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer_path)
+        tokens = encoder(tokenizer_path, TABLE_BYTES)
         width = 2 if max(tokens.vocab_size, end_id + 1) <= 1 << 16 else 4
         end = end_id.to_bytes(width, "little")
         store, folder = _store(out_dir)

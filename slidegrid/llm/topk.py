@@ -86,22 +86,24 @@ class _Search:
                     columns = np.flatnonzero(alive.any(axis=0))
                     bound = own @ _segment_features(vectors[columns], r).T
                     alive[:, columns] &= bound >= self.least[:, None] - 1e-6 * (1 + np.abs(bound).max(initial=0))
-        row, at = np.nonzero(alive)
-        self.scored += len(row)
-        if not len(row):
+        left = np.count_nonzero(alive)
+        self.scored += left
+        if not left:
             return
         # float64 products of whole numbers are exact below 2^53; larger ones are multiplied as whole numbers.
-        columns, place = np.unique(at, return_inverse=True)
+        columns = np.flatnonzero(alive.any(axis=0))
         exact = width * np.abs(self.vectors).max(initial=0) * np.abs(vectors[columns]).max(initial=0) < 2**53
         a, b = (self.vectors, vectors[columns]) if exact else (self.vectors.astype(np.int64), vectors[columns].astype(np.int64))
-        if len(row) <= few:
-            scores = np.concatenate([np.einsum("ij,ij->i", a[row[k : k + _AT_ONCE]], b[place[k : k + _AT_ONCE]]) for k in range(0, len(row), _AT_ONCE)])
+        if left <= few:
+            row, at = np.nonzero(alive[:, columns])
+            scores = np.concatenate([np.einsum("ij,ij->i", a[row[k : k + _AT_ONCE]], b[at[k : k + _AT_ONCE]]) for k in range(0, left, _AT_ONCE)])
+            better = scores >= self.least[row]
+            row, at, scores = row[better], at[better], scores[better]
         else:
-            scores = (a @ b.T)[row, place]
-        scores = scores.astype(np.int64)
-        better = scores >= self.least[row]
-        row, at, scores = row[better], at[better], scores[better]
-        rows, found, scores = (np.concatenate(x) for x in ((self.rows, row), (self.found, ids[at]), (self.scores, scores)))
+            scores = a @ b.T
+            row, at = np.nonzero(alive[:, columns] & (scores >= self.least[:, None]))
+            scores = scores[row, at]
+        rows, found, scores = (np.concatenate(x) for x in ((self.rows, row), (self.found, ids[columns][at]), (self.scores, scores.astype(np.int64))))
         order = np.lexsort((found, -scores, rows))
         rows, found, scores = rows[order], found[order], scores[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
