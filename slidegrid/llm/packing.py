@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidegrid.llm.encoding import encoder
+from slidegrid.llm.encoding import TABLE_BYTES, encoder
 from slidegrid.llm.shared import stash, tidied
 from slidegrid.llm.token_shards import slices_of
 
@@ -34,14 +34,14 @@ RANK_BUCKETS = 512
 SEARCH_NODES = 3_000
 
 
-def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Encodes each document, appends end_id and cuts what is longer than the capacity, the first piece taking the
     remainder: doc_id, piece, start, length, ids_crc32, row_key (of the row, for ties) and, if asked for, ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long, row_key long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = encoder(tokenizer_path), end_id.to_bytes(4, "little")
+        tokens, end = encoder(tokenizer_path, table_bytes), end_id.to_bytes(4, "little")
         for batch in batches:
             doc_ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             out: list[list] = [[] for _ in range(7)]
@@ -235,9 +235,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
-    """pieces_of(), kept in the shared folder because counting and dealing both read it, then pack()."""
-    return pack(stash(pieces_of(docs, tokenizer_path, end_id, capacity, with_ids), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """pieces_of() with a word table of table_bytes in each worker, kept in the shared folder because counting and dealing both read it, then pack()."""
+    return pack(stash(pieces_of(docs, tokenizer_path, end_id, capacity, with_ids, table_bytes), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
