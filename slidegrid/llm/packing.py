@@ -7,7 +7,7 @@ left it enumerates the undominated fillings of the rest of the bin, least waste
 the lengths left can reach, so that no branch of the enumeration ends without a filling. A filling is tried as often as the
 counts allow, then less often, then the next; a branch ends where its waste so far leaves no room to beat the incumbent, and
 the search goes back. Best-fit decreasing is the first incumbent. The search ends when a lower bound of the bins proves the
-incumbent best, when all is tried, or after SEARCH_NODES steps, with the best plan found until then.
+incumbent best, when all is tried, or after SEARCH_NODES fillings, with the best plan found until then.
 
 Rows: null texts are empty documents (their end id remains); rows that share an id are packed each for itself; an
 empty table gives no rows; other columns are ignored.
@@ -30,8 +30,8 @@ from slidegrid.llm.token_shards import slices_of
 
 #: Buckets by which pieces of one length are numbered side by side.
 RANK_BUCKETS = 512
-#: Bins that the search may fill and take back: its time budget, a few seconds on the driver for any number of documents.
-SEARCH_NODES = 3_000
+#: Fillings that the search may look at: its time budget, a few seconds on the driver for any number of documents.
+SEARCH_NODES = 500
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False, table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -78,16 +78,16 @@ def _reachable(room: int, lengths: list[int], counts: list[int]) -> list[int]:
 def _dominated(filling: dict[int, int], waste: int, lengths: list[int], counts: list[int]) -> bool:
     """Whether another length that is left would still fit, or would fit in the place of one or two smaller ones: what
     is then free is no harder to place than the other length."""
-    free = [length for k, (length, n) in enumerate(zip(lengths, counts, strict=True)) if n > filling.get(k, 0)]
+    free = sum(1 << length for k, (length, n) in enumerate(zip(lengths, counts, strict=True)) if n > filling.get(k, 0))
     held = [lengths[k] for k, n in filling.items() for _ in range(min(n, 2))]
     sums = {*held, *(held[i] + held[j] for i in range(len(held)) for j in range(i))}
-    single = set(held)
-    return any(y <= waste for y in free) or any(x < y <= x + waste if x in single else x <= y <= x + waste for x in sums for y in free)
+    single, among = set(held), lambda lo, hi: free >> lo & (1 << hi - lo + 1) - 1  # free lengths from lo to hi
+    return bool(among(0, waste)) or any(among(x + (x in single), x + waste) for x in sums)
 
 
-def _fillings(room: int, lengths: list[int], counts: list[int], most_waste: int) -> Iterator[dict[int, int]]:
+def _fillings(room: int, lengths: list[int], counts: list[int], most_waste: int) -> Iterator[dict[int, int] | None]:
     """Undominated fillings {place in lengths: number} of `room` by lengths (descending), least waste first, then the
-    largest lengths first."""
+    largest lengths first; None for each that is dominated."""
     reach = _reachable(room, lengths, counts)
 
     def go(at: int, rest: int, chosen: dict[int, int]) -> Iterator[dict[int, int]]:
@@ -106,8 +106,7 @@ def _fillings(room: int, lengths: list[int], counts: list[int], most_waste: int)
     for waste in range(min(most_waste, room) + 1):
         if reach[0] >> room - waste & 1:
             for filling in go(0, room - waste, {}):
-                if not _dominated(filling, waste, lengths, counts):
-                    yield filling
+                yield None if _dominated(filling, waste, lengths, counts) else filling
 
 
 def least_bins(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -156,7 +155,7 @@ def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODE
     least = least_bins(np.array(lengths), np.array(left), capacity)
     total, used, plan = sum(a * b for a, b in zip(lengths, left)), 0, []
 
-    def moves(tried: frozenset) -> Iterator[tuple[int, dict[int, int], int, frozenset]]:
+    def moves(tried: frozenset) -> Iterator[tuple[int, dict[int, int], int, frozenset] | None]:
         """Bins around the largest length left and how often: a filling as often as counts allow, then less often.
         What has been tried around this length is not tried again further down."""
         top = next(k for k, n in enumerate(left) if n)
@@ -164,8 +163,9 @@ def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODE
         counts = list(left)
         left[top] += 1
         for filling in _fillings(capacity - lengths[top], lengths, counts, (most - 1 - used) * capacity - total):
-            name = (top, *sorted(filling.items()))
-            if name in tried:
+            name = (top, *sorted(filling.items())) if filling is not None else None
+            if name is None or name in tried:
+                yield None
                 continue
             bin_ = dict(filling)
             bin_[top] = bin_.get(top, 0) + 1
@@ -175,8 +175,11 @@ def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODE
 
     stack, done = [moves(frozenset())], 0
     while stack and most > least and done < nodes:
-        move = next(stack[-1], None)
+        move = next(stack[-1], ())
         if move is None:
+            done += 1
+            continue
+        if not move:
             stack.pop()
             if plan:
                 bin_, times = plan.pop()
