@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from slidegrid.functions.draws import draw
 
+#: High bits of a draw by which rows are dealt to buckets.
+DRAW_BITS = 14
+#: Draws that one task makes at a time.
+STRETCH = 65_536
 LABELS = {"background": 0, "normal": 1, "tumor": 2}
 
 
@@ -113,18 +117,40 @@ def _ranked(rows: DataFrame, by: list[str], order: list[Column | str]) -> DataFr
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def _ranked_in_buckets(rows: DataFrame, bucket: Column, order: list[Column | str], by: list[str], cap: Column, caps: DataFrame | None = None) -> DataFrame:
+    """Rows of rank up to cap, as _ranked gives it, for a bucket that grows with the order: a bucket's rows are sorted by
+    themselves and numbered from the sum of the buckets before, and buckets past the cap are left out unsorted. cap may
+    name a column of caps, one row."""
+    keyed = rows.withColumn("_b", bucket)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    firsts = keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n")).select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    firsts = (firsts.crossJoin(caps) if caps is not None else firsts).withColumn("_cap", cap).where("_first < _cap").select(*by, "_b", "_first", "_cap")
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
+    ranked = keyed.join(firsts, [*by, "_b"]).withColumn("rank", inside + F.col("_first"))
+    return ranked.where("rank <= _cap").select(*rows.columns, "rank")
+
+
+def _least_drawn(patches: DataFrame, seed: int, by: list[str], cap: Column, caps: DataFrame | None = None) -> DataFrame:
+    """The rows of least draw of each class, in buckets by the high bits of the draw."""
+    drawn = patches.withColumn("h", draw(seed, "slide_idx", "patch_seq"))
+    return _ranked_in_buckets(drawn, F.shiftright("h", 32 - DRAW_BITS), ["h", "slide_idx", "patch_seq"], by, cap, caps).drop("h", "rank")
+
+
 def sample_simple(patches: DataFrame, n: int, seed: int, by: tuple[str, ...] = ("label",)) -> DataFrame:
     """n rows of each class without replacement: those of least draw."""
-    drawn = patches.withColumn("h", draw(seed, "slide_idx", "patch_seq"))
-    return _ranked(drawn, list(by), ["h", "slide_idx", "patch_seq"]).where(F.col("rank") <= n).drop("h", "rank")
+    return _least_drawn(patches, seed, list(by), F.lit(n))
 
 
 def sample_replace(patches: DataFrame, n: int, seed: int) -> DataFrame:
-    """n draws of each class with replacement: draw k takes the row numbered by its hash modulo the class's count."""
-    numbered = _ranked(patches, ["label"], ["slide_idx", "patch_seq"])
+    """n draws of each class with replacement: draw k takes the row numbered by its hash modulo the class's count. Rows are
+    numbered slide by slide, draws are made in stretches that are dealt to tasks first."""
     counts = patches.groupBy("label").agg(F.count("*").alias("n"))
-    draws = counts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.select("label", "k", (draw(seed, "label", "k") % F.col("n") + 1).cast("int").alias("rank"))
+    everything = F.lit(2**62)
+    numbered = _ranked_in_buckets(patches, F.col("slide_idx"), ["patch_seq"], ["label"], everything)
+    stretches = counts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // STRETCH)))).repartition("label", "_s")
+    within = F.sequence(F.col("_s") * STRETCH, F.least((F.col("_s") + 1) * STRETCH, F.lit(n)) - 1)
+    draws = stretches.withColumn("k", F.explode(within))
+    draws = draws.select("label", "k", (draw(seed, "label", "k") % F.col("n") + 1).alias("rank"))
     return draws.join(numbered, ["label", "rank"]).select("label", "k", "slide_idx", "patch_seq", "tumor")
 
 
@@ -141,12 +167,11 @@ def sample_weighted(patches: DataFrame, n: int, seed: int) -> DataFrame:
     return hit.join(inside, ["label", "slide_idx", "rank"]).select("label", "k", "slide_idx", "patch_seq")
 
 
-def balanced_sample(patches: DataFrame, most: int, least: int, seed: int, policy: Callable[..., DataFrame] = sample_simple) -> DataFrame:
-    """Every class cut to max(min(smallest class, most), least) rows by the policy's order."""
+def balanced_sample(patches: DataFrame, most: int, least: int, seed: int) -> DataFrame:
+    """Every class cut to the max(min(smallest class, most), least) rows of least draw."""
     counts = patches.groupBy("label").agg(F.count("*").alias("n"))
     cap = counts.agg(F.greatest(F.least(F.min("n"), F.lit(most)), F.lit(least)).alias("cap"))
-    drawn = _ranked(patches.withColumn("h", draw(seed, "slide_idx", "patch_seq")), ["label"], ["h", "slide_idx", "patch_seq"])
-    return drawn.crossJoin(cap).where(F.col("rank") <= F.col("cap")).drop("h", "rank", "cap")  # one row
+    return _least_drawn(patches, seed, ["label"], F.col("cap"), cap)
 
 
 def split_stratified(slides: DataFrame, share: float, seed: int, stratum: str = "label") -> DataFrame:

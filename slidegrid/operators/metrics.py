@@ -2,7 +2,7 @@
 
 Curves need running sums over all rows in order of score. They are taken in two steps: rows are first counted by score
 within range buckets, the buckets' totals (few) are summed in order, and a bucket's rows are summed in one task, so no
-task sees all rows. Bootstrap replicates are a column, not a loop; each replicate's draws are counted before they meet
+task sees all rows. Areas and interpolation go through ranges of the points in the same way. Bootstrap replicates are a column, not a loop; each replicate's draws are counted before they meet
 the rows.
 """
 
@@ -77,25 +77,44 @@ def binary_curve(rows: DataFrame, score: str, positive: Column, by: tuple[str, .
     return run.select(*by, "threshold", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("all_p")).alias("recall"), ratio(F.col("fp"), F.col("all_n")).alias("fpr"))
 
 
+def _ranged(points: DataFrame, by: tuple[str, ...], order: list[Column]) -> DataFrame:
+    """points with _p, the range of the order that a row lies in; written, so that ranges hold when read again."""
+    return settled(points.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+
+
 def curve_auc(curve: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Trapezoid area under the points in order; a curve has a point for each distinct score."""
-    w = Window.partitionBy(*by).orderBy(x, F.desc("threshold"))
-    steps = curve.withColumn("dx", F.col(x) - F.lag(x).over(w)).withColumn("my", (F.col(y) + F.lag(y).over(w)) / 2)
-    return steps.groupBy(*by).agg(F.sum(F.col("dx") * F.col("my")).alias("auc"))
+    """Trapezoid area under the points in order of x, then of falling threshold: areas within ranges of the order, and
+    between the last point of a range and the first of the next."""
+    order = [F.asc(x), F.desc("threshold")]
+    points = _ranged(curve.select(*by, "threshold", x, y), by, order)
+    inside, between = Window.partitionBy(*by, "_p").orderBy(*order), Window.partitionBy(*by).orderBy("_p")  # a row for each range
+    area = lambda x0, y0, x1, y1: (x1 - x0) * (y1 + y0) / 2
+    within = points.select(*by, area(F.lag(x).over(inside), F.lag(y).over(inside), F.col(x), F.col(y)).alias("area"))
+    end = F.struct(F.col(x).alias("x"), (-F.col("threshold")).alias("t"), F.col(y).alias("y"))
+    ends = points.groupBy(*by, "_p").agg(F.min(end).alias("a"), F.max(end).alias("z")).withColumn("z", F.lag("z").over(between))
+    gaps = ends.select(*by, area(F.col("z.x"), F.col("z.y"), F.col("a.x"), F.col("a.y")).alias("area"))
+    return within.unionByName(gaps).groupBy(*by).agg(F.sum("area").alias("auc"))
 
 
 def interp_curve(curve: DataFrame, levels: DataFrame, x: str, y: str, by: tuple[str, ...] = (), tie: str = "threshold") -> DataFrame:
-    """Linear interpolation of a curve at levels (by, level), ends held: an as-of join of both sorted together."""
+    """Linear interpolation of a curve at levels (by, level), ends held: an as-of join of both sorted together, within
+    ranges of the order, which take over the last point of the ranges before and the first of those after."""
     points = curve.select(*by, F.col(x).alias("x"), F.lit(0).alias("is_level"), F.col(tie).alias("tie"), F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("pt"))
     asked = levels.select(*by, F.col("level").alias("x"), F.lit(1).alias("is_level"), F.lit(None).cast("double").alias("tie"), F.lit(None).cast(points.schema["pt"].dataType).alias("pt"))
     order = [F.asc("x"), F.asc("is_level"), F.desc("tie")]
-    w = Window.partitionBy(*by).orderBy(*order)
-    both = points.unionByName(asked)
-    both = both.withColumn("lo", F.last("pt", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first("pt", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    both = _ranged(points.unionByName(asked), by, order)
+    place = F.when(F.col("is_level") == 0, F.struct("x", F.col("tie").isNull().alias("last"), (-F.col("tie")).alias("t"), "pt"))
+    ends = both.groupBy(*by, "_p").agg(F.min(place)["pt"].alias("first"), F.max(place)["pt"].alias("last"))
+    ranges = Window.partitionBy(*by).orderBy("_p")  # a row for each range
+    ends = ends.select(*by, "_p", F.last("last", True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    w = Window.partitionBy(*by, "_p").orderBy(*order)
+    back = Window.partitionBy(*by, "_p").orderBy(F.desc("x"), F.desc("is_level"), F.asc("tie"))  # a frame that follows would be read anew for each row
+    both = both.withColumn("lo", F.last("pt", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.last("pt", True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    both = both.where("is_level = 1").join(ends, [*by, "_p"]).withColumn("lo", F.coalesce("lo", "earlier")).withColumn("hi", F.coalesce("hi", "later"))
     lo, hi = F.col("lo"), F.col("hi")
     between = lo["y"] + (F.col("x") - lo["x"]) * (hi["y"] - lo["y"]) / F.nullif(hi["x"] - lo["x"], F.lit(0.0))
     value = F.when(lo.isNull(), hi["y"]).when(hi.isNull(), lo["y"]).otherwise(F.coalesce(between, lo["y"]))
-    return both.where("is_level = 1").select(*by, F.col("x").alias("level"), value.alias("value"))
+    return both.select(*by, F.col("x").alias("level"), value.alias("value"))
 
 
 def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -160,6 +179,61 @@ def slide_report(rows: DataFrame, key: str, reps: int, seed: int, levels: int =
     return out.unionByName(band.select(F.lit("curve_ci").alias("row_name"), F.col("level").alias("fpr"), "tpr_lower", "tpr_upper"), True)
 
 
+def named_rows(results: DataFrame, samples: DataFrame, columns: list[str]) -> DataFrame:
+    """Figures as doubles by row_name: results, the bounds of their samples (by rep), and each sample_i."""
+    out = results.withColumn("row_name", F.lit("results")).unionByName(percentile_ci(samples, columns), True)
+    out = out.unionByName(samples.withColumn("row_name", F.concat(F.lit("sample_"), "rep")).drop("rep"), True)
+    return out.select("row_name", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+
+
+def band(at: DataFrame, level: str, out: str) -> DataFrame:
+    """Bounds out_lower and out_upper over the replicates of the values at each level."""
+    bounds = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
+    return at.groupBy("level").agg(bounds.alias("b")).select(F.col("level").alias(level), F.get("b", F.lit(0)).alias(f"{out}_lower"), F.get("b", F.lit(1)).alias(f"{out}_upper"))
+
+
+def levels_of(reps: DataFrame, first: int, last: int, scale: float) -> DataFrame:
+    """Levels k / scale, k from first to last, of each row of reps."""
+    return reps.select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("k")).select(*reps.columns, (F.col("k") / float(scale)).alias("level"))
+
+
+PATCH_FIGURES = ["accuracy", "tn", "fp", "fn", "tp", "recall", "specificity", "precision", "auc"]
+
+
+def patch_report(rows: DataFrame, key: list[str], reps: int, seed: int, threshold: float = 0.5, levels: int = 1000) -> DataFrame:
+    """The whole report of patches (label 0 or 1, score in [0, 1]), told apart by row_name: results and samples with their
+    bounds; curve, the precision-recall points (threshold, recall, precision); curve_ci, bounds of precision at levels of
+    recall. A sample's area is that of its levels but the first. Samples without a positive row have no curve."""
+    counts = lambda of, by=(): patch_metrics(of, positive=1, score="score", threshold=threshold, by=by)
+    curve = lambda of, by=(): binary_curve(of, "score", F.col("label") == 1, by).where("recall is not null").select(*by, "threshold", "recall", "precision")
+    rows = settled(rows)
+    drawn = settled(bootstrap(rows, key, reps, seed))
+    points, sampled = settled(curve(rows)), settled(curve(drawn, ("rep",)))
+    at = settled(interp_curve(sampled, levels_of(sampled.select("rep").distinct(), 0, levels, levels), "recall", "precision", ("rep",)))
+    areas = curve_auc(at.where("level > 0").withColumn("threshold", F.lit(None).cast("double")), "level", "value", ("rep",))
+    samples = settled(counts(drawn, ("rep",)).join(areas, "rep", "left"))
+    out = named_rows(counts(rows).crossJoin(curve_auc(points, "recall", "precision")), samples, PATCH_FIGURES)  # one row each
+    out = out.unionByName(points.select(F.lit("curve").alias("row_name"), "threshold", F.col("recall").alias("level"), F.col("precision").alias("value")), True)
+    return out.unionByName(band(at, "level", "value").withColumn("row_name", F.lit("curve_ci")), True)
+
+
+def multi_report(rows: DataFrame, key: list[str], reps: int, seed: int, vocabulary: tuple, true: str, predicted: str, kappa: bool = False) -> DataFrame:
+    """results, bounds and samples by row_name: accuracy, or the weighted kappa with the vocabulary in its order, and the
+    cells true_X_pred_Y."""
+    rows = settled(rows)
+    drawn = settled(bootstrap(rows, key, reps, seed))
+
+    def of(r: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        cells = metrics_multi(r, vocabulary, true, predicted, by)
+        if not kappa:
+            return cells
+        weighed = kappa_quadratic(r, true, predicted, vocabulary, by)
+        return (weighed.join(cells, list(by)) if by else weighed.crossJoin(cells)).drop("accuracy")  # one row each
+
+    figures = ["kappa" if kappa else "accuracy", *[f"true_{a}_pred_{b}" for a in vocabulary for b in vocabulary]]
+    return named_rows(of(rows), settled(of(drawn, ("rep",))), figures)
+
+
 def patient_stage(slides: DataFrame, predicted: str = "prediction", per_patient: int = 5) -> DataFrame:
     """Stages patients by their slides: pN2 for a macro and at least four positive slides, pN1 for a macro, pN1mi for a
     micro, pN0(i+) for isolated cells, else pN0. complete: the patient has all slides."""

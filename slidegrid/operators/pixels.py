@@ -1,7 +1,7 @@
 """Pixel tables (slide_idx, row, col and channels): colour, thresholds, masks, morphology, filters and features.
 
-A stencil sends each cell to its neighbours, one axis after the other where it is separable, and combines before the
-shuffle. Borders reflect (d c b a | a b c d | d c b a) unless said otherwise.
+Separable filters turn the lines of an axis to arrays, a shuffle for each axis; a stencil that is not separable joins
+each cell to its neighbours. Borders reflect (d c b a | a b c d | d c b a) unless said otherwise.
 """
 
 from __future__ import annotations
@@ -102,10 +102,6 @@ def stencil(cells: DataFrame, weights: dict[tuple[int, int], float], value: str)
     return asked.join(given, ["slide_idx", "_r", "_c"])
 
 
-def convolve(cells: DataFrame, weights: dict[tuple[int, int], float], value: str, out: str) -> DataFrame:
-    return stencil(cells, weights, value).groupBy(*CELL).agg(F.sum(F.col("w") * F.col(value)).alias(out))
-
-
 def median(cells: DataFrame, size: int, value: str) -> DataFrame:
     """Median over a size x size square, begun size // 2 before the cell."""
     steps = range(-(size // 2), size - size // 2)
@@ -118,10 +114,35 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[tuple[int, flo
     return [(k - radius, w / sum(raw)) for k, w in enumerate(raw)]
 
 
-def gaussian(cells: DataFrame, sigma: float, value: str) -> DataFrame:
+def convolve_lines(cells: DataFrame, along: str, outs: dict[str, tuple[str, list[tuple[int, float]]]], border: str = "reflect") -> DataFrame:
+    """Adds (or replaces) columns of weighted sums along one axis, {out: (value, weights by step)}: a slide's line becomes an
+    array, so all sums of an axis take one shuffle and no cell is sent twice. Pixel tables are full rectangles, a line is
+    bounded by the slide's side. Borders reflect, or repeat the border cell (nearest)."""
+    fixed = "col" if along == "row" else "row"
+    others = [c for c in cells.columns if c not in ("slide_idx", fixed)]
+    ordered = F.array_sort(F.collect_list(F.struct(along, *[c for c in others if c != along])))
+    lines = cells.groupBy("slide_idx", fixed).agg(ordered.alias("_line")).withColumn("_n", F.size("_line"))
+    field = lambda c: F.transform("_line", lambda p: p[c])
+    lines = lines.select("*", *[field(v).cast("array<double>").alias(f"_of_{v}") for v in dict.fromkeys(v for v, _ in outs.values())])
+
+    def summed(value: str, weights: list[tuple[int, float]]):
+        def at(_, i: Column) -> Column:
+            place = lambda k: _mirrored(i + k, F.col("_n")) if border == "reflect" else F.greatest(F.lit(0), F.least(i + k, F.col("_n") - 1))
+            taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(w)).alias("w")) for k, w in weights])
+            return F.aggregate(taps, F.lit(0.0), lambda total, t: total + t["w"] * F.get(f"_of_{value}", place(t["k"]).cast("int")))
+
+        return F.transform(f"_of_{value}", at)
+
+    kept = [c for c in others if c not in outs]
+    lines = lines.select("slide_idx", fixed, *[field(c).alias(c) for c in kept], *[summed(*how).alias(out) for out, how in outs.items()])
+    zipped = lines.select("slide_idx", fixed, F.explode(F.arrays_zip(*kept, *outs)).alias("_z"))
+    return zipped.select("slide_idx", fixed, *[F.col("_z")[c].alias(c) for c in (*kept, *outs)])
+
+
+def gaussian(cells: DataFrame, sigma: float, value: str, border: str = "reflect") -> DataFrame:
     """Gaussian blur as two passes of one axis each."""
     w = gaussian_weights(sigma)
-    return convolve(convolve(cells, {(k, 0): x for k, x in w}, value, value), {(0, k): x for k, x in w}, value, value)
+    return convolve_lines(convolve_lines(cells.select(*CELL, value), "row", {value: (value, w)}, border), "col", {value: (value, w)}, border)
 
 
 def _spread(mask: DataFrame, steps: list[tuple[int, int]], how: Callable[[str], Column]) -> DataFrame:
@@ -199,46 +220,66 @@ def inverted(m) -> list[list[float]]:
     return [[cof[j][i] / det for j in range(3)] for i in range(3)]
 
 
+SMOOTH, SLOPE = [(-1, 0.25), (0, 0.5), (1, 0.25)], [(-1, -1.0), (1, 1.0)]
+
+
+def with_edges(cells: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """Adds {value}_edge for each value: root of the mean of the squared horizontal and vertical gradients (weights 1 2 1
+    over 4), of all values in one pass of each axis."""
+    both = convolve_lines(cells, "col", {f"{v}_{name}": (v, w) for v in values for name, w in (("gy", SMOOTH), ("gx", SLOPE))})
+    both = convolve_lines(both, "row", {f"{v}_{name}": (f"{v}_{name}", w) for v in values for name, w in (("gy", SLOPE), ("gx", SMOOTH))})
+    edge = lambda v: F.sqrt((F.col(f"{v}_gx") * F.col(f"{v}_gx") + F.col(f"{v}_gy") * F.col(f"{v}_gy")) / 2)
+    return both.select(*cells.columns, *[edge(v).alias(f"{v}_edge") for v in values])
+
+
 def sobel(cells: DataFrame, value: str) -> DataFrame:
-    """Edge strength: root of the mean of the squared horizontal and vertical gradients (weights 1 2 1 over 4)."""
-    smooth = {-1: 1, 0: 2, 1: 1}
-    near = stencil(cells, {(i, j): 10 * (i + 1) + (j + 1) for i in smooth for j in smooth}, value)
-    i, j = F.floor(F.col("w") / 10) - 1, F.col("w") % 10 - 1
-    weight = lambda a, b: a * (2 - F.abs(b)) / 4.0
-    g = near.groupBy(*CELL).agg(F.sum(weight(i, j) * F.col(value)).alias("gy"), F.sum(weight(j, i) * F.col(value)).alias("gx"))
-    return g.select(*CELL, F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) / 2).alias("edge"))
+    """Edge strength of one channel."""
+    return with_edges(cells.select(*CELL, F.col(value).alias("v")), ("v",)).select(*CELL, F.col("v_edge").alias("edge"))
 
 
-def _gradient(cells: DataFrame, value: str, along: str, out: str) -> DataFrame:
-    """Central differences, one-sided at the ends."""
+def _gradients(cells: DataFrame, along: str, outs: dict[str, str]) -> DataFrame:
+    """Adds {out: value}: central differences, one-sided at the ends."""
     w = Window.partitionBy("slide_idx", "col" if along == "row" else "row").orderBy(along)
-    before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-    return cells.withColumn(out, F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - here).when(after.isNull(), here - before).otherwise((after - before) / 2.0))
+
+    def step(value: str) -> Column:
+        before, after, here = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
+        return F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - here).when(after.isNull(), here - before).otherwise((after - before) / 2.0)
+
+    return cells.select("*", *[step(value).alias(out) for out, value in outs.items()])
+
+
+def with_eigenvalues(cells: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """Adds {value}_eig1 and {value}_eig2, eigenvalues of the matrix of second differences, greater first, of all values."""
+    c = cells
+    for along, steps in (("row", {"_gr": ""}), ("row", {"_hrr": "_gr"}), ("col", {"_hrc": "_gr", "_gc": ""}), ("col", {"_hcc": "_gc"})):
+        c = _gradients(c, along, {f"{v}{out}": f"{v}{of}" for v in values for out, of in steps.items()})
+    d = lambda v, name: F.col(f"{v}_{name}")
+    mean = lambda v: (d(v, "hrr") + d(v, "hcc")) / 2
+    half = lambda v: F.sqrt((d(v, "hrr") - d(v, "hcc")) * (d(v, "hrr") - d(v, "hcc")) / 4 + d(v, "hrc") * d(v, "hrc"))
+    return c.select(*cells.columns, *[e.alias(f"{v}_{name}") for v in values for name, e in (("eig1", mean(v) + half(v)), ("eig2", mean(v) - half(v)))])
 
 
 def hessian_eigenvalues(cells: DataFrame, value: str) -> DataFrame:
-    """Eigenvalues of the matrix of second differences, greater first."""
-    c = _gradient(_gradient(cells, value, "row", "gr"), value, "col", "gc")
-    c = _gradient(_gradient(_gradient(c, "gr", "row", "hrr"), "gr", "col", "hrc"), "gc", "col", "hcc")
-    mean, half = (F.col("hrr") + F.col("hcc")) / 2, F.sqrt((F.col("hrr") - F.col("hcc")) * (F.col("hrr") - F.col("hcc")) / 4 + F.col("hrc") * F.col("hrc"))
-    return c.select(*CELL, (mean + half).alias("eig1"), (mean - half).alias("eig2"))
+    """Both eigenvalues of one channel."""
+    return with_eigenvalues(cells.select(*CELL, F.col(value).alias("v")), ("v",)).select(*CELL, F.col("v_eig1").alias("eig1"), F.col("v_eig2").alias("eig2"))
 
 
-def feature_stack(pixels: DataFrame, channels: tuple[str, ...], sigma_min: float, sigma_max: float, n_sigma: int) -> DataFrame:
-    """Long rows (cell, feature, value) of intensity, edge and texture for log2-spaced sigmas and channels."""
+def feature_stack(pixels: DataFrame, sigma_min: float = 1.0, sigma_max: float = 16.0, n_sigma: int | None = None, h_e: bool = False, raw: bool = False) -> DataFrame:
+    """A row for each cell, channel and scale (0 is raw, where asked for): intensity, edge, eig1 and eig2. Channels are red,
+    green and blue, with h_e hematoxylin and eosin too, over 255; scales are spaced evenly in log2; blurs repeat the border
+    cell. All channels and scales go through the axes together."""
     lo, hi = math.log2(sigma_min), math.log2(sigma_max)
-    out = None
-    for k in range(n_sigma):
-        sigma = 2 ** (lo + (hi - lo) * k / max(1, n_sigma - 1))
-        for c in channels:
-            blurred = settled(gaussian(pixels.select(*CELL, F.col(c).cast("double").alias("v")), sigma, "v"))
-            name = lambda f: F.lit(f"{c}_{k}_{f}").alias("feature")  # noqa: B023, E731
-            parts = [blurred.select(*CELL, name("intensity"), F.col("v").alias("value")), sobel(blurred, "v").select(*CELL, name("edge"), F.col("edge").alias("value"))]
-            eig = hessian_eigenvalues(blurred, "v")
-            parts += [eig.select(*CELL, name(e), F.col(e).alias("value")) for e in ("eig1", "eig2")]
-            for p in parts:
-                out = p if out is None else out.unionByName(p)
-    return out
+    n = int(hi - lo + 1) if n_sigma is None else n_sigma
+    sigmas = [0.0] * raw + [2 ** (lo + (hi - lo) * k / max(1, n - 1)) for k in range(n)]
+    channels = ("r", "g", "b") + ("hematoxylin", "eosin") * h_e
+    cells = (he_deconvolution(pixels) if h_e else pixels).select(*CELL, *[(F.col(c) / 255.0).alias(c) for c in channels])
+    weights = [gaussian_weights(s) if s else [(0, 1.0)] for s in sigmas]
+    names = {f"{c}_{k}": (c, w) for c in channels for k, w in enumerate(weights)}
+    blurred = convolve_lines(convolve_lines(cells, "row", names, "nearest"), "col", {v: (v, w) for v, (_, w) in names.items()}, "nearest")
+    blurred = settled(blurred.select(*CELL, *names))
+    stack = with_eigenvalues(with_edges(blurred, tuple(names)), tuple(names))
+    one = lambda c, k: F.struct(F.lit(c).alias("channel"), F.lit(k).alias("scale"), F.col(f"{c}_{k}").alias("intensity"), *[F.col(f"{c}_{k}_{f}").alias(f) for f in ("edge", "eig1", "eig2")])
+    return stack.select(*CELL, F.explode(F.array(*[one(c, k) for c in channels for k in range(len(sigmas))])).alias("_s")).select(*CELL, "_s.*")
 
 
 def mask_confusion(found: DataFrame, truth: DataFrame) -> DataFrame:

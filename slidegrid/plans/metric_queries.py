@@ -11,6 +11,8 @@ from slidegrid.plans.registry import query
 
 P, S, D = (PATCHES,), (SLIDES,), (DOC_SCORES,)
 REPS = 1000
+#: Added before figures are rounded: ratios that end just between two numbers go the same way whatever the order of sums.
+NUDGE = 1e-10
 
 _METRICS = """tn, fp, fn, tp, (tp + tn) / (tp + tn + fp + fn)::double as accuracy, tp / nullif(tp + fn, 0)::double as recall, tn / nullif(tn + fp, 0)::double as specificity, tp / nullif(tp + fp, 0)::double as precision"""
 _COUNTS = """sum(case when not said and not is_ then w else 0 end)::bigint as tn, sum(case when said and not is_ then w else 0 end)::bigint as fp, sum(case when not said and is_ then w else 0 end)::bigint as fn, sum(case when said and is_ then w else 0 end)::bigint as tp"""
@@ -44,11 +46,6 @@ def _(spark, d):
     return mt.metrics_multi(patches(spark, d).withColumn("predicted", F.when(F.col("tumor") > F.col("normal"), 2).otherwise(1)), (1, 2))
 
 
-@query("slide_metrics_multi", f"select avg(case when stage = prediction then 1.0::double else 0 end) as accuracy, {_CELLS} from slides", S)
-def _(spark, d):
-    return mt.metrics_multi(slides(spark, d), mt.STAGES, "stage", "prediction")
-
-
 def _curve_sql(rows: str, score: str, positive: str, by: str = "", weight: str = "1") -> str:
     """Common tables g (by score) and curve."""
     part, lead = (f"partition by {by} " if by else ""), (f"{by}, " if by else "")
@@ -122,21 +119,53 @@ def _(spark, d):
     return mt.percentile_ci(samples, ["accuracy"])
 
 
-_REPORT = ["accuracy", "recall", "specificity", "precision"]
+def _named_sql(samples: str, columns: list[str]) -> str:
+    """results (rep -1), bounds and samples of a table of figures by rep."""
+    figures = ", ".join(f'round("{c}"::double + {NUDGE}, 6) as "{c}"' for c in columns)
+    bounds = [f"select '{name}' as row_name, " + ", ".join(f'round(quantile_cont("{c}"::double, {q}) + {NUDGE}, 6) as "{c}"' for c in columns) + f" from {samples} where rep >= 0" for name, q in (("ci_lower_bound", 0.025), ("ci_upper_bound", 0.975))]
+    return f"select case when rep < 0 then 'results' else 'sample_' || rep end as row_name, {figures} from {samples} union all " + " union all ".join(bounds)
+
+
+def _rounded(report, keep: tuple[str, ...] = ("row_name", "threshold")):
+    return report.select(*[c if c in keep else F.round(F.col(f"`{c}`") + NUDGE, 6).alias(c) for c in report.columns])
+
+
+_PATCH_SQL = f"""/*and*/ {_boot_sql('doc_scores', 'doc_id', 5)}, al as (select rep, weight, score, toxic from boot union all select -1, 1, score, toxic from doc_scores),
+ ct as (select rep, {_METRICS} from (select rep, {_COUNTS} from (select rep, score >= 0.5 as said, toxic = 1 as is_, weight as w from al) group by 1)),
+ {_curve_sql('al', 'score', 'toxic = 1', 'rep', 'weight')},
+ pt as (select rep, threshold, recall, precision, row_number() over (partition by rep order by recall, threshold desc) as i from curve where recall is not null),
+ nx as (select *, lead(recall) over (partition by rep order by i) as r1, lead(precision) over (partition by rep order by i) as p1 from pt),
+ lt as (select rep, recall, arg_max(struct_pack(p := precision, r1 := r1, p1 := p1), i) as s from nx where rep >= 0 group by 1, 2),
+ lv as (select rep, range / 1000.0::double as level from (select distinct rep from pt where rep >= 0), range(1001)),
+ f0 as (select rep, arg_min(precision, i) as p from pt group by 1),
+ av as (select lv.rep, level, case when lt.s is null then f0.p when lt.s.r1 is null or lt.s.r1 = lt.recall then lt.s.p else lt.s.p + (level - lt.recall) * (lt.s.p1 - lt.s.p) / (lt.s.r1 - lt.recall) end as v
+  from lv asof left join lt on lv.rep = lt.rep and lv.level >= lt.recall join f0 on f0.rep = lv.rep),
+ ar as (select rep, sum((level - x0) * (v + v0) / 2) as auc from (select *, lag(level) over (partition by rep order by level) as x0, lag(v) over (partition by rep order by level) as v0 from av where level > 0) group by 1
+  union all select -1, sum((recall - x0) * (precision + y0) / 2) from (select *, lag(recall) over (order by i) as x0, lag(precision) over (order by i) as y0 from pt where rep = -1)),
+ sm as (select ct.*, auc from ct left join ar using (rep)), fig as ({_named_sql('sm', mt.PATCH_FIGURES)})
+ select *, null::double as threshold, null::double as level, null::double as value, null::double as value_lower, null::double as value_upper from fig
+ union all by name select 'curve' as row_name, threshold, round(recall + {NUDGE}, 6) as level, round(precision + {NUDGE}, 6) as value from pt where rep = -1
+ union all by name select 'curve_ci' as row_name, level, round(quantile_cont(v, 0.025) + {NUDGE}, 6) as value_lower, round(quantile_cont(v, 0.975) + {NUDGE}, 6) as value_upper from av group by level"""
+
+
+@query("patch_report", _PATCH_SQL, D)
+def _(spark, d):
+    rows = doc_scores(spark, d).select("doc_id", F.col("toxic").alias("label"), "score")
+    return _rounded(mt.patch_report(rows, ["doc_id"], REPS, 5))
+
+
+def _cells_sql(vocabulary: tuple[str, ...], true: str, predicted: str) -> tuple[str, list[str]]:
+    named = [(f"true_{a}_pred_{b}", f"sum(case when {true} = '{a}' and {predicted} = '{b}' then w else 0 end)") for a in vocabulary for b in vocabulary]
+    return ", ".join(f'{e} as "{n}"' for n, e in named), [n for n, _ in named]
 
 
-@query("patch_report", f"""/*and*/ {_boot_sql('doc_scores', 'doc_id', 5)}, s as (select rep, score >= 0.5 as said, toxic = 1 as is_, weight as w from boot union all select -1, score >= 0.5, toxic = 1, 1 from doc_scores),
- c as (select rep, {_COUNTS} from s group by 1), m as (select rep, {_METRICS} from c),
- x as (select 'results' as row_name, {', '.join(_REPORT)} from m where rep = -1 union all select 'sample_' || rep, {', '.join(_REPORT)} from m where rep >= 0 union all ({_ci_sql('(select * from m where rep >= 0)', _REPORT)}))
- select row_name, {', '.join(f'round({c}, 9) as {c}' for c in _REPORT)} from x""", D)
+_STAGE_CELLS, _STAGE_NAMES = _cells_sql(mt.STAGES, "stage", "prediction")
+
+
+@query("slide_metrics_multi", f"""/*and*/ {_boot_sql('slides', 'slide_idx', 3)}, al as (select rep, weight as w, stage, prediction from boot union all select -1, 1, stage, prediction from slides),
+ sm as (select rep, sum(case when stage = prediction then w else 0 end) / sum(w)::double as accuracy, {_STAGE_CELLS} from al group by 1) {_named_sql('sm', ['accuracy', *_STAGE_NAMES])}""", S)
 def _(spark, d):
-    rows = doc_scores(spark, d)
-    of = lambda r, by=(): mt.patch_metrics(r, positive=1, score="score", by=by)
-    label = F.col("toxic").alias("label")
-    samples = of(mt.bootstrap(rows, ["doc_id"], REPS, 5).select("rep", "weight", "score", label), ("rep",))
-    out = of(rows.select("score", label)).select(F.lit("results").alias("row_name"), *_REPORT)
-    out = out.unionByName(samples.select(F.concat(F.lit("sample_"), "rep").alias("row_name"), *_REPORT)).unionByName(mt.percentile_ci(samples, _REPORT))
-    return out.select("row_name", *[F.round(c, 9).alias(c) for c in _REPORT])
+    return _rounded(mt.multi_report(slides(spark, d).select("slide_idx", "stage", "prediction"), ["slide_idx"], REPS, 3, mt.STAGES, "stage", "prediction"))
 
 
 _NAMES = ("accuracy", "tn", "fp", "fn", "tp", "auc")
@@ -216,10 +245,10 @@ def _(spark, d):
     return mt.kappa_validated(tab("true_stage"), tab("predicted_stage")).select(F.round("kappa", 9).alias("kappa"))
 
 
-@query("patient_metrics", f"""/*and*/ {_PATIENTS}, {_boot_sql('ps', 'patient', 9)}, b as ({_kappa_sql('boot', 'rep', 'weight')}), k as ({_kappa_sql('ps')}),
- x as (select 'results' as row_name, kappa from k union all ({_ci_sql('b', ['kappa'])})) select row_name, round(kappa, 9) as kappa from x""", S)
+_PATIENT_CELLS, _PATIENT_NAMES = _cells_sql(mt.PATIENT_STAGES, "true_stage", "predicted_stage")
+
+
+@query("patient_metrics", f"""/*and*/ {_PATIENTS}, {_boot_sql('ps', 'patient', 9)}, al as (select rep, weight as w, true_stage, predicted_stage from boot union all select -1, 1, true_stage, predicted_stage from ps),
+ k as ({_kappa_sql('al', 'rep', 'w')}), sm as (select rep, any_value(kappa) as kappa, {_PATIENT_CELLS} from al join k using (rep) group by rep) {_named_sql('sm', ['kappa', *_PATIENT_NAMES])}""", S)
 def _(spark, d):
-    p = mt.patient_stage(slides(spark, d))
-    samples = mt.kappa_quadratic(mt.bootstrap(p, ["patient"], REPS, 9), by=("rep",))
-    out = mt.kappa_quadratic(p).select(F.lit("results").alias("row_name"), "kappa").unionByName(mt.percentile_ci(samples, ["kappa"]))
-    return out.withColumn("kappa", F.round("kappa", 9))
+    return _rounded(mt.multi_report(mt.patient_stage(slides(spark, d)), ["patient"], REPS, 9, mt.PATIENT_STAGES, "true_stage", "predicted_stage", kappa=True))

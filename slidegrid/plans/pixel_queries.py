@@ -7,9 +7,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidegrid.functions.draws import draw_sql
 from slidegrid.operators import index as ix
 from slidegrid.operators import pixels as px
-from slidegrid.plans.fixtures import EVAL_MASK, PIXELS, eval_mask, patches, pixels, table
+from slidegrid.plans.fixtures import EVAL_MASK, PATCHES, PIXELS, eval_mask, patches, pixels, table
 from slidegrid.plans.registry import query
 
 X = (PIXELS,)
@@ -188,9 +189,36 @@ def _(spark, d):
     return _r(px.hessian_eigenvalues(pixels(spark, d), "r"), "eig1", "eig2")
 
 
-@query("px_feature_stack")
+def _long_grad(value: str, along: str, out: str, src: str, name: str) -> str:
+    return _grad(value, along, out, src, name).replace("partition by slide_idx,", "partition by slide_idx, channel, scale,")
+
+
+_ROUNDED = ", ".join(f"round({c}, 6) as {c}" for c in ("intensity", "edge", "eig1", "eig2"))
+
+
+def _sobel_pass(value: str, axis: str, weights: tuple[float, float, float], out: str) -> str:
+    """Three weights along an axis; beyond the border the border cell counts, as it does when reflected by one step."""
+    w = f"over (partition by slide_idx, channel, scale, {'col' if axis == 'row' else chr(34) + 'row' + chr(34)} order by \"{axis}\")"
+    return f"{weights[0]}::double * coalesce(lag({value}) {w}, {value}) + {weights[1]}::double * {value} + {weights[2]}::double * coalesce(lead({value}) {w}, {value}) as {out}"
+
+
+_STACK_SQL = f"""/*and*/ he as (select *, {_HE_SQL.replace('45.985904', repr(255 / math.log(256)))} from pixels),
+ ch as (unpivot (select {K}, r / 255.0::double as r, g / 255.0::double as g, b / 255.0::double as b, hematoxylin / 255.0::double as hematoxylin, eosin / 255.0::double as eosin from he) on r, g, b, hematoxylin, eosin into name channel value v),
+ kr as (select s.range + 1 as scale, pow(2, s.range) as sigma, k.range as k, exp(-0.5::double * pow(k.range / pow(2, s.range), 2)) as w from range(5) s, range(-64, 65) k where abs(k.range) <= floor(4 * pow(2, s.range) + 0.5) union all select 0, 0, 0, 1),
+ kn as (select scale, k, w / sum(w) over (partition by scale) as w from kr),
+ sd as (select slide_idx, max("row") as h, max(col) as wd from pixels group by 1),
+ b1 as (select a.slide_idx, a."row", a.col, a.channel, scale, sum(w * n.v) as v from ch a join sd using (slide_idx) cross join kn join ch n on n.slide_idx = a.slide_idx and n.channel = a.channel and n.col = a.col and n."row" = greatest(0, least(h, a."row" + k)) group by all),
+ b2 as (select a.slide_idx, a."row", a.col, a.channel, a.scale, sum(w * n.v) as v from b1 a join sd using (slide_idx) join kn on kn.scale = a.scale join b1 n on n.slide_idx = a.slide_idx and n.channel = a.channel and n.scale = a.scale and n."row" = a."row" and n.col = greatest(0, least(wd, a.col + k)) group by all),
+ e1 as (select *, {_sobel_pass('v', 'col', (0.25, 0.5, 0.25), 'sc')}, {_sobel_pass('v', 'col', (-1, 0, 1), 'dc')} from b2),
+ e2 as (select *, {_sobel_pass('sc', 'row', (-1, 0, 1), 'gy')}, {_sobel_pass('dc', 'row', (0.25, 0.5, 0.25), 'gx')} from e1),
+ {_long_grad('v', '"row"', 'gr', 'e2', 'h1')}, {_long_grad('v', 'col', 'gc', 'h1', 'h2')}, {_long_grad('gr', '"row"', 'hrr', 'h2', 'h3')}, {_long_grad('gr', 'col', 'hrc', 'h3', 'h4')}, {_long_grad('gc', 'col', 'hcc', 'h4', 'h5')},
+ st as (select {K}, channel, cast(scale as int) as scale, v as intensity, sqrt((gx * gx + gy * gy) / 2) as edge, (hrr + hcc) / 2 + sqrt((hrr - hcc) * (hrr - hcc) / 4 + hrc * hrc) as eig1, (hrr + hcc) / 2 - sqrt((hrr - hcc) * (hrr - hcc) / 4 + hrc * hrc) as eig2 from h5)
+ select {K}, channel, scale, {_ROUNDED} from st"""
+
+
+@query("px_feature_stack", _STACK_SQL, X)
 def _(spark, d):
-    return px.feature_stack(pixels(spark, d), ("r",), 1.0, 2.0, 2)
+    return _r(px.feature_stack(pixels(spark, d), h_e=True, raw=True), "intensity", "edge", "eig1", "eig2")
 
 
 MT = f"mt as (select {K}, r > 128 as t from pixels)"
@@ -227,7 +255,11 @@ def _(spark, d):
     return px.edge_band(em(spark, d), 2)
 
 
-@query("edge_patch_sample")
+_NEAR = BAND.replace("- 2", "- 1").replace("range(5)", "range(3)").replace("band as", "near as")
+
+
+@query("edge_patch_sample", f"""/*and*/ {_NEAR} select slide_idx, patch_seq, label from patches join near using (slide_idx, "row", col) join em using (slide_idx, "row", col)
+ qualify row_number() over (partition by label order by {draw_sql(23, 'slide_idx', 'patch_seq')}, slide_idx, patch_seq) <= 1000""", (EVAL_MASK, PATCHES))
 def _(spark, d):
     near = patches(spark, d).join(px.edge_band(em(spark, d), 1), C, "left_semi")
     return ix.sample_simple(near, 1000, 23).select("slide_idx", "patch_seq", "label")

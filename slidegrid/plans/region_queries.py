@@ -190,25 +190,29 @@ def _(spark, d):
 REPS = 1000
 
 
-def _froc_samples(spark, d) -> DataFrame:
-    """FROC of each resample of lesions and regions."""
+def _froc_samples(spark, d) -> tuple[DataFrame, DataFrame]:
+    """FROC score of each resample of lesions and regions, and bounds of sensitivity at 800 numbers of false positives."""
     false, regions = rg.lesion_hits(*_froc_parts(spark, d), LEVEL)
     rows = false.select("slide_idx", F.lit(0).alias("label"), F.lit(False).alias("is_itc"), "prob").unionByName(regions)
     rows = rg.settled(mt.bootstrap(rows, ["slide_idx", "label", "prob"], REPS, 11))
     curve = rg.froc_curve(rows.where("label = 0").select("rep", "prob", "weight"), rows.where("label > 0").select("rep", "is_itc", "prob", "weight"), slides(spark, d), by=("rep",))
-    return rg.froc_score(curve, by=("rep",))
+    curve = rg.settled(curve)
+    at = mt.interp_curve(curve.where("sensitivity is not null"), mt.levels_of(curve.select("rep").distinct(), 1, 800, 100.0), "total_fps", "sensitivity", ("rep",))
+    return rg.froc_score(curve, by=("rep",)), mt.band(at, "total_fps", "sensitivity")
 
 
 @query("froc_ci")
 def _(spark, d):
-    return mt.percentile_ci(_froc_samples(spark, d), ["froc"])
+    samples, curve = _froc_samples(spark, d)
+    return mt.percentile_ci(samples, ["froc"]).unionByName(curve.withColumn("row_name", F.lit("curve_ci")), True)
 
 
 @query("lesion_results")
 def _(spark, d):
-    samples = rg.settled(_froc_samples(spark, d))
-    out = rg.froc_score(_froc(spark, d)).select(F.lit("results").alias("row_name"), "froc").unionByName(mt.percentile_ci(samples, ["froc"]))
-    return out.unionByName(samples.select(F.concat(F.lit("sample_"), "rep").alias("row_name"), "froc"))
+    samples, curve = _froc_samples(spark, d)
+    out = mt.named_rows(rg.froc_score(_froc(spark, d)), rg.settled(samples), ["froc"])
+    out = out.unionByName(_froc(spark, d).select(F.lit("curve").alias("row_name"), "threshold", "total_fps", "sensitivity"), True)
+    return out.unionByName(curve.withColumn("row_name", F.lit("curve_ci")), True)
 
 
 _GLOBAL = ", ".join(f"count(*) filter (where value >= {t / 10}) / count(*)::double as area_ratio_{t}, round(sum(case when value >= {t / 10} then value else 0 end) / count(*), 9) as prob_score_{t}" for t in range(5, 10))
