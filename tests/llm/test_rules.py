@@ -54,7 +54,7 @@ def test_wrapped_licenses(spark):
 
     s = licenses.SENTENCES
     wrap = lambda keys, width=72, lead="": "\n".join("\n".join(lead + x for x in textwrap.wrap(s[k], width)) for k in keys)
-    apache, mit, gpl = ("apache2_grant", "apache2_copy", "apache2_basis", "apache2_see"), ("mit_grant", "mit_notice", "mit_warranty"), ("gpl_free", "gpl_useful", "gpl_see")
+    apache, mit, gpl = ("apache2_grant", "apache2_copy", "apache2_basis", "apache2_see"), ("mit_grant", "mit_notice", "mit_warranty"), ("gpl3_program_later", "program_useful", "gpl_see")
     header = "# " + s["apache2_grant"].replace(", Version 2.0 ", ", Version 2.0\n# ").replace("except in", "except\n# in") + "\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n" + wrap(apache[2:], 70, "# ")
     bsd2 = wrap(("bsd_redistribution",)) + "\n\n1. " + wrap(("bsd_source",)) + "\n\n2. " + wrap(("bsd_binary",))
     third = "\n\n3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
@@ -69,6 +69,41 @@ def test_wrapped_licenses(spark):
     assert got[3].sentence_ids == " ".join(apache) and [got[k].n_unknown for k in (2, 3, 4)] == [0, 0, 0]
 
 
+def test_more_licenses(spark):
+    """Notices of each family, in comments of several styles; the SQL agrees on all of them and on random mixtures."""
+    import textwrap
+
+    import duckdb
+
+    s, rng = licenses.SENTENCES, random.Random(5)
+    wrap = lambda keys, width, lead, between: between.join("\n".join(lead + x for x in textwrap.wrap(s[k].replace("v 2.0", "v. 2.0"), width)) for k in keys)
+    texts, want = {}, {}
+    for n, (name, keys) in enumerate(licenses.RULES):
+        lead, between = rng.choice([("// ", "\n//\n"), (" * ", "\n"), ("", "\n\n"), ("# ", "\n"), ("", " ")])
+        texts[n], want[n] = "x = 1\n" + wrap(keys, rng.choice([40, 72, 2000]), lead, between) + "\ny", name
+    at = len(texts)
+    texts |= {
+        at: "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+        at + 1: s["bsd_redistribution"] + "\n1. " + s["bsd_source"] + "\n2. " + s["bsd_binary"] + "\n3. " + s["bsd_advertising"] + "\n   This product includes software developed by Example.\n4. " + s["bsd_names"].replace("the copyright holder", "the University"),
+        at + 2: "// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", at + 3: "/* SPDX-License-Identifier: GPL-2.0-only */",
+        at + 4: "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+        at + 5: "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\nLesser General Public License for more details.",
+        at + 6: "\n".join([s["mit_grant"]] + [s["mit_notice"]] * 3000 + [s["mit_warranty"]]), at + 7: "word " * 200_000 + ".\n" + s["unlicense_free"],
+        at + 8: (s["apache2_line"] + "\n") * 3000 + "\u212aelvin \u0130 LICENSE",
+    }
+    want |= {at: "MPL-2.0", at + 1: "BSD-4-Clause", at + 2: "", at + 3: "GPL-2.0-only", at + 4: "GPL-2.0-or-later", at + 5: "LGPL-2.1-or-later", at + 6: "", at + 7: "Unlicense", at + 8: "Apache-2.0"}
+    pool = [*s.values(), "license", "No licence here", "Neither the name of A B\nC nor the names of the contributors", "v.\n2.0", "x:", ":", "!", "?\n", "\u00e9"]
+    for n in range(at + 9, at + 250):
+        texts[n] = "".join(rng.choice(pool) + rng.choice(["\n", " ", ". ", ": ", ":\n * ", ".", "\r\n", "\n\n"]) for _ in range(rng.randrange(9)))
+    texts[at + 250] = None
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: tuple(r) for r in licenses.scan(df.repartition(4)).collect()}
+    assert {n: got[n][4] for n in want} == want
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert {r[0]: r for r in con.execute(licenses.SQL).fetchall()} == got
+
+
 def test_toxicity_held_out(spark):
     from tests.conftest import DATA
 
