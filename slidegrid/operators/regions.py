@@ -1,17 +1,22 @@
 """Heatmaps, connected regions, density clusters, region properties, lesions and FROC.
 
 Neighbours are found by equality of grid cells or buckets, never by a cross join. Fixpoints (regions, suppression) write
-their state to the shared folder every round, so lineage stays short and a lost executor costs a round.
+their state to the shared folder every round, so lineage stays short and a lost executor costs a round; a round's state goes
+when the next one is written.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from slidegrid.functions.folders import fresh_path
+from slidegrid.functions.folders import discard, fresh_path
 
 CELL = ["slide_idx", "row", "col"]
+#: Rows and columns of the squares that regions are first found in: 262,144 cells are the most that a group can hold.
+SQUARE = 512
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -19,7 +24,9 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, "round")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
 
 
 def heatmap(patches: DataFrame, cell: int, border: int = 0, jitter: int = 0, value: str = "tumor") -> DataFrame:
@@ -39,32 +46,66 @@ def heatmap_dense(sparse: DataFrame, height: int, width: int) -> DataFrame:
 def connect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(slide_idx, id, comp): smallest id that edges (slide_idx, a, b), given both ways, reach. Each round takes the least of
     the neighbours' components and jumps to the component's own component, until nothing changes."""
-    edges = settled(edges)
-    state = settled(nodes.select("slide_idx", "id", F.col("id").alias("comp")))
-    while True:
+    spark, edges = nodes.sparkSession, settled(edges)
+    written = settled(nodes.select("slide_idx", "id", F.col("id").alias("comp"), F.lit(True).alias("changed")))
+    while not written.where("changed").isEmpty():
+        state = written.drop("changed")
         near = edges.join(state.select("slide_idx", F.col("id").alias("b"), F.col("comp").alias("c")), ["slide_idx", "b"]).groupBy("slide_idx", F.col("a").alias("id")).agg(F.min("c").alias("c"))
         least = state.join(near, ["slide_idx", "id"], "left").select("slide_idx", "id", "comp", F.least("comp", "c").alias("next"))
         up = state.select("slide_idx", F.col("id").alias("next"), F.col("comp").alias("up"))
-        following = settled(least.join(up, ["slide_idx", "next"]).select("slide_idx", "id", F.least("next", "up").alias("comp"), (F.least("next", "up") != F.col("comp")).alias("changed")))
-        state = following.drop("changed")
-        if following.where("changed").isEmpty():
-            return state
+        following = least.join(up, ["slide_idx", "next"]).select("slide_idx", "id", F.least("next", "up").alias("comp"), (F.least("next", "up") != F.col("comp")).alias("changed"))
+        before, written = written, settled(following)
+        discard(spark, before.settled_path)
+    discard(spark, edges.settled_path)
+    return written.drop("changed")
+
+
+def _regions_of_square(cells: pa.Table) -> pa.Table:
+    """Adds _id: the place (row * 2**31 + col) of the first cell in scan order that each cell reaches within its square."""
+    import numpy as np
+
+    places = cells["row"].to_numpy().astype(np.int64) * 2**31 + cells["col"].to_numpy()
+    order = np.argsort(places, kind="stable")
+    keys, ends = places[order], []
+    for step in (1, 2**31 - 1, 2**31, 2**31 + 1):  # right, and the three below
+        at = np.minimum(np.searchsorted(keys, keys + step), len(keys) - 1)
+        found = np.flatnonzero(keys[at] == keys + step)
+        ends.append((found, at[found]))
+    a, b = (np.concatenate([e[k] for e in ends]) for k in (0, 1))
+    first = np.searchsorted(keys, keys)  # a cell given twice is one
+    while True:
+        least, following = np.minimum(first[a], first[b]), first.copy()
+        np.minimum.at(following, first[a], least)
+        np.minimum.at(following, first[b], least)
+        while (following[following] != following).any():
+            following = following[following]
+        if (following == first).all():
+            break
+        first = following
+    out = np.empty_like(keys)
+    out[order] = keys[first]
+    return cells.append_column("_id", pa.array(out))
 
 
 def components(cells: DataFrame) -> DataFrame:
-    """Adds comp to cells: 8-connected regions of a slide, numbered from 1 by their first cell in scan order. Cells are
-    gathered to horizontal runs, runs of neighbouring rows that touch are edges."""
-    w = Window.partitionBy("slide_idx", "row").orderBy("col")
-    starts = cells.withColumn("new", F.when(F.col("col") - F.lag("col").over(w) == 1, 0).otherwise(1))
-    runs_of = settled(starts.withColumn("run", F.sum("new").over(w)).drop("new"))
-    runs = runs_of.groupBy("slide_idx", "row", "run").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    runs = settled(runs.withColumn("id", F.col("row").cast("long") * 2**31 + F.col("c0")))
-    below = runs.select("slide_idx", (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("id").alias("b"))
-    touching = runs.join(below, ["slide_idx", "row"]).where("c0 <= d1 + 1 and d0 <= c1 + 1").select("slide_idx", F.col("id").alias("a"), "b")
-    found = connect(runs, touching.union(touching.select("slide_idx", "b", "a")))
-    numbered = found.withColumn("comp", F.dense_rank().over(Window.partitionBy("slide_idx").orderBy("comp")))
-    joined = runs.join(numbered, ["slide_idx", "id"]).select("slide_idx", "row", "run", "comp")
-    return runs_of.join(joined, ["slide_idx", "row", "run"]).drop("run")
+    """Adds comp to cells: 8-connected regions of a slide, numbered from 1 by their first cell in scan order. Regions are found
+    in squares of a bounded number of cells; only those that meet across the squares' borders are joined in rounds."""
+    square = [F.floor(F.col(c) / SQUARE).alias(f"_{c}") for c in ("row", "col")]
+    schema = StructType([*cells.schema.fields, StructField("_id", LongType())])
+    found = settled(cells.groupBy("slide_idx", *square).applyInArrow(_regions_of_square, schema))
+    outer = " or ".join(f"{c} % {SQUARE} in (0, {SQUARE - 1})" for c in ("row", "col"))
+    border = found.where(outer).select(*CELL, "_id")
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
+    sent = border.select("slide_idx", F.col("_id").alias("a"), "row", "col", steps.alias("s")).select("slide_idx", "a", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
+    edges = settled(sent.join(border.withColumnRenamed("_id", "b"), CELL).where("a <> b").select("slide_idx", "a", "b").distinct())
+    ids = found.select("slide_idx", F.col("_id").alias("id")).distinct()
+    if not edges.isEmpty():
+        joined = connect(edges.select("slide_idx", F.col("a").alias("id")).distinct(), edges).withColumnRenamed("comp", "first")
+        ids = ids.join(joined, ["slide_idx", "id"], "left").select("slide_idx", "id", F.coalesce("first", "id").alias("first"))
+    else:
+        ids = ids.withColumn("first", F.col("id"))
+    numbers = ids.select("slide_idx", F.col("id").alias("_id"), F.dense_rank().over(Window.partitionBy("slide_idx").orderBy("first")).alias("comp"))
+    return found.join(settled(numbers), ["slide_idx", "_id"]).select(*cells.columns, "comp")
 
 
 def _near(points: DataFrame, radius: int, strict: bool = False) -> DataFrame:
@@ -169,7 +210,8 @@ def lesions_nms(cells: DataFrame, radius: int = 6, cutoff: float = 0.5) -> DataF
         won = settled(live.join(beaten, ["slide_idx", "id"], "left_anti"))
         taken = won if taken is None else taken.unionByName(won)
         gone = pairs.join(won.select("slide_idx", F.col("id").alias("a")), ["slide_idx", "a"], "left_semi").select("slide_idx", F.col("b").alias("id")).distinct()
-        live = settled(live.join(gone, ["slide_idx", "id"], "left_anti"))
+        before, live = live, settled(live.join(gone, ["slide_idx", "id"], "left_anti"))
+        discard(cells.sparkSession, before.settled_path)
     taken = live if taken is None else taken
     return taken.join(counts, ["slide_idx", "id"]).select("slide_idx", F.shiftright("id", 31).cast("int").alias("row"), F.col("id").bitwiseAND(2**31 - 1).cast("int").alias("col"), F.col("value").alias("prob_score"), "pixels")
 

@@ -15,7 +15,7 @@ from slidegrid.operators import models as ml
 from slidegrid.operators import regions as rg
 from slidegrid.plans.fixtures import EVAL_MASK, PATCHES, PIXELS, POLYGONS, SLIDES, eval_mask, patches, pixels, polygons, slides, table
 from slidegrid.plans.registry import query
-from slidegrid.plans.region_queries import wide_features
+from slidegrid.plans.region_queries import WIDE_VIEWS, wide_features, wide_sql
 from slidegrid.sources import tables as src
 
 P, S, X, G = (PATCHES,), (SLIDES,), (PIXELS,), (POLYGONS,)
@@ -70,7 +70,7 @@ def _(spark, d):
     return src.manifest_row(s, "/data")
 
 
-@query("annotation_scan")
+@query("annotation_scan", "select 'A' || slide_idx as name, 'polygon' as type, 'tumor' as label, cast(count(*) as int) as n_vertices, cast(min(x) filter (where ord = 0) as double) as first_x from polygons group by slide_idx", (POLYGONS,))
 def _(spark, d):
     """Writes the polygons as XML documents and scans them."""
     corner = F.struct(F.col("ord").cast("string").alias("_Order"), F.col("x").cast("string").alias("_X"), F.col("y").cast("string").alias("_Y"))
@@ -228,7 +228,7 @@ def _(spark, d):
     return ml.slide_boosted(train, rows, names, "y").drop(*names)
 
 
-@query("slide_features_all")
+@query("slide_features_all", wide_sql(tags=False), WIDE_VIEWS)
 def _(spark, d):
     return wide_features(spark, d).drop("tags")
 

@@ -97,7 +97,15 @@ def _(spark, d):
     return props.select("slide_idx", "comp", *[F.round(c, 6).alias(c) for c in _AXES])
 
 
-@query("region_solidity")
+#: Hull areas: a directed pair of outer points is a side where no other point lies right of it or further along it.
+HULL = """ends as (select slide_idx, comp, y, min(c0) as a, max(c1) as b from (select slide_idx, comp, "row" + v as y, min(col) as c0, max(col) + 1 as c1 from comps, (values (0), (1)) as t(v) group by 1, 2, 3, "row") group by 1, 2, 3),
+ outer_points as (select slide_idx, comp, a as x, y from ends union select slide_idx, comp, b, y from ends),
+ sides as (select p.slide_idx, p.comp, p.x as px, p.y as py, q.x as qx, q.y as qy from outer_points p join outer_points q on p.slide_idx = q.slide_idx and p.comp = q.comp and (p.x <> q.x or p.y <> q.y) join outer_points s on s.slide_idx = p.slide_idx and s.comp = p.comp
+  group by all having bool_and((q.x - p.x) * (s.y - p.y) - (q.y - p.y) * (s.x - p.x) > 0 or ((q.x - p.x) * (s.y - p.y) = (q.y - p.y) * (s.x - p.x) and (s.x - p.x) * (s.x - q.x) + (s.y - p.y) * (s.y - q.y) <= 0))),
+ solid as (select slide_idx, comp, n * 2 / sum(px * qy - qx * py)::double as solidity from sides join (select slide_idx, comp, count(*) as n from comps group by 1, 2) using (slide_idx, comp) group by slide_idx, comp, n)"""
+
+
+@query("region_solidity", f"{R}{comps_sql('value >= 0.5')}, {HULL} select slide_idx, comp, solidity from solid", (PATCHES, HEAT))
 def _(spark, d):
     return rg.region_solidity(rg.components(cells_at(spark, d, 0.5)))
 
@@ -120,7 +128,10 @@ def _(spark, d):
     return _rounded(rg.lesions_two_model(rg.components(cells_at(spark, d, 0.9)), heat(spark, d, "tumor_b"), 256))
 
 
-@query("lesions_nms")
+@query("lesions_nms", f"""{R}live as (select slide_idx, list({{v: value, r: "row", c: col}} order by value desc, "row", col) as l from hm where value >= 0.5 group by 1),
+ greedy as (select slide_idx, l[1] as top, list_filter(l, lambda x: (x.r - l[1].r) * (x.r - l[1].r) + (x.c - l[1].c) * (x.c - l[1].c) >= 36) as l from live
+  union all select slide_idx, l[1], list_filter(l, lambda x: (x.r - l[1].r) * (x.r - l[1].r) + (x.c - l[1].c) * (x.c - l[1].c) >= 36) from greedy where len(l) > 0)
+ select g.slide_idx, g.top.r as "row", g.top.c as col, g.top.v as prob_score, count(*) as pixels from greedy g join hm on hm.slide_idx = g.slide_idx and (hm."row" - g.top.r) * (hm."row" - g.top.r) + (hm.col - g.top.c) * (hm.col - g.top.c) < 36 group by all""", (PATCHES, HEAT))
 def _(spark, d):
     return rg.lesions_nms(heat(spark, d), radius=6, cutoff=0.5)
 
@@ -254,10 +265,24 @@ def wide_features(spark, d) -> DataFrame:
     top, solid = rg.region_props(found), rg.region_solidity(found)
     top = rg.top_regions(top.join(solid, ["slide_idx", "comp"]), 2, [*_TOP, "solidity"])
     named = slides(spark, d).select("slide_idx", "slide_name", F.col("label").alias("slide_label"), "tags")
-    return named.join(rg.global_features(heat(spark, d)), "slide_idx", "left").join(top, "slide_idx", "left").fillna(0.0)
+    named = named.join(rg.global_features(heat(spark, d)), "slide_idx", "left").join(top, "slide_idx", "left").fillna(0.0)
+    return named.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in named.dtypes])
+
+
+_WIDE = [*_TOP, "solidity"]
+WIDE_VIEWS = (SLIDES, PATCHES, HEAT)
+
+
+def wide_sql(tags: bool) -> str:
+    shares = {f"area_ratio_{t}": f"count(*) filter (where value >= {t / 10}) / count(*)::double" for t in range(5, 10)} | {f"prob_score_{t}": f"sum(case when value >= {t / 10} then value else 0 end) / count(*)" for t in range(5, 10)}
+    cells = {f"{c}_{k}": f"max(case when rank = {k} then {c} end)::double" for k in (1, 2) for c in _WIDE}
+    listed = lambda of: ", ".join(f"{v} as {k}" for k, v in of.items())
+    return f"""{R}{comps_sql('value >= 0.5')}, {PROPS}, {HULL}, every as (select *, area / bbox_area::double as extent, (max_col - min_col) / (max_row - min_row)::double as aspect_ratio, row_number() over (partition by slide_idx order by area desc, comp desc) as rank from props join solid using (slide_idx, comp)),
+ best as (select slide_idx, {listed(cells)} from every where rank <= 2 group by 1), shares as (select slide_idx, {listed(shares)} from hm group by 1)
+ select slide_idx, slide_name, label as slide_label, {"tags, " if tags else ""}{", ".join(f"round(coalesce({c}, 0), 6) as {c}" for c in [*shares, *cells])} from slides left join shares using (slide_idx) left join best using (slide_idx)"""
 
 
-@query("slide_features_wide")
+@query("slide_features_wide", wide_sql(tags=True), WIDE_VIEWS)
 def _(spark, d):
     return wide_features(spark, d)
 
