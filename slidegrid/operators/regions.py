@@ -159,11 +159,14 @@ def region_props(cells: DataFrame) -> DataFrame:
 
 
 def region_solidity(cells: DataFrame) -> DataFrame:
-    """area / area of the convex hull of each region's cells. Regions are first cut to their rows' ends, so a group handed to
-    Python has two points a row."""
+    """area / area of the convex hull of each region's cells. Regions that fill their box have 1; the others
+    are first cut to their rows' ends, so a group handed to Python has two points a row."""
     import pandas as pd
 
-    ends = cells.groupBy("slide_idx", "comp", "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.count("*").alias("n"))
+    box = (F.max("row") - F.min("row") + 1) * (F.max("col") - F.min("col") + 1)
+    boxes = settled(cells.groupBy("slide_idx", "comp").agg((F.count("*") == box).alias("whole")))
+    whole = boxes.where("whole").select("slide_idx", "comp", F.lit(1.0).alias("solidity"))
+    ends = cells.join(boxes.where("not whole").select("slide_idx", "comp"), ["slide_idx", "comp"]).groupBy("slide_idx", "comp", "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.count("*").alias("n"))
 
     def hull(group: pd.DataFrame) -> pd.DataFrame:
         points = sorted({(x, y) for r, a, b in zip(group["row"], group["c0"], group["c1"]) for x in (r, r + 1) for y in (a, b + 1)})
@@ -179,7 +182,7 @@ def region_solidity(cells: DataFrame) -> DataFrame:
             area2 += a * d - b * c
         return pd.DataFrame({"slide_idx": [group["slide_idx"].iloc[0]], "comp": [group["comp"].iloc[0]], "solidity": [group["n"].sum() * 2 / abs(area2)]})
 
-    return ends.groupBy("slide_idx", "comp").applyInPandas(hull, "slide_idx long, comp int, solidity double")
+    return whole.unionByName(ends.groupBy("slide_idx", "comp").applyInPandas(hull, "slide_idx long, comp int, solidity double"))
 
 
 def lesions_of(props: DataFrame, cell: int) -> DataFrame:

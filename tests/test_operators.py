@@ -44,6 +44,26 @@ def test_components(spark):
         assert all(one[n] == k for n in one if max(abs(n[0] - r), abs(n[1] - c)) == 1)
 
 
+def test_components_across_squares(spark, monkeypatch):
+    """Small squares, so that regions wind through many of them, give the regions of one large square."""
+    rng = random.Random(8)
+    spiral = "######### ........# #######.# #.....#.# #.###.#.# #.#...#.# #.#####.# #.......# #########"
+    for text, side in ((spiral, 4), (" ".join("".join(rng.choice("##..") for _ in range(17)) for _ in range(15)), 3)):
+        cells = grid(spark, text).unionByName(grid(spark, text[::-1], slide=2)).where("value > 0")
+        named = lambda: sorted((r.slide_idx, r["row"], r["col"], r.comp) for r in rg.components(cells).collect())  # noqa: B023, E731
+        whole = named()
+        monkeypatch.setattr(rg, "SQUARE", side)
+        assert named() == whole
+        monkeypatch.undo()
+    assert rg.components(cells.where("false")).count() == 0
+
+
+def test_solidity(spark):
+    cells = grid(spark, "###...## ###..##. .....#.. #.......").where("value > 0")
+    got = {r.comp: r.solidity for r in rg.region_solidity(rg.components(cells)).collect()}
+    assert got == pytest.approx({1: 1.0, 2: 5 / 6.5, 3: 1.0})  # the hull (6,0) (8,0) (8,1) (6,3) (5,3) (5,1) has 6.5
+
+
 def test_dbscan(spark):
     rows = [(1, r, c, 1.0) for r in range(3) for c in range(4)] + [(1, 1, 7, 1.0), (1, 1, 20, 1.0)]
     got = as_grid(rg.dbscan(spark.createDataFrame(rows, "slide_idx long, row int, col int, value double"), 5, 10), "comp")
@@ -78,6 +98,35 @@ def test_froc(spark):
     assert rg.froc_score(curve).first().froc == pytest.approx(5 * 0.5 / 6)
 
 
+def test_froc_samples(spark):
+    """Score, bounds and curve of resampled lesions and regions against plain loops over the same draws."""
+    import hashlib
+
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = sorted({(rng.randrange(3), 0, rng.choice([0.2, 0.5, 0.6, 0.7, 0.8, 0.9]) + k / 1000) for k in range(14)} | {(s, 1 + k, rng.choice([0.0, 0.4, 0.65, 0.95])) for s in range(3) for k in range(3)})
+    reps, images = 25, 3
+    df = spark.createDataFrame([(s, k, k == 3, p) for s, k, p in rows], "slide_idx long, label int, is_itc boolean, prob double")
+    drawn = rg.settled(mt.bootstrap(df, ["slide_idx", "label", "prob"], reps, 11))
+    curve = rg.froc_curve(drawn.where("label = 0").select("rep", "prob", "weight"), drawn.where("label > 0").select("rep", "is_itc", "prob", "weight"), spark.range(images), by=("rep",))
+    scores = {r.rep: r.froc for r in rg.froc_score(curve, by=("rep",)).collect()}
+    curves = {}
+    for r in curve.collect():
+        curves.setdefault(r.rep, []).append((r.total_fps, r.sensitivity))
+    for rep in range(reps):
+        some = [rows[int(hashlib.md5(f"11/{rep}/{k}".encode()).hexdigest()[:8], 16) % len(rows)] for k in range(len(rows))]
+        false, true = [p for _, k, p in some if k == 0], [p for _, k, p in some if k in (1, 2)]
+        at = sorted(set(false) | set(true), reverse=True)[:-1]
+        points = [(sum(p >= t for p in false) / images, sum(p >= t for p in true) / len(true) if true else None) for t in at] + [(0.0, 0.0)]
+        order = lambda ps: sorted(ps, key=lambda p: (p[0], p[1] or 0))
+        assert order(curves[rep]) == [pytest.approx(p) for p in order(points)]
+        best = [max([s for f, s in points if f <= x and s is not None], default=0.0) for x in (8, 4, 2, 1, 0.5, 0.25)]
+        assert scores[rep] == pytest.approx(sum(best) / 6)
+    bounds = {r.row_name: r.froc for r in mt.percentile_ci(rg.froc_score(curve, by=("rep",)), ["froc"]).collect()}
+    assert [bounds["ci_lower_bound"], bounds["ci_upper_bound"]] == pytest.approx(list(np.quantile(list(scores.values()), [0.025, 0.975])))
+
+
 def test_patient_stage_and_kappa(spark):
     kinds = {"a": ["negative"] * 5, "b": ["itc"] + ["negative"] * 4, "c": ["micro"] * 3 + ["itc"] * 2, "d": ["macro", "micro", "micro", "itc", "itc"], "e": ["macro", "micro", "micro", "micro", "itc"], "f": ["macro"] * 2}
     rows = [(p, s, "pN0") for p, ss in kinds.items() for s in ss]
