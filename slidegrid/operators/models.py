@@ -48,28 +48,41 @@ def _pipeline(learner, features: list[str], label: str):
     return fit
 
 
-def slide_forest(train: DataFrame, rows: DataFrame, features: list[str], label: str, trees: int = 100, seed: int = 7) -> DataFrame:
-    """Random forest of slide features: predicted and a probability for each class, named by the class."""
+def slide_forest(train: DataFrame, rows: DataFrame, features: list[str], label: str, trees: int = 100, seed: int = 7, path: str | None = None) -> DataFrame:
+    """Random forest of slide features: predicted and a probability for each class, named by the class. The fitted model is saved
+    at path, where one is given."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
 
     learner = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, featureSubsetStrategy="sqrt", seed=seed)
     model, labels = _pipeline(learner, features, label)(train)
+    if path:
+        model.write().overwrite().save(path)
     out = model.transform(rows).withColumn("_p", vector_to_array("probability"))
     return out.select(*rows.columns, "predicted", *[F.get("_p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(labels)])
 
 
-def slide_boosted(train: DataFrame, rows: DataFrame, features: list[str], label: str, seed: int = 7) -> DataFrame:
-    """Gradient-boosted trees for two classes, one against the rest for more."""
+def slide_boosted(train: DataFrame, rows: DataFrame, features: list[str], label: str, seed: int = 7, path: str | None = None) -> DataFrame:
+    """Gradient-boosted trees for two classes, one against the rest for more. The fitted model is saved at path, where one is
+    given."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest
 
     learner = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=10, seed=seed)
     if train.select(label).distinct().count() > 2:
         learner = OneVsRest(classifier=learner, featuresCol="_features", labelCol="_label")
     model, _ = _pipeline(learner, features, label)(train)
+    if path:
+        model.write().overwrite().save(path)
     return model.transform(rows).select(*rows.columns, "predicted")
 
 
+def slide_predict(rows: DataFrame, path: str) -> DataFrame:
+    """Adds predicted by a model that slide_forest or slide_boosted saved; the rows need its features, not the label."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path).transform(rows).select(*rows.columns, "predicted")
+
+
 def rotate(tiles: DataFrame, angle: Column, side: int) -> DataFrame:
     """Turns square tiles anticlockwise by 0, 90, 180 or 270 degrees."""
     r, c, last = F.col("row"), F.col("col"), F.lit(side - 1)

@@ -253,3 +253,15 @@ def test_slide_models_learn_all(spark, monkeypatch):
     monkeypatch.undo()
     forest = QUERIES["slide_rf"](spark, d)
     assert {f"p_c{k}" for k in range(10)} <= set(forest.columns) and forest.count() == len(vectors)
+
+
+def test_saved_slide_models(spark, tmp_path):
+    """A saved model says the same of rows without labels as it did when it was fitted."""
+    from slidegrid.operators import models as ml
+
+    rows = spark.createDataFrame([(k, float(k % 7), float(k % 3), "normal" if k % 7 < 3 else "tumor") for k in range(60)], "slide_idx long, f0 double, f1 double, y string")
+    for fit, name in ((lambda p: ml.slide_forest(rows, rows, ["f0", "f1"], "y", trees=5, path=p), "forest"), (lambda p: ml.slide_boosted(rows, rows, ["f0", "f1"], "y", path=p), "boosted")):
+        path = f"file://{tmp_path}/{name}"
+        fitted = {r.slide_idx: r.predicted for r in fit(path).collect()}
+        assert {r.slide_idx: r.predicted for r in ml.slide_predict(rows.drop("y"), path).collect()} == fitted
+        assert fitted == {r.slide_idx: r.y for r in rows.collect()}
