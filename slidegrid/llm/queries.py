@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidegrid.llm import chat, licenses, mixing, near_dedup, packing, quality, suffix_dedup, token_shards, topk, toxicity
+from slidegrid.llm import chat, licenses, mixing, near_dedup, packing, quality, suffix_dedup, token_shards, topk, toxicity, vector_codes
 from slidegrid.llm.shared import fresh_path
 
 
@@ -71,11 +71,15 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select(*digests, F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_shards, op2_chat_formatting, op3_source_mixing, op4_best_fit_packing, op5_exact_top_k, op6_license_scan,
-        op7_toxicity, op8_near_dedup, op9_quality_rules, op10_suffix_array_dedup,
+        op7_toxicity, op8_near_dedup, op9_quality_rules, op10_suffix_array_dedup, op13_vector_codes,
     )
 }
 
@@ -87,4 +91,4 @@ r as (select *, cast(row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from r where rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_top_k": _TOP_K_SQL, "op6_license_scan": licenses.SQL, "op9_quality_rules": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_exact_top_k": _TOP_K_SQL, "op6_license_scan": licenses.SQL, "op9_quality_rules": quality.SQL, "op13_vector_codes": vector_codes.SQL}
