@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidegrid.llm import chat, licenses, mixing, near_dedup, packing, quality, suffix_dedup, token_shards, topk, toxicity, vector_codes
+from slidegrid.llm import bpe, chat, licenses, mixing, near_dedup, packing, quality, spelling, suffix_dedup, token_shards, topk, toxicity, vector_codes
 from slidegrid.llm.shared import fresh_path
 
 
@@ -71,6 +71,17 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.select(*digests, F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    digests = [F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
+    return both.select("doc_id", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), *digests)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"), least_length=7, least_count=2, drop_every=31)
+    return spelling.spelling_variants(words, ratio=10)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -79,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_shards, op2_chat_formatting, op3_source_mixing, op4_best_fit_packing, op5_exact_top_k, op6_license_scan,
-        op7_toxicity, op8_near_dedup, op9_quality_rules, op10_suffix_array_dedup, op13_vector_codes,
+        op7_toxicity, op8_near_dedup, op9_quality_rules, op10_suffix_array_dedup, op11_bpe, op12_spelling_variants, op13_vector_codes,
     )
 }
 
