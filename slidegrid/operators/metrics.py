@@ -1,9 +1,10 @@
 """Evaluation of patch, slide and patient predictions: confusion counts, curves, areas, bootstrap intervals, staging, kappa.
 
-Curves need running sums over all rows in order of score. They are taken in two steps: rows are first counted by score
-within range buckets, the buckets' totals (few) are summed in order, and a bucket's rows are summed in one task, so no
-task sees all rows. Areas and interpolation go through ranges of the points in the same way. Bootstrap replicates are a column, not a loop; each replicate's draws are counted before they meet
-the rows.
+Curves need running sums over all rows in order of score. They are taken in two steps: rows are counted by score and cut
+into ranges at sampled places, the ranges' totals (few) are summed in order, and a range's rows are summed in one task, so
+no task sees all rows. Areas and interpolation go through ranges of the points in the same way. Bootstrap replicates are a
+column, not a loop; rows that a report can't tell apart are counted first, and each replicate's share of them is drawn
+where they lie (operators/resampling.py).
 """
 
 from __future__ import annotations
@@ -11,13 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidegrid.functions.draws import draw
 from slidegrid.operators.regions import settled
+from slidegrid.operators.resampling import resample, resampled_curves
 
-#: Range buckets of scores in [0, 1] for running sums.
-BUCKETS = 256
-#: Draws of a replicate that one task makes at a time.
-STRETCH = 65_536
 STAGES = ("negative", "itc", "micro", "macro")
 PATIENT_STAGES = ("pN0", "pN0(i+)", "pN1mi", "pN1", "pN2")
 
@@ -62,18 +59,25 @@ def metrics_multi(rows: DataFrame, vocabulary: tuple, true: str = "label", predi
     return rows.groupBy(*by).agg(ratio(F.sum(F.when(F.col(true) == F.col(predicted), w).otherwise(0)), F.sum(w)).alias("accuracy"), *cells)
 
 
+def running(counts: DataFrame, by: tuple[str, ...], order: list[Column], columns: list[str]) -> DataFrame:
+    """Adds to_X, the sum of X up to a row in the order, and all_X, the sum over all rows of a group of by, for each column. Rows
+    are cut into ranges of the order at sampled places, so that ranges are alike however the values lie; a range's rows
+    are summed on their own and moved by the totals of the ranges before."""
+    ranged = _ranged(counts, by, order)
+    before, whole = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)  # a row for each range
+    sums = ranged.groupBy(*by, "_p").agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])
+    sums = sums.select(*by, "_p", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in columns], *[F.sum(f"_sum_{c}").over(whole).alias(f"all_{c}") for c in columns])
+    inside = Window.partitionBy(*by, "_p").orderBy(*order)
+    joined = ranged.join(sums, [*by, "_p"])
+    return joined.select(*counts.columns, *[(F.col(f"_before_{c}") + F.sum(c).over(inside)).alias(f"to_{c}") for c in columns], *[f"all_{c}" for c in columns])
+
+
 def binary_curve(rows: DataFrame, score: str, positive: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """One point for each distinct score, highest first: threshold, tp and fp so far, precision, recall, fpr. Ties are one
-    point. Scores lie in [0, 1]."""
+    point."""
     w = F.col("weight") if "weight" in rows.columns else F.lit(1)
     counts = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(F.when(positive, w).otherwise(0)).alias("p"), F.sum(F.when(positive, 0).otherwise(w)).alias("n"))
-    counts = counts.withColumn("bucket", F.floor((1 - F.col("threshold")) * BUCKETS).cast("int"))
-    sums = counts.groupBy(*by, "bucket").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
-    before, whole = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
-    none = F.lit(0)
-    sums = sums.select(*by, "bucket", F.coalesce(F.sum("bp").over(before), none).alias("p0"), F.coalesce(F.sum("bn").over(before), none).alias("n0"), F.sum("bp").over(whole).alias("all_p"), F.sum("bn").over(whole).alias("all_n"))
-    inside = Window.partitionBy(*by, "bucket").orderBy(F.desc("threshold"))
-    run = counts.join(sums, [*by, "bucket"]).withColumn("tp", F.col("p0") + F.sum("p").over(inside)).withColumn("fp", F.col("n0") + F.sum("n").over(inside))
+    run = running(counts, by, [F.desc("threshold")], ["p", "n"]).withColumns({"tp": F.col("to_p"), "fp": F.col("to_n")})
     return run.select(*by, "threshold", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("all_p")).alias("recall"), ratio(F.col("fp"), F.col("all_n")).alias("fpr"))
 
 
@@ -117,29 +121,10 @@ def interp_curve(curve: DataFrame, levels: DataFrame, x: str, y: str, by: tuple[
     return both.select(*by, F.col("x").alias("level"), value.alias("value"))
 
 
-def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Adds _i, the place from 0 of each row in order of key: rows are sorted by range, ranges counted, and each range's
-    rows numbered from the sum of those before it, a number for each partition."""
-    ranged = settled(rows.repartitionByRange(*key).withColumn("_p", F.spark_partition_id()))
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    firsts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*key)) - 1
-    return ranged.withColumn("_i", inside).join(firsts, "_p").withColumn("_i", F.col("_i") + F.col("_first")).drop("_p", "_first")
-
-
 def bootstrap(rows: DataFrame, key: list[str], reps: int, seed: int) -> DataFrame:
-    """reps resamples of the size of rows, with replacement: rep and weight (how often the row was drawn). Draw k of a
-    replicate takes row number h(rep, k) mod n; draws are counted first, so each row meets a replicate once."""
-    placed = numbered(rows, key)
-    n = rows.agg(F.count("*").alias("_n"))
-    # A replicate's draws are made in stretches, which are dealt to tasks before they are made.
-    stretch = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / STRETCH)))
-    dealt = n.where("_n > 0").select("_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("_n", "rep", stretch.alias("_s")).repartition("rep", "_s")
-    within = F.sequence(F.col("_s") * STRETCH, F.least((F.col("_s") + 1) * STRETCH, F.col("_n")) - 1)
-    draws = dealt.select("_n", "rep", F.explode(within).alias("_k"))
-    counted = draws.groupBy("rep", (draw(seed, "rep", "_k") % F.col("_n")).alias("_i")).agg(F.count("*").alias("weight"))
-    return counted.join(placed, "_i").drop("_i")
+    """reps resamples of the size of rows, with replacement: rep and weight (how often the row was drawn). The key orders rows
+    and is one row's own."""
+    return resample(rows, [F.asc(k) for k in key], reps, seed)
 
 
 def percentile_ci(samples: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
@@ -149,34 +134,43 @@ def percentile_ci(samples: DataFrame, columns: list[str], by: tuple[str, ...] =
     return aggregated.select("*", names.alias("r")).select(*by, "r.row_name", *[F.get(c, F.col("r.i")).alias(c) for c in columns])
 
 
-def slide_report(rows: DataFrame, key: str, reps: int, seed: int, levels: int = 100) -> DataFrame:
-    """The whole report of two-class slides (key, label and said 0 or 1, score in [0, 1]), told apart by row_name: results
-    and each sample_i with accuracy, tn, fp, fn, tp and auc; their ci_lower_bound and ci_upper_bound; curve, the ROC points
-    (threshold, fpr, tpr); curve_ci, bounds of tpr at levels of fpr. Areas and levels count from the curve's origin, so that
-    a tie at the highest score has its area; a sample's area is that of its levels. Samples of one class have no curve."""
+def by_score(rows: DataFrame, score: str, positive: Column) -> DataFrame:
+    """threshold (each distinct score), p and n, its positive and negative rows."""
+    return rows.groupBy(F.col(score).alias("threshold")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+
+
+def _sampled(rows: DataFrame, reps: int, seed: int, x: str, y: str, levels: int, skip: int, **how) -> tuple[DataFrame, DataFrame]:
+    """Figures of all samples (counts, and the area under y over the levels of x from number `skip` on), and y at the levels."""
+    at = [k / levels for k in range(levels + 1)]
+    figures, values = resampled_curves(by_score(rows, "score", F.col("label") == 1), reps, seed, x, y, at, **how)
+    ends = F.when((F.col("k") == skip) | (F.col("k") == levels), F.col("value") / 2).otherwise(F.col("value"))
+    areas = values.where(F.col("k") >= skip).groupBy("rep").agg((F.sum(ends) / levels).alias("auc"))
+    return settled(figures.join(areas, "rep", "left")), values
+
+
+def slide_report(rows: DataFrame, reps: int, seed: int, cutoff: float = 0.9, levels: int = 100) -> DataFrame:
+    """The whole report of two-class slides (label 0 or 1, score in [0, 1]; positive is a score above the cutoff), told apart
+    by row_name: results and each sample_i with accuracy, tn, fp, fn, tp and auc; their ci_lower_bound and ci_upper_bound;
+    curve, the ROC points (threshold, fpr, tpr); curve_ci, bounds of tpr at levels of fpr. Areas and levels count from the
+    curve's origin, so that a tie at the highest score has its area; a sample's area is that of its levels. Samples of one
+    class have no curve."""
     names = ["accuracy", "tn", "fp", "fn", "tp", "auc"]
     rows = settled(rows)
-    drawn = settled(bootstrap(rows, [key], reps, seed))
-
-    def roc(of: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-        points = binary_curve(of, "score", F.col("label") == 1, by).where("fpr is not null and recall is not null").select(*by, "threshold", "fpr", "recall")
-        points = settled(points)
-        origin = points.groupBy(*by).agg(F.max(F.lit(float("inf"))).alias("threshold"), F.max(F.lit(0.0)).alias("fpr"), F.max(F.lit(0.0)).alias("recall"))
-        return points, points.unionByName(origin)
-
-    counts = lambda of, by=(): patch_metrics(of, positive=1, score="said", by=by).select(*by, *names[:-1])
-    points, whole = roc(rows, ())
-    results = counts(rows).crossJoin(curve_auc(whole, "fpr", "recall"))  # one row each
-    _, sampled = roc(drawn, ("rep",))
-    asked = sampled.select("rep").distinct().select("rep", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("k")).select("rep", (F.col("k") / float(levels)).alias("level"))
-    at = settled(interp_curve(sampled, asked, "fpr", "recall", ("rep",)))
-    areas = curve_auc(at.withColumn("threshold", F.lit(None).cast("double")), "level", "value", ("rep",))
-    samples = settled(counts(drawn, ("rep",)).join(areas, "rep", "left"))
-    band = percentile_ci(at, ["value"], ("level",)).groupBy("level").agg(*[F.max(F.when(F.col("row_name") == f"ci_{side}_bound", F.col("value"))).alias(f"tpr_{side}") for side in ("lower", "upper")])
-    out = results.withColumn("row_name", F.lit("results")).unionByName(samples.withColumn("row_name", F.concat(F.lit("sample_"), "rep")).drop("rep")).unionByName(percentile_ci(samples, names))
-    out = out.select("row_name", *[F.col(c).cast("double").alias(c) for c in names])
+    points = settled(binary_curve(rows, "score", F.col("label") == 1).where("fpr is not null and recall is not null").select("threshold", "fpr", "recall"))
+    origin = rows.agg(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("recall"), F.min("label").alias("a"), F.max("label").alias("b"))
+    whole = points.unionByName(origin.where("a <> b").drop("a", "b"))
+    said = rows.withColumn("said", (F.col("score") > cutoff).cast("int"))
+    results = patch_metrics(said, positive=1, score="said").select(*names[:-1]).crossJoin(curve_auc(whole, "fpr", "recall"))  # one row each
+    samples, values = _sampled(rows, reps, seed, "fpr", "recall", levels, 0, threshold=cutoff, strict=True, origin=True)
+    out = named_rows(results, with_accuracy(samples), names)
     out = out.unionByName(points.select(F.lit("curve").alias("row_name"), "threshold", "fpr", F.col("recall").alias("tpr")), True)
-    return out.unionByName(band.select(F.lit("curve_ci").alias("row_name"), F.col("level").alias("fpr"), "tpr_lower", "tpr_upper"), True)
+    return out.unionByName(band(values, "fpr", "tpr").withColumn("row_name", F.lit("curve_ci")), True)
+
+
+def with_accuracy(counts: DataFrame) -> DataFrame:
+    """Adds accuracy, recall, specificity and precision to tn, fp, fn and tp."""
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    return counts.withColumns({"accuracy": ratio(tp + tn, tp + tn + fp + fn), "recall": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp), "precision": ratio(tp, tp + fp)})
 
 
 def named_rows(results: DataFrame, samples: DataFrame, columns: list[str]) -> DataFrame:
@@ -200,35 +194,41 @@ def levels_of(reps: DataFrame, first: int, last: int, scale: float) -> DataFrame
 PATCH_FIGURES = ["accuracy", "tn", "fp", "fn", "tp", "recall", "specificity", "precision", "auc"]
 
 
-def patch_report(rows: DataFrame, key: list[str], reps: int, seed: int, threshold: float = 0.5, levels: int = 1000) -> DataFrame:
+def patch_report(rows: DataFrame, reps: int, seed: int, threshold: float = 0.5, levels: int = 1000) -> DataFrame:
     """The whole report of patches (label 0 or 1, score in [0, 1]), told apart by row_name: results and samples with their
     bounds; curve, the precision-recall points (threshold, recall, precision); curve_ci, bounds of precision at levels of
     recall. A sample's area is that of its levels but the first. Samples without a positive row have no curve."""
-    counts = lambda of, by=(): patch_metrics(of, positive=1, score="score", threshold=threshold, by=by)
-    curve = lambda of, by=(): binary_curve(of, "score", F.col("label") == 1, by).where("recall is not null").select(*by, "threshold", "recall", "precision")
     rows = settled(rows)
-    drawn = settled(bootstrap(rows, key, reps, seed))
-    points, sampled = settled(curve(rows)), settled(curve(drawn, ("rep",)))
-    at = settled(interp_curve(sampled, levels_of(sampled.select("rep").distinct(), 0, levels, levels), "recall", "precision", ("rep",)))
-    areas = curve_auc(at.where("level > 0").withColumn("threshold", F.lit(None).cast("double")), "level", "value", ("rep",))
-    samples = settled(counts(drawn, ("rep",)).join(areas, "rep", "left"))
-    out = named_rows(counts(rows).crossJoin(curve_auc(points, "recall", "precision")), samples, PATCH_FIGURES)  # one row each
+    points = settled(binary_curve(rows, "score", F.col("label") == 1).where("recall is not null").select("threshold", "recall", "precision"))
+    samples, values = _sampled(rows, reps, seed, "recall", "precision", levels, 1, threshold=threshold)
+    results = patch_metrics(rows, positive=1, score="score", threshold=threshold).crossJoin(curve_auc(points, "recall", "precision"))  # one row each
+    out = named_rows(results, with_accuracy(samples), PATCH_FIGURES)
     out = out.unionByName(points.select(F.lit("curve").alias("row_name"), "threshold", F.col("recall").alias("level"), F.col("precision").alias("value")), True)
-    return out.unionByName(band(at, "level", "value").withColumn("row_name", F.lit("curve_ci")), True)
+    return out.unionByName(band(values, "level", "value").withColumn("row_name", F.lit("curve_ci")), True)
+
+
+def cells(rows: DataFrame, true: str, predicted: str) -> DataFrame:
+    """n, the rows of each pair of a true and a predicted value."""
+    return rows.groupBy(true, predicted).agg(F.count("*").alias("n"))
 
 
-def multi_report(rows: DataFrame, key: list[str], reps: int, seed: int, vocabulary: tuple, true: str, predicted: str, kappa: bool = False) -> DataFrame:
+def resampled_cells(rows: DataFrame, reps: int, seed: int, true: str, predicted: str) -> DataFrame:
+    """rep, weight and the pairs: how many rows of each pair a replicate drew."""
+    return resample(cells(rows, true, predicted), [F.asc_nulls_first(true), F.asc_nulls_first(predicted)], reps, seed, "n").drop("n")
+
+
+def multi_report(rows: DataFrame, reps: int, seed: int, vocabulary: tuple, true: str, predicted: str, kappa: bool = False) -> DataFrame:
     """results, bounds and samples by row_name: accuracy, or the weighted kappa with the vocabulary in its order, and the
     cells true_X_pred_Y."""
-    rows = settled(rows)
-    drawn = settled(bootstrap(rows, key, reps, seed))
+    rows = settled(rows.select(true, predicted))
+    drawn = settled(resampled_cells(rows, reps, seed, true, predicted))
 
     def of(r: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-        cells = metrics_multi(r, vocabulary, true, predicted, by)
+        counted = metrics_multi(r, vocabulary, true, predicted, by)
         if not kappa:
-            return cells
+            return counted
         weighed = kappa_quadratic(r, true, predicted, vocabulary, by)
-        return (weighed.join(cells, list(by)) if by else weighed.crossJoin(cells)).drop("accuracy")  # one row each
+        return (weighed.join(counted, list(by)) if by else weighed.crossJoin(counted)).drop("accuracy")  # one row each
 
     figures = ["kappa" if kappa else "accuracy", *[f"true_{a}_pred_{b}" for a in vocabulary for b in vocabulary]]
     return named_rows(of(rows), settled(of(drawn, ("rep",))), figures)
@@ -236,11 +236,13 @@ def multi_report(rows: DataFrame, key: list[str], reps: int, seed: int, vocabula
 
 def patient_stage(slides: DataFrame, predicted: str = "prediction", per_patient: int = 5) -> DataFrame:
     """Stages patients by their slides: pN2 for a macro and at least four positive slides, pN1 for a macro, pN1mi for a
-    micro, pN0(i+) for isolated cells, else pN0. complete: the patient has all slides."""
+    micro, pN0(i+) for isolated cells, pN0 if all are negative; none (null) where a slide's prediction is not a known stage and
+    no rule above holds. complete: the patient has all slides; unknown: some prediction is not a stage."""
     is_ = lambda v: F.count_if(F.col(predicted) == v)
-    n = slides.groupBy("patient").agg(F.count("*").alias("n_slides"), is_("macro").alias("macro"), is_("micro").alias("micro"), is_("itc").alias("itc"), F.min("patient_stage").alias("true_stage"))
-    stage = F.when((F.col("macro") > 0) & (F.col("macro") + F.col("micro") >= 4), "pN2").when(F.col("macro") > 0, "pN1").when(F.col("micro") > 0, "pN1mi").when(F.col("itc") > 0, "pN0(i+)").otherwise("pN0")
-    return n.select("patient", stage.alias("predicted_stage"), "true_stage", (F.col("n_slides") == per_patient).alias("complete"))
+    n = slides.groupBy("patient").agg(F.count("*").alias("n_slides"), is_("macro").alias("macro"), is_("micro").alias("micro"), is_("itc").alias("itc"), is_("negative").alias("negative"), F.min("patient_stage").alias("true_stage"))
+    stage = F.when((F.col("macro") > 0) & (F.col("macro") + F.col("micro") >= 4), "pN2").when(F.col("macro") > 0, "pN1").when(F.col("micro") > 0, "pN1mi").when(F.col("itc") > 0, "pN0(i+)").when(F.col("negative") == F.col("n_slides"), "pN0")
+    known = F.col("macro") + F.col("micro") + F.col("itc") + F.col("negative")
+    return n.select("patient", stage.alias("predicted_stage"), "true_stage", (F.col("n_slides") == per_patient).alias("complete"), (known < F.col("n_slides")).alias("unknown"))
 
 
 def kappa_quadratic(rows: DataFrame, true: str = "true_stage", predicted: str = "predicted_stage", order: tuple[str, ...] = PATIENT_STAGES, by: tuple[str, ...] = ()) -> DataFrame:

@@ -99,8 +99,8 @@ def random_angle(seed: int, angles: tuple[int, ...], *keys: str) -> Column:
 
 
 def random_crop(tiles: DataFrame, side: int, diff: int, seed: int) -> DataFrame:
-    """Cuts diff rows and columns; one drawn offset for both axes of a tile."""
-    at = draw(seed, "slide_idx") % (diff + 1)
+    """Cuts diff rows and columns; one drawn offset below diff for both axes of a tile."""
+    at = draw(seed, "slide_idx") % max(diff, 1)
     size = side - diff
     moved = tiles.withColumn("_o", at.cast("int")).withColumns({"row": F.col("row") - F.col("_o"), "col": F.col("col") - F.col("_o")}).drop("_o")
     return moved.where((F.col("row") >= 0) & (F.col("row") < size) & (F.col("col") >= 0) & (F.col("col") < size))

@@ -138,12 +138,14 @@ def dbscan(cells: DataFrame, eps: int = 5, min_samples: int = 10) -> DataFrame:
 
 
 def region_props(cells: DataFrame) -> DataFrame:
-    """Properties of each region from one pass of sums: area, centroid, box, intensities, axes and eccentricity from the second
-    central moments (a cell adds 1/12 to each)."""
+    """Properties of each region from one pass of sums: area, centroid, box, rows over columns, intensities, axes and
+    eccentricity from the second central moments (a cell adds 1/12 to each). Intensities are summed as decimals, so that
+    the order of rows decides nothing."""
     r, c, v = F.col("row"), F.col("col"), F.col("value")
+    total = F.sum(v.cast("decimal(20,12)")).cast("double")
     s = cells.groupBy("slide_idx", "comp").agg(
         F.count("*").alias("area"), F.avg(r).alias("centroid_row"), F.avg(c).alias("centroid_col"), F.min(r).alias("min_row"), F.min(c).alias("min_col"), (F.max(r) + 1).alias("max_row"), (F.max(c) + 1).alias("max_col"),
-        F.max(v).alias("max_value"), F.avg(v).alias("mean_value"), F.min(v).alias("min_value"), F.sum(v).alias("sum_value"),
+        F.max(v).alias("max_value"), (total / F.count("*")).alias("mean_value"), F.min(v).alias("min_value"), total.alias("sum_value"),
         F.sum(r * r).alias("rr"), F.sum(c * c).alias("cc"), F.sum(r * c).alias("rc"), F.sum(r).alias("sr"), F.sum(c).alias("sc"),
     )
     n = F.col("area")
@@ -153,7 +155,7 @@ def region_props(cells: DataFrame) -> DataFrame:
     box = (F.col("max_row") - F.col("min_row")) * (F.col("max_col") - F.col("min_col"))
     return s.select(
         "slide_idx", "comp", "area", "centroid_row", "centroid_col", "min_row", "min_col", "max_row", "max_col", "max_value", "mean_value", "min_value", "sum_value",
-        box.alias("bbox_area"), (n / box).alias("extent"), ((F.col("max_col") - F.col("min_col")) / (F.col("max_row") - F.col("min_row"))).alias("aspect_ratio"), (1 / n).alias("density"),
+        box.alias("bbox_area"), (n / box).alias("extent"), ((F.col("max_row") - F.col("min_row")) / (F.col("max_col") - F.col("min_col"))).alias("aspect_ratio"), (1 / n).alias("density"),
         (4 * F.sqrt(l1)).alias("major_axis"), (4 * F.sqrt(l2)).alias("minor_axis"), F.sqrt(1 - l2 / l1).alias("eccentricity"),
     )
 
@@ -225,32 +227,25 @@ def itc_regions(mask: DataFrame, level: int, resolution: float = 0.243, limit: f
     return props.where(F.col("major_axis") < limit / (resolution * 2**level)).select("slide_idx", F.col("comp").alias("label"))
 
 
+def lesion_places(lesions: DataFrame, mask: DataFrame, itc: DataFrame, level: int) -> DataFrame:
+    """slide_idx, label, is_itc and prob of each lesion: the mask's region that its centre lies in, 0 outside of all."""
+    scale = float(2**level)
+    at = lesions.withColumn("row", F.floor(F.col("centre_y") / scale).cast("int")).withColumn("col", F.floor(F.col("centre_x") / scale).cast("int"))
+    hit = at.join(mask, CELL, "left").select("slide_idx", F.coalesce("label", F.lit(0)).alias("label"), F.col("prob_score").alias("prob"))
+    return hit.join(itc.withColumn("is_itc", F.lit(True)), ["slide_idx", "label"], "left").select("slide_idx", "label", F.coalesce("is_itc", F.lit(False)).alias("is_itc"), "prob")
+
+
 def lesion_hits(lesions: DataFrame, mask: DataFrame, itc: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """(false positives, regions): a lesion outside all regions is a false positive; one on isolated cells is ignored; else its
     region keeps the best probability. Regions that no lesion hits have 0, isolated ones are marked."""
-    scale = float(2**level)
-    at = lesions.withColumn("row", F.floor(F.col("centre_y") / scale).cast("int")).withColumn("col", F.floor(F.col("centre_x") / scale).cast("int"))
-    hit = at.join(mask, CELL, "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    false = hit.where("label = 0").select("slide_idx", F.col("prob_score").alias("prob"))
-    best = hit.where("label > 0").groupBy("slide_idx", "label").agg(F.max("prob_score").alias("prob"))
+    hit = lesion_places(lesions, mask, itc, level)
+    false = hit.where("label = 0").select("slide_idx", "prob")
+    best = hit.where("label > 0").groupBy("slide_idx", "label").agg(F.max("prob").alias("prob"))
     regions = mask.where("label > 0").select("slide_idx", "label").distinct().join(best, ["slide_idx", "label"], "left")
     regions = regions.join(itc.withColumn("is_itc", F.lit(True)), ["slide_idx", "label"], "left").select("slide_idx", "label", F.coalesce("is_itc", F.lit(False)).alias("is_itc"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
     return false, regions
 
 
-def froc_curve(false: DataFrame, regions: DataFrame, images: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """total_fps (false positives an image) and sensitivity at each distinct probability but the smallest, and the end (0, 0)."""
-    w = F.col("weight") if "weight" in false.columns else F.lit(1)
-    points = false.select(*by, "prob", w.alias("fp"), F.lit(0).alias("tp")).union(regions.where("not is_itc").select(*by, "prob", F.lit(0), (F.col("weight") if "weight" in regions.columns else F.lit(1))))
-    counts = points.groupBy(*by, "prob").agg(F.sum("fp").alias("fp"), F.sum("tp").alias("tp"))
-    down, all_ = Window.partitionBy(*by).orderBy(F.desc("prob")), Window.partitionBy(*by)  # distinct scores of lesions
-    sums = counts.withColumn("fps", F.sum("fp").over(down)).withColumn("tps", F.sum("tp").over(down)).withColumn("all_tp", F.sum("tp").over(all_)).withColumn("least", F.min("prob").over(all_))
-    n = images.agg(F.count("*").alias("n_images"))
-    curve = sums.where("prob > least").crossJoin(n).select(*by, F.col("prob").alias("threshold"), (F.col("fps") / F.col("n_images")).alias("total_fps"), (F.col("tps") / F.nullif("all_tp", F.lit(0))).alias("sensitivity"))
-    end = (sums.select(*by).distinct() if by else n.select()).select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("total_fps"), F.lit(0.0).alias("sensitivity"))
-    return curve.unionByName(end)
-
-
 def froc_score(curve: DataFrame, levels: tuple[float, ...] = (8, 4, 2, 1, 0.5, 0.25), by: tuple[str, ...] = ()) -> DataFrame:
     """Mean over the levels of the best sensitivity at no more false positives an image."""
     best = [F.coalesce(F.max(F.when(F.col("total_fps") <= x, F.col("sensitivity"))), F.lit(0.0)) for x in levels]

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slidegrid.functions.draws import draw_sql
 from slidegrid.operators import metrics as mt
+from slidegrid.operators.resampling import LEAF, mixed_sql
 from slidegrid.plans.fixtures import DOC_SCORES, PATCHES, SLIDES, doc_scores, patches, slides
 from slidegrid.plans.registry import query
 
 P, S, D = (PATCHES,), (SLIDES,), (DOC_SCORES,)
 REPS = 1000
-#: Added before figures are rounded: ratios that end just between two numbers go the same way whatever the order of sums.
-NUDGE = 1e-10
 
 _METRICS = """tn, fp, fn, tp, (tp + tn) / (tp + tn + fp + fn)::double as accuracy, tp / nullif(tp + fn, 0)::double as recall, tn / nullif(tn + fp, 0)::double as specificity, tp / nullif(tp + fp, 0)::double as precision"""
 _COUNTS = """sum(case when not said and not is_ then w else 0 end)::bigint as tn, sum(case when said and not is_ then w else 0 end)::bigint as fp, sum(case when not said and is_ then w else 0 end)::bigint as fn, sum(case when said and is_ then w else 0 end)::bigint as tp"""
@@ -96,14 +94,18 @@ for _name, _x, _y, _n in (("interp_curve", "recall", "precision", 1000), ("inter
         return mt.interp_curve(curve, levels, x, y).withColumn("value", F.round("value", 6))
 
 
-def _boot_sql(rows: str, key: str, seed: int) -> str:
-    return f"""bn as (select *, row_number() over (order by {key}) - 1 as i_, count(*) over () as n_ from {rows}),
- bd as (select rep, unnest(range(0, (select count(*) from {rows}))) as k_ from (select unnest(range(0, {REPS})) as rep)),
- bc as (select rep, {draw_sql(seed, 'rep', 'k_')} % (select count(*) from {rows}) as i_, count(*) as weight from bd group by 1, 2),
- boot as (select cast(rep as int) as rep, weight, bn.* exclude (i_, n_) from bc join bn using (i_))"""
+def boot_sql(rows: str, order: str, seed: int) -> str:
+    """Common table boot: rows with rep and weight. All rows are one leaf of places here (LEAF of them at most, as in
+    the tables that oracles read), so that each draw is a single one."""
+    return f"""bn as (select *, row_number() over (order by {order}) - 1 as i_ from {rows}), bs as (select case when count(*) > {LEAF} then error('more rows than a leaf') else count(*) end as n_ from {rows}),
+ bk as (select rep, {mixed_sql(f'{seed}::hugeint * 4294967296 + rep', 'a')}, {mixed_sql('a_5', 'b')} from (select unnest(range(0, {REPS})) as rep)),
+ bd as (select rep, unnest(range(0, (select n_ from bs))) as k_, b_5 from bk),
+ bi as (select rep, {mixed_sql('b_5 + k_', 'c')}, ((c_5 >> 32) * (select n_ from bs)) >> 32 as i_ from bd),
+ bc as (select rep, i_::bigint as i_, count(*) as weight from bi group by 1, 2),
+ boot as (select cast(rep as int) as rep, weight, bn.* exclude (i_) from bc join bn using (i_))"""
 
 
-@query("bootstrap", f"/*and*/ {_boot_sql('slides', 'slide_idx', 3)} select rep, slide_idx, weight from boot", S)
+@query("bootstrap", f"/*and*/ {boot_sql('slides', 'slide_idx', 3)} select rep, slide_idx, weight from boot", S)
 def _(spark, d):
     return mt.bootstrap(slides(spark, d), ["slide_idx"], REPS, 3).select("rep", "slide_idx", "weight")
 
@@ -113,24 +115,24 @@ def _ci_sql(samples: str, columns: list[str]) -> str:
     return f"select 'ci_lower_bound' as row_name, {at(0.025)} from {samples} union all select 'ci_upper_bound', {at(0.975)} from {samples}"
 
 
-@query("percentile_ci", f"/*and*/ {_boot_sql('slides', 'slide_idx', 3)}, a as (select rep, sum(case when stage = prediction then weight else 0 end) / sum(weight)::double as accuracy from boot group by 1) {_ci_sql('a', ['accuracy'])}", S)
+@query("percentile_ci", f"/*and*/ {boot_sql('slides', 'stage, prediction', 3)}, a as (select rep, sum(case when stage = prediction then weight else 0 end) / sum(weight)::double as accuracy from boot group by 1) {_ci_sql('a', ['accuracy'])}", S)
 def _(spark, d):
-    samples = mt.metrics_multi(mt.bootstrap(slides(spark, d), ["slide_idx"], REPS, 3), mt.STAGES, "stage", "prediction", by=("rep",))
+    samples = mt.metrics_multi(mt.resampled_cells(slides(spark, d), REPS, 3, "stage", "prediction"), mt.STAGES, "stage", "prediction", by=("rep",))
     return mt.percentile_ci(samples, ["accuracy"])
 
 
-def _named_sql(samples: str, columns: list[str]) -> str:
+def named_sql(samples: str, columns: list[str]) -> str:
     """results (rep -1), bounds and samples of a table of figures by rep."""
-    figures = ", ".join(f'round("{c}"::double + {NUDGE}, 6) as "{c}"' for c in columns)
-    bounds = [f"select '{name}' as row_name, " + ", ".join(f'round(quantile_cont("{c}"::double, {q}) + {NUDGE}, 6) as "{c}"' for c in columns) + f" from {samples} where rep >= 0" for name, q in (("ci_lower_bound", 0.025), ("ci_upper_bound", 0.975))]
+    figures = ", ".join(f'round("{c}"::double, 6) as "{c}"' for c in columns)
+    bounds = [f"select '{name}' as row_name, " + ", ".join(f'round(quantile_cont("{c}"::double, {q}), 6) as "{c}"' for c in columns) + f" from {samples} where rep >= 0" for name, q in (("ci_lower_bound", 0.025), ("ci_upper_bound", 0.975))]
     return f"select case when rep < 0 then 'results' else 'sample_' || rep end as row_name, {figures} from {samples} union all " + " union all ".join(bounds)
 
 
-def _rounded(report, keep: tuple[str, ...] = ("row_name", "threshold")):
-    return report.select(*[c if c in keep else F.round(F.col(f"`{c}`") + NUDGE, 6).alias(c) for c in report.columns])
+def rounded(report, keep: tuple[str, ...] = ("row_name", "threshold")):
+    return report.select(*[c if c in keep else F.round(F.col(f"`{c}`"), 6).alias(c) for c in report.columns])
 
 
-_PATCH_SQL = f"""/*and*/ {_boot_sql('doc_scores', 'doc_id', 5)}, al as (select rep, weight, score, toxic from boot union all select -1, 1, score, toxic from doc_scores),
+_PATCH_SQL = f"""/*and*/ {boot_sql('doc_scores', 'score desc, toxic desc', 5)}, al as (select rep, weight, score, toxic from boot union all select -1, 1, score, toxic from doc_scores),
  ct as (select rep, {_METRICS} from (select rep, {_COUNTS} from (select rep, score >= 0.5 as said, toxic = 1 as is_, weight as w from al) group by 1)),
  {_curve_sql('al', 'score', 'toxic = 1', 'rep', 'weight')},
  pt as (select rep, threshold, recall, precision, row_number() over (partition by rep order by recall, threshold desc) as i from curve where recall is not null),
@@ -142,16 +144,16 @@ _PATCH_SQL = f"""/*and*/ {_boot_sql('doc_scores', 'doc_id', 5)}, al as (select r
   from lv asof left join lt on lv.rep = lt.rep and lv.level >= lt.recall join f0 on f0.rep = lv.rep),
  ar as (select rep, sum((level - x0) * (v + v0) / 2) as auc from (select *, lag(level) over (partition by rep order by level) as x0, lag(v) over (partition by rep order by level) as v0 from av where level > 0) group by 1
   union all select -1, sum((recall - x0) * (precision + y0) / 2) from (select *, lag(recall) over (order by i) as x0, lag(precision) over (order by i) as y0 from pt where rep = -1)),
- sm as (select ct.*, auc from ct left join ar using (rep)), fig as ({_named_sql('sm', mt.PATCH_FIGURES)})
+ sm as (select ct.*, auc from ct left join ar using (rep)), fig as ({named_sql('sm', mt.PATCH_FIGURES)})
  select *, null::double as threshold, null::double as level, null::double as value, null::double as value_lower, null::double as value_upper from fig
- union all by name select 'curve' as row_name, threshold, round(recall + {NUDGE}, 6) as level, round(precision + {NUDGE}, 6) as value from pt where rep = -1
- union all by name select 'curve_ci' as row_name, level, round(quantile_cont(v, 0.025) + {NUDGE}, 6) as value_lower, round(quantile_cont(v, 0.975) + {NUDGE}, 6) as value_upper from av group by level"""
+ union all by name select 'curve' as row_name, threshold, round(recall, 6) as level, round(precision, 6) as value from pt where rep = -1
+ union all by name select 'curve_ci' as row_name, level, round(quantile_cont(v, 0.025), 6) as value_lower, round(quantile_cont(v, 0.975), 6) as value_upper from av group by level"""
 
 
 @query("patch_report", _PATCH_SQL, D)
 def _(spark, d):
-    rows = doc_scores(spark, d).select("doc_id", F.col("toxic").alias("label"), "score")
-    return _rounded(mt.patch_report(rows, ["doc_id"], REPS, 5))
+    rows = doc_scores(spark, d).select(F.col("toxic").alias("label"), "score")
+    return rounded(mt.patch_report(rows, REPS, 5))
 
 
 def _cells_sql(vocabulary: tuple[str, ...], true: str, predicted: str) -> tuple[str, list[str]]:
@@ -162,10 +164,10 @@ def _cells_sql(vocabulary: tuple[str, ...], true: str, predicted: str) -> tuple[
 _STAGE_CELLS, _STAGE_NAMES = _cells_sql(mt.STAGES, "stage", "prediction")
 
 
-@query("slide_metrics_multi", f"""/*and*/ {_boot_sql('slides', 'slide_idx', 3)}, al as (select rep, weight as w, stage, prediction from boot union all select -1, 1, stage, prediction from slides),
- sm as (select rep, sum(case when stage = prediction then w else 0 end) / sum(w)::double as accuracy, {_STAGE_CELLS} from al group by 1) {_named_sql('sm', ['accuracy', *_STAGE_NAMES])}""", S)
+@query("slide_metrics_multi", f"""/*and*/ {boot_sql('slides', 'stage, prediction', 3)}, al as (select rep, weight as w, stage, prediction from boot union all select -1, 1, stage, prediction from slides),
+ sm as (select rep, sum(case when stage = prediction then w else 0 end) / sum(w)::double as accuracy, {_STAGE_CELLS} from al group by 1) {named_sql('sm', ['accuracy', *_STAGE_NAMES])}""", S)
 def _(spark, d):
-    return _rounded(mt.multi_report(slides(spark, d).select("slide_idx", "stage", "prediction"), ["slide_idx"], REPS, 3, mt.STAGES, "stage", "prediction"))
+    return rounded(mt.multi_report(slides(spark, d), REPS, 3, mt.STAGES, "stage", "prediction"))
 
 
 _NAMES = ("accuracy", "tn", "fp", "fn", "tp", "auc")
@@ -177,7 +179,7 @@ def _report_sql() -> str:
     none = ", ".join(f"null::double as {c}" for c in _NAMES)
     figures = ", ".join(f"round({c}::double, 6) as {c}" for c in _NAMES)
     return f"""/*and*/ sl as (select slide_idx, (label = 'tumor')::int as label, coalesce(max(tumor), 0) as score from (select slide_idx, label from slides) left join (select slide_idx, tumor from patches) using (slide_idx) group by 1, 2),
- s1 as (select *, (score > 0.9)::int as said from sl), {_boot_sql('s1', 'slide_idx', 3)},
+ s1 as (select *, (score > 0.9)::int as said from sl), {boot_sql('s1', 'score desc, label desc', 3)},
  al as (select rep, weight, label, score, said from boot union all select -1, 1, label, score, said from s1),
  ct as (select rep, sum(case when said = label then weight else 0 end) / sum(weight)::double as accuracy, sum(case when said = 0 and label = 0 then weight else 0 end) as tn, sum(case when said = 1 and label = 0 then weight else 0 end) as fp,
   sum(case when said = 0 and label = 1 then weight else 0 end) as fn, sum(case when said = 1 and label = 1 then weight else 0 end) as tp from al group by 1),
@@ -204,7 +206,7 @@ def _report_sql() -> str:
 def _(spark, d):
     best = patches(spark, d).groupBy("slide_idx").agg(F.max("tumor").alias("score"))
     rows = slides(spark, d).select("slide_idx", "label").join(best, "slide_idx", "left").fillna(0.0, ["score"])
-    report = mt.slide_report(rows.select("slide_idx", (F.col("label") == "tumor").cast("int").alias("label"), "score", (F.col("score") > 0.9).cast("int").alias("said")), "slide_idx", REPS, 3)
+    report = mt.slide_report(rows.select((F.col("label") == "tumor").cast("int").alias("label"), "score"), REPS, 3)
     return report.select(*[c if c in ("row_name", "threshold") else F.round(c, 6).alias(c) for c in report.columns])
 
 
@@ -216,8 +218,8 @@ def _(spark, d):
     return both.unionByName(mt.metrics_multi(two, (0, 1)).select(F.lit("binary").alias("kind"), "accuracy"))
 
 
-_PATIENTS = """pt as (select patient, count(*) as n_slides, count(*) filter (where prediction = 'macro') as macro, count(*) filter (where prediction = 'micro') as micro, count(*) filter (where prediction = 'itc') as itc, min(patient_stage) as true_stage from slides group by 1),
- ps as (select patient, case when macro > 0 and macro + micro >= 4 then 'pN2' when macro > 0 then 'pN1' when micro > 0 then 'pN1mi' when itc > 0 then 'pN0(i+)' else 'pN0' end as predicted_stage, true_stage, n_slides = 5 as complete from pt)"""
+_PATIENTS = """pt as (select patient, count(*) as n_slides, count(*) filter (where prediction = 'macro') as macro, count(*) filter (where prediction = 'micro') as micro, count(*) filter (where prediction = 'itc') as itc, count(*) filter (where prediction = 'negative') as negative, min(patient_stage) as true_stage from slides group by 1),
+ ps as (select patient, case when macro > 0 and macro + micro >= 4 then 'pN2' when macro > 0 then 'pN1' when micro > 0 then 'pN1mi' when itc > 0 then 'pN0(i+)' when negative = n_slides then 'pN0' end as predicted_stage, true_stage, n_slides = 5 as complete, macro + micro + itc + negative < n_slides as unknown from pt)"""
 _ORDER = "['pN0', 'pN0(i+)', 'pN1mi', 'pN1', 'pN2']"
 
 
@@ -248,7 +250,7 @@ def _(spark, d):
 _PATIENT_CELLS, _PATIENT_NAMES = _cells_sql(mt.PATIENT_STAGES, "true_stage", "predicted_stage")
 
 
-@query("patient_metrics", f"""/*and*/ {_PATIENTS}, {_boot_sql('ps', 'patient', 9)}, al as (select rep, weight as w, true_stage, predicted_stage from boot union all select -1, 1, true_stage, predicted_stage from ps),
- k as ({_kappa_sql('al', 'rep', 'w')}), sm as (select rep, any_value(kappa) as kappa, {_PATIENT_CELLS} from al join k using (rep) group by rep) {_named_sql('sm', ['kappa', *_PATIENT_NAMES])}""", S)
+@query("patient_metrics", f"""/*and*/ {_PATIENTS}, {boot_sql('ps', 'true_stage nulls first, predicted_stage nulls first', 9)}, al as (select rep, weight as w, true_stage, predicted_stage from boot union all select -1, 1, true_stage, predicted_stage from ps),
+ k as ({_kappa_sql('al', 'rep', 'w')}), sm as (select rep, any_value(kappa) as kappa, {_PATIENT_CELLS} from al join k using (rep) group by rep) {named_sql('sm', ['kappa', *_PATIENT_NAMES])}""", S)
 def _(spark, d):
-    return _rounded(mt.multi_report(mt.patient_stage(slides(spark, d)), ["patient"], REPS, 9, mt.PATIENT_STAGES, "true_stage", "predicted_stage", kappa=True))
+    return rounded(mt.multi_report(mt.patient_stage(slides(spark, d)), REPS, 9, mt.PATIENT_STAGES, "true_stage", "predicted_stage", kappa=True))

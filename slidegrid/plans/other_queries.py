@@ -234,7 +234,7 @@ def _(spark, d):
 
 
 def _tiles(spark, d) -> DataFrame:
-    return pixels(spark, d).select(*rg.CELL, "r").withColumn("transform", (F.col("slide_idx") % 8 + 1).cast("int"))
+    return pixels(spark, d).withColumn("transform", (F.col("slide_idx") % 8 + 1).cast("int"))
 
 
 _TURN = {0: ('"row"', "col"), 90: ("7 - col", '"row"'), 180: ('7 - "row"', "7 - col"), 270: ("col", '7 - "row"')}
@@ -242,7 +242,7 @@ _TURN = {0: ('"row"', "col"), 90: ("7 - col", '"row"'), 180: ('7 - "row"', "7 -
 
 def _turn_sql(angle: str, rows: str = "pixels", extra: str = "") -> str:
     at = lambda k: "case " + " ".join(f"when {angle} = {a} then {v[k]}" for a, v in _TURN.items()) + " end"
-    return f'select slide_idx, {at(0)} as "row", {at(1)} as col, r{extra} from {rows}'
+    return f'select slide_idx, {at(0)} as "row", {at(1)} as col, r, g, b{extra} from {rows}'
 
 
 @query("aug_rotate", _turn_sql("90"), X)
@@ -250,7 +250,7 @@ def _(spark, d):
     return ml.rotate(_tiles(spark, d), F.lit(90), 8).drop("transform")
 
 
-@query("aug_flip_rotate", "/*and*/ fl as (select slide_idx, \"row\", 7 - col as col, r from pixels) " + _turn_sql("270", "fl"), X)
+@query("aug_flip_rotate", "/*and*/ fl as (select slide_idx, \"row\", 7 - col as col, r, g, b from pixels) " + _turn_sql("270", "fl"), X)
 def _(spark, d):
     return ml.rotate(ml.flip(_tiles(spark, d), 8), F.lit(270), 8).drop("transform")
 
@@ -260,17 +260,17 @@ def _(spark, d):
     return ml.rotate(_tiles(spark, d), ml.random_angle(5, (0, 90, 180, 270), "slide_idx"), 8).drop("transform")
 
 
-@query("aug_random_crop", f"""/*and*/ o as (select *, ({draw_sql(6, 'slide_idx')} % 4)::int as o from pixels) select slide_idx, "row" - o as "row", col - o as col, r from o where "row" - o between 0 and 4 and col - o between 0 and 4""", X)
+@query("aug_random_crop", f"""/*and*/ o as (select *, ({draw_sql(6, 'slide_idx')} % 3)::int as o from pixels) select slide_idx, "row" - o as "row", col - o as col, r, g, b from o where "row" - o between 0 and 4 and col - o between 0 and 4""", X)
 def _(spark, d):
     return ml.random_crop(_tiles(spark, d).drop("transform"), 8, 3, 6)
 
 
-@query("aug_by_index", "/*and*/ fl as (select slide_idx, \"row\", case when slide_idx % 8 >= 4 then 7 - col else col end as col, r from pixels) " + _turn_sql("((slide_idx % 4) * 90)", "fl"), X)
+@query("aug_by_index", "/*and*/ fl as (select slide_idx, \"row\", case when slide_idx % 8 >= 4 then 7 - col else col end as col, r, g, b from pixels) " + _turn_sql("((slide_idx % 4) * 90)", "fl"), X)
 def _(spark, d):
     return ml.by_index(_tiles(spark, d), 8).drop("transform")
 
 
-@query("px_normalise", 'select slide_idx, "row", col, round((r / 255.0::double - 0.5) / 0.5, 9) as r from pixels', X)
+@query("px_normalise", f"""select slide_idx, "row", col, {', '.join(f"round(({c} / 255.0::double - 0.5) / 0.5, 9) as {c}" for c in 'rgb')} from pixels""", X)
 def _(spark, d):
-    return ml.normalise(_tiles(spark, d).drop("transform"), ("r",)).withColumn("r", F.round("r", 9))
+    return ml.normalise(_tiles(spark, d).drop("transform")).withColumns({c: F.round(c, 9) for c in "rgb"})
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidegrid.operators import froc as fr
 from slidegrid.operators import metrics as mt
 from slidegrid.operators import regions as rg
 from slidegrid.plans.fixtures import EVAL_MASK, PATCHES, SLIDES, eval_mask, patches, slides
+from slidegrid.plans.metric_queries import boot_sql, named_sql, rounded
 from slidegrid.plans.registry import query
 
 P, S, M = (PATCHES,), (SLIDES,), (EVAL_MASK,)
@@ -47,7 +49,7 @@ def dbscan_sql(where: str, eps: int, least: int, name: str = "comps") -> str:
 
 
 PROPS = """sums as (select slide_idx, comp, count(*) as area, avg("row") as centroid_row, avg(col) as centroid_col, min("row") as min_row, min(col) as min_col, max("row") + 1 as max_row, max(col) + 1 as max_col,
- max(value) as max_value, avg(value) as mean_value, min(value) as min_value, sum(value) as sum_value, var_pop("row") + 1 / 12.0::double as mrr, var_pop(col) + 1 / 12.0::double as mcc, covar_pop("row", col) as mrc from comps group by 1, 2),
+ max(value) as max_value, sum(value::decimal(20, 12))::double / count(*) as mean_value, min(value) as min_value, sum(value::decimal(20, 12))::double as sum_value, var_pop("row") + 1 / 12.0::double as mrr, var_pop(col) + 1 / 12.0::double as mcc, covar_pop("row", col) as mrc from comps group by 1, 2),
  eig as (select *, (mrr + mcc) / 2 + sqrt((mrr - mcc) * (mrr - mcc) / 4 + mrc * mrc) as l1, greatest((mrr + mcc) / 2 - sqrt((mrr - mcc) * (mrr - mcc) / 4 + mrc * mrc), 0) as l2 from sums),
  props as (select *, (max_row - min_row) * (max_col - min_col) as bbox_area, 4 * sqrt(l1) as major_axis, 4 * sqrt(l2) as minor_axis, sqrt(1 - l2 / l1) as eccentricity from eig)"""
 R = "/*recursive*/ "
@@ -79,7 +81,7 @@ def _(spark, d):
     return rg.dbscan(cells_at(spark, d, 0.5, True), 5, 10).select(*rg.CELL, "comp")
 
 
-_BASIC = "slide_idx, comp, area, centroid_row, centroid_col, min_row, min_col, max_row, max_col, max_value, round(mean_value, 9) as mean_value, min_value, round(sum_value, 9) as sum_value, bbox_area, area / bbox_area::double as extent, (max_col - min_col) / (max_row - min_row)::double as aspect_ratio, 1 / area::double as density"
+_BASIC = "slide_idx, comp, area, centroid_row, centroid_col, min_row, min_col, max_row, max_col, max_value, round(mean_value, 9) as mean_value, min_value, round(sum_value, 9) as sum_value, bbox_area, area / bbox_area::double as extent, (max_row - min_row) / (max_col - min_col)::double as aspect_ratio, 1 / area::double as density"
 
 
 @query("region_props", f"{R}{comps_sql('value >= 0.5')}, {PROPS} select {_BASIC} from props", (PATCHES, HEAT))
@@ -177,7 +179,7 @@ def _(spark, d):
 
 def _froc(spark, d) -> DataFrame:
     false, regions = rg.lesion_hits(*_froc_parts(spark, d), LEVEL)
-    return rg.froc_curve(false, regions, slides(spark, d))
+    return fr.froc_curve(false, regions, slides(spark, d))
 
 
 @query("froc_curve", f"/*and*/ {MASK}, {FROC} select threshold, total_fps, sensitivity from froc", F_VIEWS)
@@ -187,7 +189,7 @@ def _(spark, d):
 
 @query("froc_score", f"/*and*/ {MASK}, {FROC} select {_SCORE} as froc from froc", F_VIEWS)
 def _(spark, d):
-    return rg.froc_score(_froc(spark, d)).select(F.round("froc", 9).alias("froc"))
+    return fr.froc_score(_froc(spark, d)).select(F.round("froc", 9).alias("froc"))
 
 
 @query("froc_evaluate", f"""/*and*/ {MASK} select (select count(*) from slides) as n_images, (select count(*) from fpl) as n_false, count(*) filter (where not is_itc and prob > 0) as n_found, count(*) filter (where not is_itc) as n_regions, count(*) filter (where is_itc) as n_itc from tpl""", F_VIEWS)
@@ -199,31 +201,47 @@ def _(spark, d):
 
 
 REPS = 1000
+#: Lesions by what they hit, in the order of the draw; then each sample's curve, score and sensitivities at 800 levels.
+FROC_SAMPLES = f"""lk as (select case when m.label is null or i.label is not null then null else l.slide_idx end as s, case when i.label is not null then -1 else coalesce(m.label, 0) end as label, case when i.label is null then prob end as prob
+  from les l left join mask m using (slide_idx, "row", col) left join itc i on i.slide_idx = m.slide_idx and i.label = m.label),
+ {boot_sql('lk', 's nulls first, label, prob desc nulls first', 11)},
+ sf as (select rep, prob, sum(weight) as fp, 0 as tp from boot where label = 0 group by 1, 2), st as (select rep, prob, count(*) as tp from (select rep, s, label, max(prob) as prob from boot where label > 0 group by 1, 2, 3) group by 1, 2),
+ sr as (select unnest(range(0, {REPS}))::int as rep), nr as (select count(*) as n from tpl where not is_itc),
+ sm as (select rep, 0.0::double as prob, (select n from nr) - coalesce(sum(tp), 0) as tp from sr left join st using (rep) group by 1 having (select n from nr) > coalesce(sum(tp), 0)),
+ sp as (select rep, prob, sum(fp) as fp, sum(tp) as tp from (select * from sf union all select rep, prob, 0, tp from st union all select rep, prob, 0, tp from sm) group by 1, 2),
+ su as (select rep, prob, sum(fp) over w as fps, sum(tp) over w as tps, sum(tp) over (partition by rep) as all_tp, min(prob) over (partition by rep) as least from sp window w as (partition by rep order by prob desc)),
+ sc as (select rep, prob as threshold, fps / (select count(*) from slides)::double as total_fps, tps / nullif(all_tp, 0)::double as sensitivity from su where prob > least union all select distinct rep, null, 0, 0 from sp),
+ fs as (select rep, {_SCORE.replace('round(', '(').replace(', 9)', ')')} as froc from sc group by 1),
+ so as (select *, row_number() over (partition by rep order by total_fps, threshold desc nulls first) as i from sc where sensitivity is not null),
+ sx as (select rep, total_fps, arg_max(struct_pack(y := sensitivity, x1 := x1, y1 := y1), i) as p from (select *, lead(total_fps) over w as x1, lead(sensitivity) over w as y1 from so window w as (partition by rep order by i)) group by 1, 2),
+ sl as (select rep, (1 + k) / 100.0::double as level from (select distinct rep from so), unnest(range(800)) t(k)),
+ sv as (select sl.rep, level, case when x.p.x1 is null or x.p.x1 = x.total_fps then x.p.y else x.p.y + (level - x.total_fps) * (x.p.y1 - x.p.y) / (x.p.x1 - x.total_fps) end as v from sl asof join sx x on sl.rep = x.rep and sl.level >= x.total_fps),
+ sb as (select level as total_fps, round(quantile_cont(v, 0.025), 6) as sensitivity_lower, round(quantile_cont(v, 0.975), 6) as sensitivity_upper from sv group by 1)"""
 
 
 def _froc_samples(spark, d) -> tuple[DataFrame, DataFrame]:
-    """FROC score of each resample of lesions and regions, and bounds of sensitivity at 800 numbers of false positives."""
-    false, regions = rg.lesion_hits(*_froc_parts(spark, d), LEVEL)
-    rows = false.select("slide_idx", F.lit(0).alias("label"), F.lit(False).alias("is_itc"), "prob").unionByName(regions)
-    rows = rg.settled(mt.bootstrap(rows, ["slide_idx", "label", "prob"], REPS, 11))
-    curve = rg.froc_curve(rows.where("label = 0").select("rep", "prob", "weight"), rows.where("label > 0").select("rep", "is_itc", "prob", "weight"), slides(spark, d), by=("rep",))
-    curve = rg.settled(curve)
+    """FROC score of each resample of lesions, and bounds of sensitivity at 800 numbers of false positives."""
+    lesions, mask, itc = _froc_parts(spark, d)
+    curve = rg.settled(fr.froc_samples(lesions, mask, itc, slides(spark, d), LEVEL, REPS, 11))
     at = mt.interp_curve(curve.where("sensitivity is not null"), mt.levels_of(curve.select("rep").distinct(), 1, 800, 100.0), "total_fps", "sensitivity", ("rep",))
-    return rg.froc_score(curve, by=("rep",)), mt.band(at, "total_fps", "sensitivity")
+    return rg.settled(fr.froc_score(curve, by=("rep",))), mt.band(at, "total_fps", "sensitivity")
 
 
-@query("froc_ci")
+@query("froc_ci", f"""/*and*/ {MASK}, {FROC_SAMPLES} select row_name, froc, null::double as total_fps, null::double as sensitivity_lower, null::double as sensitivity_upper
+ from ({named_sql('fs', ['froc'])}) where row_name like 'ci_%' union all by name select 'curve_ci' as row_name, * from sb""", F_VIEWS)
 def _(spark, d):
     samples, curve = _froc_samples(spark, d)
-    return mt.percentile_ci(samples, ["froc"]).unionByName(curve.withColumn("row_name", F.lit("curve_ci")), True)
+    return rounded(mt.percentile_ci(samples, ["froc"]).unionByName(curve.withColumn("row_name", F.lit("curve_ci")), True), ("row_name", "total_fps"))
 
 
-@query("lesion_results")
+@query("lesion_results", f"""/*and*/ {MASK}, {FROC}, {FROC_SAMPLES}, fa as (select * from fs union all select -1, {_SCORE.replace('round(', '(').replace(', 9)', ')')} from froc)
+ select *, null::double as threshold, null::double as total_fps, null::double as sensitivity, null::double as sensitivity_lower, null::double as sensitivity_upper from ({named_sql('fa', ['froc'])})
+ union all by name select 'curve' as row_name, threshold, total_fps, round(sensitivity, 6) as sensitivity from froc union all by name select 'curve_ci' as row_name, * from sb""", F_VIEWS)
 def _(spark, d):
     samples, curve = _froc_samples(spark, d)
-    out = mt.named_rows(rg.froc_score(_froc(spark, d)), rg.settled(samples), ["froc"])
+    out = mt.named_rows(fr.froc_score(_froc(spark, d)), samples, ["froc"])
     out = out.unionByName(_froc(spark, d).select(F.lit("curve").alias("row_name"), "threshold", "total_fps", "sensitivity"), True)
-    return out.unionByName(curve.withColumn("row_name", F.lit("curve_ci")), True)
+    return rounded(out.unionByName(curve.withColumn("row_name", F.lit("curve_ci")), True), ("row_name", "threshold", "total_fps"))
 
 
 _GLOBAL = ", ".join(f"count(*) filter (where value >= {t / 10}) / count(*)::double as area_ratio_{t}, round(sum(case when value >= {t / 10} then value else 0 end) / count(*), 9) as prob_score_{t}" for t in range(5, 10))
@@ -240,7 +258,7 @@ _TOP = ["area", "eccentricity", "extent", "bbox_area", "major_axis", "max_value"
 
 def _top_sql(n: int, columns: list[str]) -> str:
     cells = ", ".join(f"round(coalesce(max(case when rank = {k} then {c} end), 0)::double, 6) as {c}_{k}" for k in range(1, n + 1) for c in columns)
-    return f"top as (select *, area / bbox_area::double as extent, (max_col - min_col) / (max_row - min_row)::double as aspect_ratio, 1 / area::double as density, row_number() over (partition by slide_idx order by area desc, comp desc) as rank from props) select slide_idx, {cells} from top where rank <= {n} group by 1"
+    return f"top as (select *, area / bbox_area::double as extent, (max_row - min_row) / (max_col - min_col)::double as aspect_ratio, 1 / area::double as density, row_number() over (partition by slide_idx order by area desc, comp desc) as rank from props) select slide_idx, {cells} from top where rank <= {n} group by 1"
 
 
 def _round_all(df: DataFrame) -> DataFrame:
@@ -277,7 +295,7 @@ def wide_sql(tags: bool) -> str:
     shares = {f"area_ratio_{t}": f"count(*) filter (where value >= {t / 10}) / count(*)::double" for t in range(5, 10)} | {f"prob_score_{t}": f"sum(case when value >= {t / 10} then value else 0 end) / count(*)" for t in range(5, 10)}
     cells = {f"{c}_{k}": f"max(case when rank = {k} then {c} end)::double" for k in (1, 2) for c in _WIDE}
     listed = lambda of: ", ".join(f"{v} as {k}" for k, v in of.items())
-    return f"""{R}{comps_sql('value >= 0.5')}, {PROPS}, {HULL}, every as (select *, area / bbox_area::double as extent, (max_col - min_col) / (max_row - min_row)::double as aspect_ratio, row_number() over (partition by slide_idx order by area desc, comp desc) as rank from props join solid using (slide_idx, comp)),
+    return f"""{R}{comps_sql('value >= 0.5')}, {PROPS}, {HULL}, every as (select *, area / bbox_area::double as extent, (max_row - min_row) / (max_col - min_col)::double as aspect_ratio, row_number() over (partition by slide_idx order by area desc, comp desc) as rank from props join solid using (slide_idx, comp)),
  best as (select slide_idx, {listed(cells)} from every where rank <= 2 group by 1), shares as (select slide_idx, {listed(shares)} from hm group by 1)
  select slide_idx, slide_name, label as slide_label, {"tags, " if tags else ""}{", ".join(f"round(coalesce({c}, 0), 6) as {c}" for c in [*shares, *cells])} from slides left join shares using (slide_idx) left join best using (slide_idx)"""
 
