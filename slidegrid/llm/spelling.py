@@ -4,10 +4,11 @@ Gram dictionary: all grams of 2 to 5 letters of the vocabulary are counted, and
 a bound (at least 16, at least one in 200,000 of all occurrences, so fewer than 200,000 grams are kept at any size). A
 gram that is not kept is rare enough and need not grow.
 
-Decomposition: at each place of a word a gram grows letter by letter, rightwards from its first letter (forward) and
-leftwards from its last (backward), until it is rare or has the cap's length; grams that the word's end cuts short while
-still frequent are left out. What a gram is depends on its own letters only. Forward grams carry their distance from
-the word's start, backward ones from its end.
+Decomposition: from its first letter on a word is cut into grams that grow letter by letter until they are rare or have the
+cap's length, each beginning where the last one ended (forward); and in the same way from its last letter back (backward).
+What the word's end cuts short while still frequent is left out. So a forward gram depends on the letters up to its end
+only, a backward one on those from its beginning. Forward grams carry their distance from the word's start, backward ones
+from its end.
 
 Affected grams: an edit at a place leaves all forward grams before it and all backward grams after it as they are. The
 least number left over all places is what a word shares with each neighbour; what it has beyond that is the most that an
@@ -16,11 +17,12 @@ least one is always left. Two neighbours' lengths differ by one at most, so word
 length L belongs to those of L // 2 and (L - 1) // 2.
 
 Merging: of each word only the rarest grams are listed, one more than an edit can affect: lists of neighbours then have at
-least one gram in common, and most frequent grams get no list at all. Lists of up to 32 words are merged pair by pair
-and verified by edit distance. In longer lists, where pairs would grow with the square, the same verification goes by hash:
-words of the list that share the listed gram are neighbours just if they become equal by leaving out a letter outside of it, at
-the same place of both or from the longer one. Those groups are no larger than the alphabet, so work stays
-in proportion to lists of any length, and nothing is capped.
+least one gram in common. Lists of up to 64 words are merged pair by pair and verified by edit distance. In longer
+lists a second gram is asked for: neighbours that meet by a gram agree in all letters from the word's end up to it, and the
+rest holds the edit, so of the rest's two halves one is the same in both; each word is listed again with either half. Lists
+that are still longer are verified by hash: their words are neighbours just if they become equal by leaving out a letter,
+at the same place of both or from the longer one, and those groups are no larger than the alphabet. So work stays in
+proportion to lists of any length, and nothing is capped.
 
 Forms: a word's form is its most frequent neighbour, if that is `ratio` times as frequent, and its root what the
 forms end in; pointers double each round.
@@ -51,7 +53,7 @@ SHORTEST, GROWING = 2, (2, 3, 4, 5)
 #: Grams are kept that occur more often than the first, and than all occurrences over the second.
 RARE, DICTIONARY = 16, 200_000
 #: Words of a list that are compared pair by pair.
-PAIRWISE = 32
+PAIRWISE = 64
 #: Words counted in a task before the counts go out, and characters of a text whose words are held at once.
 _HELD, _LONG = 400_000, 4_000_000
 
@@ -108,16 +110,16 @@ def gram_dictionary(words: DataFrame) -> dict[str, int]:
 def decompose(word: str, cap: int, frequent: dict[str, int]) -> list[tuple[str, int, int, int]]:
     """(side, distance from that side, first, end) of a word's grams."""
     found, n = [], len(word)
-    for first in range(n):
-        for end in range(first + SHORTEST, min(first + cap, n) + 1):
-            if end - first == cap or word[first:end] not in frequent:
-                found.append(("f", first, first, end))
-                break
-    for end in range(n, 0, -1):
-        for first in range(end - SHORTEST, max(end - cap, 0) - 1, -1):
-            if end - first == cap or word[first:end] not in frequent:
-                found.append(("b", n - end, first, end))
-                break
+    first = 0
+    for end in range(SHORTEST, n + 1):
+        if end - first == cap or (end - first >= SHORTEST and word[first:end] not in frequent):
+            found.append(("f", first, first, end))
+            first = end
+    end = n
+    for first in range(n - SHORTEST, -1, -1):
+        if end - first == cap or (end - first >= SHORTEST and word[first:end] not in frequent):
+            found.append(("b", n - end, first, end))
+            end = first
     return found
 
 
@@ -147,10 +149,11 @@ def listed(word: str, cap: int, frequent: dict[str, int]) -> list[tuple[int, str
 
 
 def _postings(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
-    """key, word, n, outside: a row for each listed gram; outside is the gram's place, (first, end)."""
+    """key, word, n, cap, forward, span: a row for each listed gram; span is the number of letters from the gram's side of the word
+    to its far end."""
     held = words.sparkSession.sparkContext.broadcast(frequent)
     longest = GROWING[-1] + 1
-    schema = pa.schema([("key", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("cap", pa.int32()), ("forward", pa.bool_()), ("span", pa.int32())])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
@@ -160,36 +163,61 @@ def _postings(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
                 rows: list[tuple] = []
                 for word, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     for cap in {min(len(word) // 2, longest), min((len(word) - 1) // 2, longest)}:
-                        rows += [(key, word, n, first, end) for key, _, first, end in listed(word, cap, own)]
+                        rows += [(key, word, n, cap, side == "f", end if side == "f" else len(word) - first) for key, side, first, end in listed(word, cap, own)]
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)] or [pa.array([], f.type) for f in schema], schema=schema)
 
-    return words.select("word", "n").mapInArrow(tidied(index), "key long, word string, n long, first int, end int")
+    return words.select("word", "n").mapInArrow(tidied(index), "key long, word string, n long, cap int, forward boolean, span int")
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    """Keys of lists that are too long for pairs: one in PAIRWISE rows at most."""
+    return stash(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > PAIRWISE).select("key"), "long-lists")
+
+
+def _merged(rows: DataFrame, long: DataFrame) -> DataFrame:
+    """word, n, near, near_n: neighbours, the smaller word first, within the lists that are not long."""
+    few = rows.join(long, "key", "left_anti")
+    own, other = few.select("key", "word", "n"), few.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
+    near = (F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)
+    return own.join(other, "key").where((F.col("word") < F.col("near")) & near).select("word", "n", "near", "near_n")
+
+
+def _second_grams(rows: DataFrame) -> DataFrame:
+    """Each row under two keys of more letters: those from its side on through the next half of the rest, and those with
+    the rest's other half. Halves are those of the shortest word of the class, so that both of a pair are cut alike."""
+    half = F.greatest(F.lit(0), F.floor((2 * F.col("cap") - F.col("span")) / 2)).cast("int")
+    cut = rows.withColumn("h", half)
+    key = lambda kind, *parts: F.xxhash64(F.lit(kind), "cap", "span", *map(F.expr, parts))
+    forward = F.array(key(0, "left(word, span + h)"), key(1, "left(word, span)", "right(word, h)"))
+    backward = F.array(key(2, "right(word, span + h)"), key(3, "right(word, span)", "left(word, h)"))
+    return cut.select(F.explode(F.when(F.col("forward"), forward).otherwise(backward)).alias("key"), "word", "n")
+
+
+def _left_out(rows: DataFrame) -> DataFrame:
+    """word, n, near, near_n: neighbours within lists of any length, by the words less a letter."""
+    rest = F.expr("concat(left(word, at), substring(word, at + 2))")
+    less = rows.select("key", "word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("at"))
+    same = less.select(F.xxhash64("key", "at", rest).alias("h"), "word", "n")
+    replaced = same.join(same.select("h", F.col("word").alias("near"), F.col("n").alias("near_n")), "h")
+    longer = less.select(F.xxhash64("key", rest).alias("h"), "word", "n")
+    put_in = longer.join(rows.select(F.xxhash64("key", "word").alias("h"), F.col("word").alias("near"), F.col("n").alias("near_n")), "h")
+    found = replaced.where("word < near").unionByName(put_in).where(F.levenshtein("word", "near", 1) == 1)
+    return found.select("word", "n", "near", "near_n")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, near, near_n: all pairs of words that differ by one letter put in, left out or replaced, each both ways."""
-    postings = stash(_postings(words, gram_dictionary(words)), "postings")
-    sizes = stash(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "list-sizes")
-    lists = postings.join(sizes, "key")
-    few = stash(lists.where(F.col("size") <= PAIRWISE).select("key", "word", "n"), "short-lists")
-    other = few.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    one_edit = (F.abs(F.length("word") - F.length("near")) <= 1) & (F.levenshtein("word", "near", 1) == 1)
-    pairs = few.join(other, "key").where((F.col("word") < F.col("near")) & one_edit)
-
-    many = stash(lists.where(F.col("size") > PAIRWISE).drop("size"), "long-lists")
-    # The places outside of the listed gram, and the word without the letter there.
-    outside = F.filter(F.sequence(F.lit(0), F.length("word") - 1), lambda i: (i < F.col("first")) | (i >= F.col("end")))
-    left_out = F.concat(F.expr("substring(word, 1, at)"), F.expr("substring(word, at + 2)"))
-    less = stash(many.select("key", "word", "n", F.explode(outside).alias("at")).withColumn("rest", left_out), "left-out")
-    replaced = less.join(less.select("key", "at", "rest", F.col("word").alias("near"), F.col("n").alias("near_n")), ["key", "at", "rest"]).where("word < near")
-    whole = many.select("key", F.col("word").alias("rest"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    put_in = less.join(whole, ["key", "rest"])
-    columns = ["word", "n", "near", "near_n"]
-    backwards = [F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")]
-    found = pairs.select(*columns).union(replaced.select(*columns)).union(put_in.select(*columns))
-    out = stash(found.union(found.select(*backwards)).distinct(), "near-pairs")
-    discard(postings, sizes, few, many, less)
+    first = stash(_postings(words, gram_dictionary(words)), "postings")
+    long = _long(first)
+    second = stash(_second_grams(first.join(long, "key", "left_semi")), "second-postings")
+    longer = _long(second)
+    found = _merged(first, long).union(_merged(second, longer)).union(_left_out(second.join(longer, "key", "left_semi")))
+    pairs = stash(found, "found-pairs")
+    discard(first, long, second, longer)
+    backwards = pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    out = stash(pairs.union(backwards).distinct(), "near-pairs")
+    discard(pairs)
     release(words.sparkSession)
     return out
 

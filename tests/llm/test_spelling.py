@@ -90,7 +90,8 @@ def test_an_edit_leaves_the_other_grams_and_listed_ones_meet():
 
 
 def test_against_brute_force(spark, monkeypatch):
-    """Words of few letters around common stems, so that lists are long: merged pair by pair, by hash, and mixed."""
+    """Words of few letters around common stems, so that lists are long: merged pair by pair, by a second gram, by hash, and
+    mixed."""
     rng = random.Random(2)
     stems = ["international", "abcdefg", "aaaaaaaa", "ananananan", "éèêëàâä", "zzzzzzz"]
     words = set(stems)
@@ -104,7 +105,7 @@ def test_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(list(n.items()), "word string, n long").repartition(3)
     want = expected(n)
     assert sum(r[4] for r in want) > 2000 and any(r[1] and r[2] != r[1] for r in want)
-    for pairwise, rare in ((32, 16), (3, 2), (10**9, 5)):
+    for pairwise, rare in ((64, 16), (0, 2), (6, 2), (10**9, 5)):
         monkeypatch.setattr(spelling, "PAIRWISE", pairwise)
         monkeypatch.setattr(spelling, "RARE", rare)
         assert rows_of(spelling.spelling_variants(df)) == want
