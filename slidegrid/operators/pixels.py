@@ -319,20 +319,3 @@ def edge_band(mask: DataFrame, width: int) -> DataFrame:
     around = lambda c: F.explode(F.sequence(F.col(c) - width, F.col(c) + width)).alias(c)
     near = boundary(mask).select("slide_idx", around("row"), "col").select("slide_idx", "row", around("col")).distinct()
     return mask.select(*CELL).join(near, CELL, "left_semi")
-
-
-def mask_boundary_json(mask: DataFrame, scale: int = 1) -> DataFrame:
-    """For each region the JSON list of its boundary cells in scan order, in pixels of a finer level, and the number of holes:
-    background regions that do not reach the border of the slide and touch it."""
-    regions = settled(components(mask.where("mask").select(*CELL)))
-    edge = regions.join(boundary(mask), CELL, "left_semi")
-    point = F.struct((F.col("col") * scale).alias("x"), (F.col("row") * scale).alias("y"))
-    rings = edge.groupBy("slide_idx", "comp").agg(F.array_sort(F.collect_list(F.struct("row", "col", point.alias("p")))).alias("ps"))
-    rings = rings.select("slide_idx", "comp", F.to_json(F.transform("ps", lambda x: x["p"])).alias("contour"), F.size("ps").alias("n_points"))
-    back = settled(components(mask.where("not mask").select(*CELL)))
-    border = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("_h") - 1) | (F.col("col") == F.col("_w") - 1)
-    held = back.join(_sides(mask), "slide_idx").groupBy("slide_idx", F.col("comp").alias("hole")).agg(F.max(border).alias("open")).where("not open").select("slide_idx", "hole")
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in CROSS[1:]]))
-    beside = back.select(*CELL, F.col("comp").alias("hole"), steps.alias("s")).select("slide_idx", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), "hole")
-    inside = beside.join(held, ["slide_idx", "hole"]).join(regions.select(*CELL, "comp"), CELL).groupBy("slide_idx", "comp").agg(F.count_distinct("hole").alias("n_holes"))
-    return rings.join(inside, ["slide_idx", "comp"], "left").fillna(0, ["n_holes"])

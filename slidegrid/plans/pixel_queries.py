@@ -263,10 +263,3 @@ _NEAR = BAND.replace("- 2", "- 1").replace("range(5)", "range(3)").replace("band
 def _(spark, d):
     near = patches(spark, d).join(px.edge_band(em(spark, d), 1), C, "left_semi")
     return ix.sample_simple(near, 1000, 23).select("slide_idx", "patch_seq", "label")
-
-
-@query("mask_boundary_json")
-def _(spark, d):
-    return px.mask_boundary_json(em(spark, d), scale=256)
-
-
