@@ -19,10 +19,11 @@ length L belongs to those of L // 2 and (L - 1) // 2.
 Merging: of each word only the rarest grams are listed, one more than an edit can affect: lists of neighbours then have at
 least one gram in common. Lists of up to 64 words are merged pair by pair and verified by edit distance. In longer
 lists a second gram is asked for: neighbours that meet by a gram agree in all letters from the word's end up to it, and the
-rest holds the edit, so of the rest's two halves one is the same in both; each word is listed again with either half. Lists
-that are still longer are verified by hash: their words are neighbours just if they become equal by leaving out a letter,
-at the same place of both or from the longer one, and those groups are no larger than the alphabet. So work stays in
-proportion to lists of any length, and nothing is capped.
+rest holds the edit, so of the rest's two halves one is the same in both; each word is listed again with either half, and
+once more where lists are still too long, until nothing is left to halve. What is too long then differs in three letters
+at most and is verified by hash: its words are neighbours just if they become equal by leaving out one of those letters,
+at the same place of both or from the longer one, and those groups are no larger than the alphabet. So work stays
+in proportion to lists of any length, and nothing is capped.
 
 Forms: a word's form is its most frequent neighbour, if that is `ratio` times as frequent, and its root what the
 forms end in; pointers double each round.
@@ -34,6 +35,7 @@ code-point order. An empty table gives no rows; other columns are ignored. Texts
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -41,7 +43,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidegrid.llm.shared import discard, release, stash, tidied
@@ -149,11 +151,11 @@ def listed(word: str, cap: int, frequent: dict[str, int]) -> list[tuple[int, str
 
 
 def _postings(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
-    """key, word, n, cap, forward, span: a row for each listed gram; span is the number of letters from the gram's side of the word
-    to its far end."""
+    """key, word, n, cap, head, tail: a row for each listed gram. Neighbours that it leaves alike agree in their first `head` and last
+    `tail` letters: those up to the gram's far end."""
     held = words.sparkSession.sparkContext.broadcast(frequent)
     longest = GROWING[-1] + 1
-    schema = pa.schema([("key", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("cap", pa.int32()), ("forward", pa.bool_()), ("span", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("cap", pa.int32()), ("head", pa.int32()), ("tail", pa.int32())])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
@@ -163,11 +165,11 @@ def _postings(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
                 rows: list[tuple] = []
                 for word, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     for cap in {min(len(word) // 2, longest), min((len(word) - 1) // 2, longest)}:
-                        rows += [(key, word, n, cap, side == "f", end if side == "f" else len(word) - first) for key, side, first, end in listed(word, cap, own)]
+                        rows += [(key, word, n, cap, end if side == "f" else 0, 0 if side == "f" else len(word) - first) for key, side, first, end in listed(word, cap, own)]
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)] or [pa.array([], f.type) for f in schema], schema=schema)
 
-    return words.select("word", "n").mapInArrow(tidied(index), "key long, word string, n long, cap int, forward boolean, span int")
+    return words.select("word", "n").mapInArrow(tidied(index), "key long, word string, n long, cap int, head int, tail int")
 
 
 def _long(rows: DataFrame) -> DataFrame:
@@ -183,41 +185,50 @@ def _merged(rows: DataFrame, long: DataFrame) -> DataFrame:
     return own.join(other, "key").where((F.col("word") < F.col("near")) & near).select("word", "n", "near", "near_n")
 
 
-def _second_grams(rows: DataFrame) -> DataFrame:
-    """Each row under two keys of more letters: those from its side on through the next half of the rest, and those with
-    the rest's other half. Halves are those of the shortest word of the class, so that both of a pair are cut alike."""
-    half = F.greatest(F.lit(0), F.floor((2 * F.col("cap") - F.col("span")) / 2)).cast("int")
-    cut = rows.withColumn("h", half)
-    key = lambda kind, *parts: F.xxhash64(F.lit(kind), "cap", "span", *map(F.expr, parts))
-    forward = F.array(key(0, "left(word, span + h)"), key(1, "left(word, span)", "right(word, h)"))
-    backward = F.array(key(2, "right(word, span + h)"), key(3, "right(word, span)", "left(word, h)"))
-    return cut.select(F.explode(F.when(F.col("forward"), forward).otherwise(backward)).alias("key"), "word", "n")
+def _rest() -> Column:
+    """Letters between head and tail in the shortest words of a class, so that both of a pair are cut alike."""
+    return 2 * F.col("cap") - F.col("head") - F.col("tail")
+
+
+def _halved(rows: DataFrame) -> DataFrame:
+    """Each row with the first half of its rest added to the head, and with the last half added to the tail."""
+    h = F.floor(_rest() / 2).cast("int")
+    grown = F.array(F.struct((F.col("head") + h).alias("head"), "tail"), F.struct("head", (F.col("tail") + h).alias("tail")))
+    out = rows.select("word", "n", "cap", F.explode(grown).alias("g")).select("word", "n", "cap", "g.head", "g.tail")
+    return out.select(F.xxhash64("cap", "head", "tail", F.expr("left(word, head)"), F.expr("right(word, tail)")).alias("key"), *out.columns)
 
 
 def _left_out(rows: DataFrame) -> DataFrame:
-    """word, n, near, near_n: neighbours within lists of any length, by the words less a letter."""
+    """word, n, near, near_n: neighbours within lists of any length, by the words less a letter between head and tail."""
     rest = F.expr("concat(left(word, at), substring(word, at + 2))")
-    less = rows.select("key", "word", "n", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("at"))
+    places = F.when(F.length("word") > F.col("head") + F.col("tail"), F.sequence(F.col("head"), F.length("word") - F.col("tail") - 1))
+    less = rows.select("key", "word", "n", F.explode(places).alias("at"))
     same = less.select(F.xxhash64("key", "at", rest).alias("h"), "word", "n")
-    replaced = same.join(same.select("h", F.col("word").alias("near"), F.col("n").alias("near_n")), "h")
+    replaced = same.join(same.select("h", F.col("word").alias("near"), F.col("n").alias("near_n")), "h").where("word < near")
     longer = less.select(F.xxhash64("key", rest).alias("h"), "word", "n")
     put_in = longer.join(rows.select(F.xxhash64("key", "word").alias("h"), F.col("word").alias("near"), F.col("n").alias("near_n")), "h")
-    found = replaced.where("word < near").unionByName(put_in).where(F.levenshtein("word", "near", 1) == 1)
-    return found.select("word", "n", "near", "near_n")
+    return replaced.unionByName(put_in).where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """word, n, near, near_n: all pairs of words that differ by one letter put in, left out or replaced, each both ways."""
-    first = stash(_postings(words, gram_dictionary(words)), "postings")
-    long = _long(first)
-    second = stash(_second_grams(first.join(long, "key", "left_semi")), "second-postings")
-    longer = _long(second)
-    found = _merged(first, long).union(_merged(second, longer)).union(_left_out(second.join(longer, "key", "left_semi")))
-    pairs = stash(found, "found-pairs")
-    discard(first, long, second, longer)
+    rows, found = stash(_postings(words, gram_dictionary(words)), "postings"), []
+    while not rows.isEmpty():
+        long = _long(rows)
+        found.append(stash(_merged(rows, long), "found-pairs"))
+        many = rows.join(long, "key", "left_semi")
+        last = many.where(_rest() < 2)
+        if not last.isEmpty():
+            found.append(stash(_left_out(last), "found-pairs"))
+        following = stash(_halved(many.where(_rest() >= 2)), "second-postings")
+        discard(rows, long)
+        release(words.sparkSession)
+        rows = following
+    discard(rows)
+    pairs = functools.reduce(DataFrame.unionByName, found) if found else words.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).where("false")
     backwards = pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    out = stash(pairs.union(backwards).distinct(), "near-pairs")
-    discard(pairs)
+    out = stash(pairs.unionByName(backwards).distinct(), "near-pairs")
+    discard(*found)
     release(words.sparkSession)
     return out
 
