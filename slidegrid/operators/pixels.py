@@ -1,7 +1,6 @@
 """Pixel tables (slide_idx, row, col and channels): colour, thresholds, masks, morphology, filters and features.
 
-Separable filters turn the lines of an axis to arrays, a shuffle for each axis; a stencil that is not separable joins
-each cell to its neighbours. Borders reflect (d c b a | a b c d | d c b a) unless said otherwise.
+Separable filters turn the lines of an axis to arrays, a shuffle for each axis; medians go by tiles (operators/tiles.py). Borders reflect (d c b a | a b c d | d c b a) unless said otherwise.
 """
 
 from __future__ import annotations
@@ -92,22 +91,6 @@ def _mirrored(at: Column, n: Column) -> Column:
     return F.when(place < n, place).otherwise(2 * n - 1 - place)
 
 
-def stencil(cells: DataFrame, weights: dict[tuple[int, int], float], value: str) -> DataFrame:
-    """Every cell's neighbours at the given steps, reflected at the borders: (slide_idx, row, col, w, value) rows, of which the
-    cell at (row, col) is the centre."""
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(w)).alias("w")) for (i, j), w in weights.items()]))
-    asked = cells.select(*CELL).join(_sides(cells), "slide_idx").select(*CELL, "_h", "_w", steps.alias("s"))
-    asked = asked.select(*CELL, "s.w", _mirrored(F.col("row") + F.col("s.i"), F.col("_h")).alias("_r"), _mirrored(F.col("col") + F.col("s.j"), F.col("_w")).alias("_c"))
-    given = cells.select("slide_idx", F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias(value))
-    return asked.join(given, ["slide_idx", "_r", "_c"])
-
-
-def median(cells: DataFrame, size: int, value: str) -> DataFrame:
-    """Median over a size x size square, begun size // 2 before the cell."""
-    steps = range(-(size // 2), size - size // 2)
-    return stencil(cells, {(i, j): 1 for i in steps for j in steps}, value).groupBy(*CELL).agg(F.percentile(value, F.lit(0.5)).alias(value))
-
-
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
     radius = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]

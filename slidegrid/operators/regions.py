@@ -108,35 +108,6 @@ def components(cells: DataFrame) -> DataFrame:
     return found.join(settled(numbers), ["slide_idx", "_id"]).select(*cells.columns, "comp")
 
 
-def _near(points: DataFrame, radius: int, strict: bool = False) -> DataFrame:
-    """Pairs (a, b) of points of a slide within a radius, both ways, a with itself too: one side is sent to the nine buckets
-    around it."""
-    bucket = lambda c: F.floor(F.col(c) / radius).cast("int")
-    left = points.select("slide_idx", F.col("id").alias("a"), F.col("row").alias("r1"), F.col("col").alias("c1"), bucket("row").alias("br"), bucket("col").alias("bc"))
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    right = points.select("slide_idx", F.col("id").alias("b"), F.col("row").alias("r2"), F.col("col").alias("c2"), steps.alias("s"))
-    right = right.select("slide_idx", "b", "r2", "c2", (F.floor(F.col("r2") / radius) + F.col("s.i")).cast("int").alias("br"), (F.floor(F.col("c2") / radius) + F.col("s.j")).cast("int").alias("bc"))
-    distance = (F.col("r1") - F.col("r2")) * (F.col("r1") - F.col("r2")) + (F.col("c1") - F.col("c2")) * (F.col("c1") - F.col("c2"))
-    within = distance < radius * radius if strict else distance <= radius * radius
-    return left.join(right, ["slide_idx", "br", "bc"]).where(within).select("slide_idx", "a", "b")
-
-
-def dbscan(cells: DataFrame, eps: int = 5, min_samples: int = 10) -> DataFrame:
-    """Adds comp: clusters of cells whose eps-neighbourhood (itself included) has min_samples cells; a border cell joins the
-    first cluster it is near to, other cells are clusters of their own, numbered after the others. Ids begin at 1."""
-    points = settled(cells.withColumn("id", F.col("row").cast("long") * 2**31 + F.col("col")))
-    pairs = settled(_near(points, eps))
-    core = settled(pairs.groupBy("slide_idx", F.col("a").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("slide_idx", "id"))
-    ends = lambda c: core.withColumnRenamed("id", c)
-    linked = pairs.join(ends("a"), ["slide_idx", "a"], "left_semi").join(ends("b"), ["slide_idx", "b"], "left_semi").select("slide_idx", "a", "b")
-    clusters = connect(core, linked)
-    border = pairs.join(ends("a"), ["slide_idx", "a"], "left_anti").join(clusters.withColumnRenamed("id", "b"), ["slide_idx", "b"])
-    border = border.groupBy("slide_idx", F.col("a").alias("id")).agg(F.min("comp").alias("comp"))
-    joined = points.join(clusters.union(border), ["slide_idx", "id"], "left")
-    order = F.struct(F.col("comp").isNull().alias("alone"), F.coalesce("comp", "id").alias("first"))
-    return joined.withColumn("comp", F.dense_rank().over(Window.partitionBy("slide_idx").orderBy(order))).drop("id")
-
-
 def region_props(cells: DataFrame) -> DataFrame:
     """Properties of each region from one pass of sums: area, centroid, box, rows over columns, intensities, axes and
     eccentricity from the second central moments (a cell adds 1/12 to each). Intensities are summed as decimals, so that
@@ -199,28 +170,6 @@ def lesions_two_model(cells_a: DataFrame, cells_b: DataFrame, cell: int) -> Data
     return s.drop("comp")
 
 
-def lesions_nms(cells: DataFrame, radius: int = 6, cutoff: float = 0.5) -> DataFrame:
-    """Non-maximum suppression: in each round every live candidate that is the greatest (probability, then first in scan
-    order) of the live ones within the radius is taken and suppresses those. The order is total, so this is the greedy
-    result. pixels: all cells within the radius."""
-    points = settled(cells.withColumn("id", F.col("row").cast("long") * 2**31 + F.col("col")))
-    pairs = settled(_near(points, radius, strict=True))
-    counts = pairs.groupBy("slide_idx", F.col("a").alias("id")).agg(F.count("*").alias("pixels"))
-    live = settled(points.where(F.col("value") >= cutoff).select("slide_idx", "id", "value"))
-    taken = None
-    while not live.isEmpty():
-        ends = lambda c, v: live.select("slide_idx", F.col("id").alias(c), F.col("value").alias(v))  # noqa: B023, E731
-        rivals = pairs.join(ends("a", "va"), ["slide_idx", "a"]).join(ends("b", "vb"), ["slide_idx", "b"])
-        beaten = rivals.where("vb > va or (vb = va and b < a)").select("slide_idx", F.col("a").alias("id")).distinct()
-        won = settled(live.join(beaten, ["slide_idx", "id"], "left_anti"))
-        taken = won if taken is None else taken.unionByName(won)
-        gone = pairs.join(won.select("slide_idx", F.col("id").alias("a")), ["slide_idx", "a"], "left_semi").select("slide_idx", F.col("b").alias("id")).distinct()
-        before, live = live, settled(live.join(gone, ["slide_idx", "id"], "left_anti"))
-        discard(cells.sparkSession, before.settled_path)
-    taken = live if taken is None else taken
-    return taken.join(counts, ["slide_idx", "id"]).select("slide_idx", F.shiftright("id", 31).cast("int").alias("row"), F.col("id").bitwiseAND(2**31 - 1).cast("int").alias("col"), F.col("value").alias("prob_score"), "pixels")
-
-
 def itc_regions(mask: DataFrame, level: int, resolution: float = 0.243, limit: float = 275.0) -> DataFrame:
     """(slide_idx, label) of mask regions whose major axis is below the limit in micrometres: isolated tumor cells."""
     props = region_props(mask.where("label > 0").select(*CELL, F.col("label").alias("comp"), F.lit(1.0).alias("value")))

@@ -41,8 +41,8 @@ def mixed_sql(value: str, name: str) -> str:
 class Draws:
     """The draws of all replicates on n places; below(x) counts those on places before x, a number for each replicate."""
 
-    def __init__(self, n: int, reps: int, seed: int, leaf: int | None = None):
-        self.n, self.reps, self.seed, self.leaf = n, reps, seed, leaf or LEAF
+    def __init__(self, n: int, reps: int, seed: int, leaf: int = LEAF):
+        self.n, self.reps, self.seed, self.leaf = n, reps, seed, leaf
         self.leaves = -(-n // self.leaf)
         self.keys = mixed((np.uint64(seed) << np.uint64(32)) + np.arange(reps, dtype=np.uint64))
         self.ranges: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -110,14 +110,14 @@ def resample(groups: DataFrame, order: list[Column], reps: int, seed: int, count
     `count` equal rows; the order must be total."""
     counted = groups.withColumn("_n", F.col(count).cast("long") if count else F.lit(1).cast("long"))
     placed, n = spans(counted, order, "_n")
-    columns = groups.columns
+    columns, leaf, at_once = groups.columns, LEAF, _GROUPS
     placed = placed.sortWithinPartitions("_first").select("_first", "_n", *columns)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draws = Draws(n, reps, seed)
+        draws = Draws(n, reps, seed, leaf)
         for batch in batches:
-            for at in range(0, batch.num_rows, _GROUPS):
-                part = batch.slice(at, _GROUPS)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
                 first, size = (part.column(i).to_numpy() for i in (0, 1))
                 weights = np.stack([draws.below(b) - draws.below(a) for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)], axis=1)
                 for lo in range(0, reps, _AT_ONCE):
@@ -143,13 +143,13 @@ def resampled_curves(
     rows = counts.select("threshold", F.col("p").cast("long").alias("p"), F.col("n").cast("long").alias("n")).withColumn("_n", F.col("p") + F.col("n"))
     placed, total = spans(rows, [F.desc("threshold")], "_n")
     placed = settled(placed.select("_p", "_first", "p", "n", "threshold"))
-    asked = np.array(levels)
+    asked, leaf, at_once = np.array(levels), LEAF, _GROUPS
 
     def runs(batch: pa.RecordBatch, places: Column) -> Iterator[pa.RecordBatch]:
         cuts = [0, *(np.flatnonzero(np.diff(batch.column(places).to_numpy())) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
-            for at in range(lo, hi, _GROUPS):
-                yield batch.slice(at, min(_GROUPS, hi - at))
+            for at in range(lo, hi, at_once):
+                yield batch.slice(at, min(at_once, hi - at))
 
     def positives(part: pa.RecordBatch, draws: Draws, at: int) -> tuple[np.ndarray, np.ndarray]:
         """(groups, reps): positive draws of each group, and all draws up to its end."""
@@ -158,7 +158,7 @@ def resampled_curves(
         return own, np.stack([draws.below(a + b + c) for a, b, c in zip(first, p, n, strict=True)])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draws = Draws(total, reps, seed)
+        draws = Draws(total, reps, seed, leaf)
         for batch in batches:
             for part in runs(batch, 0):
                 own, _ = positives(part, draws, 1)
@@ -178,7 +178,7 @@ def resampled_curves(
             return {"recall": lambda: tp / all_p, "precision": lambda: tp / (tp + fp), "fpr": lambda: fp / (total - all_p)}[name]()
 
     def curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draws = Draws(total, reps, seed)
+        draws = Draws(total, reps, seed, leaf)
         tp = fp = all_p = usable = said = last = None
 
         def out(rep: np.ndarray, k: np.ndarray, value: np.ndarray, counted: np.ndarray | None = None) -> pa.RecordBatch:

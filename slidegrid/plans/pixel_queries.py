@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slidegrid.functions.draws import draw_sql
 from slidegrid.operators import index as ix
 from slidegrid.operators import pixels as px
+from slidegrid.operators import tiles as tl
 from slidegrid.plans.fixtures import EVAL_MASK, PATCHES, PIXELS, eval_mask, patches, pixels, table
 from slidegrid.plans.registry import query
 
@@ -108,9 +109,21 @@ def _steps(weights) -> str:
     return "values " + ", ".join(f"({i}, {j}, {w!r}::double)" for (i, j), w in weights.items())
 
 
-@query("px_median", f"/*and*/ {stencil_sql('pixels', 'r', 'st', _steps({(i, j): 1.0 for i in (-1, 0, 1) for j in (-1, 0, 1)}))} select {K}, quantile_cont(v, 0.5) as r from st group by 1, 2, 3", X)
-def _(spark, d):
-    return px.median(pixels(spark, d), 3, "r")
+def _median_sql(size: int) -> str:
+    at = range(-(size // 2), size - size // 2)
+    steps = _steps({(i, j): 1.0 for i in at for j in at})
+    ways = [stencil_sql("pixels", c, f"st_{c}", steps) for c in "rgb"]
+    means = [f"m_{c} as (select {K}, quantile_cont(v, 0.5) as {c} from st_{c} group by 1, 2, 3)" for c in "rgb"]
+    return f"/*and*/ {', '.join(ways + means)} select * from m_r join m_g using ({K}) join m_b using ({K})"
+
+
+for _name, _size in (("px_median", 3), ("px_median_4", 4), ("px_median_9", 9)):
+
+    @query(_name, _median_sql(_size), X)
+    def _(spark, d, size=_size):
+        rows = pixels(spark, d)
+        red, green, blue = (tl.median(rows, size, c) for c in "rgb")
+        return red.join(green, C).join(blue, C)
 
 
 _G = px.gaussian_weights(1.0)

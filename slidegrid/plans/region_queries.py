@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from slidegrid.operators import froc as fr
 from slidegrid.operators import metrics as mt
 from slidegrid.operators import regions as rg
+from slidegrid.operators import tiles as tl
 from slidegrid.plans.fixtures import EVAL_MASK, PATCHES, SLIDES, eval_mask, patches, slides
 from slidegrid.plans.metric_queries import boot_sql, named_sql, rounded
 from slidegrid.plans.registry import query
@@ -78,7 +79,7 @@ def _(spark, d):
 
 @query("dbscan", f'{R}{dbscan_sql("value > 0.5", 5, 10)} select slide_idx, "row", col, comp from comps', (PATCHES, HEAT))
 def _(spark, d):
-    return rg.dbscan(cells_at(spark, d, 0.5, True), 5, 10).select(*rg.CELL, "comp")
+    return tl.dbscan(cells_at(spark, d, 0.5, True), 5, 10).select(*rg.CELL, "comp")
 
 
 _BASIC = "slide_idx, comp, area, centroid_row, centroid_col, min_row, min_col, max_row, max_col, max_value, round(mean_value, 9) as mean_value, min_value, round(sum_value, 9) as sum_value, bbox_area, area / bbox_area::double as extent, (max_row - min_row) / (max_col - min_col)::double as aspect_ratio, 1 / area::double as density"
@@ -121,7 +122,7 @@ def _rounded(lesions: DataFrame) -> DataFrame:
 
 @query("lesions_dbscan", f"{R}{dbscan_sql('value > 0.5', 5, 10)}, {PROPS} select {_LESION} from props", (PATCHES, HEAT))
 def _(spark, d):
-    return _rounded(rg.lesions_of(rg.region_props(rg.dbscan(cells_at(spark, d, 0.5, True), 5, 10)), 256))
+    return _rounded(rg.lesions_of(rg.region_props(tl.dbscan(cells_at(spark, d, 0.5, True), 5, 10)), 256))
 
 
 @query("lesions_two_model", f"""{R}{comps_sql('value >= 0.9')} select slide_idx, round(sum(a.value + coalesce(b.value, 0)) / 2, 9) as prob_score, round(avg(col) * 256, 6) as centre_x, round(avg("row") * 256, 6) as centre_y, count(*) as pixels
@@ -135,7 +136,7 @@ def _(spark, d):
   union all select slide_idx, l[1], list_filter(l, lambda x: (x.r - l[1].r) * (x.r - l[1].r) + (x.c - l[1].c) * (x.c - l[1].c) >= 36) from greedy where len(l) > 0)
  select g.slide_idx, g.top.r as "row", g.top.c as col, g.top.v as prob_score, count(*) as pixels from greedy g join hm on hm.slide_idx = g.slide_idx and (hm."row" - g.top.r) * (hm."row" - g.top.r) + (hm.col - g.top.c) * (hm.col - g.top.c) < 36 group by all""", (PATCHES, HEAT))
 def _(spark, d):
-    return rg.lesions_nms(heat(spark, d), radius=6, cutoff=0.5)
+    return tl.lesions_nms(heat(spark, d), radius=6, cutoff=0.5)
 
 
 def _froc_parts(spark, d):
@@ -275,7 +276,7 @@ _DB3 = ["area", "major_axis", "minor_axis", "density", "mean_value", "max_value"
 
 @query("slide_features_dbscan3", f"{R}{dbscan_sql('value > 0.58', 3, 20)}, {PROPS}, {_top_sql(3, _DB3)}", (PATCHES, HEAT))
 def _(spark, d):
-    return _round_all(rg.top_regions(rg.region_props(rg.dbscan(cells_at(spark, d, 0.58, True), 3, 20)), 3, _DB3))
+    return _round_all(rg.top_regions(rg.region_props(tl.dbscan(cells_at(spark, d, 0.58, True), 3, 20)), 3, _DB3))
 
 
 def wide_features(spark, d) -> DataFrame:
