@@ -6,8 +6,12 @@ places that the plan gives their length. The search is bin completion by branch
 left it enumerates the undominated fillings of the rest of the bin, least waste first, along a table of the sums that
 the lengths left can reach, so that no branch of the enumeration ends without a filling. A filling is tried as often as the
 counts allow, then less often, then the next; a branch ends where its waste so far leaves no room to beat the incumbent, and
-the search goes back. Best-fit decreasing is the first incumbent. The search ends when a lower bound of the bins proves the
-incumbent best, when all is tried, or after SEARCH_NODES fillings, with the best plan found until then.
+the search goes back. Best-fit decreasing is the first incumbent. Before it goes back anywhere, the search goes down from the
+root a number of times along fillings of greatest value instead of least waste: a length is worth more the more was wasted
+where it was packed the last time, so lengths that leave bad rests are used while others can still complete their bins, and
+each descent corrects the values for the next. The search ends when a lower bound of the bins proves the incumbent best
+or when all is tried; `descents` and `nodes` (fillings looked at, None for all) bound it for callers that want a plan in bounded
+time, with the best one found until then.
 
 Rows: null texts are empty documents (their end id remains); rows that share an id are packed each for itself; an
 empty table gives no rows; other columns are ignored.
@@ -30,8 +34,11 @@ from slidegrid.llm.token_shards import slices_of
 
 #: Buckets by which pieces of one length are numbered side by side.
 RANK_BUCKETS = 512
-#: Fillings that the search may look at: its time budget, a few seconds on the driver for any number of documents.
-SEARCH_NODES = 500
+#: Budgets of the search where the caller names none: descents along values, and fillings looked at while going back. They
+#: bound its time on the driver to a minute or two for any number of documents; most tables need neither.
+DESCENTS, SEARCH_NODES = 16, 2_000
+#: Power of its length that a length is worth at first.
+WORTH = 1.02
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, with_ids: bool = False, table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -144,8 +151,70 @@ def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tu
     return plan
 
 
-def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a bin, how many such bins) for all pieces counted: the best plan that the search finds."""
+def _most_worth(room: int, lengths: list[int], counts: list[int], worth: np.ndarray) -> dict[int, int]:
+    """The filling {place in lengths: number} of at most `room` that is worth most, by a table over the room."""
+    steps = []
+    for k, (length, n) in enumerate(zip(lengths, counts, strict=True)):
+        n, size = min(n, room // length), 1
+        while n > 0:
+            size = min(size, n)
+            steps.append((k, size))
+            n, size = n - size, 2 * size
+    best, took = np.zeros(room + 1), np.zeros((len(steps), room + 1), dtype=bool)
+    for row, (k, size) in enumerate(steps):
+        need = size * lengths[k]
+        with_it = best[: room + 1 - need] + size * worth[k]
+        took[row, need:] = with_it > best[need:] + 1e-9
+        best[need:] = np.where(took[row, need:], with_it, best[need:])
+    out: dict[int, int] = {}
+    for row in range(len(steps) - 1, -1, -1):
+        if took[row, room]:
+            k, size = steps[row]
+            out[k] = out.get(k, 0) + size
+            room -= size * lengths[k]
+    return out
+
+
+def _descent(lengths: np.ndarray, counts: np.ndarray, capacity: int, worth: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """Bins around the largest length left, each completed by the filling of most worth, as often as the counts allow."""
+    left, plan = counts.copy(), []
+    for top in range(len(lengths)):
+        while left[top]:
+            left[top] -= 1
+            some = np.flatnonzero(left)
+            filling = _most_worth(capacity - int(lengths[top]), lengths[some].tolist(), left[some].tolist(), worth[some])
+            left[top] += 1
+            bin_ = {int(some[k]): n for k, n in filling.items()}
+            bin_[top] = bin_.get(top, 0) + 1
+            times = min(int(left[k]) // n for k, n in bin_.items())
+            for k, n in bin_.items():
+                left[k] -= n * times
+            plan.append((bin_, times))
+    return plan
+
+
+def _descents(lengths: np.ndarray, counts: np.ndarray, capacity: int, least: int, most: int, descents: int | None) -> list[tuple[dict[int, int], int]] | None:
+    """The best plan of fewer than `most` bins that descents find, None if there is none; without a budget, until `least` is
+    reached or the values come round to nothing new."""
+    worth, best, seen = lengths.astype(np.float64) ** WORTH, None, set()
+    while most > least and (descents is None or descents > 0) and worth.tobytes() not in seen:
+        seen.add(worth.tobytes())
+        descents = None if descents is None else descents - 1
+        plan = _descent(lengths, counts, capacity, worth)
+        if (bins := sum(t for _, t in plan)) < most:
+            most, best = bins, plan
+        dearer = np.zeros(len(lengths))
+        for bin_, times in plan:
+            used = sum(int(lengths[k]) * n for k, n in bin_.items())
+            for k, n in bin_.items():
+                dearer[k] += times * n * capacity / used
+        worth = (worth + lengths.astype(np.float64) ** WORTH * dearer / counts) / 2
+    return best
+
+
+def plan_bins(histogram: dict[int, int], capacity: int, nodes: int | None = SEARCH_NODES, descents: int | None = DESCENTS) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a bin, how many such bins) for all pieces counted: the best plan that the search finds within its budgets,
+    the best there is with nodes=None."""
     lengths = sorted((k for k, n in histogram.items() if n), reverse=True)
     if not lengths:
         return []
@@ -153,6 +222,9 @@ def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODE
     incumbent = _best_fit(np.array(lengths, dtype=np.int64), np.array(left, dtype=np.int64), capacity)
     most = sum(n for _, n in incumbent)
     least = least_bins(np.array(lengths), np.array(left), capacity)
+    if (found := _descents(np.array(lengths), np.array(left), capacity, least, most, descents)) is not None:
+        most = sum(n for _, n in found)
+        incumbent = [(tuple(lengths[k] for k in sorted(b) for _ in range(b[k])), t) for b, t in found]
     total, used, plan = sum(a * b for a, b in zip(lengths, left)), 0, []
 
     def moves(tried: frozenset) -> Iterator[tuple[int, dict[int, int], int, frozenset] | None]:
@@ -174,7 +246,7 @@ def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODE
                 yield top, bin_, times, tried
 
     stack, done = [moves(frozenset())], 0
-    while stack and most > least and done < nodes:
+    while stack and most > least and (nodes is None or done < nodes):
         move = next(stack[-1], ())
         if move is None:
             done += 1
@@ -205,14 +277,15 @@ def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = SEARCH_NODE
     return incumbent
 
 
-def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to pieces (length, row_key, piece and more): as few sequences as the search finds.
+def pack(pieces: DataFrame, capacity: int, nodes: int | None = SEARCH_NODES, descents: int | None = DESCENTS) -> DataFrame:
+    """Adds sequence_id and offset to pieces (length, row_key, piece and more): as few sequences as the search finds within its
+    budgets (plan_bins).
     Pieces of one length are numbered within hash buckets, and bucket totals give each bucket its first number, so no
     length, however frequent, meets in one task."""
     spark = pieces.sparkSession
     counted = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     slots, first, used = [], 0, dict.fromkeys(counted, 0)
-    for bin_, times in plan_bins(counted, capacity):
+    for bin_, times in plan_bins(counted, capacity, nodes, descents):
         for length in sorted(set(bin_), reverse=True):
             offsets = [sum(bin_[:k]) for k, x in enumerate(bin_) if x == length]
             slots.append((length, used[length], used[length] + times * len(offsets), first, offsets))
@@ -238,9 +311,13 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """pieces_of() with a word table of table_bytes in each worker, kept in the shared folder because counting and dealing both read it, then pack()."""
-    return pack(stash(pieces_of(docs, tokenizer_path, end_id, capacity, with_ids, table_bytes), "pieces"), capacity)
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False, table_bytes: int = TABLE_BYTES,
+    nodes: int | None = SEARCH_NODES, descents: int | None = DESCENTS,
+) -> DataFrame:
+    """pieces_of() with a word table of table_bytes in each worker, kept in the shared folder because counting and dealing both
+    read it, then pack() within the search's budgets."""
+    return pack(stash(pieces_of(docs, tokenizer_path, end_id, capacity, with_ids, table_bytes), "pieces"), capacity, nodes, descents)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

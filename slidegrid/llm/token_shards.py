@@ -3,7 +3,7 @@
 A shard file holds one concatenated id array (16-bit ids where the vocabulary allows, else 32-bit). The places where
 documents begin are a monotone sequence, kept as Elias-Fano code: low bits packed, high bits in unary, and every
 256th set bit's position as select structure, about 2 + log2(ids / documents) bits a document and no 64-bit table.
-Document ids, ascending in a shard, are kept the same way as distances from the first.
+Document ids, ascending in a shard, are kept the same way as distances from the first (modulo 2^64).
 
 Rows: null texts are empty documents; null document ids come first; rows that share an id are ordered by their text's
 hash and then text; columns other than the two named are ignored; an empty table gives no rows. Writers put a shard
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slidegrid.llm.encoding import encoder, slices
@@ -84,19 +84,28 @@ class EliasFano:
         return one - k << self.low_bits | self._low(k)
 
     def select_many(self, places: np.ndarray) -> np.ndarray:
-        """select() of many places at once: running counts of set bits find each one's byte, a table its bit; the low
-        bits are cut out of the eight bytes about them (low_bits is 56 at most)."""
+        """select() of many places at once, each from the sampled set bit before it on, byte by byte, all together."""
         k = np.asarray(places, dtype=np.int64)
-        if len(k) and not (0 <= k.min() and k.max() < self.n):
+        if not len(k):
+            return np.empty(0, dtype=np.uint64)
+        if not (0 <= k.min() and k.max() < self.n):
             raise IndexError(places)
-        upto = np.cumsum(np.bitwise_count(self.high), dtype=np.int64)
-        byte = np.searchsorted(upto, k, side="right")
-        left = k - np.append(0, upto)[byte]
+        ones = np.bitwise_count(self.high)
+        at = self.samples[k // SELECT_EVERY].astype(np.int64)
+        byte, left = at // 8, k % SELECT_EVERY
+        left += np.bitwise_count(self.high[byte] & ((1 << at % 8) - 1).astype(np.uint8))  # bits of that byte before the sampled one
+        open_ = np.flatnonzero(ones[byte] <= left)
+        while len(open_):
+            left[open_] -= ones[byte[open_]]
+            byte[open_] += 1
+            open_ = open_[ones[byte[open_]] <= left[open_]]
         high = (byte * 8 + _IN_BYTE[self.high[byte], left] - k).astype(np.uint64) << np.uint64(self.low_bits)
         first = k * self.low_bits
-        around = np.append(self.low, np.zeros(8, dtype=np.uint8))[(first // 8)[:, None] + np.arange(8)].copy().view("<u8").ravel()
-        low = (around >> (first % 8).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
-        return high | low
+        # The low bits, 63 at most, lie in nine bytes.
+        around = np.append(self.low, np.zeros(9, dtype=np.uint8))[(first // 8)[:, None] + np.arange(9)]
+        word, last, shift = around[:, :8].copy().view("<u8").ravel(), around[:, 8].astype(np.uint64), (first % 8).astype(np.uint64)
+        low = word >> shift | np.where(shift > 0, last << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        return high | low & np.uint64((1 << self.low_bits) - 1)
 
 
 def shard_bytes(doc_ids: list[int | None], counts: list[int], ids: list[bytes], width: int) -> bytes:
@@ -130,9 +139,20 @@ class Shard:
 
 
 def _store(path: str):
+    """pyarrow's file system of a qualified path, and the path in it; an error where pyarrow knows no such file system."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of Hadoop's default file system, where it names none: a path without a scheme means the shared
+    default, not the disk of the machine that a task runs on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    full = full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+    _store(full)
+    return full
 
 
 def write_token_shards(
@@ -141,6 +161,7 @@ def write_token_shards(
 ) -> DataFrame:
     """Encodes all documents and writes shard files of about `shard_ids` ids in ascending id order, each document
     followed by end_id. Returns the manifest (part, seq, file, n_docs, n_ids), one row a file, kept beside the shards."""
+    out_dir = qualified(docs.sparkSession, out_dir)
     order = [F.asc_nulls_first("k"), F.asc("h"), F.asc("t")]
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     ordered = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
@@ -193,7 +214,7 @@ def read_token_shards(out_dir: str, manifest: DataFrame) -> DataFrame:
     The only global figure, ids in the shards before, is a running sum over the manifest, a row for each file."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    files = max(1, manifest.count())
+    files, out_dir = max(1, manifest.count()), qualified(manifest.sparkSession, out_dir)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(out_dir)

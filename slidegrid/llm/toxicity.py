@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from slidegrid.llm.shared import tidied
 
-#: Labelled rows that are learned from at most (those of least hash), and features that training keeps at most.
+#: Labelled texts that are learned from at most (those of least hash), and features that training keeps where the caller does
+#: not say how many (None: all). Both are parameters of learn() and classify().
 SAMPLE, FEATURES = 16_000, 4_096
 #: Weight of the counterfactual penalty and of the absolute values; steps of the minimiser.
 PENALTY, SPARSITY, STEPS = 5.0, 2e-4, 300
@@ -82,8 +83,9 @@ def _flat(rows: list[np.ndarray], kept: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[hit], place[hit]
 
 
-def train(features: list[np.ndarray], counter: list[np.ndarray], labels: np.ndarray, penalty: float = PENALTY) -> tuple[dict[int, float], float]:
-    """Weights by feature and the bias. counter: of each row with its group terms swapped (the same if it has none)."""
+def train(features: list[np.ndarray], counter: list[np.ndarray], labels: np.ndarray, penalty: float = PENALTY, most: int | None = FEATURES) -> tuple[dict[int, float], float]:
+    """Weights by feature and the bias. counter: of each row with its group terms swapped (the same if it has none). Of all
+    features the `most` telling ones are kept, None for all of them."""
     n, positive = len(labels), float(labels.sum()) if len(labels) else 0.0
     if not 0 < positive < n:
         share = positive / n if n else 0.0
@@ -96,7 +98,7 @@ def train(features: list[np.ndarray], counter: list[np.ndarray], labels: np.ndar
     surprise = (of_toxic - expected) ** 2 / np.maximum(expected * (1 - positive / n), 1e-9)
     surprise[count < 2] = 0
     terms = np.intersect1d(names, features_of(set(_NEXT)))  # these stay, however little they tell
-    kept = np.union1d(names[np.argsort(-surprise, kind="stable")[:FEATURES]], terms)
+    kept = np.union1d(names[np.argsort(-surprise, kind="stable")[:most]], terms)
     rows, cols = _flat(features, kept)
     other_rows, other_cols = _flat(counter, kept)
     differs = np.flatnonzero([len(a) != len(b) or (a != b).any() for a, b in zip(features, counter, strict=True)])
@@ -127,11 +129,17 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def learn(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY, sample: int = SAMPLE) -> tuple[dict[int, float], float]:
-    """Fits the model in one task, whose rows `sample` bounds, and brings its weights, FEATURES at most, to the driver."""
+def learn(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY, sample: int = SAMPLE, features: int | None = FEATURES) -> tuple[dict[int, float], float]:
+    """Fits the model in one task, whose rows `sample` bounds, and brings its weights, about `features`, to the driver. Equal
+    texts of one id and label count once, so that an id with many rows weighs no more than another; the bound holds for
+    texts, not for ids."""
     usable = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).select(F.col("doc_id").alias("d"), F.col("toxic").cast("int").alias("y"))
-    chosen = usable.orderBy(F.xxhash64("d"), "d", "y").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("text", "y")  # `sample` rows of two numbers
+    some = usable.distinct().orderBy(F.xxhash64("d"), "d", "y").limit(sample)
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    keys = hashed.select("doc_id", "h").join(F.broadcast(some), F.col("doc_id") == F.col("d")).select("d", "h", "y").distinct()  # `sample` rows of two numbers
+    chosen = keys.orderBy(F.xxhash64("d"), "d", "h", "y").limit(sample)
+    texts = hashed.join(F.broadcast(chosen.withColumnRenamed("h", "g")), (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("g")))  # `sample` rows of three numbers
+    texts = texts.groupBy("d", "h", "y").agg(F.min("text").alias("text")).select("text", "y")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,10 +158,10 @@ def learn(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY, sample:
                 f.append(a.values.to_numpy())
                 g.append(b.values.to_numpy() if b.is_valid else f[-1])
             y += batch.column(2).to_pylist()
-        weights, bias = train(f, g, np.array(y, dtype=np.float64), penalty)
+        weights, bias = train(f, g, np.array(y, dtype=np.float64), penalty, features)
         yield pa.RecordBatch.from_pydict({"k": [-1, *weights], "w": [bias, *weights.values()]}, schema=pa.schema([("k", pa.int64()), ("w", pa.float64())]))
 
-    found = texts.mapInArrow(tidied(extract), "f array<long>, g array<long>, y int").repartition(1).mapInArrow(tidied(fit), "k long, w double").collect()
+    found = texts.mapInArrow(tidied(extract), "f array<long>, g array<long>, y int").repartition(1).sortWithinPartitions("y", "f", "g").mapInArrow(tidied(fit), "k long, w double").collect()
     weights = {r["k"]: r["w"] for r in found}
     return weights, weights.pop(-1, 0.0)
 
@@ -183,8 +191,8 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY, sample: int = SAMPLE, features: int | None = FEATURES) -> DataFrame:
     """doc_id, held_out, score and predicted."""
-    scored = score(docs, learn(docs, labels))
+    scored = score(docs, learn(docs, labels, penalty, sample, features))
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

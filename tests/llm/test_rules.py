@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from slidegrid.llm import licenses, quality, toxicity
 
 
@@ -167,3 +169,17 @@ def test_toxicity_of_odd_documents(spark, odd_documents, no_documents):
     assert len(got) == odd_documents.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert toxicity.classify(odd_documents, labels.where("false")).where("score > 0.001").count() == 0
     assert toxicity.classify(no_documents, labels).count() == 0
+
+
+def test_fit_is_bounded_by_texts(spark):
+    """One labelled id with 100,000 rows weighs as much as its distinct texts, and no more texts than the sample are fitted."""
+    rows = [(k, "horrid filthy words" if k % 2 else "gentle kind words") for k in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k, _ in rows], "doc_id long, quality int, toxic int")
+    many = docs.unionByName(spark.range(100_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit(rows[2][1]).alias("text")))
+    assert toxicity.learn(many, labels) == toxicity.learn(docs, labels)
+    varied = docs.unionByName(spark.range(3_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text")))
+    weights, _ = toxicity.learn(varied, labels, sample=20)
+    assert len(weights) <= 20 * 14
+    everything = toxicity.learn(docs, labels, features=None)
+    assert everything[0]

@@ -41,6 +41,26 @@ def test_elias_fano():
     assert len(token_shards.EliasFano.of(dense).to_bytes()) * 8 < 11.5 * 10_000
 
 
+def test_elias_fano_of_sparse_ids():
+    """Random 64-bit ids in shards of 2 to 200 documents: each comes back by select and by select_many."""
+    rng = np.random.default_rng(4)
+    for n in [*range(2, 12), 50, 127, 128, 129, 200]:
+        for _ in range(20):
+            ids = np.sort(rng.integers(-(2**63), 2**63, n))
+            shard = token_shards.Shard(token_shards.shard_bytes(ids.tolist(), [1] * n, [b"\1\0"] * n, 2))
+            assert shard.doc_ids == ids.tolist()
+            code = token_shards.EliasFano.of((ids - ids[0]).view(np.uint64))
+            assert [code.select(k) for k in range(n)] == [int(d) - int(ids[0]) for d in ids]
+    shard = token_shards.Shard(token_shards.shard_bytes([-5, 6917529027641081850], [1, 1], [b"\1\0"] * 2, 2))
+    assert shard.doc_ids == [-5, 6917529027641081850]
+
+
+def test_paths_are_the_default_file_system(spark, tmp_path):
+    assert token_shards.qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
+    with pytest.raises(Exception):
+        token_shards.qualified(spark, "nosuch://x/y")
+
+
 def op1_expected(rows):
     t = Tokenizer.from_file(WORD)
     start, out = 0, []
@@ -174,3 +194,44 @@ def test_bin_completion_finds_the_fewest_bins():
         assert sum(n for _, n in plan) == fewest >= packing.least_bins(lengths, counts, capacity)
         beaten += sum(n for _, n in packing._best_fit(lengths, counts, capacity)) > fewest
     assert beaten
+
+
+def test_plans_near_the_bound():
+    """Lengths that best-fit packs badly: within 0.5 % of the lower bound after a few descents, and never worse than best-fit
+    without any."""
+    rng = random.Random(1)
+    for low, high, n in ((400, 899, 1500), (300, 1099, 1500)):
+        counted = Counter(rng.randint(low, high) for _ in range(n))
+        lengths = np.array(sorted(counted, reverse=True))
+        counts = np.array([counted[x] for x in lengths.tolist()])
+        least, fit = packing.least_bins(lengths, counts, 2048), sum(t for _, t in packing._best_fit(lengths, counts, 2048))
+        plan = packing.plan_bins(dict(counted), 2048, nodes=200)
+        held = Counter()
+        for bin_, times in plan:
+            assert sum(bin_) <= 2048
+            for x in bin_:
+                held[x] += times
+        assert held == counted and sum(t for _, t in plan) <= 1.005 * least < 1.02 * least < fit
+        assert sum(t for _, t in packing.plan_bins(dict(counted), 2048, nodes=50, descents=0)) <= fit
+
+
+def test_search_without_budgets_is_exact():
+    rng = random.Random(8)
+    for _ in range(60):
+        counted = Counter(rng.randint(3, 12) for _ in range(rng.randint(4, 9)))
+        items, best = sorted(counted.elements(), reverse=True), [99]
+
+        def put(k, bins):
+            if len(bins) >= best[0]:
+                return
+            if k == len(items):
+                best[0] = len(bins)
+                return
+            for i in range(len(bins)):
+                if bins[i] + items[k] <= 20:
+                    put(k + 1, [*bins[:i], bins[i] + items[k], *bins[i + 1 :]])
+            put(k + 1, [*bins, items[k]])
+
+        put(0, [])
+        assert sum(t for _, t in packing.plan_bins(dict(counted), 20, nodes=None, descents=0)) == best[0]
+        assert sum(t for _, t in packing.plan_bins(dict(counted), 20, nodes=None, descents=None)) == best[0]
