@@ -48,39 +48,37 @@ def _pipeline(learner, features: list[str], label: str):
     return fit
 
 
-def slide_forest(train: DataFrame, rows: DataFrame, features: list[str], label: str, trees: int = 100, seed: int = 7, path: str | None = None) -> DataFrame:
-    """Random forest of slide features: predicted and a probability for each class, named by the class. The fitted model is saved
-    at path, where one is given."""
+def slide_forest(train: DataFrame, rows: DataFrame, features: list[str], label: str, trees: int = 100, seed: int = 7, path: str | None = None, retrain: bool = False) -> DataFrame:
+    """Random forest of slide features: predictions and a probability for each class, named by the class. With a path, the model
+    saved there is used, unless retrain is asked for or there is none; then the fitted one is saved there."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
 
-    learner = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, featureSubsetStrategy="sqrt", seed=seed)
-    model, labels = _pipeline(learner, features, label)(train)
-    if path:
-        model.write().overwrite().save(path)
-    out = model.transform(rows).withColumn("_p", vector_to_array("probability"))
-    return out.select(*rows.columns, "predicted", *[F.get("_p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(labels)])
-
-
-def slide_boosted(train: DataFrame, rows: DataFrame, features: list[str], label: str, seed: int = 7, path: str | None = None) -> DataFrame:
-    """Gradient-boosted trees for two classes, one against the rest for more. The fitted model is saved at path, where one is
-    given."""
-    from pyspark.ml.classification import GBTClassifier, OneVsRest
-
-    learner = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=10, seed=seed)
-    if train.select(label).distinct().count() > 2:
-        learner = OneVsRest(classifier=learner, featuresCol="_features", labelCol="_label")
-    model, _ = _pipeline(learner, features, label)(train)
-    if path:
-        model.write().overwrite().save(path)
-    return model.transform(rows).select(*rows.columns, "predicted")
-
-
-def slide_predict(rows: DataFrame, path: str) -> DataFrame:
-    """Adds predicted by a model that slide_forest or slide_boosted saved; the rows need its features, not the label."""
-    from pyspark.ml import PipelineModel
-
-    return PipelineModel.load(path).transform(rows).select(*rows.columns, "predicted")
+    from slidegrid.operators.boosting import exists
+
+    if path and not retrain and exists(rows.sparkSession, path):
+        model = PipelineModel.load(path)
+    else:
+        learner = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, featureSubsetStrategy="sqrt", seed=seed)
+        model, _ = _pipeline(learner, features, label)(train)
+        if path:
+            model.write().overwrite().save(path)
+    names = model.stages[-1].getLabels()
+    bare = rows.drop(label) if label in rows.columns else rows
+    out = model.transform(bare).withColumn("_p", vector_to_array("probability"))
+    kept = [c for c in bare.columns if c not in features]
+    return out.select(*kept, F.col("predicted").alias("predictions"), *[F.get("_p", F.lit(k)).alias(name) for k, name in enumerate(names)])
+
+
+def slide_boosted(train: DataFrame, rows: DataFrame, features: list[str], label: str, path: str | None = None, retrain: bool = False, **how) -> DataFrame:
+    """Boosted trees of slide features: predictions and a probability for each class, named by the class; path as in
+    slide_forest, other arguments as in boosting.fit."""
+    from slidegrid.operators.boosting import fit_or_load, predict
+
+    model = fit_or_load(train, features, label, path, retrain, **how)
+    bare = rows.drop(label) if label in rows.columns else rows
+    return predict(bare, model).drop(*features)
 
 
 def rotate(tiles: DataFrame, angle: Column, side: int) -> DataFrame:

@@ -15,7 +15,7 @@ from slidegrid.operators import models as ml
 from slidegrid.operators import regions as rg
 from slidegrid.plans.fixtures import EVAL_MASK, PATCHES, PIXELS, POLYGONS, SLIDES, eval_mask, patches, pixels, polygons, slides, table
 from slidegrid.plans.registry import query
-from slidegrid.plans.region_queries import WIDE_VIEWS, wide_features, wide_sql
+from slidegrid.plans.region_queries import WIDE_VIEWS, dbscan3_features, wide_features, wide_sql
 from slidegrid.sources import tables as src
 
 P, S, X, G = (PATCHES,), (SLIDES,), (PIXELS,), (POLYGONS,)
@@ -208,24 +208,24 @@ def _(spark, d):
     return out.select("vec_id", F.round("normal", 6).alias("normal"), F.round("tumor", 6).alias("tumor"))
 
 
-def _vectors(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Train rows, all rows and the names of the features: all components, the label as class, seven tenths of each class to train."""
-    names = [f"f{k}" for k in range(64)]
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("slide_idx"), F.concat(F.lit("c"), "label").alias("y"), *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)])
-    split = rg.settled(ix.split_stratified(rows, 0.7, 11, "y")).withColumnRenamed("slide_idx", "vec_id")
-    return split.where("split = 'train'").drop("split"), split.drop("split"), names
+def _predicted(learner, found: DataFrame, names: DataFrame, label: str) -> DataFrame:
+    """Results of all slides by a model that is fitted to them: slide_names, true_label, tags, predictions and a probability for
+    each class. found holds a slide's features."""
+    features = [c for c in found.columns if c != "slide_idx"]
+    rows = names.select("slide_idx", F.col("slide_name").alias("slide_names"), F.lower(label).alias("true_label"), "tags", F.lower(label).alias("y")).join(found, "slide_idx").fillna(0.0, features)
+    rows = rg.settled(rows)
+    return learner(rows, rows, features, "y").drop("slide_idx")
 
 
 @query("slide_rf")
 def _(spark, d):
-    train, rows, names = _vectors(spark, d)
-    return ml.slide_forest(train, rows, names, "y").drop(*names)
+    wide = wide_features(spark, d).drop("slide_name", "slide_label", "tags")
+    return _predicted(ml.slide_forest, wide, slides(spark, d), "label")
 
 
 @query("slide_gbt")
 def _(spark, d):
-    train, rows, names = _vectors(spark, d)
-    return ml.slide_boosted(train, rows, names, "y").drop(*names)
+    return _predicted(ml.slide_boosted, dbscan3_features(spark, d), slides(spark, d), "stage")
 
 
 @query("slide_features_all", wide_sql(tags=False), WIDE_VIEWS)

@@ -275,7 +275,7 @@ _DB3 = ["area", "major_axis", "minor_axis", "density", "mean_value", "max_value"
 
 
 @query("slide_features_dbscan3", f"{R}{dbscan_sql('value > 0.58', 3, 20)}, {PROPS}, {_top_sql(3, _DB3)}", (PATCHES, HEAT))
-def _(spark, d):
+def dbscan3_features(spark, d):
     return _round_all(rg.top_regions(rg.region_props(tl.dbscan(cells_at(spark, d, 0.58, True), 3, 20)), 3, _DB3))
 
 

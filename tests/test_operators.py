@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from slidegrid.operators import boosting as bo
 from slidegrid.operators import contours as ct
 from slidegrid.operators import froc as fr
 from slidegrid.operators import index as ix
 from slidegrid.operators import metrics as mt
+from slidegrid.operators import models as ml
 from slidegrid.operators import pixels as px
 from slidegrid.operators import regions as rg
 from slidegrid.operators import resampling as rs
@@ -377,45 +379,79 @@ def check_report(rows, got, reps):
     assert band == [pytest.approx(b) for b in zip(levels, *np.quantile(bands, [0.025, 0.975], axis=0))]
 
 
-def test_slide_models_learn_all(spark, monkeypatch):
-    """Both learners get all components and all classes in train; classes are split by draw, each for itself. The forest keeps
-    the operator's 100 trees; the boosted rounds are not tested."""
-    from slidegrid.operators import models as ml
+def test_slide_results(spark):
+    """Both classifiers learn from slide features and say of every slide its name, label, tags and probabilities."""
     from slidegrid.plans import QUERIES
+    from slidegrid.plans.fixtures import slides
     from tests.conftest import DATA
 
     d = f"{DATA}/sf0.001"
-    vectors = {r.vec_id: r for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
-    seen = {}
-    for name in ("slide_forest", "slide_boosted"):
-
-        def spy(train, rows, features, label, trees=100, seed=7, name=name):
-            seen[name] = (train.collect(), rows.count(), features, trees)
-            return rows
-
-        monkeypatch.setattr(ml, name, spy)
-    for q in ("slide_rf", "slide_gbt"):
-        QUERIES[q](spark, d)
-    for train, n, features, trees in seen.values():
-        assert n == len(vectors) and len(features) == 64 and trees == 100
-        assert all([r[f] for f in features] == [float(v) for v in vectors[r.vec_id].embedding] for r in train)
-        sizes = {}
-        for r in vectors.values():
-            sizes[f"c{r.label}"] = sizes.get(f"c{r.label}", 0) + 1
-        assert {c: sum(r.y == c for r in train) for c in sizes} == {c: int(k * 0.7) for c, k in sizes.items()} and len(sizes) == 10
-        assert {r.vec_id % 2 for r in train} == {0, 1}
-    monkeypatch.undo()
-    forest = QUERIES["slide_rf"](spark, d)
-    assert {f"p_c{k}" for k in range(10)} <= set(forest.columns) and forest.count() == len(vectors)
+    known = {r.slide_name: r for r in slides(spark, d).collect()}
+    for name, label in (("slide_rf", "label"), ("slide_gbt", "stage")):
+        rows = QUERIES[name](spark, d).collect()
+        classes = sorted({r[label] for r in known.values()})
+        assert rows[0].asDict().keys() == {"slide_names", "true_label", "tags", "predictions", *classes}
+        assert {r.slide_names for r in rows} == known.keys()
+        assert all(r.true_label == known[r.slide_names][label] and r.tags == known[r.slide_names].tags for r in rows)
+        assert all(sum(r[c] for c in classes) == pytest.approx(1) and r[r.predictions] == max(r[c] for c in classes) for r in rows)
+
+
+def plain_boost(x, y, classes, cuts, rounds, depth):
+    """Trees by recursion over lists of rows, with the gains written out."""
+    scores = np.zeros((len(y), classes))
+    for _ in range(rounds):
+        p = np.exp(scores - scores.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        g, h = np.rint((p - np.eye(classes)[y]) * bo.UNIT) / bo.UNIT, np.rint(p * (1 - p) * bo.UNIT) / bo.UNIT
+        step = np.zeros_like(scores)
+
+        def grow(rows, left):
+            G, H = g[rows].sum(axis=0), h[rows].sum(axis=0)
+            best = (1e-6, None)
+            for f in range(x.shape[1]) if left else ():
+                for c in cuts[f]:
+                    low, high = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                    if h[low].sum() >= 1 and h[high].sum() >= 1:
+                        gain = sum((g[r].sum(axis=0) ** 2 / (h[r].sum(axis=0) + 1)).sum() for r in (low, high)) - (G**2 / (H + 1)).sum()
+                        if gain > best[0] + 1e-12:
+                            best = (gain, (low, high))
+            if best[1]:
+                grow(best[1][0], left - 1)
+                grow(best[1][1], left - 1)
+            else:
+                step[rows] = -0.3 * G / (H + 1)
+
+        grow(np.arange(len(y)), depth)
+        scores = scores + step
+    p = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def test_boosting_against_plain_loops(spark, monkeypatch):
+    """200 rows of three classes: probabilities are those of plain loops, whatever the partitions and writings of scores."""
+    rng = random.Random(5)
+    x = np.array([[rng.randrange(12), rng.random().__round__(1), rng.randrange(3)] for _ in range(200)], dtype=float)
+    y = np.array([int((a > 5) + (b > 0.5 and c > 0)) if rng.random() < 0.85 else rng.randrange(3) for a, b, c in x])
+    df = spark.createDataFrame([(k, *map(float, r), "abc"[v]) for k, (r, v) in enumerate(zip(x, y))], "slide_idx long, f0 double, f1 double, f2 double, y string")
+    monkeypatch.setattr(bo, "REFRESH", 3)
+    model = bo.fit(df.repartition(3), ["f0", "f1", "f2"], "y", rounds=7, depth=3)
+    got = {r.slide_idx: [r.a, r.b, r.c] for r in bo.predict(df.drop("y"), model).collect()}
+    want = plain_boost(x, y, 3, model.cuts, 7, 3)
+    assert np.allclose(np.array([got[k] for k in range(200)]), want, atol=1e-9)
+    other = bo.fit(df.orderBy(F.desc("slide_idx")).repartition(2), ["f0", "f1", "f2"], "y", rounds=7, depth=3)
+    assert other == model
+    odd = df.limit(3).select("slide_idx", F.lit(None).cast("double").alias("f0"), F.lit(float("nan")).alias("f1"), "f2")
+    assert bo.predict(odd, model).count() == 3
+    assert bo.fit(df.where("y = 'a'"), ["f0"], "y").trees == [] and bo.predict(df.limit(2), bo.fit(df.where("false"), ["f0"], "y")).first().predictions is None
 
 
 def test_saved_slide_models(spark, tmp_path):
-    """A saved model says the same of rows without labels as it did when it was fitted."""
-    from slidegrid.operators import models as ml
-
+    """A saved model says the same of rows without labels as it did when it was fitted, and is used until it is fitted anew."""
     rows = spark.createDataFrame([(k, float(k % 7), float(k % 3), "normal" if k % 7 < 3 else "tumor") for k in range(60)], "slide_idx long, f0 double, f1 double, y string")
-    for fit, name in ((lambda p: ml.slide_forest(rows, rows, ["f0", "f1"], "y", trees=5, path=p), "forest"), (lambda p: ml.slide_boosted(rows, rows, ["f0", "f1"], "y", path=p), "boosted")):
-        path = f"file://{tmp_path}/{name}"
-        fitted = {r.slide_idx: r.predicted for r in fit(path).collect()}
-        assert {r.slide_idx: r.predicted for r in ml.slide_predict(rows.drop("y"), path).collect()} == fitted
-        assert fitted == {r.slide_idx: r.y for r in rows.collect()}
+    other = rows.withColumn("y", F.when(F.col("y") == "normal", "tumor").otherwise("normal"))
+    for learn, how in ((ml.slide_forest, {"trees": 5}), (ml.slide_boosted, {"rounds": 4, "depth": 2})):
+        said = lambda train, of, **more: {r.slide_idx: (r.predictions, r.tumor) for r in learn(train, of, ["f0", "f1"], "y", path=f"file://{tmp_path}/{learn.__name__}", **how, **more).collect()}  # noqa: B023, E731
+        fitted = said(rows, rows)
+        assert {k: v[0] for k, v in fitted.items()} == {r.slide_idx: r.y for r in rows.collect()}
+        assert said(other, rows.drop("y")) == fitted
+        assert {k: v[0] for k, v in said(other, rows, retrain=True).items()} == {r.slide_idx: r.y for r in other.collect()}
