@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidegrid.functions.folders import discard
+from slidegrid.functions.folders import discard, exists
 from slidegrid.operators.regions import settled
 
 #: Cuts of a feature, trees between two writings of the scores, and units of gradients in 1.
@@ -65,11 +65,6 @@ class Boosted:
         return cls(raw["labels"], raw["features"], raw["cuts"], [Tree(**t) for t in raw["trees"]])
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def _binned(values: np.ndarray, cuts: list[list[float]]) -> np.ndarray:
     """The number of cuts below each value; nulls and NaN go below all."""
     out = np.empty(values.shape, dtype=np.int64)
@@ -148,31 +143,31 @@ def fit(train: DataFrame, features: list[str], label: str, rounds: int = 100, de
                 g = gradients(s, y)[held]
                 for f in range(len(features)):
                     np.add.at(total, (at[held], f, bins[held, f]), g)
-            node, f = (a.ravel() for a in np.indices(total.shape[:2]))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int32()), pa.array(f, pa.int32()), pa.array(list(total.reshape(len(node), -1)), pa.list_(pa.int64()))], names=["node", "f", "h"])
+            flat = total.reshape(len(open_), len(features), -1)
+            at = np.nonzero(flat)
+            yield pa.RecordBatch.from_arrays([*(pa.array(a, pa.int32()) for a in at), pa.array(flat[at])], names=["node", "f", "i", "v"])
 
-        each = state.mapInArrow(sums, "node int, f int, h array<long>")
-        added = each.select("node", "f", F.posexplode("h").alias("i", "v")).groupBy("node", "f", "i").agg(F.sum("v").alias("v")).where("v <> 0")
-        out = {node: np.zeros((len(features), n_bins * 2 * classes), dtype=np.int64) for node in open_}
-        for r in added.collect():  # nodes of a level * features * cuts * classes numbers at most
-            out[open_[r["node"]]][r["f"], r["i"]] = r["v"]
-        return {node: h.reshape(len(features), n_bins, 2 * classes) for node, h in out.items()}
+        added = state.mapInArrow(sums, "node int, f int, i int, v long").groupBy("node", "f", "i").agg(F.sum("v").alias("v")).toPandas()
+        out = np.zeros((len(open_), len(features), n_bins * 2 * classes), dtype=np.int64)  # nodes of a level * features * cuts * classes
+        out[added["node"], added["f"], added["i"]] = added["v"]
+        return dict(zip(open_, out.reshape(len(open_), len(features), n_bins, 2 * classes), strict=True))
 
     for _ in range(rounds):
         tree, open_ = Tree(), [0]
         tree.value = [[0.0] * classes]
-        for level in range(depth + 1):
+        for _level in range(depth):
             sums = histogram(fresh, tree, open_)
-            for node, h in sums.items():
-                tree.value[node] = leaf_values(h[0].sum(axis=0), penalty, rate)
-            splits = best_splits(sums, penalty, least) if level < depth else {}
-            open_ = []
+            if tree.feature == [-1]:
+                tree.value[0] = leaf_values(sums[0][0].sum(axis=0), penalty, rate)
+            splits, open_ = best_splits(sums, penalty, least), []
             for node, (f, cut) in sorted(splits.items()):
                 tree.feature[node], tree.cut[node], tree.left[node] = f, cut, len(tree.feature)
-                for _side in range(2):
-                    open_.append(len(tree.feature))
-                    for column, blank in ((tree.feature, -1), (tree.cut, 0), (tree.left, 0), (tree.value, [0.0] * classes)):
-                        column.append(blank)
+                low = sums[node][f, : cut + 1].sum(axis=0)
+                for side in (low, sums[node][f].sum(axis=0) - low):
+                    if side[classes:].sum() >= 2 * least * UNIT:  # else it can't be split
+                        open_.append(len(tree.feature))
+                    for column, new in ((tree.feature, -1), (tree.cut, 0), (tree.left, 0), (tree.value, leaf_values(side, penalty, rate))):
+                        column.append(new)
             if not open_:
                 break
         model.trees.append(tree)

@@ -1,6 +1,6 @@
 """Patch-index algebra: construction of patch rows, summaries, set operations, samples and splits.
 
-All functions take and return DataFrames keyed by slide_idx; nothing is collected. Draws are md5-keyed, so a sample or a
+Functions take and return DataFrames keyed by slide_idx; nothing is collected. Draws are md5-keyed, so a sample or a
 split is the same in any partitioning and any run.
 """
 
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slidegrid.functions.draws import draw
+from slidegrid.functions.folders import exists
+from slidegrid.operators.regions import settled
 
 #: High bits of a draw by which rows are dealt to buckets.
 DRAW_BITS = 14
@@ -141,16 +143,20 @@ def sample_simple(patches: DataFrame, n: int, seed: int, by: tuple[str, ...] = (
     return _least_drawn(patches, seed, list(by), F.lit(n))
 
 
+def _stretches(counts: DataFrame, n: int) -> DataFrame:
+    """Rows of counts (by label) with each k below n, made in stretches that are dealt to tasks first."""
+    stretches = counts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // STRETCH)))).repartition("label", "_s")
+    within = F.sequence(F.col("_s") * STRETCH, F.least((F.col("_s") + 1) * STRETCH, F.lit(n)) - 1)
+    return stretches.withColumn("k", F.explode(within)).drop("_s")
+
+
 def sample_replace(patches: DataFrame, n: int, seed: int) -> DataFrame:
     """n draws of each class with replacement: draw k takes the row numbered by its hash modulo the class's count. Rows are
     numbered slide by slide, draws are made in stretches that are dealt to tasks first."""
     counts = patches.groupBy("label").agg(F.count("*").alias("n"))
     everything = F.lit(2**62)
     numbered = _ranked_in_buckets(patches, F.col("slide_idx"), ["patch_seq"], ["label"], everything)
-    stretches = counts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // STRETCH)))).repartition("label", "_s")
-    within = F.sequence(F.col("_s") * STRETCH, F.least((F.col("_s") + 1) * STRETCH, F.lit(n)) - 1)
-    draws = stretches.withColumn("k", F.explode(within))
-    draws = draws.select("label", "k", (draw(seed, "label", "k") % F.col("n") + 1).alias("rank"))
+    draws = _stretches(counts, n).select("label", "k", (draw(seed, "label", "k") % F.col("n") + 1).alias("rank"))
     return draws.join(numbered, ["label", "rank"]).select("label", "k", "slide_idx", "patch_seq", "tumor")
 
 
@@ -161,8 +167,7 @@ def sample_weighted(patches: DataFrame, n: int, seed: int) -> DataFrame:
     per_slide = patches.groupBy("label", "slide_idx").agg(F.count("*").alias("n_patches"))
     slides_ = _ranked(per_slide, ["label"], ["slide_idx"]).withColumnRenamed("rank", "slide_rank")
     counts = per_slide.groupBy("label").agg(F.count("*").alias("n_slides"))
-    draws = counts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.withColumn("slide_rank", (draw(f"{seed}s", "label", "k") % F.col("n_slides") + 1).cast("int"))
+    draws = _stretches(counts, n).withColumn("slide_rank", (draw(f"{seed}s", "label", "k") % F.col("n_slides") + 1).cast("int"))
     hit = draws.join(slides_, ["label", "slide_rank"]).withColumn("rank", (draw(f"{seed}p", "label", "k") % F.col("n_patches") + 1).cast("int"))
     return hit.join(inside, ["label", "slide_idx", "rank"]).select("label", "k", "slide_idx", "patch_seq")
 
@@ -226,10 +231,31 @@ def score_attach(patches: DataFrame, scores: DataFrame) -> DataFrame:
     return patches.join(scores, ["slide_idx", "patch_seq"])
 
 
-def score_resume(index: DataFrame, results: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Scores the slides that have no results yet, and adds the results there are."""
-    left = index.join(results.select("slide_idx").distinct(), "slide_idx", "left_anti")
-    return results.unionByName(score(left))
+LEDGER = "slide_idx long, expected long, written long, run string"
+
+
+def score_resume(index: DataFrame, folder: str, score: Callable[[DataFrame], DataFrame], run: str) -> DataFrame:
+    """Results of all patches of an index, in folder/results: scores those that are missing and adds them. What is done is
+    told by folder/ledger (slide_idx, expected, written, run), to which a run adds its slides only after their results
+    are there; slides that the ledger has in full are not looked at again. Of others, a run that died may have left
+    some patches, in finished files only: these are kept, and the missing ones are scored. score gives slide_idx,
+    patch_seq and what else results hold."""
+    spark = index.sparkSession
+    results, ledger = f"{folder}/results", f"{folder}/ledger"
+    wanted = index.groupBy("slide_idx").agg(F.count("*").alias("expected"))
+    if exists(spark, ledger):
+        noted = spark.read.schema(LEDGER).parquet(ledger).groupBy("slide_idx").agg(F.max("written").alias("noted"))
+        wanted = wanted.join(noted, "slide_idx", "left").where("noted is null or noted < expected").drop("noted")
+    wanted = settled(wanted)
+    todo = index.join(wanted.select("slide_idx"), "slide_idx", "left_semi")
+    if exists(spark, results):
+        todo = todo.join(spark.read.parquet(results).select("slide_idx", "patch_seq"), ["slide_idx", "patch_seq"], "left_anti")
+    score(settled(todo)).write.mode("append").parquet(results)
+    found = spark.read.parquet(results)
+    written = found.join(wanted.select("slide_idx"), "slide_idx", "left_semi").groupBy("slide_idx").agg(F.count_distinct("patch_seq").alias("written"))
+    entry = wanted.join(written, "slide_idx", "left").select("slide_idx", "expected", F.coalesce("written", F.lit(0)).cast("long").alias("written"), F.lit(run).alias("run"))
+    entry.write.mode("append").parquet(ledger)
+    return found
 
 
 def tta_average(scored: DataFrame, classes: tuple[str, ...] = ("normal", "tumor")) -> DataFrame:

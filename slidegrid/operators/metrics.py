@@ -234,6 +234,14 @@ def multi_report(rows: DataFrame, reps: int, seed: int, vocabulary: tuple, true:
     return named_rows(of(rows), settled(of(drawn, ("rep",))), figures)
 
 
+def slide_metrics(rows: DataFrame, classes: tuple[str, ...], reps: int, seed: int, cutoff: float = 0.9) -> DataFrame:
+    """The report that the number of classes asks for. Two classes (the second is positive): slide_report of label and score.
+    More: multi_report of label and prediction, classes in their order."""
+    if len(classes) == 2:
+        return slide_report(rows.select((F.col("label") == classes[1]).cast("int").alias("label"), "score"), reps, seed, cutoff)
+    return multi_report(rows, reps, seed, classes, "label", "prediction")
+
+
 def patient_stage(slides: DataFrame, predicted: str = "prediction", per_patient: int = 5) -> DataFrame:
     """Stages patients by their slides: pN2 for a macro and at least four positive slides, pN1 for a macro, pN1mi for a
     micro, pN0(i+) for isolated cells, pN0 if all are negative; none (null) where a slide's prediction is not a known stage and

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidegrid.functions.draws import draw
+from slidegrid.functions.folders import exists
 
 
 def score_patches(rows: DataFrame, scorer_factory: Callable[[], Callable], schema: str) -> DataFrame:
@@ -55,8 +56,6 @@ def slide_forest(train: DataFrame, rows: DataFrame, features: list[str], label:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
 
-    from slidegrid.operators.boosting import exists
-
     if path and not retrain and exists(rows.sparkSession, path):
         model = PipelineModel.load(path)
     else:

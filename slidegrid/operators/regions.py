@@ -131,31 +131,70 @@ def region_props(cells: DataFrame) -> DataFrame:
     )
 
 
+def _hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Corners of the convex hull, anticlockwise, of sorted distinct points."""
+    halves = []
+    for seq in (points, points[::-1]):
+        line: list[tuple[int, int]] = []
+        for p in seq:
+            while len(line) > 1 and (line[-1][0] - line[-2][0]) * (p[1] - line[-2][1]) - (line[-1][1] - line[-2][1]) * (p[0] - line[-2][0]) <= 0:
+                line.pop()
+            line.append(p)
+        halves += line[:-1]
+    return halves
+
+
+def _hulls(group: pa.Table) -> pa.Table:
+    """Hulls of all regions in a square: from cells (row, col), or from the hulls of smaller squares (xs, ys)."""
+    import numpy as np
+
+    order = np.argsort(group["comp"].to_numpy(), kind="stable")
+    group = group.take(pa.array(order))
+    comp = group["comp"].to_numpy()
+    n = group["n"].to_numpy() if "n" in group.column_names else np.ones(len(comp), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(comp, prepend=comp[0] - 1)).tolist()
+    out: dict[str, list] = {"comp": [], "n": [], "xs": [], "ys": []}
+    for lo, hi in zip(cuts, [*cuts[1:], len(comp)]):
+        part = group.slice(lo, hi - lo)
+        if "xs" in group.column_names:
+            points = {p for x, y in zip(part["xs"].to_pylist(), part["ys"].to_pylist()) for p in zip(x, y)}
+        else:
+            row, col = part["row"].to_numpy(), part["col"].to_numpy()
+            lines, first = np.unique(row, return_inverse=True)
+            left, right = np.full(len(lines), np.iinfo(np.int64).max), np.full(len(lines), np.iinfo(np.int64).min)
+            np.minimum.at(left, first, col)
+            np.maximum.at(right, first, col)
+            points = {(y, x) for r, a, z in zip(lines.tolist(), left.tolist(), right.tolist()) for y in (r, r + 1) for x in (a, z + 1)}
+        corners = _hull(sorted(points))
+        for column, value in zip(out.values(), (int(comp[lo]), int(n[lo:hi].sum()), [p[0] for p in corners], [p[1] for p in corners]), strict=True):
+            column.append(value)
+    types = {"comp": pa.int32(), "n": pa.int64(), "xs": pa.list_(pa.int64()), "ys": pa.list_(pa.int64())}
+    places = {c: pa.array([group[c][0].as_py()] * len(cuts), pa.int64() if c == "slide_idx" else pa.int32()) for c in ("slide_idx", "trow", "tcol")}
+    return pa.table({**places, **{c: pa.array(v, types[c]) for c, v in out.items()}})
+
+
 def region_solidity(cells: DataFrame) -> DataFrame:
-    """area / area of the convex hull of each region's cells. Regions that fill their box have 1; the others
-    are first cut to their rows' ends, so a group handed to Python has two points a row."""
-    import pandas as pd
-
-    box = (F.max("row") - F.min("row") + 1) * (F.max("col") - F.min("col") + 1)
-    boxes = settled(cells.groupBy("slide_idx", "comp").agg((F.count("*") == box).alias("whole")))
-    whole = boxes.where("whole").select("slide_idx", "comp", F.lit(1.0).alias("solidity"))
-    ends = cells.join(boxes.where("not whole").select("slide_idx", "comp"), ["slide_idx", "comp"]).groupBy("slide_idx", "comp", "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.count("*").alias("n"))
-
-    def hull(group: pd.DataFrame) -> pd.DataFrame:
-        points = sorted({(x, y) for r, a, b in zip(group["row"], group["c0"], group["c1"]) for x in (r, r + 1) for y in (a, b + 1)})
-        area2, halves = 0, []
-        for seq in (points, points[::-1]):
-            line: list[tuple[int, int]] = []
-            for p in seq:
-                while len(line) > 1 and (line[-1][0] - line[-2][0]) * (p[1] - line[-2][1]) - (line[-1][1] - line[-2][1]) * (p[0] - line[-2][0]) <= 0:
-                    line.pop()
-                line.append(p)
-            halves += line[:-1]
-        for (a, b), (c, d) in zip(halves, halves[1:] + halves[:1]):
-            area2 += a * d - b * c
-        return pd.DataFrame({"slide_idx": [group["slide_idx"].iloc[0]], "comp": [group["comp"].iloc[0]], "solidity": [group["n"].sum() * 2 / abs(area2)]})
-
-    return whole.unionByName(ends.groupBy("slide_idx", "comp").applyInPandas(hull, "slide_idx long, comp int, solidity double"))
+    """area / area of the convex hull of each region's cells. Hulls merge: a square's regions give a hull each, with few corners
+    whatever their size, and hulls of regions that lie in several squares are merged in squares 16 times as wide, until
+    each region has one. A task holds a square's cells, or some hundreds of hulls."""
+    place = [F.floor(F.col(c) / SQUARE).cast("int").alias(f"t{c}") for c in ("row", "col")]
+    schema = "slide_idx long, trow int, tcol int, comp int, n long, xs array<long>, ys array<long>"
+    hulls, done = settled(cells.select(*CELL, "comp", *place).groupBy("slide_idx", "trow", "tcol").applyInArrow(_hulls, schema)), []
+    while True:
+        parts = settled(hulls.groupBy("slide_idx", "comp").agg(F.count("*").alias("parts")))
+        joined = hulls.join(parts, ["slide_idx", "comp"])
+        done.append(joined.where("parts = 1").drop("parts"))
+        if parts.where("parts > 1").isEmpty():
+            break
+        wider = joined.where("parts > 1").select("slide_idx", F.shiftright("trow", 4).alias("trow"), F.shiftright("tcol", 4).alias("tcol"), "comp", "n", "xs", "ys")
+        hulls = settled(wider.groupBy("slide_idx", "trow", "tcol").applyInArrow(_hulls, schema))
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more)
+    after = lambda c, i: F.element_at(c, (F.pmod(i + 1, F.size(c)) + 1).cast("int"))
+    cross = F.transform("xs", lambda x, i: x * after("ys", i) - after("xs", i) * F.get("ys", i))
+    twice = F.abs(F.aggregate(cross, F.lit(0).cast("long"), lambda a, b: a + b))
+    return whole.select("slide_idx", "comp", (F.col("n") * 2 / twice).alias("solidity"))
 
 
 def lesions_of(props: DataFrame, cell: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slidegrid.functions.draws import draw_sql
+from slidegrid.functions.folders import fresh_path
 from slidegrid.operators import index as ix
 from slidegrid.plans.fixtures import PATCHES, PIXELS, SLIDES, patches, pixels, slides, table
 from slidegrid.plans.registry import query
@@ -210,9 +211,10 @@ def _(spark, d):
 
 @query("score_resume", "select slide_idx, patch_seq, case when slide_idx % 3 = 0 then tumor else tumor_b end as tumor from patches", P)
 def _(spark, d):
-    p = patches(spark, d)
-    old = p.where("slide_idx % 3 = 0").select(*KEYS, "tumor")
-    return ix.score_resume(p, old, lambda left: left.select(*KEYS, F.col("tumor_b").alias("tumor")))
+    """A first run has scored some slides when it ends; the second, with another model, does the others."""
+    p, folder = patches(spark, d), fresh_path(spark, "scores")
+    ix.score_resume(p.where("slide_idx % 3 = 0"), folder, lambda left: left.select(*KEYS, "tumor"), "first")
+    return ix.score_resume(p, folder, lambda left: left.select(*KEYS, F.col("tumor_b").alias("tumor")), "second")
 
 
 @query("tta_average", """select slide_idx, x, y, max(label) as label, round(avg((1 - tumor) * t / 8), 9) as normal, round(avg(tumor * t / 8), 9) as tumor from (select *, unnest(range(1, 9)) as t from patches) group by 1, 2, 3""", P)

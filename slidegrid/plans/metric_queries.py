@@ -210,12 +210,19 @@ def _(spark, d):
     return report.select(*[c if c in ("row_name", "threshold") else F.round(c, 6).alias(c) for c in report.columns])
 
 
-@query("slide_metrics", "select 'multi' as kind, avg(case when stage = prediction then 1.0::double else 0 end) as accuracy from slides union all select 'binary', avg(case when (stage <> 'negative') = (prediction <> 'negative') then 1.0::double else 0 end) from slides", S)
+_MULTI_SQL = f"""{boot_sql('slides', 'stage, prediction', 3)}, al as (select rep, weight as w, stage, prediction from boot union all select -1, 1, stage, prediction from slides),
+ sm as (select rep, sum(case when stage = prediction then w else 0 end) / sum(w)::double as accuracy, {_STAGE_CELLS} from al group by 1) {named_sql('sm', ['accuracy', *_STAGE_NAMES])}"""
+
+
+@query("slide_metrics", f"""/*and*/ multi as (select 'multi' as kind, row_name, figure, value from (unpivot (with {_MULTI_SQL}) on columns(* exclude (row_name)) into name figure value value)),
+ two as (select 'binary' as kind, row_name, figure, value from (unpivot (select row_name, {', '.join(_NAMES)} from (with {_report_sql().removeprefix('/*and*/')})) on {', '.join(_NAMES)} into name figure value value)) select * from multi union all select * from two""", S + P)
 def _(spark, d):
-    rows = slides(spark, d)
-    two = rows.select((F.col("stage") != "negative").cast("int").alias("label"), (F.col("prediction") != "negative").cast("int").alias("predicted"))
-    both = mt.metrics_multi(rows, mt.STAGES, "stage", "prediction").select(F.lit("multi").alias("kind"), "accuracy")
-    return both.unionByName(mt.metrics_multi(two, (0, 1)).select(F.lit("binary").alias("kind"), "accuracy"))
+    long = lambda kind, report, names: report.select(F.lit(kind).alias("kind"), "row_name", F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in names])).alias("f")).select("kind", "row_name", "f.figure", "f.value").where("value is not null")
+    staged = slides(spark, d).select(F.col("stage").alias("label"), "prediction")
+    best = patches(spark, d).groupBy("slide_idx").agg(F.max("tumor").alias("score"))
+    two = slides(spark, d).select("slide_idx", "label").join(best, "slide_idx", "left").fillna(0.0, ["score"]).select("label", "score")
+    multi = mt.slide_metrics(staged, mt.STAGES, REPS, 3)
+    return long("multi", multi, ["accuracy", *_STAGE_NAMES]).unionByName(long("binary", mt.slide_metrics(two, ("normal", "tumor"), REPS, 3), _NAMES))
 
 
 _PATIENTS = """pt as (select patient, count(*) as n_slides, count(*) filter (where prediction = 'macro') as macro, count(*) filter (where prediction = 'micro') as micro, count(*) filter (where prediction = 'itc') as itc, count(*) filter (where prediction = 'negative') as negative, min(patient_stage) as true_stage from slides group by 1),

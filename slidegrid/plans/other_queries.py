@@ -21,11 +21,20 @@ from slidegrid.sources import tables as src
 P, S, X, G = (PATCHES,), (SLIDES,), (PIXELS,), (POLYGONS,)
 
 
+def _listed(spark: SparkSession, *trees: DataFrame) -> list[DataFrame]:
+    """The paths, found again by listing a folder in which a file was made for each."""
+    root, out = fresh_path(spark, "tree"), []
+    for k, paths in enumerate(trees):
+        src.touch(paths, f"{root}/{k}")
+        out.append(src.list_files(spark, f"{root}/{k}", "*.tif" if k == 0 else "*.xml"))
+    return out
+
+
 def _paths(spark, d) -> tuple[DataFrame, DataFrame]:
     """Slide and annotation paths, of which tumor slides have one."""
     s = slides(spark, d)
     name = F.concat("label", F.lit("_"), F.col("slide_idx").cast("string"))
-    return s.select(F.concat(F.lit("data/"), "label", F.lit("/"), name, F.lit(".tif")).alias("path")), s.where("label = 'tumor'").select(F.concat(F.lit("annotations/"), name, F.lit(".xml")).alias("path"))
+    return _listed(spark, s.select(F.concat(F.lit("data/"), "label", F.lit("/"), name, F.lit(".tif")).alias("path")), s.where("label = 'tumor'").select(F.concat(F.lit("annotations/"), name, F.lit(".xml")).alias("path")))
 
 
 @query("manifest_train", "select label || '_' || slide_idx as name, 'data/' || label || '/' || label || '_' || slide_idx || '.tif' as slide, label, case when label = 'tumor' then 'annotations/tumor_' || slide_idx || '.xml' end as annotation from slides", S)
@@ -37,13 +46,14 @@ def _(spark, d):
 def _(spark, d):
     s = slides(spark, d).withColumn("name", F.concat(F.lit("test_"), F.col("slide_idx").cast("string")))
     notes = s.where("label = 'tumor'").select("name", F.explode(F.array(F.lit("-1.xml"), F.lit("-2.xml"))).alias("k")).select(F.concat(F.lit("annotations/"), "name", "k").alias("path"))
-    return src.manifest_test(s.select(F.concat(F.lit("test/"), "name", F.lit(".tif")).alias("path")), notes, s.select("name", "label"))
+    return src.manifest_test(*_listed(spark, s.select(F.concat(F.lit("test/"), "name", F.lit(".tif")).alias("path")), notes), s.select("name", "label"))
 
 
 def _staged(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = slides(spark, d).withColumn("name", F.concat("patient", F.lit("-node_"), (F.col("slide_idx") % 5).cast("string")))
     stages = s.select(F.concat("name", F.lit(".tif")).alias("patient"), "stage").union(s.select(F.concat("patient", F.lit(".zip")), F.col("patient_stage")).distinct())
-    return s.select(F.concat(F.lit("slides/"), "name", F.lit(".tif")).alias("path")), stages, s.where("annotated").select(F.concat(F.lit("annotations/"), "name", F.lit(".xml")).alias("path"))
+    paths, notes = _listed(spark, s.select(F.concat(F.lit("slides/"), "name", F.lit(".tif")).alias("path")), s.where("annotated").select(F.concat(F.lit("annotations/"), "name", F.lit(".xml")).alias("path")))
+    return paths, stages, notes
 
 
 _STAGED = "select patient || '-node_' || slide_idx % 5 as name, stage as label, {tags} as tags, {note} as annotation from slides"
@@ -152,48 +162,72 @@ def _index(spark, d) -> DataFrame:
 _IDX = "slide_idx, min(0) as level, min(256) as patch_size, count(*) as n_patches"
 
 
+_IDX_SCHEMA = "slide_idx long, patch_seq int, x int, y int, label int, transform int, level int, patch_size int"
+
+
 @query("patch_index_write", f"select {_IDX} from patches group by 1", P)
 def _(spark, d):
     path = fresh_path(spark, "index")
-    src.write_index(_index(spark, d).repartition("slide_idx"), path)
-    return src.index_table(spark.read.parquet(path)).select(F.col("slide_idx").cast("long").alias("slide_idx"), "level", "patch_size", "n_patches")
+    src.write_index(_index(spark, d), path)
+    return src.index_table(src.read_index(spark, path, _IDX_SCHEMA))
 
 
 @query("patch_index_read", "select slide_idx, patch_seq, x, y, label, 1 as transform from patches", P)
 def _(spark, d):
     path = fresh_path(spark, "index-csv")
-    src.write_index(_index(spark, d).repartition("slide_idx"), path, "csv")
-    schema = "patch_seq int, x int, y int, label int, transform int, level int, patch_size int, slide_idx long"
-    return src.read_index(spark, path, schema, "csv").select("slide_idx", "patch_seq", "x", "y", "label", "transform")
+    src.write_index(_index(spark, d), path, "csv")
+    return src.read_index(spark, path, _IDX_SCHEMA, "csv").select("slide_idx", "patch_seq", "x", "y", "label", "transform")
+
+
+@query("patch_index_slides", "select slide_idx, patch_seq, label from patches where slide_idx between 7 and 31", P)
+def _(spark, d):
+    path = fresh_path(spark, "index")
+    src.write_index(_index(spark, d), path, file_rows=5_000)
+    return src.read_index(spark, path, _IDX_SCHEMA, slides=(7, 31)).select("slide_idx", "patch_seq", "label")
 
 
-@query("combined_index_write", "select cps_idx::int as cps_idx, count(*) as n from (select unnest([0, 1]) as cps_idx from patches) group by 1", P)
+@query("combined_index_write", "select cps_idx::int as cps_idx, slide_idx, patch_seq::int as patch_seq, x::int as x, y::int as y, label::int as label, 1 as transform from patches, (values (0), (1)) t(cps_idx)", P)
 def _(spark, d):
     path = fresh_path(spark, "combined")
     ix.index_union([_index(spark, d), _index(spark, d)]).write.option("header", "true").csv(path)
-    return spark.read.option("header", "true").csv(path).groupBy(F.col("cps_idx").cast("int").alias("cps_idx")).agg(F.count("*").alias("n"))
+    read = spark.read.option("header", "true").csv(path)
+    return read.select(F.col("cps_idx").cast("int").alias("cps_idx"), F.col("slide_idx").cast("long").alias("slide_idx"), *[F.col(c).cast("int").alias(c) for c in ("patch_seq", "x", "y", "label", "transform")])
+
+
+_RESULTS = "slide_idx long, patch_seq int, normal double, tumor double"
 
 
 @query("results_write", "select slide_idx, count(*) as n, round(sum(tumor), 6) as tumor from patches group by 1", P)
 def _(spark, d):
     path = fresh_path(spark, "results")
-    patches(spark, d).select("slide_idx", "patch_seq", "normal", "tumor").repartition("slide_idx").write.partitionBy("slide_idx").parquet(path)
-    out = spark.read.schema("patch_seq int, normal double, tumor double, slide_idx long").parquet(path)
-    return out.groupBy("slide_idx").agg(F.count("*").alias("n"), F.round(F.sum("tumor"), 6).alias("tumor"))
+    src.write_index(patches(spark, d).select("slide_idx", "patch_seq", "normal", "tumor"), path)
+    return src.read_index(spark, path, _RESULTS).groupBy("slide_idx").agg(F.count("*").alias("n"), F.round(F.sum("tumor"), 6).alias("tumor"))
 
 
 @query("results_read", "select slide_idx, patch_seq, normal, tumor from patches", P)
 def _(spark, d):
     path = fresh_path(spark, "results")
-    patches(spark, d).select("slide_idx", "patch_seq", "normal", "tumor").write.parquet(path)
-    return spark.read.schema("slide_idx long, patch_seq int, normal double, tumor double").parquet(path)
+    src.write_index(patches(spark, d).select("slide_idx", "patch_seq", "normal", "tumor"), path)
+    return src.read_index(spark, path, _RESULTS)
+
+
+_LABEL_COUNTS = "count(*) filter (where label = 2 and tumor >= 0.5) as tp, count(*) filter (where label <> 2 and tumor >= 0.5) as fp, count(*) filter (where label = 2 and tumor < 0.5) as fn, count(*) filter (where label <> 2 and tumor < 0.5) as tn"
 
 
-@query("metric_tables_write", "select 'patch' as kind, count(*) as n from (select label from patches group by label)", P)
+@query("metric_tables_write", f"""/*and*/ c as (select label::int as label, {_LABEL_COUNTS} from patches group by 1),
+ m as (select 'true_' || t as name, case when t = p then n else 0 end::double as value from (select label as t, label as p, count(*) as n from patches group by 1))
+ select 'patch_' || label || '_' || name as name, round(value, 9) as value from (unpivot (select label, ((tp + tn) / (tp + tn + fp + fn)::double)::double as accuracy, tn::double as tn, fp::double as fp, fn::double as fn, tp::double as tp from c) on accuracy, tn, fp, fn, tp into name name value value)
+ union all select 'stage_' || true_label || '_' || pred_label, n::double from (select stage as true_label, prediction as pred_label, count(*) as n from slides group by 1, 2)""", P + S)
 def _(spark, d):
+    """Writes two tables of metrics as CSV and reads all their values again."""
     path = fresh_path(spark, "metrics")
-    mt.patch_metrics(patches(spark, d), by=("label",)).write.option("header", "true").csv(path)
-    return spark.read.option("header", "true").csv(path).agg(F.count("*").alias("n")).select(F.lit("patch").alias("kind"), "n")
+    mt.patch_metrics(patches(spark, d), by=("label",)).write.option("header", "true").csv(f"{path}/patch")
+    mt.confusion_matrix(slides(spark, d), mt.STAGES, "stage", "prediction").write.option("header", "true").csv(f"{path}/stage")
+    read = lambda name: spark.read.option("header", "true").csv(f"{path}/{name}")
+    figures = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in ("accuracy", "tn", "fp", "fn", "tp")]))
+    patch = read("patch").select("label", figures.alias("f")).select(F.concat(F.lit("patch_"), "label", F.lit("_"), "f.name").alias("name"), F.round("f.value", 9).alias("value"))
+    stage = read("stage").where("n > 0").select(F.concat(F.lit("stage_"), "true_label", F.lit("_"), "pred_label").alias("name"), F.col("n").cast("double").alias("value"))
+    return patch.unionByName(stage)
 
 
 @query("tile_export_manifest", "select slide_idx, patch_seq, 1 as transform, case label when 2 then 'tumor' else 'normal' end as label_name, case label when 2 then 'tumor' else 'normal' end || '/' || regexp_replace(slide_name, '[^A-Za-z0-9]+', '_', 'g') || '-' || x || '-' || y || '_a.png' as path from patches join (select slide_idx, slide_name from slides) using (slide_idx)", P + S)

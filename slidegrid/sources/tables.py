@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +19,32 @@ def stem(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """Paths below a folder; contents are not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).select("path")
+    """path, relative to root, of each file below it whose name fits the pattern; contents are not read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    # Listings name file:/x as file:///x.
+    path = F.regexp_replace("path", "^file:/*", "file:/")
+    return found.select(F.substring(path, len(re.sub("^file:/*", "file:/", whole)) + 2, 1 << 20).alias("path"))
+
+
+def touch(paths: DataFrame, root: str) -> int:
+    """Makes a file of one byte below root for each row of paths (path, relative), in the tasks that hold the rows; the number
+    of files. Listings leave out files without any. root must name a file system that pyarrow knows, with its scheme."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                whole = f"{folder}/{path}"
+                store.create_dir(whole.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(whole) as f:
+                    f.write(b"\0")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return paths.select("path").mapInArrow(make, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def manifest_train(paths: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -68,13 +96,34 @@ def tile_region(x: Column, y: Column, size: int, level: int) -> Column:
     return F.struct(F.lit(level).alias("level"), F.struct(x.alias("x"), y.alias("y")).alias("location"), F.struct(F.lit(size).alias("w"), F.lit(size).alias("h")).alias("size"))
 
 
-def write_index(patches: DataFrame, path: str, form: str = "parquet") -> None:
-    """Patch rows in one folder for each slide, so that a split reads its slides' files only."""
-    patches.write.partitionBy("slide_idx").format(form).option("header", "true").save(path)
-
-
-def read_index(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
-    return spark.read.schema(schema).format(form).option("header", "true").load(path)
+#: Rows of a file of a stored index or of results.
+FILE_ROWS = 1_000_000
+FILES = "file string, first long, last long, n long"
+
+
+def write_index(patches: DataFrame, path: str, form: str = "parquet", file_rows: int = FILE_ROWS) -> None:
+    """Patch rows in files of alike size, whatever the slides' sizes: rows are cut into ranges of slide and patch, so a large slide
+    has several files and small ones share one. path/files says which slides a file has (first, last)."""
+    spark, columns = patches.sparkSession, [c for c in patches.columns if c != "slide_idx"]
+    n = max(1, -(-patches.count() // file_rows))
+    ordered = patches.select("slide_idx", *columns).repartitionByRange(n, "slide_idx", "patch_seq").sortWithinPartitions("slide_idx", "patch_seq")
+    ordered.write.format(form).option("header", "true").save(f"{path}/rows")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
+    stored = spark.read.schema(schema).format(form).option("header", "true").load(f"{path}/rows")
+    files = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("slide_idx").alias("first"), F.max("slide_idx").alias("last"), F.count("*").alias("n"))
+    files.coalesce(1).write.parquet(f"{path}/files")  # a row for each file
+
+
+def read_index(spark: SparkSession, path: str, schema: str, form: str = "parquet", slides: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of a stored index, of slides from the first to the last where asked for: then only the files that have any of them are
+    opened."""
+    where, rows = f"{path}/rows", spark.read.schema(schema).format(form).option("header", "true")
+    if slides is None:
+        return rows.load(where)
+    files = spark.read.schema(FILES).parquet(f"{path}/files").where((F.col("first") <= slides[1]) & (F.col("last") >= slides[0]))
+    names = [r.file for r in files.select("file").collect()]  # names of the files that are read
+    some = rows.load([f"{where}/{f}" for f in names]) if names else rows.load(where).where("false")
+    return some.where(F.col("slide_idx").between(*slides))
 
 
 def index_table(patches: DataFrame) -> DataFrame:

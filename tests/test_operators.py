@@ -17,6 +17,7 @@ from slidegrid.operators import pixels as px
 from slidegrid.operators import regions as rg
 from slidegrid.operators import resampling as rs
 from slidegrid.operators import tiles as tl
+from slidegrid.sources import tables as src
 
 
 def grid(spark, text, slide=1, value=None):
@@ -455,3 +456,54 @@ def test_saved_slide_models(spark, tmp_path):
         assert {k: v[0] for k, v in fitted.items()} == {r.slide_idx: r.y for r in rows.collect()}
         assert said(other, rows.drop("y")) == fitted
         assert {k: v[0] for k, v in said(other, rows, retrain=True).items()} == {r.slide_idx: r.y for r in other.collect()}
+
+
+def test_resume_after_a_run_that_died(spark, tmp_path):
+    """A run that dies leaves half a slide, and one that fails leaves nothing: the next ends with every patch once, and a slide
+    that the ledger has in full is not scored again."""
+    folder = f"file://{tmp_path}/scores"
+    index = spark.createDataFrame([(s, p) for s in range(4) for p in range(10)], "slide_idx long, patch_seq long")
+    named = lambda run: lambda left: left.select("slide_idx", "patch_seq", F.lit(run).alias("by"))
+    ix.score_resume(index.where("slide_idx = 0"), folder, named("first"), "first")
+    named("died")(index.where("slide_idx = 1 and patch_seq < 5")).write.mode("append").parquet(f"{folder}/results")  # no ledger entry
+    broken = lambda left: named("broken")(left).where(F.raise_error(F.lit("no model")).isNull())
+    with pytest.raises(Exception, match="no model"):
+        ix.score_resume(index, folder, broken, "broken")
+    rows = ix.score_resume(index, folder, named("last"), "last").collect()
+    assert sorted((r.slide_idx, r.patch_seq) for r in rows) == [(s, p) for s in range(4) for p in range(10)]
+    assert {(r.slide_idx, r.by) for r in rows} == {(0, "first"), (1, "died"), (1, "last"), (2, "last"), (3, "last")}
+    noted = sorted((r.slide_idx, r.expected, r.written, r.run) for r in spark.read.parquet(f"{folder}/ledger").collect())
+    assert noted == [(0, 10, 10, "first"), *((s, 10, 10, "last") for s in (1, 2, 3))]
+    assert len(ix.score_resume(index, folder, named("again"), "again").where("by = 'again'").collect()) == 0
+
+
+def test_index_files_are_alike(spark, tmp_path):
+    """One slide has half of all rows: files differ by a factor of 3 at most, and a slide's rows are read from its files only."""
+    rows = spark.range(40_000).select(F.when(F.col("id") < 20_000, 7).otherwise(F.col("id") % 900 + 8).cast("long").alias("slide_idx"), F.col("id").cast("int").alias("patch_seq"))
+    path = f"file://{tmp_path}/index"
+    src.write_index(rows, path, file_rows=5_000)
+    files = spark.read.parquet(f"{path}/files").collect()
+    assert len(files) == 8 and max(f.n for f in files) <= 3 * min(f.n for f in files)
+    some = src.read_index(spark, path, "slide_idx long, patch_seq int", slides=(20, 30))
+    assert len(some.inputFiles()) <= 2 and some.count() == rows.where("slide_idx between 20 and 30").count()
+    assert src.read_index(spark, path, "slide_idx long, patch_seq int").count() == 40_000
+    assert src.read_index(spark, path, "slide_idx long, patch_seq int", slides=(-5, -1)).count() == 0
+
+
+def test_listing(spark, tmp_path):
+    paths = spark.createDataFrame([("a/b/tumor_1.tif",), ("a/normal_2.tif",), ("a/x.xml",)], "path string")
+    assert src.touch(paths, f"file://{tmp_path}/tree") == 3
+    assert sorted(r.path for r in src.list_files(spark, f"file://{tmp_path}/tree", "*.tif").collect()) == ["a/b/tumor_1.tif", "a/normal_2.tif"]
+
+
+def test_hulls_merge(spark, monkeypatch):
+    """Solidity of regions in one square and in many, of an L, a full box and noise, against the polygon's area by hand."""
+    rng = random.Random(3)
+    cells = grid(spark, "####.... #....... #....##. .......#").withColumn("comp", F.when((F.col("col") < 4) & (F.col("row") < 3), 1).otherwise(2))
+    cells = cells.where("value > 0").unionByName(grid(spark, " ".join("".join(rng.choice("#.") for _ in range(40)) for _ in range(40)), slide=2).where("value > 0").withColumn("comp", F.lit(1)))
+    named = lambda: {(r.slide_idx, r.comp): r.solidity for r in rg.region_solidity(cells).collect()}
+    whole = named()
+    assert whole[1, 1] == pytest.approx(6 / 9) and whole[1, 2] == pytest.approx(3 / 4.5)
+    for side in (16, 2):
+        monkeypatch.setattr(rg, "SQUARE", side)
+        assert named() == whole
