@@ -29,18 +29,19 @@ def grid_melt(grids: DataFrame, column: str = "grid") -> DataFrame:
     return rows.select(*others, "row", F.posexplode("line").alias("col", "value"))
 
 
-def pool2d(cells: DataFrame, kernel: int, stride: int, how: str = "max", keys: tuple[str, ...] = ("slide_idx",), value: str = "value") -> DataFrame:
-    """Window maximum or mean without padding. Each cell is sent to the windows that cover it, one axis after the other, and
-    combined before the shuffle; windows beyond the grid's last whole one are dropped."""
+def pool2d(cells: DataFrame, kernel: int, stride: int, how: str = "max", keys: tuple[str, ...] = ("slide_idx",), value: str = "value", padding: int = 0) -> DataFrame:
+    """Window maximum or mean, the grid enlarged by `padding` rows and columns of zeros on every side. Each cell is sent to the
+    windows that cover it, one axis after the other, and combined before the shuffle; windows beyond the grid's last
+    whole one are dropped, and of windows that reach beyond the grid the zeros count, too."""
     sides = cells.groupBy(*keys).agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
-    covers = lambda c, side: F.sequence(
-        F.greatest(F.lit(0), F.ceil((F.col(c) - kernel + 1) / stride)).cast("int"),
-        F.least(F.floor((F.col(side) - kernel) / stride), F.floor(F.col(c) / stride)).cast("int"),
-    )
-    fits = lambda c, side: F.greatest(F.lit(0), F.ceil((F.col(c) - kernel + 1) / stride)) <= F.least(F.floor((F.col(side) - kernel) / stride), F.floor(F.col(c) / stride))
-    rows = cells.join(sides, list(keys)).where(fits("row", "_h") & fits("col", "_w"))
-    rows = rows.select(*keys, F.explode(covers("row", "_h")).alias("_r"), "col", "_w", value).select(*keys, "_r", F.explode(covers("col", "_w")).alias("_c"), value)
-    combined = F.max(value) if how == "max" else F.avg(value)
+    first = lambda c: F.greatest(F.lit(0), F.ceil((F.col(c) + padding - kernel + 1) / stride)).cast("int")
+    last = lambda c, side: F.least(F.floor((F.col(side) + 2 * padding - kernel) / stride), F.floor((F.col(c) + padding) / stride)).cast("int")
+    rows = cells.join(sides, list(keys)).where((first("row") <= last("row", "_h")) & (first("col") <= last("col", "_w")))
+    rows = rows.select(*keys, F.explode(F.sequence(first("row"), last("row", "_h"))).alias("_r"), "col", "_h", "_w", value).select(*keys, "_r", F.explode(F.sequence(first("col"), last("col", "_w"))).alias("_c"), "_h", "_w", value)
+    combined = F.max(value) if how == "max" else F.sum(value) / (kernel * kernel)
+    if how == "max" and padding:
+        beyond = lambda w, side: (F.col(w) * stride < padding) | (F.col(w) * stride + kernel > F.col(side) + padding)
+        combined = F.max(F.when(beyond("_r", "_h") | beyond("_c", "_w"), F.greatest(F.col(value), F.lit(0))).otherwise(F.col(value)))
     return rows.groupBy(*keys, F.col("_r").alias("row"), F.col("_c").alias("col")).agg(combined.alias(value))
 
 

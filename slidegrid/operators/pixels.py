@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidegrid.operators.regions import CELL, components, settled
+from slidegrid.operators.regions import CELL, components
+from slidegrid.operators.tiles import picture_features
 
 
 def downsample(pixels: DataFrame, factor: int, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
@@ -250,21 +251,17 @@ def hessian_eigenvalues(cells: DataFrame, value: str) -> DataFrame:
 def feature_stack(pixels: DataFrame, sigma_min: float = 1.0, sigma_max: float = 16.0, n_sigma: int | None = None, h_e: bool = False, raw: bool = False) -> DataFrame:
     """A row for each cell, channel and scale (0 is raw, where asked for): intensity, edge, eig1 and eig2. Channels are red,
     green and blue, with h_e hematoxylin and eosin too, over 255; scales are spaced evenly in log2; blurs repeat the border
-    cell. Blurs of all channels and scales go through the axes together."""
+    cell. All of a tile's pictures are made where its pixels are."""
     lo, hi = math.log2(sigma_min), math.log2(sigma_max)
     n = int(hi - lo + 1) if n_sigma is None else n_sigma
     sigmas = [0.0] * raw + [2 ** (lo + (hi - lo) * k / max(1, n - 1)) for k in range(n)]
     channels = ("r", "g", "b") + ("hematoxylin", "eosin") * h_e
     cells = (he_deconvolution(pixels) if h_e else pixels).select(*CELL, *[(F.col(c) / 255.0).alias(c) for c in channels])
     weights = [gaussian_weights(s) if s else [(0, 1.0)] for s in sigmas]
-    names = {f"{c}_{k}": (c, w) for c in channels for k, w in enumerate(weights)}
-    blurred = convolve_lines(convolve_lines(cells, "row", names, "nearest"), "col", {v: (v, w) for v, (_, w) in names.items()}, "nearest")
-    one = lambda c, k: F.struct(F.lit(c).alias("channel"), F.lit(k).alias("scale"), F.col(f"{c}_{k}").alias("v"))
-    long = blurred.select(*CELL, F.explode(F.array(*[one(c, k) for c in channels for k in range(len(sigmas))])).alias("_s"))
-    # From here on a channel at a scale is a picture of its own.
-    pictures = settled(long.select(F.struct("slide_idx", "_s.channel", "_s.scale").alias("slide_idx"), "row", "col", "_s.v"))
-    stack = with_eigenvalues(with_edges(pictures, ("v",)), ("v",))
-    return stack.select("slide_idx.slide_idx", "row", "col", "slide_idx.channel", "slide_idx.scale", F.col("v").alias("intensity"), *[F.col(f"v_{f}").alias(f) for f in ("edge", "eig1", "eig2")])
+    wide = picture_features(cells, list(channels), weights)
+    features = lambda c, k: [F.col(f"{c}_{k}").alias("intensity"), *[F.col(f"{c}_{k}_{f}").alias(f) for f in ("edge", "eig1", "eig2")]]
+    one = [F.struct(F.lit(c).alias("channel"), F.lit(k).alias("scale"), *features(c, k)) for c in channels for k in range(len(sigmas))]
+    return wide.select(*CELL, F.explode(F.array(*one)).alias("_s")).select(*CELL, "_s.channel", "_s.scale", "_s.intensity", "_s.edge", "_s.eig1", "_s.eig2")
 
 
 def mask_confusion(found: DataFrame, truth: DataFrame) -> DataFrame:

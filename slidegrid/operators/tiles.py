@@ -16,10 +16,10 @@ from slidegrid.operators.regions import CELL, connect, settled
 _LINE = 2**31
 
 
-def tiled(cells: DataFrame, rim: int, *columns: str) -> DataFrame:
+def tiled(cells: DataFrame, rim: int, *columns: str, side: int | None = None) -> DataFrame:
     """cells with trow and tcol, the square they are sent to, and own, whether they lie in it; cells within `rim` of another
     square are sent there, too. Rows and columns begin at 0; rims wider than a square reach several squares."""
-    side = rg.SQUARE
+    side = side or rg.SQUARE
     reach = -(-rim // side)
     kept = cells.select(*CELL, *columns, *[F.floor(F.col(c) / side).cast("int").alias(f"s{c}") for c in ("row", "col")])
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
@@ -325,3 +325,50 @@ def median(cells: DataFrame, size: int, value: str) -> DataFrame:
     sides = cells.groupBy("slide_idx").agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
     sent = tiled(cells, size, value).join(settled(sides), "slide_idx").select(*CELL, value, "trow", "tcol", "own", "_h", "_w")
     return sent.groupBy("slide_idx", "trow", "tcol").applyInArrow(_medians(size), f"slide_idx long, row int, col int, `{value}` double")
+
+
+def _blurred(picture: np.ndarray, weights: list[tuple[int, float]]) -> np.ndarray:
+    """Weighted sums along both axes; the border cell is repeated."""
+    for axis in (0, 1):
+        at = np.arange(picture.shape[axis])
+        picture = sum(w * np.take(picture, np.clip(at + k, 0, len(at) - 1), axis=axis) for k, w in weights)
+    return picture
+
+
+def _slope(picture: np.ndarray, axis: int) -> np.ndarray:
+    """Central differences, one-sided at the ends."""
+    return np.gradient(picture, axis=axis) if picture.shape[axis] > 1 else np.zeros_like(picture)
+
+
+def _edge(picture: np.ndarray) -> np.ndarray:
+    """Root of the mean of the squared gradients along both axes, smoothed across (weights 1 2 1 over 4); borders reflect."""
+    p = np.pad(picture, 1, mode="symmetric")
+    up, left = p[2:] - p[:-2], p[:, 2:] - p[:, :-2]
+    gy, gx = (up[:, :-2] + 2 * up[:, 1:-1] + up[:, 2:]) / 4, (left[:-2] + 2 * left[1:-1] + left[2:]) / 4
+    return np.sqrt((gy**2 + gx**2) / 2)
+
+
+def picture_features(cells: DataFrame, channels: list[str], weights: list[list[tuple[int, float]]], side: int = 256) -> DataFrame:
+    """Of each channel blurred with each of the weights: {channel}_{k} (intensity), _edge, and _eig1 and _eig2, the eigenvalues of the
+    second differences, greater first; columns beside the cells. One shuffle: a tile's rim is as wide as the widest blur and
+    what the differences need beyond it."""
+    rim = max(k for w in weights for k, _ in w) + 3
+    names = [f"{c}_{k}{f}" for c in channels for k in range(len(weights)) for f in ("", "_edge", "_eig1", "_eig2")]
+
+    def run(cells: pa.Table) -> pa.Table:
+        tile = _Tile(cells, 0)
+        r, c = np.nonzero(tile.own)
+        out = []
+        for name in channels:
+            raw = tile.grid(cells[name].to_numpy(), 0.0)
+            for w in weights:
+                v = _blurred(raw, w)
+                down, across = _slope(v, 0), _slope(v, 1)
+                hrr, hrc, hcc = _slope(down, 0), _slope(down, 1), _slope(across, 1)
+                mean, half = (hrr + hcc) / 2, np.sqrt((hrr - hcc) * (hrr - hcc) / 4 + hrc * hrc)
+                out += [x[r, c] for x in (v, _edge(v), mean + half, mean - half)]
+        places = [pa.array([tile.slide] * len(r), pa.int64()), pa.array(r + tile.top, pa.int32()), pa.array(c + tile.left, pa.int32())]
+        return pa.Table.from_arrays([*places, *map(pa.array, out)], names=[*CELL, *names])
+
+    schema = ", ".join(["slide_idx long, row int, col int", *(f"`{n}` double" for n in names)])
+    return tiled(cells, rim, *channels, side=side).groupBy("slide_idx", "trow", "tcol").applyInArrow(run, schema)

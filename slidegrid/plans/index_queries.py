@@ -74,6 +74,14 @@ def _(spark, d):
     return ix.pool2d(pixels(spark, d).withColumnRenamed("r", "value"), 2, 2, "avg")
 
 
+@query("pool2d_padded", f"""/*and*/ z as (select s.slide_idx, a.i as "row", b.j as col, coalesce(p.r, 0) as r from (select distinct slide_idx from pixels) s cross join (select unnest(range(-1, 9))::int as i) a cross join (select unnest(range(-1, 9))::int as j) b
+ left join pixels p on p.slide_idx = s.slide_idx and p."row" = a.i and p.col = b.j)
+ select z.slide_idx, w.i as "row", v.j as col, max(z.r - 100 * (z."row" between 0 and 7 and z.col between 0 and 7)::int) as value, from z join (select unnest(range(0, 4))::int as i) w on z."row" + 1 between 2 * w.i and 2 * w.i + 2 join (select unnest(range(0, 4))::int as j) v on z.col + 1 between 2 * v.j and 2 * v.j + 2 group by 1, 2, 3""", (PIXELS,))
+def _(spark, d):
+    cells = pixels(spark, d).withColumn("value", F.col("r") - 100)
+    return ix.pool2d(cells, 3, 2, "max", padding=1)
+
+
 @query("grid_patches", 'select slide_idx, cast(floor(col / 2.0::double) as bigint) * 64 as x, cast(floor("row" / 2.0::double) as bigint) * 64 as y, max(r % 3) as label from pixels group by 1, 2, 3', (PIXELS,))
 def _(spark, d):
     labels = pixels(spark, d).withColumn("label", F.col("r") % 3)

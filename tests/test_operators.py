@@ -507,3 +507,16 @@ def test_hulls_merge(spark, monkeypatch):
     for side in (16, 2):
         monkeypatch.setattr(rg, "SQUARE", side)
         assert named() == whole
+
+
+def test_picture_features_in_tiles(spark):
+    """Blurs, edges and eigenvalues of tiles smaller than the blur's width equal those along whole lines."""
+    rng = random.Random(2)
+    rows = [(k, r, c, float(rng.randrange(256))) for k in (1, 2) for r in range(13) for c in range(9 + k)]
+    cells = spark.createDataFrame(rows, "slide_idx long, row int, col int, v double")
+    w = px.gaussian_weights(1.5)
+    blurred = px.convolve_lines(px.convolve_lines(cells, "row", {"v": ("v", w)}, "nearest"), "col", {"v": ("v", w)}, "nearest")
+    want = {(r.slide_idx, r["row"], r["col"]): (r.v, r.v_edge, r.v_eig1, r.v_eig2) for r in px.with_eigenvalues(px.with_edges(blurred, ("v",)), ("v",)).collect()}
+    for side in (4, 256):
+        got = {(r.slide_idx, r["row"], r["col"]): (r.v_0, r.v_0_edge, r.v_0_eig1, r.v_0_eig2) for r in tl.picture_features(cells, ["v"], [w], side).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
