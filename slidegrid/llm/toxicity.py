@@ -163,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, penalty: float = PENALTY, sample:
 
     found = texts.mapInArrow(tidied(extract), "f array<long>, g array<long>, y int").repartition(1).sortWithinPartitions("y", "f", "g").mapInArrow(tidied(fit), "k long, w double").collect()
     weights = {r["k"]: r["w"] for r in found}
-    return weights, weights.pop(-1, 0.0)
+    return weights, weights.pop(-1, train([], [], np.empty(0))[1])  # no rows, no fit
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
