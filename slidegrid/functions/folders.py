@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -16,8 +18,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths given out within the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, what was written under fresh paths within it: open one around a query and the writing of its result.
+    Results are lazy and read these tables, so they must be written or fetched before the end. Without a scope the tables
+    stay until the folder is cleared."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -520,3 +520,17 @@ def test_picture_features_in_tiles(spark):
     for side in (4, 256):
         got = {(r.slide_idx, r["row"], r["col"]): (r.v_0, r.v_0_edge, r.v_0_eig1, r.v_0_eig2) for r in tl.picture_features(cells, ["v"], [w], side).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_scope_deletes_its_tables(spark):
+    import os
+
+    from slidegrid.functions.folders import scope, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    cells = grid(spark, "##.## .#.#. #####").where("value > 0")
+    with scope(spark):
+        assert tl.dbscan(rg.components(cells).drop("comp"), 2, 3).count() == 11
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
