@@ -71,3 +71,36 @@ def test_take_words():
     text = " a b\nc  d e "
     assert mixing.take_words(text, [{"lo": 0, "hi": 2, "times": 2}, {"lo": 2, "hi": 3, "times": 1}, {"lo": 4, "hi": 5, "times": 0}]) == ["a b\nc", "a b"]
     assert mixing.take_words(text, []) == []
+
+
+def test_query_against_plain_targets(spark):
+    """Sizes, source sizes and targets of all documents by plain loops; no document beyond twice its size, sources near their
+    targets, and a second run draws the same."""
+    import re
+
+    from slidegrid.llm import queries
+    from tests.conftest import DATA
+
+    d = f"{DATA}/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source").collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs}
+    held: dict = {}
+    for r in docs:
+        held[r.source] = held.get(r.source, 0) + size[r.doc_id]
+    names = sorted(held, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, left, free = {}, 1.5 * sum(held.values()), set(names)
+    while free:
+        full = {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * held[s]}
+        for s in full or free:
+            target[s] = 2.0 * held[s] if full else left * weight[s] / sum(weight[x] for x in free)
+        left -= sum(target[s] for s in full)
+        free = free - full if full else set()
+    rows = queries.op3_source_mixing(spark, d).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(size)
+    assert all(r["size"] == size[r.doc_id] and r.source_size == held[r.source] and 0 <= r.taken <= 2 * r["size"] for r in rows)
+    assert all(abs(r.target - target[r.source]) <= 1e-6 * max(1, target[r.source]) for r in rows)
+    for s in names:
+        assert abs(sum(r.taken for r in rows if r.source == s) - target[s]) <= max(200, 0.02 * target[s])
+    again = {r.doc_id: r.taken for r in queries.op3_source_mixing(spark, d).collect()}
+    assert again == {r.doc_id: r.taken for r in rows}
