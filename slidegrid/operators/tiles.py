@@ -327,12 +327,12 @@ def median(cells: DataFrame, size: int, value: str) -> DataFrame:
     return sent.groupBy("slide_idx", "trow", "tcol").applyInArrow(_medians(size), f"slide_idx long, row int, col int, `{value}` double")
 
 
-def _blurred(picture: np.ndarray, weights: list[tuple[int, float]]) -> np.ndarray:
-    """Weighted sums along both axes; the border cell is repeated."""
-    for axis in (0, 1):
-        at = np.arange(picture.shape[axis])
-        picture = sum(w * np.take(picture, np.clip(at + k, 0, len(at) - 1), axis=axis) for k, w in weights)
-    return picture
+def _blur_matrix(n: int, weights: list[tuple[int, float]]) -> np.ndarray:
+    """The weighted sums along a line of n cells as a matrix; the border cell is repeated."""
+    out, at = np.zeros((n, n)), np.arange(n)
+    for k, w in weights:
+        np.add.at(out, (at, np.clip(at + k, 0, n - 1)), w)
+    return out
 
 
 def _slope(picture: np.ndarray, axis: int) -> np.ndarray:
@@ -359,10 +359,11 @@ def picture_features(cells: DataFrame, channels: list[str], weights: list[list[t
         tile = _Tile(cells, 0)
         r, c = np.nonzero(tile.own)
         out = []
+        blurs = [[_blur_matrix(n, w) for n in tile.shape] for w in weights]
         for name in channels:
             raw = tile.grid(cells[name].to_numpy(), 0.0)
-            for w in weights:
-                v = _blurred(raw, w)
+            for along_rows, along_columns in blurs:
+                v = along_rows @ raw @ along_columns.T
                 down, across = _slope(v, 0), _slope(v, 1)
                 hrr, hrc, hcc = _slope(down, 0), _slope(down, 1), _slope(across, 1)
                 mean, half = (hrr + hcc) / 2, np.sqrt((hrr - hcc) * (hrr - hcc) / 4 + hrc * hrc)
