@@ -36,7 +36,9 @@ from slidegrid.llm.token_shards import slices_of
 RANK_BUCKETS = 512
 #: Budgets of the search where the caller names none: descents along values, and fillings looked at while going back. They
 #: bound its time on the driver to a minute or two for any number of documents; most tables need neither.
-DESCENTS, SEARCH_NODES = 16, 2_000
+DESCENTS, SEARCH_NODES = 16, 1_000
+#: Cells of the descents' tables (steps of lengths times room) after which they end, half a minute; none with descents=None.
+CELLS = 2_000_000_000
 #: Power of its length that a length is worth at first.
 WORTH = 1.02
 
@@ -175,14 +177,19 @@ def _most_worth(room: int, lengths: list[int], counts: list[int], worth: np.ndar
     return out
 
 
-def _descent(lengths: np.ndarray, counts: np.ndarray, capacity: int, worth: np.ndarray) -> list[tuple[dict[int, int], int]]:
-    """Bins around the largest length left, each completed by the filling of most worth, as often as the counts allow."""
+def _descent(lengths: np.ndarray, counts: np.ndarray, capacity: int, worth: np.ndarray, cells: list[float]) -> list[tuple[dict[int, int], int]] | None:
+    """Bins around the largest length left, each completed by the filling of most worth, as often as the counts allow; None if the
+    cells that are left do not suffice."""
     left, plan = counts.copy(), []
     for top in range(len(lengths)):
         while left[top]:
             left[top] -= 1
             some = np.flatnonzero(left)
-            filling = _most_worth(capacity - int(lengths[top]), lengths[some].tolist(), left[some].tolist(), worth[some])
+            room = capacity - int(lengths[top])
+            cells[0] -= room * float(np.log2(np.minimum(left[some], room // lengths[some]) + 1).sum())
+            if cells[0] < 0:
+                return None
+            filling = _most_worth(room, lengths[some].tolist(), left[some].tolist(), worth[some])
             left[top] += 1
             bin_ = {int(some[k]): n for k, n in filling.items()}
             bin_[top] = bin_.get(top, 0) + 1
@@ -197,10 +204,13 @@ def _descents(lengths: np.ndarray, counts: np.ndarray, capacity: int, least: int
     """The best plan of fewer than `most` bins that descents find, None if there is none; without a budget, until `least` is
     reached or the values come round to nothing new."""
     worth, best, seen = lengths.astype(np.float64) ** WORTH, None, set()
+    cells = [float("inf") if descents is None else float(CELLS)]
     while most > least and (descents is None or descents > 0) and worth.tobytes() not in seen:
         seen.add(worth.tobytes())
         descents = None if descents is None else descents - 1
-        plan = _descent(lengths, counts, capacity, worth)
+        plan = _descent(lengths, counts, capacity, worth, cells)
+        if plan is None:
+            break
         if (bins := sum(t for _, t in plan)) < most:
             most, best = bins, plan
         dearer = np.zeros(len(lengths))
