@@ -282,7 +282,7 @@ def mask_outcome_map(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 def boundary(mask: DataFrame) -> DataFrame:
     """Set cells with an unset or missing neighbour among four."""
-    inner = erode_inside(mask)
+    inner = erode_inside(mask).hint("merge")
     return mask.where("mask").select(*CELL).join(inner, CELL, "left_anti")
 
 
@@ -295,7 +295,8 @@ def erode_inside(mask: DataFrame) -> DataFrame:
 
 
 def edge_band(mask: DataFrame, width: int) -> DataFrame:
-    """Cells within width of a boundary cell along both axes (a square about it)."""
+    """Cells within width of a boundary cell along both axes (a square about it). Squares are not in a plan's estimate of its
+    size, so neither they nor the band are to be broadcast."""
     around = lambda c: F.explode(F.sequence(F.col(c) - width, F.col(c) + width)).alias(c)
-    near = boundary(mask).select("slide_idx", around("row"), "col").select("slide_idx", "row", around("col")).distinct()
-    return mask.select(*CELL).join(near, CELL, "left_semi")
+    near = boundary(mask).select("slide_idx", around("row"), "col").select("slide_idx", "row", around("col")).distinct().hint("merge")
+    return mask.select(*CELL).join(near, CELL, "left_semi").hint("merge")
