@@ -258,10 +258,7 @@ def feature_stack(pixels: DataFrame, sigma_min: float = 1.0, sigma_max: float =
     channels = ("r", "g", "b") + ("hematoxylin", "eosin") * h_e
     cells = (he_deconvolution(pixels) if h_e else pixels).select(*CELL, *[(F.col(c) / 255.0).alias(c) for c in channels])
     weights = [gaussian_weights(s) if s else [(0, 1.0)] for s in sigmas]
-    wide = picture_features(cells, list(channels), weights)
-    features = lambda c, k: [F.col(f"{c}_{k}").alias("intensity"), *[F.col(f"{c}_{k}_{f}").alias(f) for f in ("edge", "eig1", "eig2")]]
-    one = [F.struct(F.lit(c).alias("channel"), F.lit(k).alias("scale"), *features(c, k)) for c in channels for k in range(len(sigmas))]
-    return wide.select(*CELL, F.explode(F.array(*one)).alias("_s")).select(*CELL, "_s.channel", "_s.scale", "_s.intensity", "_s.edge", "_s.eig1", "_s.eig2")
+    return picture_features(cells, list(channels), weights, long=True)
 
 
 def mask_confusion(found: DataFrame, truth: DataFrame) -> DataFrame:

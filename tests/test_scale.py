@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from slidegrid.operators import pixels as px
 from slidegrid.operators import regions as rg
+from slidegrid.operators import tiles as tl
 from slidegrid.plans import QUERIES
 from slidegrid.plans.fixtures import eval_mask
 from slidegrid.plans.pixel_queries import em
@@ -37,3 +38,20 @@ def test_settled_tables_are_not_broadcast(spark):
     """Files of like values are small, the rows of their table are not."""
     cells = spark.range(100).select(F.lit(1).cast("long").alias("slide_idx"), "id")
     assert "BroadcastHashJoin" not in plan_of(rg.settled(cells).join(rg.settled(cells.limit(3)), ["slide_idx", "id"]))
+
+
+def test_pictures_of_a_block_are_told_apart(spark, monkeypatch):
+    """Slides of unlike shapes share a block, blocks cut between tiles; the long rows are the wide ones."""
+    monkeypatch.setattr(tl, "BLOCK", 40)
+    sizes = {1: (3, 5), 2: (1, 4), 3: (6, 6), 4: (3, 5)}
+    rows = [(s, r, c, float((7 * s + 3 * r * r + c) % 11)) for s, (h, w) in sizes.items() for r in range(h) for c in range(w)]
+    cells = spark.createDataFrame(rows, "slide_idx long, row int, col int, v double")
+    weights = [[(0, 1.0)], px.gaussian_weights(0.5)]
+    together = {tuple(r[:3]): r.asDict() for r in tl.picture_features(cells.coalesce(1), ["v"], weights, side=4).collect()}
+    assert set(together) == {r[:3] for r in rows}
+    for slide in sizes:
+        for r in tl.picture_features(cells.where(F.col("slide_idx") == slide), ["v"], weights, side=4).collect():
+            assert together[r.slide_idx, r.row, r.col] == pytest.approx(r.asDict())
+    long = tl.picture_features(cells, ["v"], weights, side=4, long=True).collect()
+    assert len(long) == 2 * len(rows)
+    assert all((r.intensity, r.eig2) == pytest.approx((together[tuple(r[:3])][f"v_{r.scale}"], together[tuple(r[:3])][f"v_{r.scale}_eig2"])) for r in long)
