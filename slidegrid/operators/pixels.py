@@ -50,27 +50,37 @@ def black_to_white(pixels: DataFrame) -> DataFrame:
 def otsu(pixels: DataFrame, channel: str, bins: int = 256) -> DataFrame:
     """(slide_idx, threshold): the centre of the first histogram bin that maximises the variance between what is up to it and
     above it. A constant channel's threshold is its value."""
-    ends = pixels.groupBy("slide_idx").agg(F.min(channel).alias("lo"), F.max(channel).alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / float(bins)
-    bin_ = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col(channel) - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)))
-    counts = pixels.join(ends, "slide_idx").groupBy("slide_idx", "lo", "hi", bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    all_ = ends.select("slide_idx", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    h = all_.join(counts.select("slide_idx", "bin", "n"), ["slide_idx", "bin"], "left").fillna(0, ["n"]).withColumn("centre", F.col("lo") + (F.col("bin") + 0.5) * width)
-    whole, up = Window.partitionBy("slide_idx"), Window.partitionBy("slide_idx").orderBy("bin")
+    return _otsu(pixels, {channel: "threshold"}, bins)
+
+
+def _otsu(pixels: DataFrame, outs: dict[str, str], bins: int = 256) -> DataFrame:
+    """Thresholds {channel: out} of a slide, of all channels in one pass of ends and one of counts. Only bins that hold a pixel
+    are made: an empty one has the variance of the bin before it, so it is never the first with the greatest, and the first
+    bin holds the least value."""
+    kinds = list(outs)
+    ends = pixels.groupBy("slide_idx").agg(*[f(c).cast("double").alias(f"_{n}{k}") for k, c in enumerate(kinds) for n, f in (("lo", F.min), ("hi", F.max))])
+    rows = pixels.select("slide_idx", *kinds).join(ends, "slide_idx")
+    lo, hi = F.col("lo"), F.col("hi")
+    width = (hi - lo) / float(bins)
+    value = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_lo{k}").alias("lo"), F.col(f"_hi{k}").alias("hi"), F.col(c).cast("double").alias("v")) for k, c in enumerate(kinds)]))
+    rows = rows.select("slide_idx", value.alias("s")).select("slide_idx", "s.*")
+    bin_ = F.when(hi == lo, 0).otherwise(F.least(F.floor((F.col("v") - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)))
+    h = rows.groupBy("slide_idx", "k", "lo", "hi", bin_.cast("int").alias("bin")).agg(F.count("*").alias("n")).withColumn("centre", lo + (F.col("bin") + 0.5) * width)
+    whole, up = Window.partitionBy("slide_idx", "k"), Window.partitionBy("slide_idx", "k").orderBy("bin")
     m = F.col("n") * (F.col("bin") + 0.5)
     h = h.withColumn("w1", F.sum("n").over(up)).withColumn("m1", F.sum(m).over(up)).withColumn("w", F.sum("n").over(whole)).withColumn("m", F.sum(m).over(whole))
     w2 = F.col("w") - F.col("w1")
     gap = F.col("m1") / F.nullif("w1", F.lit(0)) - (F.col("m") - F.col("m1")) / F.nullif(w2, F.lit(0))
     between = F.coalesce(F.round(F.col("w1") * w2 * gap * gap, 6), F.lit(-1.0))
-    best = h.groupBy("slide_idx").agg(F.max_by(F.struct("centre", "lo", "hi"), F.struct(between, -F.col("bin"))).alias("s"))
-    return best.select("slide_idx", F.when(F.col("s.hi") == F.col("s.lo"), F.col("s.lo").cast("double")).otherwise(F.col("s.centre")).alias("threshold"))
+    at = F.when(hi == lo, lo).otherwise(F.col("centre"))
+    best = [F.max_by(F.when(F.col("k") == k, at), F.when(F.col("k") == k, F.struct(between, -F.col("bin")))).alias(out) for k, out in enumerate(outs.values())]
+    return h.groupBy("slide_idx").agg(*best)
 
 
 def mask_otsu(pixels: DataFrame, compat: bool = False) -> DataFrame:
     """Tissue where saturation is above its threshold or hue above its own; compat holds saturation against both."""
-    p = hsv(pixels)
-    th, ts = otsu(p, "h").withColumnRenamed("threshold", "th"), otsu(p, "s").withColumnRenamed("threshold", "ts")
-    joined = p.join(th, "slide_idx").join(ts, "slide_idx")
+    p = hsv(pixels).select(*CELL, "h", "s")
+    joined = p.join(_otsu(p, {"h": "th", "s": "ts"}), "slide_idx")
     return joined.select(*CELL, ((F.col("s" if compat else "h") > F.col("th")) | (F.col("s") > F.col("ts"))).alias("mask"))
 
 

@@ -7,7 +7,7 @@ from slidegrid.operators import pixels as px
 from slidegrid.operators import regions as rg
 from slidegrid.operators import tiles as tl
 from slidegrid.plans import QUERIES
-from slidegrid.plans.fixtures import eval_mask
+from slidegrid.plans.fixtures import eval_mask, pixels
 from slidegrid.plans.pixel_queries import em
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,3 +55,30 @@ def test_pictures_of_a_block_are_told_apart(spark, monkeypatch):
     long = tl.picture_features(cells, ["v"], weights, side=4, long=True).collect()
     assert len(long) == 2 * len(rows)
     assert all((r.intensity, r.eig2) == pytest.approx((together[tuple(r[:3])][f"v_{r.scale}"], together[tuple(r[:3])][f"v_{r.scale}_eig2"])) for r in long)
+
+
+def test_pixels_are_made_by_many_tasks_and_not_broadcast(spark):
+    assert {r.p for r in pixels(spark, SMALL).select(F.spark_partition_id().alias("p")).distinct().collect()} != {0}
+    plan = plan_of(QUERIES["mask_otsu"](spark, SMALL))
+    assert "BroadcastHashJoin" not in plan and "sequence(0, 255" not in plan
+
+
+def test_otsu_with_empty_bins(spark):
+    """Against all 256 bins, for gaps wide enough that many bins hold nothing."""
+    values = {1: [0, 0, 1, 9, 200, 210, 255], 2: [5, 5, 5], 3: [1, 2], 4: [3, 50, 51, 52, 90]}
+    rows = [(s, 0, c, v) for s, vs in values.items() for c, v in enumerate(vs)]
+    found = {r.slide_idx: r.threshold for r in px.otsu(spark.createDataFrame(rows, "slide_idx long, row int, col int, r int"), "r").collect()}
+    for slide, vs in values.items():
+        lo, hi = min(vs), max(vs)
+        if lo == hi:
+            assert found[slide] == lo
+            continue
+        width, counts, best = (hi - lo) / 256.0, [0] * 256, (-1.0, 0)
+        for v in vs:
+            counts[min(int((v - lo) / width), 255)] += 1
+        n, m = sum(counts), sum(k * (i + 0.5) for i, k in enumerate(counts))
+        for i in range(255):
+            w1, m1 = sum(counts[: i + 1]), sum(k * (j + 0.5) for j, k in enumerate(counts[: i + 1]))
+            between = round(w1 * (n - w1) * (m1 / w1 - (m - m1) / (n - w1)) ** 2, 6)
+            best = max(best, (between, -i))
+        assert found[slide] == pytest.approx(lo + (0.5 - best[1]) * width)
