@@ -1,5 +1,9 @@
 """What larger tables rest on: no broadcast of tables that are estimated too small, and work dealt over tasks."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +86,18 @@ def test_otsu_with_empty_bins(spark):
             between = round(w1 * (n - w1) * (m1 / w1 - (m - m1) / (n - w1)) ** 2, 6)
             best = max(best, (between, -i))
         assert found[slide] == pytest.approx(lo + (0.5 - best[1]) * width)
+
+
+def test_clusters_of_slides_on_one_canvas(spark, monkeypatch):
+    """Slides that are laid out together give the clusters that each gives alone, on one canvas or on several."""
+    rng = random.Random(4)
+    rows = [(s, r + 7 * s, c, 1.0) for s in range(1, 6) for r in range(12) for c in range(9 + s) if rng.random() < 0.4]
+    cells = spark.createDataFrame(rows, "slide_idx long, row int, col int, value double")
+    block = pa.table({"slide_idx": [r[0] for r in rows], "row": [r[1] for r in rows], "col": [r[2] for r in rows], "own": [True] * len(rows)})
+    starts = np.array([k for k, r in enumerate(rows) if k == 0 or r[0] != rows[k - 1][0]])
+    assert len(list(tl._laid_out(block, starts, 2))) == 1
+    alone = {(r.slide_idx, r.row, r.col): r.comp for s in range(1, 6) for r in tl.dbscan(cells.where(F.col("slide_idx") == s), 2, 5).collect()}
+    for canvas in (tl.CANVAS, 600):
+        monkeypatch.setattr(tl, "CANVAS", canvas)
+        assert {(r.slide_idx, r.row, r.col): r.comp for r in tl.dbscan(cells.coalesce(1), 2, 5).collect()} == alone
+    assert len(list(tl._laid_out(block, starts, 2))) > 1
