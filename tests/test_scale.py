@@ -7,11 +7,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from slidegrid.operators import boosting as bo
+from slidegrid.operators import contours as ct
 from slidegrid.operators import pixels as px
 from slidegrid.operators import regions as rg
 from slidegrid.operators import tiles as tl
+from slidegrid.operators.resampling import Draws
 from slidegrid.plans import QUERIES
-from slidegrid.plans.fixtures import eval_mask, pixels
+from slidegrid.plans.fixtures import eval_mask, patches, pixels
 from slidegrid.plans.pixel_queries import em
 
 SMALL = "/root/testdata/sf0.001"
@@ -101,3 +104,9 @@ def test_clusters_of_slides_on_one_canvas(spark, monkeypatch):
         monkeypatch.setattr(tl, "CANVAS", canvas)
         assert {(r.slide_idx, r.row, r.col): r.comp for r in tl.dbscan(cells.coalesce(1), 2, 5).collect()} == alone
     assert len(list(tl._laid_out(block, starts, 2))) > 1
+
+
+def test_patches_are_summed_in_as_many_tasks_as_a_shuffle_has(spark):
+    """Not in as many as their compressed bytes would ask for, nor before the shuffle."""
+    plan = plan_of(patches(spark, SMALL))
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
