@@ -110,3 +110,36 @@ def test_patches_are_summed_in_as_many_tasks_as_a_shuffle_has(spark):
     """Not in as many as their compressed bytes would ask for, nor before the shuffle."""
     plan = plan_of(patches(spark, SMALL))
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
+
+
+def _cells_of_squares(side):
+    """Cells of several slides and squares, sorted by square, with the rim of one cell around each, and where squares begin."""
+    rng, rows = random.Random(8), []
+    for slide in (1, 2, 3):
+        cells = {(r, c) for r in range(2 * side) for c in range(2 * side) if rng.random() < 0.6}
+        for i in (0, 1):
+            for j in (0, 1):
+                near = [(r, c) for r, c in sorted(cells) if i * side - 1 <= r <= (i + 1) * side and j * side - 1 <= c <= (j + 1) * side]
+                rows += [(slide, r, c, i, j, r // side == i and c // side == j) for r, c in near]
+    table = pa.table(dict(zip(("slide_idx", "row", "col", "srow", "scol", "own"), map(list, zip(*rows)))))
+    places = [(r[0], r[3], r[4]) for r in rows]
+    return table, np.array([k for k, p in enumerate(places) if k == 0 or p != places[k - 1]])
+
+
+def _together_and_alone(run, table, starts):
+    alone = [t for lo, hi in zip(starts, [*starts[1:], table.num_rows]) for t in run(table.slice(lo, hi - lo), np.array([0]))]
+    rows = lambda ts: sorted((tuple(map(str, r.values())) for t in ts for r in t.to_pylist()))
+    return rows(run(table, starts)), rows(alone)
+
+
+def test_regions_and_hulls_of_squares_that_share_a_call(spark):
+    table, starts = _cells_of_squares(7)
+    own = table["own"].to_numpy()
+    square = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(own))))[own]
+    table, starts = table.filter(pa.array(own)), np.flatnonzero(np.diff(square, prepend=-1))
+    placed = table.rename_columns(["slide_idx", "row", "col", "_row", "_col", "own"])
+    together, alone = _together_and_alone(lambda t, s: rg._regions_of_squares(7, t, s), placed, starts)
+    assert together == alone and len(together) == table.num_rows
+    comps = table.drop_columns(["own"]).rename_columns(["slide_idx", "row", "col", "trow", "tcol"]).append_column("comp", pa.array(table["row"].to_numpy() % 3, pa.int32()))
+    together, alone = _together_and_alone(rg._hulls, comps, starts)
+    assert together == alone and len(together) > 12
