@@ -12,6 +12,10 @@ out. Outer rings run clockwise on the screen, holes the other way round, so a re
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,58 +23,73 @@ from pyspark.sql import functions as F
 from slidegrid.functions.folders import discard
 from slidegrid.operators import regions as rg
 from slidegrid.operators.regions import CELL, components, settled
+from slidegrid.operators.tiles import by_blocks
 
 _LINE = 2**31
 
 
-def _paths_of_square(cells: pa.Table) -> pa.Table:
-    """Rings and paths along the square's own cells; the cells around it (not own) only say where edges go on."""
-    import numpy as np
-
-    place = cells["row"].to_numpy().astype(np.int64) * _LINE + cells["col"].to_numpy()
-    own = np.unique(place[cells["own"].to_numpy(zero_copy_only=False)])
-    every = np.unique(place)
+def _paths_of_squares(side: int, cells: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+    """Rings and paths along the squares' own cells; the cells around them (not own) only say where edges go on. Squares are laid
+    out below one another with the line and the column of cells around each, and their edges are put in order together: in
+    rounds of doubling, each learns the first edge of its path (the least one of its ring), then its distance from it."""
+    row, col, srow, scol = (cells[c].to_numpy().astype(np.int64) for c in ("row", "col", "srow", "scol"))
+    square, wide = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(row)))), side + 2
+    top, left, slide = srow[starts] * side - 1, scol[starts] * side - 1, cells["slide_idx"].take(pa.array(starts))
+    laid = (square * wide + row - top[square]) * wide + col - left[square]
+    own, every = np.unique(laid[cells["own"].to_numpy()]), np.unique(laid)
     has = lambda p: every[np.minimum(np.searchsorted(every, p), len(every) - 1)] == p
-    step = [1, _LINE, -1, -_LINE]  # along the top side, the right one, the bottom, the left one
+    step = [1, wide, -1, -wide]  # along the top side, the right one, the bottom, the left one
     ids, following = [], []
     for d in range(4):
         at = own[~has(own + step[d - 1])]
-        ahead, left = at + step[d], at + step[d] + step[d - 1]
-        turn = np.where(has(left), left * 4 + (d + 3) % 4, np.where(has(ahead), ahead * 4 + d, at * 4 + (d + 1) % 4))
+        ahead, beside = at + step[d], at + step[d] + step[d - 1]
+        turn = np.where(has(beside), beside * 4 + (d + 3) % 4, np.where(has(ahead), ahead * 4 + d, at * 4 + (d + 1) % 4))
         ids.append(at * 4 + d)
         following.append(turn)
     ids, following = np.concatenate(ids), np.concatenate(following)
+    if not len(ids):
+        return
     order = np.argsort(ids)
     ids, following = ids[order], following[order]
-    at = np.minimum(np.searchsorted(ids, following), max(len(ids) - 1, 0))
-    inside = ids[at] == following if len(ids) else np.empty(0, bool)
-    nxt = np.where(inside, at, -1)
-    entered = np.zeros(len(ids), dtype=bool)
-    entered[nxt[inside]] = True
-    corner_x, corner_y = ids // 4 % _LINE + np.isin(ids % 4, (1, 2)), ids // 4 // _LINE + np.isin(ids % 4, (2, 3))
-    nxt, direction, xs, ys, follow = nxt.tolist(), (ids % 4).tolist(), corner_x.tolist(), corner_y.tolist(), following.tolist()
-    seen = bytearray(len(ids))
-    out: dict[str, list] = {c: [] for c in ("id", "next", "closed", "d0", "d1", "points")}
-    for first in [*np.flatnonzero(~entered).tolist(), *range(len(ids))]:
-        if seen[first]:
-            continue
-        points, e, last = [{"x": xs[first], "y": ys[first]}], first, first
-        seen[first] = 1
-        while (e := nxt[e]) >= 0 and not seen[e]:
-            seen[e] = 1
-            if direction[e] != direction[last]:
-                points.append({"x": xs[e], "y": ys[e]})
-            last = e
-        closed = e == first
-        if closed and direction[last] == direction[first]:
-            points = points[1:]
-        for c, v in zip(out, (int(ids[first]), follow[last], closed, direction[first], direction[last], points), strict=True):
-            out[c].append(v)
-    n = len(out["id"])
-    point = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
-    types = dict(zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), point), strict=True))
-    slide = cells["slide_idx"].chunk(0)[0].as_py()
-    return pa.table({"slide_idx": pa.array([slide] * n, pa.int64()), **{c: pa.array(v, types[c]) for c, v in out.items()}})
+    count, at = len(ids), np.minimum(np.searchsorted(ids, following), len(ids) - 1)
+    inside = np.flatnonzero(ids[at] == following)
+    back, entered = np.arange(count), np.zeros(count, dtype=bool)
+    back[at[inside]], entered[at[inside]] = inside, True
+    first, jump = np.where(entered, np.arange(count) + count, np.arange(count)), back  # edges that paths begin with come before all others
+    while ((least := np.minimum(first, first[jump])) != first).any():
+        first, jump = least, jump[jump]
+    ring = first >= count
+    first = first % count
+    jump = np.where(first == np.arange(count), first, back)
+    away = (jump != np.arange(count)).astype(np.int64)
+    while (jump != first).any():
+        away, jump = away + away[jump], jump[jump]
+    order = np.lexsort((away, first))
+    direction = ids[order] % 4
+    begins = np.flatnonzero(away[order] == 0)
+    ends = np.append(begins[1:], count) - 1
+    corner = np.append(True, direction[1:] != direction[:-1])
+    closed = ring[order[begins]]
+    corner[begins] = ~closed | (direction[ends] != direction[begins])
+
+    def line(edges: np.ndarray) -> np.ndarray:
+        return edges // 4 // wide % wide + top[edges // 4 // (wide * wide)]
+
+    def column(edges: np.ndarray) -> np.ndarray:
+        return edges // 4 % wide + left[edges // 4 // (wide * wide)]
+
+    def named(edges: np.ndarray) -> pa.Array:
+        return pa.array((line(edges) * _LINE + column(edges)) * 4 + edges % 4)
+
+    turns = ids[order[corner]]
+    x, y = column(turns) + np.isin(turns % 4, (1, 2)), line(turns) + np.isin(turns % 4, (2, 3))
+    points = pa.StructArray.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32())], names=["x", "y"])
+    points = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.add.reduceat(corner.astype(np.int64), begins))), pa.int32()), points)
+    heads, tails = ids[order[begins]], order[ends]
+    yield pa.table({
+        "slide_idx": slide.take(pa.array(heads // 4 // (wide * wide))), "id": named(heads), "next": named(following[tails]), "closed": pa.array(closed),
+        "d0": pa.array(direction[begins], pa.int32()), "d1": pa.array(direction[ends], pa.int32()), "points": points,
+    })
 
 
 def _paths(mask: DataFrame) -> DataFrame:
@@ -84,7 +103,7 @@ def _paths(mask: DataFrame) -> DataFrame:
     sent = cells.select(*CELL, *square, F.explode(F.filter(near, lambda s: touches(F.col("row"), s["i"]) & touches(F.col("col"), s["j"]))).alias("s"))
     sent = sent.select(*CELL, (F.col("srow") + F.col("s.i")).alias("srow"), (F.col("scol") + F.col("s.j")).alias("scol"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own"))
     schema = "slide_idx long, id long, next long, closed boolean, d0 int, d1 int, points array<struct<x: int, y: int>>"
-    return sent.groupBy("slide_idx", "srow", "scol").applyInArrow(_paths_of_square, schema)
+    return by_blocks(sent, ["slide_idx", "srow", "scol"], partial(_paths_of_squares, side), schema)
 
 
 def _ordered(paths: DataFrame) -> DataFrame:

@@ -132,6 +132,11 @@ def _together_and_alone(run, table, starts):
     return rows(run(table, starts)), rows(alone)
 
 
+def test_contour_paths_of_squares_that_share_a_call(spark):
+    together, alone = _together_and_alone(lambda t, s: ct._paths_of_squares(7, t, s), *_cells_of_squares(7))
+    assert together == alone and len(together) > 30
+
+
 def test_regions_and_hulls_of_squares_that_share_a_call(spark):
     table, starts = _cells_of_squares(7)
     own = table["own"].to_numpy()
