@@ -121,13 +121,21 @@ def fit(train: DataFrame, features: list[str], label: str, rounds: int = 100, de
         return model
     index = F.array_position(F.array(*map(F.lit, labels)), F.col(label).cast("string")).cast("int") - 1
     values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
-    state = settled(rows.select(index.alias("y"), values.alias("x"), F.array(*[F.lit(0.0)] * classes).alias("s")))
     fresh: list[Tree] = []
 
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = _binned(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(features)), cuts)
+            bins = pa.array([b.tobytes() for b in bins.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), bins, batch.column(2)], names=["y", "b", "s"])
+
+    shape = "y int, b binary, s array<double>"
+    state = settled(rows.select(index.alias("y"), values.alias("x"), F.array(*[F.lit(0.0)] * classes).alias("s")).mapInArrow(cut_up, shape))
+
     def arrays(batch: pa.RecordBatch, trees: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = batch.num_rows
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, len(features))
-        bins, s = _binned(x, cuts), batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, classes).copy()
+        bins = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(n, len(features))
+        s = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, classes).copy()
         for t in trees:
             s += t.scores(bins)
         return batch.column(0).to_numpy(), bins, s
@@ -135,22 +143,26 @@ def fit(train: DataFrame, features: list[str], label: str, rounds: int = 100, de
     def histogram(trees: list[Tree], tree: Tree, open_: list[int]) -> dict[int, np.ndarray]:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(open_), len(features), n_bins, 2 * classes), dtype=np.int64)
-            place = {node: k for k, node in enumerate(open_)}
+            place = np.full(len(tree.feature), -1)
+            place[open_] = np.arange(len(open_))
             for batch in batches:
                 y, bins, s = arrays(batch, trees)
-                at = np.array([place.get(v, -1) for v in tree.leaves(bins).tolist()], dtype=np.int64)
+                at = place[tree.leaves(bins)]
                 held = at >= 0
-                g = gradients(s, y)[held]
+                at, g = at[held] * n_bins, gradients(s, y)[held]
                 for f in range(len(features)):
-                    np.add.at(total, (at[held], f, bins[held, f]), g)
-            flat = total.reshape(len(open_), len(features), -1)
-            at = np.nonzero(flat)
-            yield pa.RecordBatch.from_arrays([*(pa.array(a, pa.int32()) for a in at), pa.array(flat[at])], names=["node", "f", "i", "v"])
-
-        added = state.mapInArrow(sums, "node int, f int, i int, v long").groupBy("node", "f", "i").agg(F.sum("v").alias("v")).toPandas()
-        out = np.zeros((len(open_), len(features), n_bins * 2 * classes), dtype=np.int64)  # nodes of a level * features * cuts * classes
-        out[added["node"], added["f"], added["i"]] = added["v"]
-        return dict(zip(open_, out.reshape(len(open_), len(features), n_bins, 2 * classes), strict=True))
+                    cell = at + bins[held, f]
+                    for k in range(2 * classes):  # a batch's sums are whole numbers that doubles hold
+                        total[:, f, :, k] += np.bincount(cell, g[:, k], len(open_) * n_bins).astype(np.int64).reshape(len(open_), n_bins)
+            at = np.nonzero(total.any(axis=3))
+            yield pa.RecordBatch.from_arrays([*(pa.array(a, pa.int32()) for a in at), *(pa.array(v) for v in total[at].T)], names=["node", "f", "i", *parts])
+
+        parts = [f"v{k}" for k in range(2 * classes)]
+        added = state.mapInArrow(sums, ", ".join(["node int, f int, i int", *(f"{v} long" for v in parts)]))
+        added = added.groupBy("node", "f", "i").agg(*[F.sum(v).alias(v) for v in parts]).toArrow()
+        out = np.zeros((len(open_), len(features), n_bins, 2 * classes), dtype=np.int64)  # nodes of a level * features * cuts * classes
+        out[tuple(added[c].to_numpy() for c in ("node", "f", "i"))] = np.stack([added[v].to_numpy() for v in parts], axis=1)
+        return dict(zip(open_, out, strict=True))
 
     for _ in range(rounds):
         tree, open_ = Tree(), [0]
@@ -180,9 +192,9 @@ def fit(train: DataFrame, features: list[str], label: str, rounds: int = 100, de
             def renewed(batches: Iterator[pa.RecordBatch], trees=trees) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     _, _, s = arrays(batch, trees)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(s), pa.list_(pa.float64()))], names=["y", "x", "s"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(s), pa.list_(pa.float64()))], names=["y", "b", "s"])
 
-            before, state = state, settled(state.mapInArrow(renewed, "y int, x array<double>, s array<double>"))
+            before, state = state, settled(state.mapInArrow(renewed, shape))
             discard(spark, before.settled_path)
             fresh = []
     discard(spark, state.settled_path)

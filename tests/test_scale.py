@@ -148,3 +148,13 @@ def test_regions_and_hulls_of_squares_that_share_a_call(spark):
     comps = table.drop_columns(["own"]).rename_columns(["slide_idx", "row", "col", "trow", "tcol"]).append_column("comp", pa.array(table["row"].to_numpy() % 3, pa.int32()))
     together, alone = _together_and_alone(rg._hulls, comps, starts)
     assert together == alone and len(together) > 12
+
+
+def test_boosting_keeps_a_byte_for_each_cut(spark, monkeypatch):
+    """And sums of a level are a row for each node, feature and cut, with a column for each class's derivatives."""
+    written = []
+    monkeypatch.setattr(bo, "settled", lambda df: written.append(dict(df.dtypes)) or rg.settled(df))
+    rows = spark.range(60).select((F.col("id") * 7 % 11).cast("double").alias("a"), F.when(F.col("id") * 7 % 11 < 5, "x").otherwise("y").alias("k"))
+    model = bo.fit(rows, ["a"], "k", rounds=3, depth=2)
+    assert written[0]["b"] == "binary"
+    assert bo.predict(rows, model).where("predictions <> k").isEmpty()
