@@ -71,6 +71,7 @@ class Draws:
     def _on_leaf(self, leaf: int) -> np.ndarray:
         """(reps, places + 1): draws before the leaf or on its first places."""
         if self.held[0] != leaf:
+            self.held = -1, np.empty(0)
             before, own = self._share(leaf)
             size = min(self.leaf, self.n - leaf * self.leaf)
             keys = mixed(self.keys + np.uint64(leaf))
@@ -82,14 +83,16 @@ class Draws:
                 place = ((mixed(keys[at : at + _AT_ONCE][rep] + number.astype(np.uint64)) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
                 out[at : at + _AT_ONCE, 1:] = np.bincount(rep * size + place, minlength=len(part) * size).reshape(len(part), size)
             np.cumsum(out, axis=1, out=out)
-            self.held = leaf, out + before[:, None]
+            out += before[:, None]
+            self.held = leaf, out
         return self.held[1]
 
     def below(self, x: int) -> np.ndarray:
+        """A copy: a view would hold the whole leaf for as long as the caller keeps it."""
         if x >= self.n:
             return np.full(self.reps, self.n, dtype=np.int64)
         leaf, place = divmod(x, self.leaf)
-        return self._on_leaf(leaf)[:, place] if place else self._share(leaf)[0]
+        return self._on_leaf(leaf)[:, place].copy() if place else self._share(leaf)[0]
 
 
 def spans(groups: DataFrame, order: list[Column], count: str) -> tuple[DataFrame, int]:
@@ -154,8 +157,12 @@ def resampled_curves(
     def positives(part: pa.RecordBatch, draws: Draws, at: int) -> tuple[np.ndarray, np.ndarray]:
         """(groups, reps): positive draws of each group, and all draws up to its end."""
         first, p, n = (part.column(at + i).to_numpy().tolist() for i in range(3))
-        own = np.stack([draws.below(a + b) - draws.below(a) for a, b in zip(first, p, strict=True)])
-        return own, np.stack([draws.below(a + b + c) for a, b, c in zip(first, p, n, strict=True)])
+        own, end = [], []
+        for a, b, c in zip(first, p, n, strict=True):  # in the order of places, so that each leaf is drawn once
+            begun = draws.below(a)
+            own.append(draws.below(a + b) - begun)
+            end.append(draws.below(a + b + c))
+        return np.stack(own), np.stack(end)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draws = Draws(total, reps, seed, leaf)

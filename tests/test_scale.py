@@ -150,6 +150,11 @@ def test_regions_and_hulls_of_squares_that_share_a_call(spark):
     assert together == alone and len(together) > 12
 
 
+def test_draws_kept_do_not_keep_their_leaf():
+    draws = Draws(1000, 10, 5, leaf=64)
+    assert all(draws.below(x).base is None for x in (3, 64, 70, 999, 1000))
+
+
 def test_boosting_keeps_a_byte_for_each_cut(spark, monkeypatch):
     """And sums of a level are a row for each node, feature and cut, with a column for each class's derivatives."""
     written = []
