@@ -106,6 +106,12 @@ def test_clusters_of_slides_on_one_canvas(spark, monkeypatch):
     assert len(list(tl._laid_out(block, starts, 2))) > 1
 
 
+@pytest.mark.parametrize("name", ["froc_score", "froc_evaluate", "index_dataset"])
+def test_no_mask_of_an_evaluation_is_broadcast(spark, name):
+    """Nor does a plan broadcast more than its one-row totals."""
+    assert "BroadcastHashJoin" not in plan_of(QUERIES[name](spark, SMALL))
+
+
 def test_patches_are_summed_in_as_many_tasks_as_a_shuffle_has(spark):
     """Not in as many as their compressed bytes would ask for, nor before the shuffle."""
     plan = plan_of(patches(spark, SMALL))
