@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slidegrid.operators import boosting as bo
 from slidegrid.operators import contours as ct
+from slidegrid.operators import froc as fr
 from slidegrid.operators import pixels as px
 from slidegrid.operators import regions as rg
 from slidegrid.operators import tiles as tl
@@ -112,6 +113,20 @@ def test_no_mask_of_an_evaluation_is_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan_of(QUERIES[name](spark, SMALL))
 
 
+def test_no_draw_of_lesions_is_broadcast(spark, monkeypatch):
+    """Neither by froc_ci's own plan nor by those that write what it reads."""
+    plans = []
+
+    def kept(df, settled=rg.settled):
+        plans.append(plan_of(df))
+        return settled(df)
+
+    monkeypatch.setattr(fr, "settled", kept)
+    monkeypatch.setattr(rg, "settled", kept)
+    plans.append(plan_of(QUERIES["froc_ci"](spark, SMALL)))
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_patches_are_summed_in_as_many_tasks_as_a_shuffle_has(spark):
     """Not in as many as their compressed bytes would ask for, nor before the shuffle."""
     plan = plan_of(patches(spark, SMALL))
