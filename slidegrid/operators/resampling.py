@@ -95,10 +95,13 @@ class Draws:
         return self._on_leaf(leaf)[:, place].copy() if place else self._share(leaf)[0]
 
 
-def spans(groups: DataFrame, order: list[Column], count: str) -> tuple[DataFrame, int]:
+def spans(groups: DataFrame, order: list[Column], count: str, ranges: list[Column] | None = None) -> tuple[DataFrame, int]:
     """Adds _first, the places before a group, in a total order of the groups, and _p, the range of the order that a group lies
-    in; and gives the number of all places. Ranges are summed on their own and then moved by the sums of those before."""
-    ranged = settled(groups.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    in; and gives the number of all places. Ranges are summed on their own and then moved by the sums of those before.
+    With `ranges`, columns that the order agrees with, there are as many ranges as a shuffle has tasks, and groups that
+    agree in these columns share one."""
+    dealt = groups.repartitionByRange(*order) if ranges is None else groups.repartitionByRange(_tasks(groups), *ranges)
+    ranged = settled(dealt.withColumn("_p", F.spark_partition_id()))
     totals = ranged.groupBy("_p").agg(F.sum(count).alias("_t"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     totals = settled(totals.select("_p", "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before")))
@@ -108,28 +111,90 @@ def spans(groups: DataFrame, order: list[Column], count: str) -> tuple[DataFrame
     return placed.withColumn("_first", F.col("_in") + F.col("_before")).drop("_in", "_before"), int(n)
 
 
-def resample(groups: DataFrame, order: list[Column], reps: int, seed: int, count: str | None = None) -> DataFrame:
-    """rep, weight and the groups' columns: how often each replicate drew a row of the group, where it did. Groups are rows, or
-    `count` equal rows; the order must be total."""
-    counted = groups.withColumn("_n", F.col(count).cast("long") if count else F.lit(1).cast("long"))
-    placed, n = spans(counted, order, "_n")
-    columns, leaf, at_once = groups.columns, LEAF, _GROUPS
-    placed = placed.sortWithinPartitions("_first").select("_first", "_n", *columns)
+def _tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _by_ranges(placed: DataFrame, n: int) -> DataFrame:
+    """Neighbouring ranges in one task, in order: as many tasks as a shuffle has, but no more than leaves, since a task makes
+    whole ones. Groups are few bytes, their draws many rows, so the bytes must not say how many tasks there are."""
+    return placed.repartitionByRange(max(1, min(_tasks(placed), -(-n // LEAF))), "_p").sortWithinPartitions("_first")
+
+
+def _weights(draws: Draws, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(reps, groups): draws on each group."""
+    return np.stack([draws.below(b) - draws.below(a) for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)], axis=1)
+
+
+def drawn(placed: DataFrame, n: int, reps: int, seed: int, count: str, columns: list[str]) -> DataFrame:
+    """rep, weight and the columns of groups that spans() has placed: how often each replicate drew a row of the group,
+    where it did."""
+    leaf, at_once = LEAF, _GROUPS
+    rows = _by_ranges(placed, n).select("_first", count, *[F.col(c) for c in columns])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         draws = Draws(n, reps, seed, leaf)
         for batch in batches:
             for at in range(0, batch.num_rows, at_once):
                 part = batch.slice(at, at_once)
-                first, size = (part.column(i).to_numpy() for i in (0, 1))
-                weights = np.stack([draws.below(b) - draws.below(a) for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)], axis=1)
+                weights = _weights(draws, part.column(0).to_numpy(), part.column(1).to_numpy())
                 for lo in range(0, reps, _AT_ONCE):
                     rep, row = np.nonzero(weights[lo : lo + _AT_ONCE])
                     taken = pa.RecordBatch.from_arrays(part.columns[2:], names=columns).take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([pa.array(rep + lo, pa.int32()), pa.array(weights[rep + lo, row]), *taken.columns], names=["rep", "weight", *columns])
 
-    schema = ", ".join(["rep int", "weight long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema.fields)])
-    return placed.mapInArrow(draw, schema)
+    schema = ", ".join(["rep int", "weight long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])])
+    return rows.mapInArrow(draw, schema)
+
+
+def first_drawn(placed: DataFrame, n: int, reps: int, seed: int, count: str, run: list[str], value: str) -> DataFrame:
+    """rep, weight and value: in how many runs of groups that agree in `run` each replicate's first drawn group has the value (a
+    double). spans() must have placed the groups by an order that begins with `run`, and by ranges that keep runs whole.
+    Tasks count their own runs, so that no row for each draw is written or shuffled; the counts of a value are to be summed."""
+    leaf, at_once = LEAF, _GROUPS
+    begins = ~F.struct(*run).eqNullSafe(F.lag(F.struct(*run)).over(Window.partitionBy("_p").orderBy("_first")))
+    rows = _by_ranges(placed.withColumn("_begins", begins), n).select("_first", count, "_begins", F.col(value).alias("value"))
+
+    def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws, done = Draws(n, reps, seed, leaf), np.zeros(reps, dtype=bool)  # done: the run that goes on has been drawn
+        totals: dict[float, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            values, weights = np.array(list(totals)), np.stack(list(totals.values()))
+            which, rep = np.nonzero(weights)
+            return pa.RecordBatch.from_arrays([pa.array(rep, pa.int32()), pa.array(weights[which, rep], pa.int64()), pa.array(values[which], pa.float64())], names=["rep", "weight", "value"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                hit = _weights(draws, part.column(0).to_numpy(), part.column(1).to_numpy()) > 0
+                starts = part.column(2).to_numpy(zero_copy_only=False)
+                upto = np.cumsum(hit, axis=1, dtype=np.int32)
+                # Drawn groups before each group's run; what the run had before this part counts too.
+                head = np.maximum.accumulate(np.where(starts, np.arange(len(starts)), -1))
+                before = np.where(head[None] > 0, upto[:, np.maximum(head, 1) - 1], np.where(head[None] < 0, -done[:, None].astype(np.int32), 0))
+                first = hit & (upto - before == 1)
+                done = upto[:, -1] > before[:, -1]
+                values, code = np.unique(part.column(3).to_numpy(), return_inverse=True)
+                order = np.argsort(code, kind="stable")
+                sums = np.add.reduceat(first[:, order], np.searchsorted(code[order], np.arange(len(values))), axis=1, dtype=np.int64)
+                for k, v in enumerate(values.tolist()):
+                    totals[v] = totals[v] + sums[:, k] if v in totals else sums[:, k].copy()
+                if len(totals) > at_once:
+                    yield out()
+                    totals.clear()
+        if totals:
+            yield out()
+
+    return rows.mapInArrow(count_runs, "rep int, weight long, value double").withColumnRenamed("value", value)
+
+
+def resample(groups: DataFrame, order: list[Column], reps: int, seed: int, count: str | None = None) -> DataFrame:
+    """rep, weight and the groups' columns: how often each replicate drew a row of the group, where it did. Groups are rows, or
+    `count` equal rows; the order must be total."""
+    counted = groups.withColumn("_n", F.col(count).cast("long") if count else F.lit(1).cast("long"))
+    placed, n = spans(counted, order, "_n", order)
+    return drawn(placed, n, reps, seed, "_n", groups.columns)
 
 
 def resampled_curves(

@@ -12,6 +12,7 @@ from slidegrid.operators import contours as ct
 from slidegrid.operators import froc as fr
 from slidegrid.operators import pixels as px
 from slidegrid.operators import regions as rg
+from slidegrid.operators import resampling as rs
 from slidegrid.operators import tiles as tl
 from slidegrid.operators.resampling import Draws
 from slidegrid.plans import QUERIES
@@ -127,6 +128,45 @@ def test_no_draw_of_lesions_is_broadcast(spark, monkeypatch):
     assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
 
 
+def _froc_curves(spark):
+    """Samples' curves of 40 slides with three regions each, hit twice or thrice; and the rows of each table that is written."""
+    mask = spark.createDataFrame([(s, 4 * k, c, k + 1) for s in range(40) for k in range(3) for c in range(3)], "slide_idx long, row int, col int, label int")
+    itc = spark.createDataFrame([(1, 3)], "slide_idx long, label int")
+    lesions = [(s, (5 + (s + c) % 3) / 10, float(c), float(r)) for s in range(40) for r in (0, 4, 5, 8) for c in range(2 + s % 2)]
+    df = spark.createDataFrame(lesions, "slide_idx long, prob_score double, centre_x double, centre_y double")
+    curve = fr.froc_samples(df, mask, itc, spark.range(40), 0, 50, 11)
+    return sorted((r.rep, r.threshold or -1.0, r.total_fps, r.sensitivity) for r in curve.collect())
+
+
+def test_draws_of_lesions_are_not_written(spark, monkeypatch):
+    """Only counts of regions by replicate and probability are, however many regions there are."""
+    written = []
+
+    def kept(df, settled=rg.settled):
+        out = settled(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(fr, "settled", kept)
+    assert _froc_curves(spark)
+    assert written and max(written) <= 50 * 3
+
+
+def test_first_draws_of_runs_that_parts_cut(spark, monkeypatch):
+    """A run that goes on in the next part remembers which replicates have drawn it."""
+    whole = _froc_curves(spark)
+    monkeypatch.setattr(rs, "_GROUPS", 2)
+    assert _froc_curves(spark) == whole
+
+
+def test_draws_are_made_by_many_tasks(spark, monkeypatch):
+    """As many as there are leaves and a shuffle has tasks, though the groups are few bytes."""
+    monkeypatch.setattr(rs, "LEAF", 8)
+    rows = rs.resample(spark.range(100), [F.asc("id")], 20, 3)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    assert rows.agg(F.sum("weight")).first()[0] == 20 * 100
+
+
 def test_patches_are_summed_in_as_many_tasks_as_a_shuffle_has(spark):
     """Not in as many as their compressed bytes would ask for, nor before the shuffle."""
     plan = plan_of(patches(spark, SMALL))
