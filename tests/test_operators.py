@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from slidegrid.operators import annotations as an
 from slidegrid.operators import boosting as bo
 from slidegrid.operators import contours as ct
 from slidegrid.operators import froc as fr
@@ -17,8 +18,12 @@ from slidegrid.operators import pixels as px
 from slidegrid.operators import regions as rg
 from slidegrid.operators import resampling as rs
 from slidegrid.operators import tiles as tl
+from slidegrid.plans import QUERIES
+from slidegrid.plans.fixtures import eval_mask
 from slidegrid.sources import tables as src
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def grid(spark, text, slide=1, value=None):
     rows = [(slide, r, c, 0.0 if ch == "." else float(value or 1.0)) for r, line in enumerate(text.split()) for c, ch in enumerate(line)]
@@ -534,3 +539,32 @@ def test_scope_deletes_its_tables(spark):
         assert tl.dbscan(rg.components(cells).drop("comp"), 2, 3).count() == 11
         assert set(os.listdir(folder)) > before
     assert set(os.listdir(folder)) == before
+
+
+def test_render_fills_paints_and_cuts(spark):
+    """Every cell of an image has a label: later places paint over earlier ones whatever was drawn last, the fill label is also the
+    last place, slide 2 has no annotation, and what lies outside is cut off."""
+    shapes = spark.createDataFrame([(1, 2, 3), (2, 1, 2), (3, 0, 4)], "slide_idx long, n_rows int, n_cols int")
+    drawn = [(1, 0, 0, "tumor", 5), (1, 0, 1, "tumor", 5), (1, 0, 1, "normal", 1), (1, 1, 0, "background", 9), (1, 1, 1, "background", 9), (1, 1, 1, "tumor", 2), (1, 1, 3, "tumor", 5), (1, -1, 0, "tumor", 5), (4, 0, 0, "tumor", 5)]
+    cells = spark.createDataFrame(drawn, "slide_idx long, row int, col int, label string, seq int")
+    numbers = {"background": 0, "normal": 1, "tumor": 2}
+    image = an.render(shapes, cells, ("background", "tumor", "normal"), numbers, "normal").collect()
+    want = {(1, 0, 0): "tumor", (1, 0, 1): "normal", (1, 0, 2): "normal", (1, 1, 0): "background", (1, 1, 1): "tumor", (1, 1, 2): "normal", (2, 0, 0): "normal", (2, 0, 1): "normal"}
+    assert len(image) == len(want) and {(r.slide_idx, r["row"], r.col): (r.label, r.value) for r in image} == {k: (v, numbers[v]) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("label", ["stroma", None])
+def test_no_annotation_is_dropped(spark, label):
+    """A label that has no place in the order is an error, not a cell less."""
+    cells = spark.createDataFrame([(1, 0, 0, "tumor", 0), (1, 0, 1, label, 1)], "slide_idx long, row int, col int, label string, seq int")
+    with pytest.raises(Exception, match="labels_order"):
+        an.paint(cells, ("normal", "tumor")).collect()
+
+
+def test_annot_paint_gives_every_cell(spark):
+    """Cells that no annotation covers have the fill label; with those without tissue at 0 it is the label grid."""
+    got = QUERIES["annot_paint"](spark, SMALL).collect()
+    tissue = {(r.slide_idx, r["row"], r.col) for r in eval_mask(spark, SMALL).where("(row + col) % 3 <> 0").collect()}
+    image = {(r.slide_idx, r["row"], r.col): r.value for r in got}
+    assert len(got) == len(image) == 10 * 32 * 32 and {r.label for r in got} == {"background", "normal", "tumor"}
+    assert {k: v if k in tissue else 0 for k, v in image.items()} == {(r.slide_idx, r["row"], r.col): r.label for r in QUERIES["label_grid"](spark, SMALL).collect()}
