@@ -568,3 +568,24 @@ def test_annot_paint_gives_every_cell(spark):
     image = {(r.slide_idx, r["row"], r.col): r.value for r in got}
     assert len(got) == len(image) == 10 * 32 * 32 and {r.label for r in got} == {"background", "normal", "tumor"}
     assert {k: v if k in tissue else 0 for k, v in image.items()} == {(r.slide_idx, r["row"], r.col): r.label for r in QUERIES["label_grid"](spark, SMALL).collect()}
+
+
+def _line_items(spark, folder, slides):
+    """Line items whose cells have these pictures as heatmaps: # is 0.8, others 0.4."""
+    rows = [(k, r, c, 0.08 if ch == "#" else 0.04) for k, text in slides.items() for r, line in enumerate(text.split()) for c, ch in enumerate(line)]
+    items = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_partkey long, l_discount double")
+    items.select("*", F.lit(0.0).alias("l_tax"), F.lit("R").alias("l_returnflag")).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_top_two_regions_have_all_ten_features(spark, tmp_path):
+    """Solidity with the others, and zeros for a slide that has patches but no region."""
+    found = QUERIES["slide_features_top2"](spark, _line_items(spark, tmp_path / "a", {1: "###...## ###..##. .....#.. #.......", 2: "... ...", 3: "#.. #.."}))
+    names = ["area", "eccentricity", "extent", "bbox_area", "major_axis", "max_value", "mean_value", "min_value", "aspect_ratio", "solidity"]
+    assert found.columns == ["slide_idx", *[f"{c}_{k}" for k in (1, 2) for c in names]]
+    rows = {r.slide_idx: r for r in found.collect()}
+    assert (rows[1].area_1, rows[1].solidity_1, rows[1].area_2, rows[1].solidity_2) == (6.0, 1.0, 5.0, round(5 / 6.5, 6))
+    assert set(rows) == {1, 2, 3} and set(rows[2][1:]) == {0.0}
+    assert (rows[3].area_1, rows[3].solidity_1, rows[3].aspect_ratio_1) == (2.0, 1.0, 2.0) and set(rows[3][11:]) == {0.0}
+    empty = QUERIES["slide_features_top2"](spark, _line_items(spark, tmp_path / "b", {7: ".. .."})).collect()
+    assert [r.slide_idx for r in empty] == [7] and set(empty[0][1:]) == {0.0}
